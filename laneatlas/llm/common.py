@@ -61,7 +61,7 @@ def in_range(key: str, bounds: list[int]):
     return F.aggregate(steps, F.lit(0), lambda lo, s: F.when(F.get(cuts, lo + s - 1) <= key, lo + s).otherwise(lo))
 
 
-def in_order(docs: DataFrame, key: str = "doc_id", parts: int | None = None, halo: bool = False) -> DataFrame:
+def in_order(docs: DataFrame, key: str = "doc_id", parts: int | None = None, halo: bool = False, tie: str | None = None) -> DataFrame:
     """Deal rows into ranges of an integer key, one range a partition, sorted by it.
 
     Adds _part (the range) and, with halo, repeats the first row of each range at the end of the range before
@@ -78,12 +78,12 @@ def in_order(docs: DataFrame, key: str = "doc_id", parts: int | None = None, hal
         seen = sorted(first)
         if seen:
             before = {p: seen[i - 1] for i, p in enumerate(seen)}
-            pairs = spark.createDataFrame([(p, first[p], before[p]) for p in seen], f"_part int, _first long, _to int")
+            pairs = spark.createDataFrame([(p, first[p], before[p]) for p in seen], "_part int, _first long, _to int")
             # one row a partition: bounded by the number of partitions
             heads = docs.withColumn("_part", in_range(key, bounds)).join(F.broadcast(pairs), "_part").where(F.col(key).eqNullSafe(F.col("_first")))
             heads = heads.withColumn("_part", F.col("_to")).drop("_first", "_to").withColumn("_halo", F.lit(True))
             out = out.unionByName(heads.select(out.columns))
-    return out.repartitionById(n, F.col("_part")).sortWithinPartitions("_halo", F.col(key).asc_nulls_first())
+    return out.repartitionById(n, F.col("_part")).sortWithinPartitions("_halo", F.col(key).asc_nulls_first(), *([tie] if tie else []))
 
 
 def with_row_key(docs: DataFrame, doc_id: str = "doc_id") -> tuple[DataFrame, str]:

@@ -10,6 +10,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from laneatlas.session import ship
+
 #: Bytes of text compressed at a time, so that the dictionary and not the text's own past decides.
 WINDOW = 512
 FEATURES = 9
@@ -122,6 +124,7 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3,
 
     Whole texts; null counts as empty; empty texts get the score of a text without evidence. One pass, no shuffle.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.good, model.bad, model.weights))  # two dictionaries of 110 kB
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, quality
+from . import exact, fingerprint, mixing, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (quality.remainder() == 0).alias("held_out"), "score", "predicted")
 
 
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 _BLANK = r"[\x20\x09-\x0D]"
 
 OP4_SQL = rf"""
@@ -43,8 +51,10 @@ select doc_id, keep_id, group_size, kept, text_sha256 from g
 """
 
 QUERIES = {
+    "op3_document_fingerprints": op3_document_fingerprints,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_source_mixing": op6_source_mixing,
+    "op9_packing": op9_packing,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
