@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, fingerprint, mixing, packing, quality
+from . import exact, fingerprint, mixing, packing, quality, token_files
+from .common import shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (quality.remainder() == 0).alias("held_out"), "score", "predicted")
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark)
+    token_files.write_token_files(_table(spark, sf_dir, "documents"), path)
+    return token_files.read_token_files(spark, path)
+
+
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(_table(spark, sf_dir, "documents"))
 
@@ -51,6 +58,7 @@ select doc_id, keep_id, group_size, kept, text_sha256 from g
 """
 
 QUERIES = {
+    "op1_token_files": op1_token_files,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_source_mixing": op6_source_mixing,
