@@ -99,3 +99,14 @@ def with_row_key(docs: DataFrame, doc_id: str = "doc_id") -> tuple[DataFrame, st
     if n == distinct and n == ids:
         return docs.withColumn(name, F.col(doc_id)), name
     return written(docs.withColumn(name, F.monotonically_increasing_id())), name
+
+
+def meet(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, hot: float = 0.001) -> DataFrame:
+    """rows with the columns of their group (each row has one), without one group filling a partition.
+
+    Groups whose `size` (rows) is above the share `hot` of `total` are fewer than 1/hot and are broadcast; the rest is a plain join.
+    """
+    limit = max(1000.0, hot * total)
+    large = groups.where(F.col(size) > limit)
+    rest = rows.join(F.broadcast(large.select(keys)), keys, "left_anti")
+    return rows.join(F.broadcast(large), keys).unionByName(rest.join(groups, keys))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, with_row_key, written
+from .common import BLANKS, meet, with_row_key, written
 
 _KEY = ["sha", "n_bytes", "check"]
 
@@ -50,11 +50,8 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     """
     rows = written(digests(docs, text, doc_id, leaves, row))
     groups = written(merged(rows, leaves, fan_in))
-    limit = max(1000.0, hot * rows.count())
     groups = groups.select(*_KEY, F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size")
-    large = groups.where(F.col("group_size") > limit)  # fewer than 1/hot rows
-    marked = rows.join(F.broadcast(large.select(*_KEY, F.lit(True).alias("is_large"))), _KEY, "left")
-    out = rows.join(F.broadcast(large), _KEY).unionByName(marked.where(F.col("is_large").isNull()).drop("is_large").join(groups, _KEY))
+    out = meet(rows, groups, _KEY, "group_size", rows.count(), hot)
     return out.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "size", "row")
 
 

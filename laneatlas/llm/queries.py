@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, fingerprint, mixing, packing, quality, token_files
+from . import exact, fingerprint, mixing, packing, quality, simhash, token_files
 from .common import shared_dir
 
 
@@ -18,6 +18,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_source_mixing": op6_source_mixing,
     "op9_packing": op9_packing,
     "op10_quality_classifier": op10_quality_classifier,
