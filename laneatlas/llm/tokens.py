@@ -2,49 +2,77 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import sys
+from array import array
 from itertools import chain
 
-import numpy as np
-
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Texts of these characters alone are lower-cased and parted before closing marks ahead of the look-up, as the tokenizer
-#: does the same (it lower-cases, and never joins letters with marks); other texts are looked up as they stand.
+_LETTERS = "a-z\xdf-\xf6\xf8-\xff"
+#: Texts of these characters alone, lower-cased, are parted before closing marks (which the tokenizer parts from letters, digits and
+#: white space anyway), so that there are fewer words to know; texts with a mark behind another sign are looked up as they stand.
 _PLAIN = re.compile(r"[\n\x20-\x7e\xa1-\xff]*\Z")
-_MARKS = re.compile(r"(?<=[a-z\xdf-\xf6\xf8-\xff])(?=[.,!]+(?:[ \n]|\Z))")
+_MARK_BEHIND_SIGN = re.compile(rf"[.,!](?<=[^{_LETTERS}0-9\s!][.,!])|!(?:[.,]|!!)|<\|")
+_WORD = re.compile(rf"[{_LETTERS}]+\Z")
+
+
+def _bytes(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 class WordTokenizer:
-    """Encodes word by word (words end at a space or newline), each new word once by the library.
+    """Encodes word by word, each new word once, where that is exact: for the word-wise BPE with NFC, white space and lower-case
+    normalisation whose tokens never span a space or newline. Whole texts go to the library for any other tokenizer.
 
-    Exact for tokenizers that never let a token span a space or newline and drop white space; `by_words=False`
-    gives whole texts to the library instead, for all others. The cache holds max_words at most, then starts anew.
+    Words of lower-case Latin letters, which that normalisation leaves alone, skip it. The cache holds max_words
+    (some 200 bytes each) at most, then starts anew.
     """
 
-    def __init__(self, path: str, end_id: int | None = 1, by_words: bool = True, max_words: int = 500_000) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.by_words, self.max_words = Tokenizer.from_file(path), by_words, max_words
-        self.end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+    def __init__(self, path: str, end_id: int | None = 1, max_words: int = 800_000) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.max_words = Tokenizer.from_file(path), max_words
+        self.end = b"" if end_id is None else _bytes([end_id])
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        kinds = lambda part, key: [x.get("type") for x in ((made.get(part) or {}).get(key) or [])]
+        self.by_words = kinds("normalizer", "normalizers") == ["NFC", "Replace", "Lowercase"] and kinds("pre_tokenizer", "pretokenizers") == ["Split", "ByteLevel"]
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    @staticmethod
+    def _words(text: str) -> list[str]:
+        if _PLAIN.match(text):
+            low = text.lower()
+            if not _MARK_BEHIND_SIGN.search(low):
+                return low.replace(".", " .").replace(",", " ,").replace("!!", " !!").split()
+        return text.replace("\n", " ").split(" ")
+
+    def _learn(self, words: list[str], by) -> None:
+        for i in range(0, len(words), 4096):
+            part = words[i : i + 4096]
+            self.known.update(zip(part, [_bytes(e.ids) for e in by.encode_batch_fast(part, add_special_tokens=False)], strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers, with the end id; null counts as empty."""
         texts = [t or "" for t in texts]
         if not self.by_words:
-            return [x + self.end for x in self._ids(texts)]
-        parts = [_MARKS.sub(" ", t.lower()) if _PLAIN.match(t) and "<|" not in t else t for t in texts]
-        parts = [p.replace("\n", " ").split(" ") for p in parts]
+            return [_bytes(e.ids) + self.end for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        parts = [self._words(t) for t in texts]
         if len(self.known) > self.max_words:
             self.known = {}
-        new = list(set(chain.from_iterable(parts)).difference(self.known))
-        for i in range(0, len(new), 4096):
-            self.known.update(zip(new[i : i + 4096], self._ids(new[i : i + 4096]), strict=True))
+        new = set(chain.from_iterable(parts)).difference(self.known)
+        plain = {w for w in new if _WORD.match(w)}
+        self._learn(list(plain), self.bare)
+        self._learn(list(new - plain), self.tokenizer)
         get = self.known.__getitem__
         return [b"".join(map(get, p)) + self.end for p in parts]
 
