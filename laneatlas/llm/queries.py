@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, fingerprint, mixing, packing, quality, simhash, suffix, token_files
+from . import exact, fingerprint, lines, mixing, packing, preferences, quality, simhash, suffix, token_files
 from .common import shared_dir
 
 
@@ -39,6 +39,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(_table(spark, sf_dir, "documents"))
+
+
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(_table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,16 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op8_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = preferences.format_preferences(preferences.conversation_pairs(_table(spark, sf_dir, "conversations")))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    return made.select(
+        "conv_id", "n_prompt", F.sha2("prompt", 256).alias("prompt_sha256"),
+        F.sha2("chosen_completion", 256).alias("chosen_sha256"), spans("chosen_mask").alias("chosen_mask"),
+        F.sha2("rejected_completion", 256).alias("rejected_sha256"), spans("rejected_mask").alias("rejected_mask"),
+    )
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -65,15 +79,51 @@ g as (
 select doc_id, keep_id, group_size, kept, text_sha256 from g
 """
 
+OP8_SQL = """
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text, role as raw_role,
+         row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as i,
+         count(*) over (partition by conv_id) as n
+  from conversations),
+a as (
+  select conv_id, max(i) as last_i, arg_min(text, i) as first_text, arg_max(text, i) as last_text
+  from t where raw_role = 'assistant' group by conv_id),
+r as (
+  select t.*, case when t.i = a.last_i then (case when a.first_text = a.last_text then '' else a.first_text end) else t.text end as other,
+         a.last_i
+  from t left join a on t.conv_id is not distinct from a.conv_id),
+p as (
+  select *, case when bool_or(text <> other) over (partition by conv_id) then last_i - 1 else n end as n_prompt from r),
+v as (
+  select conv_id, i, n_prompt, raw_role,
+         '<|' || replace(role, '<|', '< |') || '|>' || chr(10) as head,
+         replace(text, '<|', '< |') || chr(10) || '<|end|>' || chr(10) as body,
+         replace(other, '<|', '< |') || chr(10) || '<|end|>' || chr(10) as other_body
+  from p),
+w as (
+  select *, sum(length(head) + length(body)) filter (where i > n_prompt) over (partition by conv_id order by i) as upto,
+         sum(length(head) + length(other_body)) filter (where i > n_prompt) over (partition by conv_id order by i) as other_upto
+  from v)
+select conv_id, any_value(n_prompt)::bigint as n_prompt,
+       sha256(coalesce(string_agg(head || body, '' order by i) filter (where i <= n_prompt), '')) as prompt_sha256,
+       sha256(coalesce(string_agg(head || body, '' order by i) filter (where i > n_prompt), '')) as chosen_sha256,
+       coalesce(string_agg((upto - length(body))::bigint || '-' || (upto - 1)::bigint, ',' order by i) filter (where i > n_prompt and raw_role = 'assistant'), '') as chosen_mask,
+       sha256(coalesce(string_agg(head || other_body, '' order by i) filter (where i > n_prompt), '')) as rejected_sha256,
+       coalesce(string_agg((other_upto - length(other_body))::bigint || '-' || (other_upto - 1)::bigint, ',' order by i) filter (where i > n_prompt and raw_role = 'assistant'), '') as rejected_mask
+from w group by conv_id
+"""
+
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_line_dedup": op2_line_dedup,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_source_mixing": op6_source_mixing,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_preference_format": op8_preference_format,
     "op9_packing": op9_packing,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLES = {"op4_exact_dedup": OP4_SQL}
+ORACLES = {"op4_exact_dedup": OP4_SQL, "op8_preference_format": OP8_SQL}
