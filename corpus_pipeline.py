@@ -1,42 +1,57 @@
-"""The corpus pipeline: quality, exact and near deduplication, mixing and packing, each stage written before the next."""
+"""The corpus pipeline: quality, exact and near deduplication, mixing and packing; each stage's result is written before the next."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from laneatlas.llm import common, exact, mixing, quality
+from laneatlas.llm import common, exact, mixing, packing, quality, simhash
 
+#: Columns of documents.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier accepts."""
+    """Documents that the compression classifier (op 10) accepts. It learns from labelled documents of the input alone."""
     model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    row = docs.withColumn("_text", docs["text"])
-    return quality.score_quality(row, model, text="_text").where("predicted = 1").select(COLUMNS)
+    return quality.score_quality(docs, model).where("predicted = 1").select(COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact copies."""
+    """One document of each group of copies that differ in blanks at most (op 4)."""
     return exact.drop_exact_duplicates(docs).select(COLUMNS)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies (op 5), on shingles of five words; fingerprints within 4 of 64 bits, the likeness of
+    shingle counts that makes this probable being far above 0.8."""
+    return simhash.drop_near_duplicates(docs, words=5).select(COLUMNS)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix of sources takes them (op 6)."""
     return mixing.repeat_to_mix(docs).select(COLUMNS)
 
 
-STAGES = [("quality", keep_quality), ("exact_dedup", drop_copies), ("mixing", mix_sources)]
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in windows of 2048 tokens (op 9)."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality_classifier", keep_quality),
+    ("exact_dedup", drop_copies),
+    ("simhash_near_dedup", drop_near_copies),
+    ("source_mixing", mix_sources),
+    ("packing", pack_windows),
+]
 
-#: The stages train a model, hash and pack, which SQL cannot express; tests compare with brute force.
+#: Training, hashing and packing cannot be expressed in SQL; tests compare each stage with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir; each result is written as Parquet and read back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = common.written(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = common.written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
