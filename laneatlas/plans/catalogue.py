@@ -1,4 +1,10 @@
 """Every registered query by name, with the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from laneatlas.plans import geography, traffic
+
+_ALL = {**geography.QUERIES, **traffic.QUERIES}
+
+QUERIES = {name: run for name, (run, _) in _ALL.items()}
+ORACLES = {name: sql for name, (_, sql) in _ALL.items() if sql}
