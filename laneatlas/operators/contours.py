@@ -138,14 +138,14 @@ def valid(ring: list[tuple[float, float]]) -> bool:
 def filled(ring: list[tuple[float, float]], high: int, wide: int) -> np.ndarray:
     """Pixels inside or on a polygon."""
     yy, xx = np.mgrid[0:high, 0:wide]
-    inside = np.zeros((high, wide), bool)
+    inside, edge = np.zeros((high, wide), bool), np.zeros((high, wide), bool)
     for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True):
         crosses = (y1 > yy) != (y2 > yy)
         with np.errstate(divide="ignore", invalid="ignore"):
             inside ^= crosses & (xx < (x2 - x1) * (yy - y1) / (y2 - y1 if y2 != y1 else np.inf) + x1)
         on = np.abs((x2 - x1) * (yy - y1) - (y2 - y1) * (xx - x1)) < 1e-9
-        inside |= on & (xx >= min(x1, x2)) & (xx <= max(x1, x2)) & (yy >= min(y1, y2)) & (yy <= max(y1, y2))
-    return inside
+        edge |= on & (xx >= min(x1, x2)) & (xx <= max(x1, x2)) & (yy >= min(y1, y2)) & (yy <= max(y1, y2))
+    return inside | edge
 
 
 def orientation(points: list[tuple[float, float]]) -> float:

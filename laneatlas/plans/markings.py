@@ -66,7 +66,7 @@ def feature_geojson(spark, d):
     corner = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
     marks = det.withColumn("ring", F.array(corner(x, y), corner(x2, y), corner(x2, y2), corner(x, y2))).withColumn("type", F.lit("lane_line")).withColumn("confidence", F.lit(0.63)).withColumn("area", (F.col("w") * F.col("h")).cast("double"))
     f = M.features(M.numbered(marks, "video_id", ["event_id"]), 640, 480, geo.bounds_literal(*NYC))
-    ring = F.transform(F.col("feature.geometry.coordinates")[0], lambda p: F.format_string("%.9f %.9f", p[0], p[1]))
+    ring = F.transform(F.col("feature.geometry.coordinates")[0], lambda p: F.format_string("%.11f %.11f", p[0], p[1]))
     return f.select("video_id", "id", F.array_join(ring, ",").alias("ring"), "feature.properties.area_pixels", "feature.properties.center_x", "feature.properties.center_y")
 
 
@@ -101,6 +101,6 @@ QUERIES = {
     "count_by_type": (count_by_type, f"select {_T2} as type, count(*) as n from ({_V2}) group by 1"),
     "mask_class_pixels": (mask_class_pixels, f"""with k as (select case when {_ROT}>6 then 'lane_line' when {_ROT}>3 then 'stop_line' when {_ROT}>1.5 then 'crosswalk' when {_ROT} is not null then 'arrow' end as class_name from {_R})
 select class_name, count(*) as pixels, round(100.0::double*count(*)/(select count(*) from k),2) as percentage from k where class_name is not null group by 1"""),
-    "feature_geojson": (feature_geojson, f"""select video_id, (row_number() over (partition by video_id order by event_id)-1)::int as id, format('{','.join(['{:.9f} {:.9f}'] * 5)}', {_RING}) as ring,
+    "feature_geojson": (feature_geojson, f"""select video_id, (row_number() over (partition by video_id order by event_id)-1)::int as id, format('{','.join(['{:.11f} {:.11f}'] * 5)}', {_RING}) as ring,
 round((w*h)::double,1) as area_pixels, x+w//2 as center_x, y+h//2 as center_y from {SQL['detections']}"""),
 }
