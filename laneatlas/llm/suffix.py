@@ -4,8 +4,9 @@ A string of `length` bytes that starts earlier in the corpus is found in four st
 1. Each window of `length` bytes names one of its grams of GRAM bytes, the one with the smallest hash (its anchor). Equal windows
    name equal grams at equal places, so windows need only meet where their anchors agree. Neighbouring windows share an
    anchor; such a run of windows is a fragment. Fragments repeated whole within a slice of a task are settled there.
-2. Fragments whose anchor occurs once are dropped (one shuffle of anchor hashes).
-3. The bytes of the others are cut from the texts and sent to their anchor's task. Whole fragments that repeat there are settled.
+2. Fragments whose anchor occurs once are dropped, whole fragments that repeat are settled (one shuffle of their hashes: 64 bits of the
+   anchor and 64 of the fragment must agree, besides its length and the anchor's place).
+3. Where different fragments share an anchor, their bytes are cut from the texts and sent to the anchor's task.
 4. The windows of what is left are suffixes to be sorted, truncated at `length`: prefix polynomial hashes of the fragments and binary
    search give the common extension of two suffixes, hence their order, in a logarithmic number of hash comparisons; a
    mergesort (all groups in step, merging by binary search) puts equal windows side by side; equal neighbours are verified byte by byte.
@@ -257,15 +258,15 @@ def repeated_spans(texts: DataFrame, length: int = 100, hot: int = 5000, chunk:
                 for k, a, b in gone:
                     by.setdefault(k, []).append((a, b))
                 for k, v in by.items():
-                    spans += [(k, a, b) for a, b in merged_spans(v)]
+                    spans += [(k, x, min(b, x + 0xFFFFFF)) for a, b in merged_spans(v) for x in range(a, b, 0xFFFFFF)]
                 m, k = int(keep.sum()), len(spans)
+                one = lambda x, y: pa.array(np.concatenate([x, np.array(y, np.int64)]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([g[keep].view(np.int64), np.zeros(k, np.int64)]), mask=np.arange(m + k) >= m),
-                     pa.array(np.concatenate([key[keep], np.array([x[0] for x in spans], np.int64)])),
-                     pa.array(np.concatenate([first[keep], np.array([x[1] for x in spans], np.int64)]).astype(np.int32)),
-                     pa.array(np.concatenate([count[keep], np.array([x[2] - x[1] for x in spans], np.int64)]).astype(np.int32)),
-                     pa.array(np.concatenate([off[keep], np.zeros(k, np.int64)]).astype(np.int16))],
-                    names=["g", "key", "first", "n", "off"],
+                    [one(g[keep].view(np.int64), [(x[0] * 0x9E3779B1 + x[1]) & (1 << 63) - 1 for x in spans]),
+                     pa.array(np.concatenate([mix[keep].view(np.int64), np.zeros(k, np.int64)]), mask=np.arange(m + k) >= m),
+                     one(key[keep], [x[0] for x in spans]),
+                     one(first[keep] << 24 | count[keep] << 12 | off[keep], [x[1] << 24 | x[2] - x[1] for x in spans])],
+                    names=["g", "same", "key", "at"],
                 )
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,17 +315,23 @@ def repeated_spans(texts: DataFrame, length: int = 100, hot: int = 5000, chunk:
         if spans:
             yield _spans_batch(spans)
 
-    found = texts.select("key", "text").mapInArrow(find, "g long, key long, first int, n int, off short")
-    found = written(found)
-    local = found.where("g is null").select("key", F.col("first").cast("long").alias("a"), (F.col("first") + F.col("n")).cast("long").alias("b"))
-    same = F.count("*").over(Window.partitionBy("g"))
-    shared = found.where("g is not null").withColumn("many", same).where("many > 1")
-    wanted = shared.groupBy("key").agg(F.collect_list(F.struct("g", "first", "n", "off", (F.col("many") > hot).alias("many"))).alias("f"))
+    found = texts.select("key", "text").mapInArrow(find, "g long, same long, key long, at long")
+    group = Window.partitionBy("g")
+    found = found.select(
+        "*", F.count("same").over(group).alias("n"), (F.min("same").over(group) != F.max("same").over(group)).alias("mixed"),
+        F.row_number().over(Window.partitionBy("g", "same").orderBy("key", "at")).alias("nth"),
+    )
+    found = written(found.where("same is null or n > 1"))
+    first, n, off = F.shiftright("at", 24), F.shiftright("at", 12).bitwiseAND(4095).cast("int"), F.col("at").bitwiseAND(4095).cast("int")
+    local = found.where("same is null").select("key", first.alias("a"), (first + F.col("at").bitwiseAND(0xFFFFFF)).alias("b"))
+    whole = found.where("same is not null and nth > 1").select("key", first.alias("a"), (first + n + length - 1).alias("b"))
+    open_ = F.struct("g", first.cast("int").alias("first"), n.alias("n"), off.alias("off"), (F.col("n") > hot).alias("many"))
+    wanted = found.where("same is not null and mixed and nth = 1").groupBy("key").agg(F.collect_list(open_).alias("f"))
     # the same exchange of the texts serves remove_repeats() again
     cut = texts.select("key", "doc_id", "text").join(wanted.hint("shuffle_hash"), "key").select("key", "doc_id", "text", "f")
     pieces = cut.mapInArrow(fetch, "g long, sub int, key long, first int, off short, data binary")
     dealt = pieces.repartition(F.col("g"), F.col("sub")).sortWithinPartitions("g", "sub", "key", "first")
-    return dealt.mapInArrow(settle, "key long, a long, b long").unionByName(local)
+    return dealt.mapInArrow(settle, "key long, a long, b long").unionByName(local).unionByName(whole)
 
 
 def _fragment_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -333,12 +340,15 @@ def _fragment_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def ordered_keys(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """key, doc_id, text: key ascends with doc_id (null last), equal ids in the order of their texts."""
+    """key, doc_id, text: key ascends with doc_id (null last), equal ids in the order of their texts.
+
+    The filter on the key, which is never null, is what an inner join would add; so joins of either kind share one exchange.
+    """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     n, ids, distinct = rows.agg(F.count("*"), F.count("doc_id"), F.countDistinct("doc_id")).first()
     if n == ids == distinct:
-        return rows.withColumn("key", F.col("doc_id"))
-    return written(rows.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn("key", F.monotonically_increasing_id()))
+        return rows.withColumn("key", F.col("doc_id")).where("key is not null")
+    return written(rows.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn("key", F.monotonically_increasing_id())).where("key is not null")
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, text: str = "text", doc_id: str = "doc_id", with_text: bool = False) -> DataFrame:
