@@ -23,13 +23,14 @@ def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str =
     the completion and its mask: spans struct<start, end> in characters of the completion that are learned, the texts with their end
     marks of the turns of role `learn`. Everything else, the prompt included, is masked.
 
-    n_prompt is the length of the longest common prefix of turns (equal role and text; nulls equal nulls). If one conversation continues
+    n_prompt is the length of the longest common prefix of turns (equal role and text; nulls count as empty). If one conversation continues
     the other, the shorter's completion is empty; equal ones leave both empty. Null or empty arrays are conversations of no turns.
     """
     empty = F.array().cast("array<struct<role:string,text:string>>")
     a, b = F.coalesce(F.col(chosen), empty), F.coalesce(F.col(rejected), empty)
     shorter = F.least(F.size(a), F.size(b))
-    differs = F.zip_with(F.slice(a, 1, shorter), F.slice(b, 1, shorter), lambda x, y: ~(x["role"].eqNullSafe(y["role"]) & x["text"].eqNullSafe(y["text"])))
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    differs = F.zip_with(F.slice(a, 1, shorter), F.slice(b, 1, shorter), lambda x, y: (blank(x["role"]) != blank(y["role"])) | (blank(x["text"]) != blank(y["text"])))
     at = F.array_position(differs, True)
     out = pairs.withColumn("n_prompt", F.when(at > 0, at - 1).otherwise(shorter).cast("long"))
     n = F.col("n_prompt").cast("int")
