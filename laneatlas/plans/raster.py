@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from laneatlas.functions import pixels as X
 from laneatlas.operators import contours as K
+from laneatlas.operators import filters
 from laneatlas.operators import heatmap as H
 from laneatlas.operators import markings as M
 from laneatlas.operators import raster as R
@@ -129,6 +130,15 @@ def contour_features(spark, d):
     return k.select("vec_id", "part", "n_pixels", "area", F.round("perimeter", 6).alias("perimeter"), "x", "y", "w", "h", "hull_area", F.array_join(r.cast("array<string>"), ",").alias("features"))
 
 
+def _filter(kernel, **how):
+    return lambda spark, d: filters.filtered(_pixels(spark, d), "vec_id", kernel, N, N, **how)
+
+
+def moving_pixels(spark, d):
+    frames = _pixels(spark, d).select((F.col("vec_id") % 4).alias("video"), "vec_id", "r", "c", "gray")
+    return filters.foreground(frames, "video", "vec_id", N, N)
+
+
 _P = SQL["pixels"]
 _M = lambda t: f"(select vec_id, r, c from {_P} where gray > {t})"
 _O = f"(select vec_id, r, c from {_P} where gray between 100 and 185)"
@@ -197,4 +207,8 @@ l as (select vec_id, id as root, r, c from m union select l.vec_id, l.root, m.r,
 s as (select vec_id, r, c, min(root) as root from l group by 1,2,3), z as (select vec_id, root, count(*) as k from s group by 1,2)
 select vec_id, count(*) as n, max(k)::int as largest from z group by 1"""),
     "contour_features": (contour_features, None),
+    "adaptive_threshold": (_filter("adaptive_threshold", size=5, c=-10), None),
+    "bilateral": (_filter("bilateral", size=5), None),
+    "equalized": (_filter("equalized", tiles=2), None),
+    "moving_pixels": (moving_pixels, None),
 }
