@@ -62,3 +62,32 @@ def marking_masks(rgb: DataFrame, white_from: int = 180) -> DataFrame:
     out = rgb.withColumn("hsv", h).withColumn("gray", pixels.gray(F.col("red"), F.col("green"), F.col("blue")))
     p = F.col("hsv")
     return out.withColumn("is_white", pixels.white(p, white_from) & (F.col("gray") > white_from)).withColumn("is_yellow", pixels.yellow(p)).withColumn("is_road", pixels.road(p, F.col("gray")))
+
+
+#: Colours of marking types on the map, and of any other.
+COLOURS = {"lane_line": "#00ff00", "crosswalk": "#ffff00", "arrow": "#ff00ff", "stop_line": "#ff0000"}
+OTHER_COLOUR = "#ffffff"
+
+
+def styled(markings: DataFrame, kind: str = "type") -> DataFrame:
+    """markings with a colour by type and a title (words with capitals, no underscores)."""
+    look_up = F.create_map(*[F.lit(x) for kv in COLOURS.items() for x in kv])
+    title = F.initcap(F.replace(F.coalesce(F.col(kind), F.lit("unknown")), F.lit("_"), F.lit(" ")))
+    return markings.withColumn("colour", F.coalesce(F.try_element_at(look_up, F.col(kind)), F.lit(OTHER_COLOUR))).withColumn("title", title)
+
+
+def in_view(points: DataFrame, width: int, height: int, margin: int = 50, x: str = "px", y: str = "py") -> DataFrame:
+    """Points on the screen or within `margin` pixels of it."""
+    return points.where(F.col(x).between(-margin, width + margin) & F.col(y).between(-margin, height + margin))
+
+
+def demo(spark, bounds: tuple[float, float, float, float]) -> DataFrame:
+    """Invented features: three lane lines across, five crosswalk bars and a stop line, as kind, number and ring of [lon, lat]."""
+    low, high, west, east = bounds
+    at = lambda fx, fy: F.array(F.lit(west) + fx * (east - west), F.lit(low) + fy * (high - low))
+    box = lambda x, y, w, h: F.array(at(x, y), at(x + w, y), at(x + w, y + h), at(x, y + h), at(x, y))
+    n = F.col("id").cast("double")
+    lanes = spark.range(3).select(F.lit("lane_line").alias("type"), "id", F.array(at(F.lit(0.1), 0.3 + n * 0.2), at(F.lit(0.9), 0.3 + n * 0.2)).alias("ring"))
+    bars = spark.range(5).select(F.lit("crosswalk").alias("type"), "id", box(0.3 + n * 0.08, F.lit(0.45), 0.04, 0.1).alias("ring"))
+    stop = spark.range(1).select(F.lit("stop_line").alias("type"), "id", box(F.lit(0.2), F.lit(0.4), 0.6, 0.02).alias("ring"))
+    return lanes.unionByName(bars).unionByName(stop)

@@ -70,6 +70,19 @@ def feature_geojson(spark, d):
     return f.select("video_id", "id", F.array_join(ring, ",").alias("ring"), "feature.properties.area_pixels", "feature.properties.center_x", "feature.properties.center_y")
 
 
+def style_lookup(spark, d):
+    return M.styled(classify_v2(spark, d)).select("l_orderkey", "l_linenumber", "colour", "title")
+
+
+def viewport_cull(spark, d):
+    p = view(spark, d, "heat_points").select("event_id", (F.col("px") - 300).alias("px"), (F.col("py") - 200).alias("py"))
+    return M.in_view(p, 200, 150)
+
+
+def demo_features(spark, d):
+    return M.demo(spark, NYC).select("type", "id", F.size("ring").alias("n"), F.round(F.col("ring")[1][0], 6).alias("lon"), F.round(F.col("ring")[1][1], 6).alias("lat"))
+
+
 _R = SQL["regions"]
 _ASP = "(greatest(w,h)::double/greatest(least(w,h),1))"
 _ROT = "(case when w>0 and h>0 then greatest(w,h)::double/least(w,h) end)"
@@ -87,7 +100,13 @@ _LAT = f"({_S[1]}-({{y}})/480.0::double*({_S[1]}-{_S[0]}))"
 _CORNERS = [("x", "y"), ("x+w-1", "y"), ("x+w-1", "y+h-1"), ("x", "y+h-1"), ("x", "y")]
 _RING = ", ".join(_LON.format(x=x) + ", " + _LAT.format(y=y) for x, y in _CORNERS)
 
+_COLOUR = "case type " + " ".join(f"when '{k}' then '{v}'" for k, v in M.COLOURS.items()) + f" else '{M.OTHER_COLOUR}' end"
+_TITLE = "case type when 'lane_line' then 'Lane Line' when 'stop_line' then 'Stop Line' when 'crosswalk' then 'Crosswalk' end"
+
 QUERIES = {
+    "style_lookup": (style_lookup, f"select {_ID}, {_COLOUR} as colour, {_TITLE} as title from (select {_ID}, {_T2} as type from ({_V2}))"),
+    "viewport_cull": (viewport_cull, f"select event_id, px-300 as px, py-200 as py from {SQL['heat_points']} where px-300 between -50 and 250 and py-200 between -50 and 200"),
+    "demo_features": (demo_features, None),
     "marking_filter_v2": (marking_filter_v2, _V2),
     "marking_filter_v1": (marking_filter_v1, f"select * from {_R} where area>=100 and area<={IMAGE}*0.01::double and {_ROT}>=3"),
     "classify_v2": (classify_v2, f"select {_ID}, {_T2} as type, {_C2} as confidence from ({_V2})"),

@@ -127,6 +127,14 @@ def render_points(spark, d):
     return v.select("gy", "gx", F.round(radius, 6).alias("radius"), F.round(F.least(F.lit(0.8), 0.9 * F.col("v")), 6).alias("alpha"), F.round(60 * (1 - F.col("v")), 6).alias("hue"))
 
 
+def demo_heatmap(spark, d):
+    return H.demo_points(spark, NYC)
+
+
+def predicted_position(spark, d):
+    return T.predicted(view(spark, d, "tracks"))
+
+
 def rank_cells(spark, d):
     """Extension: the ten fullest cells of each camera."""
     det = view(spark, d, "detections")
@@ -173,6 +181,10 @@ QUERIES = {
     "heatmap_cells_geojson": (heatmap_cells_geojson, f"""with c as (select gy, gx, round(v,4) as intensity, {_NEG[2]}+gx*({_LONS}/{G}) as w, {_NEG[1]}-gy*({_LATS}/{G}) as n from {_V} where v >= 0.5), e as (select *, w+{_LONS}/{G} as e, n-{_LATS}/{G} as s from c)
 select gy, gx, intensity, format('{{:.7f}} {{:.7f}},{{:.7f}} {{:.7f}},{{:.7f}} {{:.7f}},{{:.7f}} {{:.7f}},{{:.7f}} {{:.7f}}', w,s,e,s,e,n,w,n,w,s) as ring from e"""),
     "render_points": (render_points, f"select gy, gx, round(28*(0.5::double+0.5::double*v),6) as radius, round(least(0.8::double,0.9::double*v),6) as alpha, round(60*(1-v),6) as hue from {_V}"),
+    "demo_heatmap": (demo_heatmap, None),
+    "predicted_position": (predicted_position, f"""with s as (select track_id, dx, dy, row_number() over (partition by track_id order by frame_idx desc)-1 as j from {_DISP} where dx is not null),
+v as (select track_id, {_EMA.format(c='dx')} as vx, {_EMA.format(c='dy')} as vy from s group by track_id), l as (select track_id, arg_max(px, frame_idx) as px, arg_max(py, frame_idx) as py from {_TR} group by track_id)
+select l.track_id, trunc(px+coalesce(vx,0))::int as px, trunc(py+coalesce(vy,0))::int as py from l left join v on l.track_id=v.track_id"""),
     "frame_sample": (frame_sample, f"select * from {_TR} where frame_idx < 3000 and frame_idx % 5 = 0"),
     "detection_filter": (detection_filter, f"select * from {_DET} where w*h between 500 and 50000 and (case when h>0 then w::double/h else 0 end) between 0.2 and 5"),
     "box_centres": (box_centres, f"select event_id, x+w//2 as cx, y+h//2 as cy, w*h as area from {_DET}"),
