@@ -115,10 +115,11 @@ def links(fps: DataFrame, distance: int = 4, parts: int = 3, small: int = 8, lar
         home = (x.view(np.uint64) >> np.uint64(shift) & np.uint64((1 << bits) - 1)).astype(np.int64) == int(pdf["key"].iloc[0])
         m = x[home]
         a, b = [], []
-        for i in range(0, len(x), 512):
-            apart = (x[i : i + 512, None] ^ m[None, :]).view(np.uint64)  # bitwise_count takes the size of signed numbers
+        step = max(1, 2_000_000 // len(m))
+        for i in range(0, len(x), step):
+            apart = (x[i : i + step, None] ^ m[None, :]).view(np.uint64)  # bitwise_count takes the size of signed numbers
             u, v = np.nonzero(np.bitwise_count(apart) <= distance)
-            u, v = forest(x[i : i + 512][u], m[v])
+            u, v = forest(x[i : i + step][u], m[v])
             a.append(u)
             b.append(v)
         a, b = forest(np.concatenate(a), np.concatenate(b))
