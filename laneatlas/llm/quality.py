@@ -109,7 +109,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_per_class: int = 2000, m
     for y in (0, 1):
         part = some.where(F.col("quality") == y).orderBy(rank, "doc_id").limit(max_per_class)
         picked = part if picked is None else picked.unionByName(part)
-    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text")  # 2 * max_per_class rows at most
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text")  # 2 * max_per_class rows at most
     texts, ys, held = [], [], 0
     for r in sorted(rows.toLocalIterator(), key=lambda r: (r["doc_id"], r["quality"])):
         held += len(r["text"] or "")
@@ -120,7 +120,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_per_class: int = 2000, m
 
 
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3, text: str = "text") -> DataFrame:
-    """docs without its text, plus score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= threshold).
+    """docs plus score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= threshold); columns of these names are replaced.
 
     Whole texts; null counts as empty; empty texts get the score of a text without evidence. One pass, no shuffle.
     """

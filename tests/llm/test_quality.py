@@ -27,7 +27,7 @@ def test_only_training_rows_are_learned_from(spark):
 
 def test_bounds(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
-    small = fit_quality(docs, labels, max_per_class=10, max_bytes=20_000)
+    small = fit_quality(docs.selectExpr("*", "5 as quality", "'x' as score"), labels, max_per_class=10, max_bytes=20_000)
     assert 0 <= small.score(["some text"])[0] <= 1
 
 
