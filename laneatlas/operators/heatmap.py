@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from laneatlas.functions import geo
@@ -36,16 +37,27 @@ def kernel_rows(grid: int, size: int) -> list[tuple[int, int, float]]:
     return [(s, t, w) for (s, t), w in sorted(acc.items())]
 
 
+def constant_table(spark: SparkSession, rows: list[tuple], **columns: pa.DataType) -> DataFrame:
+    """A small table of fixed values, handed to the JVM as one Arrow batch."""
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(columns)
+    return spark.createDataFrame(pa.table({n: pa.array(c, k) for (n, k), c in zip(columns.items(), cols, strict=True)}))
+
+
+def kernel_table(spark: SparkSession, grid: int, size: int) -> DataFrame:
+    return F.broadcast(constant_table(spark, kernel_rows(grid, size), s=pa.int32(), t=pa.int32(), k=pa.float64()))
+
+
 def by_maximum(cells: DataFrame, value: str = "v") -> DataFrame:
-    """Values over their maximum, which is one row and is broadcast; all zero stay zero."""
-    top = cells.agg(F.max(value).alias("_top"))
-    return cells.crossJoin(F.broadcast(top)).withColumn(value, F.when(F.col("_top") > 0, F.col(value) / F.col("_top")).otherwise(F.lit(0.0))).drop("_top")
+    """Values over their maximum; all zero stay zero. Cells are grid x grid rows at most, so one task holds them and the
+    counts behind them are made once."""
+    top = F.max(value).over(Window.partitionBy())
+    return cells.withColumn("_top", top).withColumn(value, F.when(F.col("_top") > 0, F.col(value) / F.col("_top")).otherwise(F.lit(0.0))).drop("_top")
 
 
 def smooth(cells: DataFrame, grid: int, size: int = 11, value: str = "v") -> DataFrame:
     """Separable Gaussian smoothing of sparse cells gy, gx, v: two joins with a kernel table of grid x size rows (broadcast)."""
     spark: SparkSession = cells.sparkSession
-    k = F.broadcast(spark.createDataFrame(kernel_rows(grid, size), "s int, t int, k double"))
+    k = kernel_table(spark, grid, size)
     out = cells.join(k, F.col("gx") == F.col("s")).groupBy("gy", F.col("t").alias("gx")).agg(F.sum(F.col(value) * F.col("k")).alias(value))
     return out.join(k, F.col("gy") == F.col("s")).groupBy(F.col("t").alias("gy"), "gx").agg(F.sum(F.col(value) * F.col("k")).alias(value))
 

@@ -5,10 +5,11 @@ Repartition by the image key once and chained operations need no further shuffle
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from laneatlas.operators.heatmap import kernel_rows
+from laneatlas.operators.heatmap import constant_table, kernel_table
 
 
 def rectangle(high: int, wide: int) -> list[tuple[int, int]]:
@@ -77,8 +78,7 @@ def near(points: DataFrame, mask: DataFrame, key: str, size: int, high: int, wid
 def blurred(pixels: DataFrame, key: str, size: int, high: int, wide: int, value: str = "v") -> DataFrame:
     """Separable Gaussian of dense images: two joins with kernel tables of a row for each cell and tap (broadcast)."""
     spark = pixels.sparkSession
-    across = F.broadcast(spark.createDataFrame(kernel_rows(wide, size), "s int, t int, k double"))
-    down = F.broadcast(spark.createDataFrame(kernel_rows(high, size), "s int, t int, k double"))
+    across, down = kernel_table(spark, wide, size), kernel_table(spark, high, size)
     out = pixels.join(across, F.col("c") == F.col("s")).groupBy(key, "r", F.col("t").alias("c")).agg(F.sum(F.col(value) * F.col("k")).alias(value))
     return out.join(down, F.col("r") == F.col("s")).groupBy(key, F.col("t").alias("r"), "c").agg(F.sum(F.col(value) * F.col("k")).alias(value))
 
@@ -94,7 +94,7 @@ def area_resampled(pixels: DataFrame, key: str, high: int, wide: int, grid: int,
                 w = min((g + 1) * n / grid, p + 1) - max(g * n / grid, p)
                 if w > 1e-12:
                     rows.append((p, g, w * grid / n))
-        return F.broadcast(spark.createDataFrame(rows, "p int, g int, w double"))
+        return F.broadcast(constant_table(spark, rows, p=pa.int32(), g=pa.int32(), w=pa.float64()))
 
     out = pixels.join(shares(high).select(F.col("p").alias("r"), F.col("g").alias("gy"), F.col("w").alias("wy")), "r")
     out = out.join(shares(wide).select(F.col("p").alias("c"), F.col("g").alias("gx"), F.col("w").alias("wx")), "c")
