@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from laneatlas.sources.adapters import SQL, table, view
+from laneatlas.sources.adapters import SQL, stream, table, view
+from laneatlas.streaming import density as D
 from laneatlas.streaming import tracker
 
 
@@ -44,7 +45,21 @@ def tracked_density(spark, d):
     return tracker.density(tracker.track(view(spark, d, "detections")), 640, 480, 50)
 
 
+def stream_density(spark, d):
+    """The grid of the heat points, counted by a stream."""
+    return D.drained(D.stream_density(stream(spark, d, "heat_points"), 640, 480, 50))
+
+
+def stream_tracks(spark, d):
+    """The tracker as a stream: positions seen so far of each live track."""
+    seen = D.drained(tracker.track_stream(stream(spark, d, "detections")), "append")
+    return seen.select("video_id", "frame_id", "track_id", "n_positions", "seen")
+
+
+_C = lambda p, s: f"least(49, greatest(0, cast(floor({p}/{s}.0::double*50) as int)))"
 QUERIES = {
+    "stream_density": (stream_density, f"select {_C('py', 480)} as gy, {_C('px', 640)} as gx, count(*) as n from {SQL['heat_points']} group by 1, 2"),
+    "stream_tracks": (stream_tracks, None),
     "tumbling_counts": (tumbling_counts, "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n from events group by 1,2"),
     "sliding_counts": (sliding_counts, "select strftime(date_trunc('hour', ts) - to_hours(k), '%Y-%m-%d %H:%M:%S') as start, count(*) as n from events, (values (0),(1)) v(k) group by 1"),
     "session_counts": (session_counts, """with a as (select user_id, ts, case when ts < lag(ts) over w + interval 30 minute then 0 else 1 end as f from events window w as (partition by user_id order by ts)),

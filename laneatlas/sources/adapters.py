@@ -53,3 +53,10 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.slice(F.col("embedding").cast("array<double>"), 1, 9).alias("f"))
     source, expressions = _EXPRESSIONS[name]
     return table(spark, sf_dir, source).selectExpr(*expressions)
+
+
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A view over the files of its table as a stream (views made of expressions only)."""
+    source, expressions = _EXPRESSIONS[name]
+    rows = spark.readStream.schema(table(spark, sf_dir, source).schema).parquet(f"{sf_dir}/{source}*.parquet")
+    return rows.selectExpr(*expressions)

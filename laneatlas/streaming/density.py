@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,3 +26,13 @@ def sessions(events: DataFrame, gap: str, late: str = "10 minutes", key: str = "
     """Extension: counts of sessions of a key."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return timed.groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), "n")
+
+
+def drained(stream: DataFrame, mode: str = "complete", seconds: int = 600) -> DataFrame:
+    """What a stream gives once all that is there now has been read, by a memory sink; for grids and other bounded results."""
+    name = f"drained_{uuid.uuid4().hex}"
+    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    if not query.awaitTermination(seconds):
+        query.stop()
+        raise TimeoutError(f"stream not drained in {seconds} s")
+    return stream.sparkSession.table(name)

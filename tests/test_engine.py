@@ -114,3 +114,18 @@ def test_model_round_trip(spark, tmp_path):
     files.save_model(model, str(tmp_path / "m"))
     again = files.load_model(str(tmp_path / "m")).transform(ready).select("vec_id", "prediction")
     assert again.exceptAll(model.transform(ready).select("vec_id", "prediction")).count() == 0
+
+
+def test_progress(spark):
+    from laneatlas.sources.adapters import stream
+    from laneatlas.streaming.progress import Progress
+
+    told = []
+    listener = Progress(lambda rows, share: told.append((rows, share)), expected=1000)
+    spark.streams.addListener(listener)
+    try:
+        density.drained(density.stream_density(stream(spark, SF, "heat_points"), 640, 480))
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(20_000)
+    finally:
+        spark.streams.removeListener(listener)
+    assert told and told[-1][1] <= 1.0
