@@ -23,13 +23,13 @@ import numpy as np
 
 MAGIC = b"LAT1"
 HEAD = struct.Struct("<4sBIIQII")
-BLOCK = 4096
-#: Lanes at most that advance together; bounds the memory of the models (some 80 MB).
-LANES = 2048
+BLOCK = 2048
+#: Lanes at most that advance together; bounds the memory of the models (some 100 MB).
+LANES = 4096
 NO_ID = -(1 << 63)
 
 _H1, _H2 = 1 << 10, 1 << 11
-_CONTEXTS = 1 << 9
+_CONTEXTS = 1 << 7
 _RATE = 4
 _MIX = np.array([[i if i <= s else (1 << 15) - 16 + i for i in range(16)] for s in range(16)], np.int16)
 _FLAT = np.arange(0, 1 << 15, 1 << 11).astype(np.int16)
