@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from laneatlas.llm import common, exact, mixing, packing, quality, simhash
+from laneatlas.llm import common, exact, mixing, packing, quality, similar
 
 #: Columns of documents.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,9 +22,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (op 5), on shingles of five words; fingerprints within 4 of 64 bits, the likeness of
-    shingle counts that makes this probable being far above 0.8."""
-    return simhash.drop_near_duplicates(docs, words=5).select(COLUMNS)
+    """One document of each component of near copies, on shingles of five words: all pairs with a Jaccard similarity of 0.8 or more are linked.
+    SimHashes of 64 bits (op 5) differ in some 10 bits there, too many for an index; bands of MinHash name the candidates instead."""
+    return similar.drop_similar(docs, words=5, least=0.8).select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
