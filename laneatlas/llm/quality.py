@@ -72,8 +72,11 @@ class QualityModel:
         self.good, self.bad, self.weights = good, bad, weights
 
     @classmethod
-    def fit(cls, texts: list[str], labels: list[int], size: int = 112_640) -> QualityModel:
-        """Even rows of each class build the dictionaries, odd rows the calibration. With one class missing, scores are its share."""
+    def fit(cls, texts: list[str], labels: list[int], size: int = 112_640, totals: tuple[int, int] | None = None) -> QualityModel:
+        """Even rows of each class build the dictionaries, odd rows the calibration. With one class missing, scores are its share.
+
+        totals: rows of label 0 and 1 that texts are a sample of; the intercept is moved from the sample's class ratio to theirs.
+        """
         good = [t or "" for t, y in zip(texts, labels, strict=True) if y == 1]
         bad = [t or "" for t, y in zip(texts, labels, strict=True) if y == 0]
         if not good or not bad:
@@ -83,7 +86,10 @@ class QualityModel:
         model = cls(build_dictionary(good[::2], size), build_dictionary(bad[::2], size), np.zeros(FEATURES))
         rest = [(t, 1) for t in good[1::2] or good] + [(t, 0) for t in bad[1::2] or bad]
         x = model._features([t for t, _ in rest])
-        model.weights = fit_logistic(x, np.array([y for _, y in rest], float))
+        ys = np.array([y for _, y in rest], float)
+        model.weights = fit_logistic(x, ys)
+        if totals and min(totals) > 0:
+            model.weights[0] += np.log(totals[1] / totals[0]) - np.log(ys.sum() / (len(ys) - ys.sum()))
         return model
 
     def _features(self, texts) -> np.ndarray:
@@ -102,9 +108,11 @@ def remainder(doc_id: str = "doc_id"):
 
 def fit_quality(docs: DataFrame, labels: DataFrame, max_per_class: int = 2000, max_bytes: int = 50_000_000) -> QualityModel:
     """Learn from labelled rows of remainder 1 to 4 only: of each class the max_per_class rows with the smallest seeded hash of
-    doc_id, whole texts, at most max_bytes in all (the bound of what the driver holds; later rows are left out beyond it)."""
+    doc_id, whole texts, at most max_bytes in all (the bound of what the driver holds; later rows are left out beyond it). Both classes
+    are counted over all training labels, so the bounds do not move the class ratio that scores are calibrated to."""
     rank = F.xxhash64(F.lit(11), "doc_id")
     some = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (remainder() != 0)).select("doc_id", "quality").distinct()
+    counts = {int(r["quality"]): r["n"] for r in some.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     picked = None
     for y in (0, 1):
         part = some.where(F.col("quality") == y).orderBy(rank, "doc_id").limit(max_per_class)
@@ -116,7 +124,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_per_class: int = 2000, m
         if held <= max_bytes:
             texts.append(r["text"])
             ys.append(int(r["quality"]))
-    return QualityModel.fit(texts, ys)
+    return QualityModel.fit(texts, ys, totals=(counts.get(0, 0), counts.get(1, 0)))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3, text: str = "text") -> DataFrame:

@@ -40,3 +40,12 @@ def test_edges(spark, edges):
     assert score_quality(df.limit(0), model).count() == 0
     empty = fit_quality(df.limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert empty.score(["x"])[0] > 0.3
+
+
+def test_class_ratio_does_not_depend_on_the_cap(spark):
+    ids = [i for i in range(900) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(i, "the same plain words in every text " * 20) for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(k % 7 > 0), 0) for k, i in enumerate(ids)], "doc_id long, quality int, toxic int")
+    share = np.mean([k % 7 > 0 for k in range(len(ids))])
+    for cap in (2000, 40):  # texts without evidence score the share of label 1
+        assert abs(fit_quality(docs, labels, max_per_class=cap).score(["the same plain words in every text " * 20])[0] - share) < 0.02
