@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from laneatlas.session import ship
 
@@ -106,9 +108,35 @@ def remainder(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 5
 
 
+def choose(held: list[tuple], max_bytes: int) -> list[tuple]:
+    """Of (label, rank, rows, bytes) those that max_bytes pays for, as (label, rank, cut): by rank, the classes in turn; what does not fit
+    is skipped. cut is -1 for whole texts. A class of which nothing fits has its shortest text, cut to so many characters."""
+    turns: dict[int, list] = {0: [], 1: []}
+    for h in sorted(held, key=lambda h: h[1]):
+        turns[h[0]].append(h)
+    out, left = [], max_bytes
+    for y, own in turns.items():
+        if own and min(h[3] for h in own) > max_bytes // 2:  # half of it is the other class's
+            least = min(own, key=lambda h: (h[3], h[1]))
+            out.append((y, least[1], max(1, max_bytes // (8 * least[2]))))  # a character has 4 bytes at most
+            left -= max_bytes // 2
+            turns[y] = []
+        elif own:
+            first = next(h for h in own if h[3] <= max_bytes // 2)
+            out.append((y, first[1], -1))
+            left -= first[3]
+            own.remove(first)
+    for pair in zip_longest(turns[0], turns[1]):
+        for h in pair:
+            if h and h[3] <= left:
+                out.append((h[0], h[1], -1))
+                left -= h[3]
+    return out
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, max_per_class: int = 2000, max_bytes: int = 50_000_000) -> QualityModel:
     """Learn from labelled rows of remainder 1 to 4 only: of each class the max_per_class rows with the smallest seeded hash of
-    doc_id, whole texts, at most max_bytes in all (the bound of what the driver holds; later rows are left out beyond it). Both classes
+    doc_id, whole texts, at most max_bytes in all (the bound of what the driver holds), given out by choose() before texts are fetched. Both classes
     are counted over all training labels, so the bounds do not move the class ratio that scores are calibrated to."""
     rank = F.xxhash64(F.lit(11), "doc_id")
     some = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (remainder() != 0)).select("doc_id", "quality").distinct()
@@ -117,13 +145,19 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_per_class: int = 2000, m
     for y in (0, 1):
         part = some.where(F.col("quality") == y).orderBy(rank, "doc_id").limit(max_per_class)
         picked = part if picked is None else picked.unionByName(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text")  # 2 * max_per_class rows at most
-    texts, ys, held = [], [], 0
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text")  # 2 * max_per_class ids at most
+    held = rows.groupBy("doc_id", "quality").agg(F.count("*").alias("n"), F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("size"), F.first(rank).alias("rank")).collect()
+    chosen = choose([(int(r["quality"]), (r["rank"], r["doc_id"]), r["n"], r["size"]) for r in held], max_bytes)
+    if not chosen:
+        return QualityModel.fit([], [])
+    kinds = T.StructType([docs.schema["doc_id"], T.StructField("quality", T.IntegerType()), T.StructField("cut", T.IntegerType())])
+    take = docs.sparkSession.createDataFrame([(key[1], y, cut) for y, key, cut in chosen], kinds)
+    rows = rows.withColumn("quality", F.col("quality").cast("int")).join(F.broadcast(take), ["doc_id", "quality"])
+    rows = rows.select("doc_id", "quality", F.when(F.col("cut") < 0, F.col("text")).otherwise(F.substring("text", F.lit(1), F.col("cut"))).alias("text"))
+    texts, ys = [], []
     for r in sorted(rows.toLocalIterator(), key=lambda r: (r["doc_id"], r["quality"])):
-        held += len(r["text"] or "")
-        if held <= max_bytes:
-            texts.append(r["text"])
-            ys.append(int(r["quality"]))
+        texts.append(r["text"])
+        ys.append(int(r["quality"]))
     return QualityModel.fit(texts, ys, totals=(counts.get(0, 0), counts.get(1, 0)))
 
 

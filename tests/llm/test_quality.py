@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 
-from laneatlas.llm.quality import QualityModel, fit_quality, remainder, score_quality
+from laneatlas.llm.quality import QualityModel, choose, fit_quality, remainder, score_quality
 
 SF = "/root/testdata/sf0.01"
 
@@ -49,3 +49,25 @@ def test_class_ratio_does_not_depend_on_the_cap(spark):
     share = np.mean([k % 7 > 0 for k in range(len(ids))])
     for cap in (2000, 40):  # texts without evidence score the share of label 1
         assert abs(fit_quality(docs, labels, max_per_class=cap).score(["the same plain words in every text " * 20])[0] - share) < 0.02
+
+
+def test_bytes_are_given_out_by_rank_and_class():
+    r = np.random.default_rng(1)
+    held = [(int(k % 3 > 0), (int(r.integers(1 << 40)), k), 1, int(r.integers(1, 200))) for k in range(300)] + [(1, (-1, 300), 1, 10**6)]
+    got = choose(held, 5000)
+    size = {h[1]: h[3] for h in held}
+    assert sum(size[k] for _, k, _ in got) <= 5000 and all(cut == -1 for *_, cut in got)
+    n = [sum(y == c for y, *_ in got) for c in (0, 1)]
+    assert abs(n[0] - n[1]) <= 8 and sum(n) > 40
+    assert choose([(0, (1, 1), 1, 10), (1, (2, 2), 2, 10**6)], 800) == [(0, (1, 1), -1), (1, (2, 2), 50)]
+
+
+def test_one_huge_text_does_not_end_the_sample(spark):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    text = lambda k: ("calm clear words about rivers " if k % 2 else "BUY!!! $$$ win NOW ") * 8
+    docs = spark.createDataFrame([(i, "x" * 300_000 if k == 0 else text(k)) for k, i in enumerate(ids)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k % 2, 0) for k, i in enumerate(ids)], "doc_id long, quality int, toxic int")
+    good, bad = fit_quality(docs, labels, max_bytes=100_000).score([text(1), text(2)])
+    assert good > 0.5 > bad
+    huge = fit_quality(docs.selectExpr("doc_id", "repeat(text, 1000) as text"), labels, max_bytes=1000)
+    assert len(set(huge.score([text(1), text(2)]))) == 2
