@@ -41,12 +41,12 @@ def prediction_accuracy(spark, d):
 
 def train_rf_predict(spark, d):
     p = L.prepared(_features(spark, d))
-    return L.train_forest(p, trees=20, depth=8).transform(p).select("vec_id", "label", F.col("prediction").cast("int").alias("prediction"))
+    return L.train_forest(p).transform(p).select("vec_id", "label", F.col("prediction").cast("int").alias("prediction"))
 
 
 def feature_importance(spark, d):
     p = L.prepared(_features(spark, d))
-    ranked = L.importances(L.train_forest(p, trees=20, depth=8).stages[-1])
+    ranked = L.importances(L.train_forest(p).stages[-1])
     return spark.createDataFrame([(n, float(v)) for n, v in ranked], "feature string, importance double")
 
 

@@ -129,3 +129,22 @@ def test_progress(spark):
     finally:
         spark.streams.removeListener(listener)
     assert told and told[-1][1] <= 1.0
+
+
+def test_queries_train_the_whole_forest(spark, monkeypatch):
+    from laneatlas.plans import learning as plans
+
+    class Stop(Exception):
+        pass
+
+    asked = []
+
+    def fit(self, samples):
+        asked.append((self.getStages()[0].getNumTrees(), self.getStages()[0].getMaxDepth()))
+        raise Stop
+
+    monkeypatch.setattr(learning.Pipeline, "fit", fit)
+    for query in (plans.train_rf_predict, plans.feature_importance):
+        with pytest.raises(Stop):
+            query(spark, SF)
+    assert asked == [(200, 15)] * 2
