@@ -10,10 +10,16 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Arrow batches stand in the JVM and in each Python worker; texts and images fill Spark's default size.
+_BATCH, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the Python workers of this application, once; they need no installation of it."""
+    """Send the package to the Python workers of this application, once; they need no installation of it.
+
+    Arrow batches are held to 8 MB, unless the session says otherwise."""
+    if spark.conf.get(_BATCH, None) == _DEFAULT:
+        spark.conf.set(_BATCH, "8m")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
