@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
+_work: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh path in the folder of spark.checkpoint.dir, which driver and executors share.
 
@@ -24,7 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="laneatlas-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/laneatlas-{uuid.uuid4().hex}"
+    _work.append(f"{base.rstrip('/')}/laneatlas-{uuid.uuid4().hex}")
+    return _work[-1]
 
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -37,10 +41,17 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a work table that no later step reads."""
+    if path in _work:
+        _work.remove(path)
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def work_tables() -> list[str]:
+    """The work tables of this process that are still there."""
+    return list(_work)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -17,6 +17,8 @@ _LETTERS = "a-z\xdf-\xf6\xf8-\xff"
 _PLAIN = re.compile(r"[\n\x20-\x7e\xa1-\xff]*\Z")
 _MARK_BEHIND_SIGN = re.compile(rf"[.,!](?<=[^{_LETTERS}0-9\s!][.,!])|!(?:[.,]|!!)|<\|")
 _WORD = re.compile(rf"[{_LETTERS}]+\Z")
+#: Longer words are not kept.
+LONG = 64
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -30,11 +32,11 @@ class WordTokenizer:
     """Encodes word by word, each new word once, where that is exact: for the word-wise BPE with NFC, white space and lower-case
     normalisation whose tokens never span a space or newline. Whole texts go to the library for any other tokenizer.
 
-    Words of lower-case Latin letters, which that normalisation leaves alone, skip it. The cache holds max_words
-    (some 200 bytes each) at most, then starts anew.
+    Words of lower-case Latin letters, which that normalisation leaves alone, skip it. The cache has two generations of max_words
+    words each, of LONG characters at most, so some 50 MB; a full one becomes the old one, and words that come again move up.
     """
 
-    def __init__(self, path: str, end_id: int | None = 1, max_words: int = 800_000) -> None:
+    def __init__(self, path: str, end_id: int | None = 1, max_words: int = 100_000) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.max_words = Tokenizer.from_file(path), max_words
@@ -47,6 +49,7 @@ class WordTokenizer:
         self.bare.normalizer = None
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @staticmethod
     def _words(text: str) -> list[str]:
@@ -68,13 +71,20 @@ class WordTokenizer:
             return [_bytes(e.ids) + self.end for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         parts = [self._words(t) for t in texts]
         if len(self.known) > self.max_words:
-            self.known = {}
+            self.old, self.known = self.known, {}
         new = set(chain.from_iterable(parts)).difference(self.known)
+        again = new.intersection(self.old)
+        self.known.update((w, self.old[w]) for w in again)
+        new -= again
         plain = {w for w in new if _WORD.match(w)}
         self._learn(list(plain), self.bare)
         self._learn(list(new - plain), self.tokenizer)
         get = self.known.__getitem__
-        return [b"".join(map(get, p)) + self.end for p in parts]
+        out = [b"".join(map(get, p)) + self.end for p in parts]
+        for w in new:
+            if len(w) > LONG:
+                del self.known[w]
+        return out
 
 
 _made: dict[tuple, WordTokenizer] = {}
@@ -92,7 +102,7 @@ def tokenizer(path: str | None = None, **how) -> WordTokenizer:
     return _made[key]
 
 
-def slices(texts, most: int = 2_000_000):
+def slices(texts, most: int = 500_000):
     """(from, to) of consecutive rows with about `most` characters together."""
     at = held = 0
     for i, t in enumerate(texts):
