@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -13,19 +14,19 @@ from pyspark.sql import functions as F
 
 from laneatlas.session import ship
 
+from . import buckets
 from .common import partitions, written
-from .components import components
+from .components import components, local_forests
 from .suffix import ordered_keys
 from .tokens import slices
 
 _C = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of an outline; buckets of at most SMALL lines are compared together; lines of a bucket that meet in one task.
+BITS, SMALL, BLOCK = 1024, 48, 1000
 
 
-def signatures(lines: list[str], shingle: int, functions: int, seed: int = 1) -> np.ndarray:
-    """MinHash values (lines x functions) of lines of at least `shingle` characters, over their distinct shingles."""
-    rng = np.random.default_rng(seed)
-    factor = (rng.integers(1, 1 << 31, functions) * 2 + 1).astype(np.uint32)
-    shift = rng.integers(0, 1 << 32, functions, dtype=np.uint32)
+def _shingle_hashes(lines: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all shingles, line after line, and how many each line (of at least `shingle` characters) has."""
     size = np.array([len(x) for x in lines], np.int64)
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     h = np.zeros(max(0, len(points) - shingle + 1), np.uint64)
@@ -34,11 +35,19 @@ def signatures(lines: list[str], shingle: int, functions: int, seed: int = 1) ->
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     begin = np.cumsum(size) - size
-    n = size - shingle + 1
     own = np.ones(len(h) + shingle, bool)
     for k in range(1, shingle):  # shingles that would reach into the next line
         own[begin + size - k] = False
-    g = (h >> np.uint64(32)).astype(np.uint32)[own[: len(h)]]
+    return h[own[: len(h)]], size - shingle + 1
+
+
+def signatures(lines: list[str], shingle: int, functions: int, seed: int = 1) -> np.ndarray:
+    """MinHash values (lines x functions) of lines of at least `shingle` characters, over their distinct shingles."""
+    rng = np.random.default_rng(seed)
+    factor = (rng.integers(1, 1 << 31, functions) * 2 + 1).astype(np.uint32)
+    shift = rng.integers(0, 1 << 32, functions, dtype=np.uint32)
+    h, n = _shingle_hashes(lines, shingle)
+    g = (h >> np.uint64(32)).astype(np.uint32)
     first = np.cumsum(n) - n
     out = np.empty((functions, len(lines)), np.uint32)
     for k in range(functions):
@@ -59,40 +68,104 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return key
 
 
-def linked(lines: list[str], shingle: int, least: float) -> list[tuple[int, int]]:
-    """Links (i, j) that give the components of all pairs whose shingle sets have a Jaccard similarity of at least `least`.
+def outlines(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """lines x 16 words: BITS bits in which each shingle of a line sets one."""
+    bits = np.zeros((len(n), BITS), bool)
+    bits.reshape(-1)[np.repeat(np.arange(len(n)) * BITS, n) + (h >> np.uint64(54)).astype(np.int64)] = True
+    return np.packbits(bits, axis=1).view(np.uint64)
 
-    Each line is compared with the members of each component so far until one is similar; so pairs in one component are not repeated.
+
+def alike(x: str, y: str, a: np.ndarray, b: np.ndarray, shingle: int, least: float) -> bool:
+    """Whether two lines' shingle sets (a, b: their hashes, each once) have a Jaccard similarity of at least `least`; where a clash of
+    two hashes could decide it, the shingles themselves do."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)) - 2:
+        return False
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")  # two ascending runs: a merge
+    m = int(np.count_nonzero(both[1:] == both[:-1]))
+    over = m - least * (len(both) - m)
+    if abs(over) >= 4:
+        return over > 0
+    s, t = ({x[k : k + shingle] for k in range(len(x) - shingle + 1)} or {x} for x in (x, y))
+    m = len(s & t)
+    return m >= least * (len(s) + len(t) - m)
+
+
+def linked(lines: list[str], shingle: int, least: float, bucket: list | None = None, label: list | None = None) -> list[tuple[int, int]]:
+    """Links (i, j) that join all pairs of a bucket whose shingle sets have a Jaccard similarity of at least `least`, and no others;
+    lines that are joined already, or have one label, are not compared again.
+
+    Sets that differ in d shingles differ in d bits of their outlines at most, and similar ones in few shingles, so most pairs are told apart
+    by counting bits; the others are settled on their shingles. bucket: ascending runs of equal names (default: one bucket).
     """
-    sets = [{x[i : i + shingle] for i in range(len(x) - shingle + 1)} or {x} for x in lines]
-    groups: list[list[int]] = []
+    n = len(lines)
+    if n < 2:
+        return []
+    h, size = _shingle_hashes([x.ljust(shingle, "\0") for x in lines], shingle)
+    words, first = outlines(h, size), np.cumsum(size) - size
+    sets: dict[int, np.ndarray] = {}
+
+    def own(i: int) -> np.ndarray:
+        if i not in sets:
+            x = np.sort(h[first[i] : first[i] + size[i]])
+            sets[i] = x[np.append(True, x[1:] != x[:-1])]
+        return sets[i]
+
+    apart = (1 - least) / (1 + least)
+    root: dict = {}
+
+    def find(x):
+        while root.get(x, x) != x:
+            root[x] = x = root.get(root[x], root[x])
+        return x
+
+    name = [(b, k) for b, k in zip(bucket or [0] * n, label or range(n), strict=True)]
+    heads = [k for k in range(n) if not k or (bucket and bucket[k] != bucket[k - 1])]
     out = []
-    for i in sorted(range(len(sets)), key=lambda i: len(sets[i])):
-        s, mine = sets[i], None
-        rest = []
-        for group in groups:
-            for j in group:
-                t = sets[j]
-                if len(t) >= least * len(s) and len(s & t) >= least * len(s | t):
-                    out.append((j, i))
-                    if mine is None:
-                        mine = group
-                        rest.append(group)
-                    else:
-                        mine.extend(group)
-                    break
-            else:
-                rest.append(group)
-        if mine is None:
-            rest.append([i])
-        else:
-            mine.append(i)
-        groups = rest
+
+    def settle(pairs) -> None:
+        for i, j in pairs:
+            a, b = find(name[i]), find(name[j])
+            if a != b and alike(lines[i], lines[j], own(i), own(j), shingle, least):
+                out.append((i, j))
+                root[b] = a
+
+    def near(i, j) -> np.ndarray:
+        """Which pairs may be similar; sizes count repeated shingles, so the bound is never too low."""
+        return np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int64) <= apart * (size[i] + size[j])
+
+    few = []
+    for a, b in zip(heads, [*heads[1:], n], strict=True):
+        if b - a <= SMALL:
+            few.append(_triangle(b - a) + a)
+            continue
+        for k in range(a + 1, b):
+            for at in range(k - 1, a - 1, -256):
+                mine = find(name[k])
+                part = np.array([x for x in range(at, max(a - 1, at - 256), -1) if find(name[x]) != mine], np.int64)
+                if len(part):
+                    settle((x, k) for x in part[near(part, k)].tolist())
+    if few:
+        i, j = np.concatenate(few, axis=1)
+        for at in range(0, len(i), 20_000):
+            p, q = i[at : at + 20_000], j[at : at + 20_000]
+            ok = near(p, q)
+            settle(zip(p[ok].tolist(), q[ok].tolist(), strict=True))
     return out
 
 
-def _hash(line: str) -> int:
-    return xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 7) - (1 << 63)
+@functools.cache
+def _triangle(n: int) -> np.ndarray:
+    return np.stack(np.triu_indices(n, 1))
+
+
+def _hash(line: str, seed: int = 7) -> int:
+    return xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), seed) - (1 << 63)
+
+
+def _check(line: str) -> int:
+    """A second, unrelated hash and the length, for lines whose hashes agree."""
+    return (xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"), 11) >> 1) ^ len(line)
 
 
 def _lines(text: str | None) -> list[tuple[int, str]]:
@@ -137,7 +210,7 @@ def line_links(texts: DataFrame, heads: DataFrame, shingle: int, rows: int, band
             yield dealt()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Distinct lines of each bucket that has several, named by a hash of the bucket's members."""
+        """Distinct lines of each bucket that has several, named by a hash of the bucket's members, in blocks (see buckets.py)."""
         raw = [x for batch in batches for x in batch.column(1).to_pylist()]
         if not raw:
             return
@@ -154,44 +227,64 @@ def line_links(texts: DataFrame, heads: DataFrame, shingle: int, rows: int, band
             return
         mixed = (e["h"].view(np.uint64) ^ e["h"].view(np.uint64) >> np.uint64(31)) * _C
         name = np.add.reduceat(mixed ^ mixed >> np.uint64(29), np.flatnonzero(np.append(True, which[1:] != which[:-1])))
-        yield pa.RecordBatch.from_arrays([pa.array(name[which].view(np.int64)), pa.array(np.ascontiguousarray(e["h"]))], names=["bucket", "h"])
+        size = size[size > 1]
+        nth = np.arange(len(e)) - np.repeat(np.cumsum(size) - size, size)
+        first = np.flatnonzero((nth > 0) & (nth % BLOCK == 0))  # the smallest member stands in each further block too
+        lead = first - nth[first]
+        h, i = np.append(e["h"], e["h"][lead]), np.append(nth // BLOCK, nth[first] // BLOCK).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(name[np.append(which, which[lead])].view(np.int64)), pa.array(i), pa.array(h)], names=["bucket", "i", "h"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for i in range(batch.num_rows):
-                lines = (batch.column(2)[i].as_py() or "").split("\n")
-                for w in batch.column(3)[i].as_py():
-                    out.append((w["bucket"], w["h"], lines[w["no"]]))
+                lines = (batch.column(1)[i].as_py() or "").split("\n")
+                for w in batch.column(2)[i].as_py():
+                    out.append((w["bucket"], w["i"], w["j"], w["h"], w["label"], lines[w["no"]]))
             if out:
-                b, h, x = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(h, pa.int64()), pa.array(x, pa.string())], names=["bucket", "h", "line"])
+                *keys, x = zip(*out, strict=True)
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(keys, kinds, strict=True)), pa.array(x, pa.string())], names=["bucket", "i", "j", "h", "label", "line"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, out = None, [], []
+        names, h, label, held, size = [], [], [], [], 0
 
-        def settle() -> None:
-            out.extend((held[i][0], held[j][0]) for i, j in linked([x for _, x in held], shingle, least))
+        def settle() -> pa.RecordBatch:
+            found = linked(held, shingle, least, names, label)
+            return pa.RecordBatch.from_arrays([pa.array([h[x[k]] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for bucket, h, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if bucket != now:
-                    settle()
-                    now, held = bucket, []
-                held.append((h, line))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
-                out.clear()
-        settle()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+            for bucket, i, j, one, mark, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                name = (bucket, i, j)
+                if (len(held) >= 4096 or size > 1_000_000) and name != names[-1]:
+                    yield settle()
+                    names, h, label, held, size = [], [], [], [], 0
+                names.append(name)
+                h.append(one)
+                label.append(mark)
+                held.append(line)
+                size += len(line)
+        if held:
+            yield settle()
+
+    def compared(members: DataFrame) -> DataFrame:
+        """Links among members (bucket, i, j, h, label) of one (bucket, i, j)."""
+        wanted = members.join(heads, "h").groupBy("key").agg(F.collect_list(F.struct("bucket", "i", "j", "h", "label", "no")).alias("wanted"))
+        cut = texts.select("key", "text").join(wanted.hint("shuffle_hash"), "key").select("key", "text", "wanted")
+        dealt = cut.mapInArrow(fetch, "bucket long, i int, j int, h long, label long, line string")
+        return dealt.repartition(F.col("bucket"), F.col("i"), F.col("j")).sortWithinPartitions("bucket", "i", "j", "h").mapInArrow(verify, "a long, b long")
 
     blobs = texts.select("text").mapInArrow(sketch, "p int, entries binary").repartitionById(parts, F.col("p"))
-    buckets = written(blobs.mapInArrow(gather, "bucket long, h long").distinct())
-    wanted = buckets.join(heads, "h").groupBy("key").agg(F.collect_list(F.struct("bucket", "h", "no")).alias("wanted"))
-    cut = texts.select("key", "doc_id", "text").join(wanted.hint("shuffle_hash"), "key").select("key", "doc_id", "text", "wanted")
-    dealt = cut.mapInArrow(fetch, "bucket long, h long, line string").repartition(F.col("bucket")).sortWithinPartitions("bucket", "h")
-    return dealt.mapInArrow(verify, "a long, b long")
+    found = written(blobs.mapInArrow(gather, "bucket long, i int, h long").distinct())
+    links = compared(found.withColumn("j", F.col("i")).withColumn("label", F.col("h")))
+    large = found.where("i > 0").select("bucket").distinct()
+    if not large.limit(1).count():
+        return links
+    links = written(local_forests(links))
+    roots = components(links)
+    members = found.join(large, "bucket").select("bucket", "h").distinct()
+    marked = members.join(roots, members["h"] == roots["node"], "left").select("bucket", "h", F.coalesce("root", "h").alias("label"))
+    return links.unionByName(compared(buckets.rests(written(marked), ["bucket"], "h", "label", BLOCK)))
 
 
 def dedup_lines(docs: DataFrame, shingle: int = 7, rows: int = 4, bands: int = 12, least: float = 0.8, seed: int = 1, text: str = "text", doc_id: str = "doc_id", with_text: bool = False) -> DataFrame:
@@ -202,7 +295,8 @@ def dedup_lines(docs: DataFrame, shingle: int = 7, rows: int = 4, bands: int = 1
     doc_id, null last, then the first line). Blank lines always stay. Null texts are empty; repeated rows are ordered by text;
     an empty table gives an empty result.
     Candidates share a band of `rows` of rows * bands minima: at 0.8 a pair is found with 99.8 % (1 - (1 - 0.8^4)^12), at 0.9 with
-    99.999 %, and every candidate pair is verified on its shingles. Equal lines are one line before any comparison, and so are equal buckets.
+    99.999 %, and every candidate pair is verified on its shingles. Equal lines are one line before any comparison, and so are equal buckets;
+    lines count as equal if two unrelated 64-bit hashes and their lengths agree. Buckets of any size are compared in blocks of BLOCK lines.
     """
     ship(docs.sparkSession)
     texts = ordered_keys(docs, text, doc_id)
@@ -218,19 +312,20 @@ def dedup_lines(docs: DataFrame, shingle: int = 7, rows: int = 4, bands: int = 1
                     for i, x in _lines(t):
                         if first.setdefault(x, (k, i)) != (k, i):
                             gone.append((k, i))
-                h = [_hash(x) for x in first] + [None] * len(gone)
+                h, checks = [_hash(x) for x in first] + [None] * len(gone), [_check(x) for x in first] + [None] * len(gone)
                 at = [*first.values(), *gone]
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array([a for a, _ in at], pa.int64()), pa.array([b for _, b in at], pa.int32())], names=["h", "key", "no"])
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(checks, pa.int64()), pa.array([a for a, _ in at], pa.int64()), pa.array([b for _, b in at], pa.int32())], names=["h", "check", "key", "no"])
 
-    found = written(texts.select("key", "text").mapInArrow(scan, "h long, key long, no int"))
+    found = written(texts.select("key", "text").mapInArrow(scan, "h long, check long, key long, no int"))
     lines = found.where("h is not null")
-    heads = written(lines.groupBy("h").agg(F.min(F.struct("key", "no")).alias("at"), F.count("*").alias("n")).select("h", "at.key", "at.no", "n"))
+    # of lines with one hash and different checks only those of the smallest check are looked at: the others stay
+    heads = written(lines.groupBy("h").agg(F.min(F.struct("check", "key", "no")).alias("at"), F.count("*").alias("n")).select("h", "at.check", "at.key", "at.no", "n"))
     roots = components(line_links(texts, heads.select("h", "key", "no"), shingle, rows, bands, least, seed))
     joined = roots.join(heads, roots["node"] == heads["h"])
     keeper = joined.groupBy("root").agg(F.min(F.struct("key", "no")).alias("keep"))
-    fuzzy = joined.select("h", "root").join(keeper, "root").select("h", "keep")
-    exact = heads.where("n > 1").join(roots, F.col("h") == F.col("node"), "left_anti").select("h", F.struct("key", "no").alias("keep"))
-    gone = lines.join(fuzzy.unionByName(exact), "h").where("key <> keep.key or no <> keep.no").select("key", "no").unionByName(found.where("h is null").select("key", "no"))
+    fuzzy = joined.select("h", "check", "root").join(keeper, "root").select("h", "check", "keep")
+    exact = heads.where("n > 1").join(roots, F.col("h") == F.col("node"), "left_anti").select("h", "check", F.struct("key", "no").alias("keep"))
+    gone = lines.join(fuzzy.unionByName(exact), ["h", "check"]).where("key <> keep.key or no <> keep.no").select("key", "no").unionByName(found.where("h is null").select("key", "no"))
     gone = gone.groupBy("key").agg(F.collect_set("no").alias("gone"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

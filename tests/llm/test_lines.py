@@ -82,3 +82,32 @@ def test_signatures_are_minima_of_the_line_alone():
     one = signatures(["the first line here"], Q, 8)
     both = signatures(["some other line", "the first line here", "a third one, longer"], Q, 8)
     assert (both[1] == one[0]).all()
+
+
+def test_blocks_of_large_buckets_lose_no_pair(spark, monkeypatch):
+    import random
+
+    from laneatlas.llm import lines
+
+    monkeypatch.setattr(lines, "BLOCK", 3)
+    r = random.Random(4)
+    stem = "".join(r.choice("abcdefgh ") for _ in range(90))
+    docs = {k: stem[: 80 + k % 9] + "".join(r.choice("xyz") for _ in range(k % 14)) + "\n" + "".join(r.choice("abc ") for _ in range(30)) for k in range(60)}
+    _same(spark, docs)
+
+
+def test_one_hash_for_different_lines(spark, monkeypatch):
+    """Lines under one hash are equal only if their checks agree."""
+    from laneatlas.llm import lines
+
+    monkeypatch.setattr(lines, "_hash", lambda x, seed=7: 5)
+    texts = ["first line of all", "second line of all, longer", "first line of all"]
+    first = {}
+    for k, t in enumerate(texts):
+        first.setdefault((lines._hash(t), lines._check(t)), k)
+    assert sorted(first.values()) == [0, 1]
+
+
+def test_very_long_lines(spark):
+    x = "lorem ipsum dolor sit amet " * 4000
+    _same(spark, {1: x, 2: x + "!", 3: x[: len(x) // 3] + "\n" + "q" * 50_000})
