@@ -1,17 +1,19 @@
 """Token ids as binary files: an adaptive context-mixing range coder over independently reset, checksummed blocks.
 
 A frame holds whole documents. Layout, little-endian:
-  b"LAT1", u8 digits, u32 ids a block, u32 documents, u64 ids, u32 blocks, u32 crc32 of the two tables below;
+  b"LAT2", u32 ids a block, u32 documents, u64 ids, u32 blocks, u32 bytes of the prior, u32 crc32 of the three tables below;
   documents: i64 doc_id, u32 ids each (null ids: the smallest i64);
   blocks: u32 ids, u32 bytes, u32 crc32 of the coded bytes, u32 crc32 of the ids as u32 each;
+  prior (deflated): what every block starts from, see Prior;
   the blocks' coded bytes.
-A block is coded from a blank model, so any block can be read by itself. The blocks of a frame advance in step, one a lane of
+A block is coded from the prior alone, so any block can be read by itself. The blocks of a frame advance in step, one a lane of
 NumPy arrays; that is a matter of speed and leaves no trace in the bytes.
 
 For each id, order 2 (hash of the last two ids) and order 1 (of the last) each predict an id with a confidence. The two
 are mixed in the logistic domain, with weights that adapt in each block, into the probability that the higher order's id comes; a
-range coder codes that; on a miss the other order's id is tried; else the id is coded by order 0: digit by digit of base 16, each by
-an adaptive cumulative table in the context of the digits above it.
+range coder codes that; on a miss the other order's id is tried; else order 0 codes the id. Its ids lie on a line, those of blocks of like content
+(a language, say) side by side, cut into 16 x 16 stretches; the stretch's two digits have adaptive tables, the first in the context of the
+last id's first digit; within a stretch the frequencies of the frame decide. Ids too rare for the prior are escaped and coded in full.
 """
 
 from __future__ import annotations
@@ -21,18 +23,17 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"LAT1"
-HEAD = struct.Struct("<4sBIIQII")
-BLOCK = 2048
+MAGIC = b"LAT2"
+HEAD = struct.Struct("<4sIIQIII")
+BLOCK = 4096
 #: Lanes at most that advance together; bounds the memory of the models (some 100 MB).
-LANES = 4096
+LANES = 2048
 NO_ID = -(1 << 63)
 
 _H1, _H2 = 1 << 10, 1 << 11
-_CONTEXTS = 1 << 7
-_RATE = 4
+_RATE = 5
+_ESCAPE_BITS = 16
 _MIX = np.array([[i if i <= s else (1 << 15) - 16 + i for i in range(16)] for s in range(16)], np.int16)
-_FLAT = np.arange(0, 1 << 15, 1 << 11).astype(np.int16)
 _GRID = (np.arange(4096) + 0.5) / 4096
 #: 256 ln(p/(1-p)), whole numbers so that every machine has the same table, and its inverse in 65536ths.
 _STRETCH = np.round(256 * np.log(_GRID / (1 - _GRID))).astype(np.float32)
@@ -98,24 +99,129 @@ def _count(rows: np.ndarray, v: np.ndarray) -> np.ndarray:
     return ((held[:, 0] + held[:, 1]) * _ONES >> _U(56)).astype(np.int64) - 1
 
 
-def _run(coder: _Coder, lengths: np.ndarray, digits: int, ids: np.ndarray | None) -> np.ndarray:
-    """Code (ids given, one row a step) or decode lanes of falling lengths."""
+def _cumulated(mass: np.ndarray) -> np.ndarray:
+    """Rows of 16 masses as cumulative int16 of 2**15, each digit with 16 at least."""
+    share = mass / np.maximum(mass.sum(axis=-1, keepdims=True), 1e-12)
+    share = np.where(mass.sum(axis=-1, keepdims=True) > 0, share, 1 / 16)
+    whole = 16 + np.floor(share * ((1 << 15) - 256)).astype(np.int64)
+    ends = np.cumsum(whole, axis=-1)
+    return np.concatenate([np.zeros_like(ends[..., :1]), ends[..., :-1]], axis=-1).astype(np.int16)
+
+
+class Prior:
+    """The ids a frame's blocks start from: code k has id ids[k]; code len(ids) is the escape.
+
+    In the file: u32 clusters; u32 ids of each; the ids, rising in each cluster, as u32 differences; a byte each, 4 log2 of how often; last
+    16 x 16 bytes, the same of how often first digits follow each other.
+    """
+
+    def __init__(self, clusters: list[np.ndarray], often: list[np.ndarray], follow: np.ndarray) -> None:
+        self.clusters, self.often, self.follow = clusters, often, follow
+        parts = [np.lexsort((c, -o)) for c, o in zip(clusters, often, strict=True)]
+        self.ids = np.concatenate([c[p] for c, p in zip(clusters, parts, strict=True)] + [np.zeros(0, np.int64)]).astype(np.int64)
+        q = np.concatenate([o[p] for o, p in zip(often, parts, strict=True)] + [np.full(1, 8)])
+        mass = np.exp2(q / 4.0)  # the escape is one more symbol, seen some times
+        before = np.cumsum(mass) - mass
+        self.sub = np.minimum(255, (before / mass.sum() * 256).astype(np.int64))  # stretch of each code
+        self.first = self.sub >> 4
+        by = np.bincount(self.sub, mass, 256)
+        self.second = _cumulated(by.reshape(16, 16))
+        self.start = _cumulated(np.where(follow > 0, np.exp2(follow / 4.0) - 1, 0) + 0.02 * by.reshape(16, 16).sum(axis=1))
+        f = np.maximum(1, np.floor(mass / by[self.sub] * 40_000)).astype(np.int64)
+        head = np.flatnonzero(np.append(True, self.sub[1:] != self.sub[:-1]))
+        upto = np.cumsum(f) - f
+        self.low = upto - np.repeat(upto[head], np.diff(np.append(head, len(f))))
+        self.freq, self.total = f, np.bincount(self.sub, f, 256).astype(np.int64)
+        self.find = self.sub << 24 | self.low
+        self.order = np.argsort(self.ids, kind="stable")
+
+    def codes(self, ids: np.ndarray) -> np.ndarray:
+        if not len(self.ids):
+            return np.zeros(len(ids), np.int32)
+        if self.ids.max() < 1 << 22 > ids.max(initial=0):
+            table = np.full(1 << 22, len(self.ids), np.int32)
+            table[self.ids] = np.arange(len(self.ids))
+            return table.take(ids)
+        at = np.minimum(np.searchsorted(self.ids, ids, sorter=self.order), len(self.ids) - 1)
+        code = self.order[at]
+        return np.where(self.ids[code] == ids, code, len(self.ids)).astype(np.int32)
+
+    def dump(self) -> bytes:
+        head = struct.pack(f"<{1 + len(self.clusters)}I", len(self.clusters), *map(len, self.clusters))
+        gaps = [np.diff(c, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for c in self.clusters]
+        return zlib.compress(head + b"".join(gaps) + b"".join(o.astype(np.uint8).tobytes() for o in self.often) + self.follow.astype(np.uint8).tobytes(), 9)
+
+    @classmethod
+    def load(cls, data: bytes) -> Prior:
+        raw = zlib.decompress(data)
+        n = struct.unpack_from("<I", raw)[0]
+        sizes = struct.unpack_from(f"<{n}I", raw, 4)
+        at, clusters, often = 4 + 4 * n, [], []
+        for k in sizes:
+            gaps = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * k, at).reshape(4, k).T).view("<u4").reshape(-1)
+            clusters.append(np.cumsum(gaps.astype(np.int64)))
+            at += 4 * k
+        for k in sizes:
+            often.append(np.frombuffer(raw, np.uint8, k, at).astype(np.int64))
+            at += k
+        return cls(clusters, often, np.frombuffer(raw, np.uint8, 256, at).reshape(16, 16).astype(np.int64))
+
+    @classmethod
+    def of(cls, ids: np.ndarray, block: int, clusters: int = 8, least: int = 4, seen: int = 512, wide: int = 2048) -> Prior:
+        """From a frame's ids: those that come `least` times or more, grouped by the blocks they are frequent in (`seen` blocks,
+        evenly spaced, and the `wide` most frequent ids decide the groups; that moves sizes only, not results)."""
+        names, count = np.unique(ids, return_counts=True)
+        keep = count >= least
+        names, count = names[keep].astype(np.int64), count[keep]
+        n = -(-len(ids) // block)
+        group = np.zeros(len(names), np.int64)
+        if n > 1 and len(names) > clusters:
+            some = np.unique(np.linspace(0, n - 1, min(n, seen)).astype(np.int64))
+            rows = np.zeros((len(some), len(names)), np.float32)
+            for r, k in enumerate(some):
+                own = ids[k * block : (k + 1) * block]
+                at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+                rows[r] = np.bincount(at[names[at] == own], minlength=len(names))
+            top = np.argsort(-count, kind="stable")[:wide]
+            x = np.sqrt(rows[:, top] / np.maximum(rows.sum(axis=1, keepdims=True), 1))
+            centre = x[:1]
+            while len(centre) < min(clusters, len(some)):  # the block farthest from all centres so far
+                away = ((x[:, None, :] - centre[None]) ** 2).sum(axis=2).min(axis=1)
+                centre = np.concatenate([centre, x[[int(away.argmax())]]])
+            for _ in range(5):
+                own = np.argmax(x @ centre.T - 0.5 * (centre**2).sum(axis=1), axis=1)
+                centre = np.stack([x[own == k].mean(axis=0) if (own == k).any() else centre[k] for k in range(len(centre))])
+            share = np.stack([rows[own == k].sum(axis=0) / max(1.0, float(rows[own == k].sum())) for k in range(len(centre))])
+            group = share.argmax(axis=0)
+        often = np.minimum(255, np.round(4 * np.log2(np.maximum(count, 1)))).astype(np.int64)
+        parts = [group == k for k in range(int(group.max(initial=0)) + 1)]
+        made = cls([names[p] for p in parts], [often[p] for p in parts], np.zeros((16, 16), np.int64))
+        pairs = np.zeros(256, np.int64)
+        for k in range(0, len(ids), 1 << 20):
+            digit = made.first[made.codes(ids[k : k + (1 << 20) + 1])]
+            pairs += np.bincount(digit[:-1] * 16 + digit[1:], minlength=256)
+        pairs = pairs.reshape(16, 16)
+        return cls(made.clusters, made.often, np.minimum(255, np.round(4 * np.log2(pairs + 1))).astype(np.int64))
+
+
+def _run(coder: _Coder, lengths: np.ndarray, prior: Prior, codes: np.ndarray | None, raw: np.ndarray) -> np.ndarray:
+    """Code (codes given, one row a step) or decode lanes of falling lengths; raw: the ids behind escapes, taken or filled in."""
     lanes, steps = len(lengths), int(lengths[0]) if len(lengths) else 0
-    out = np.zeros((steps, lanes), np.int32) if ids is None else ids
-    t1, t2 = np.zeros(lanes * _H1, np.int32), np.zeros(lanes * _H2, np.int32)  # id << 4 | confidence
+    out = np.zeros((steps, lanes), np.int32) if codes is None else codes
+    escape = len(prior.ids)
+    t1, t2 = np.zeros(lanes * _H1, np.int32), np.zeros(lanes * _H2, np.int32)  # (code + 1) << 4 | confidence
     start = np.linspace(1000, 60000, 16).astype(np.int32)
     s1, s2, s3 = np.tile(start, lanes), np.tile(start, lanes), np.tile(start, lanes)
     w = np.tile(np.array([-0.2, 0.3], np.float32), lanes)
     u = np.full(lanes, 0.7, np.float32)
-    sizes = [min(16**j, _CONTEXTS) for j in range(digits)]
-    tables = [np.tile(_FLAT, (lanes * n, 1)) for n in sizes]
+    tables = [np.tile(prior.start, (lanes, 1)), np.tile(prior.second, (lanes, 1))]
     whole = [x.view("V32").reshape(-1) for x in tables]
     p1, p2 = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
     active = np.searchsorted(-lengths, -np.arange(steps), side="left")  # lanes longer than t
     last = -1
     for t in range(steps):
         if t % 64 == 0:
-            coder.reserve(64 * (digits + 4))
+            coder.reserve(64 * 8)
         k = int(active[t])
         if k != last:
             last = k
@@ -130,8 +236,8 @@ def _run(coder: _Coder, lengths: np.ndarray, digits: int, ids: np.ndarray | None
         i2 = (q2 >> 13 & (_H2 - 1)) + b2
         e1, e2 = t1.take(i1), t2.take(i2)
         fresh = e2 == 0
-        np.copyto(e2, e1 & -16, where=fresh)  # an unseen order-2 context takes the order-1 id, without confidence
-        c1, c2 = e1 >> 4, e2 >> 4
+        np.copyto(e2, e1 & -16, where=fresh)  # an unseen order-2 context takes the order-1 code, without confidence
+        c1, c2 = (e1 >> 4) - 1, (e2 >> 4) - 1  # -1: nothing yet
         j1, j2 = (e1 & 15) + b16, (e2 & 15) + b16
         a1, a2 = s1.take(j1), s2.take(j2)
         jw = (c1 == c2) + bw
@@ -142,7 +248,7 @@ def _run(coder: _Coder, lengths: np.ndarray, digits: int, ids: np.ndarray | None
         coder.widen(low, rng)
         bound = rng >> _U(16)
         bound *= p.astype(np.uint64)
-        hit = (coder.code[:k] - low < bound) if ids is None else out[t, :k] == c2
+        hit = (coder.code[:k] - low < bound) if codes is None else out[t, :k] == c2
         no = (~hit).astype(np.uint64)
         low += bound * no
         rng -= bound  # what is left after the hit's part
@@ -152,43 +258,43 @@ def _run(coder: _Coder, lengths: np.ndarray, digits: int, ids: np.ndarray | None
         v1 += err * x1
         w[jw] = v1
         u += err * x2
-        true = np.where(hit, c2, 0) if ids is None else out[t, :k]
+        true = np.where(hit, c2, 0) if codes is None else out[t, :k]
         miss = np.flatnonzero(no)
         if len(miss):
             ml, mr = low.take(miss), rng.take(miss)
-            mt = None if ids is None else true.take(miss)
-            second = np.flatnonzero((c1 != c2).take(miss))
+            mt = None if codes is None else true.take(miss)
+            second = np.flatnonzero(((c1 != c2) & (c1 >= 0)).take(miss))
             if len(second):
                 at = miss.take(second)
                 j3, k1 = j1.take(at), c1.take(at)
                 a3 = s3.take(j3)
                 sl, sr = ml.take(second), mr.take(second)
                 bound = (sr >> _U(16)) * np.clip(a3, 64, 65472).astype(np.uint64)
-                got = (coder.code.take(at) - sl < bound) if ids is None else mt.take(second) == k1
+                got = (coder.code.take(at) - sl < bound) if codes is None else mt.take(second) == k1
                 s3[j3] = a3 + (got * 65535 - a3 >> 5)
                 ml[second] = np.where(got, sl, sl + bound)
                 mr[second] = np.where(got, bound, sr - bound)
                 found = second[got]
                 if len(found):
                     low[miss[found]], rng[miss[found]] = ml[found], mr[found]
-                    if ids is None:
+                    if codes is None:
                         true[at[got]] = k1[got]
                     rest = np.ones(len(miss), bool)
                     rest[found] = False
                     miss, ml, mr = miss[rest], ml[rest], mr[rest]
-                    mt = None if ids is None else mt[rest]
-            above = np.zeros(len(miss), np.int64)
-            for j in range(0, digits, 2):
+                    mt = None if codes is None else mt[rest]
+            if len(miss):
                 coder.widen(ml, mr, miss)
                 step = mr >> _U(30)
-                v = np.minimum((coder.code.take(miss) - ml) // step, _U((1 << 30) - 1)).astype(np.int64) if ids is None else None
+                v = np.minimum((coder.code.take(miss) - ml) // step, _U((1 << 30) - 1)).astype(np.int64) if codes is None else None
+                sub = None if codes is None else prior.sub.take(mt)
+                row = miss * 16 + prior.first.take(p1.take(miss))
                 first = share = 0
-                for i in (j, j + 1):
-                    row = miss * sizes[i] + (above if 16**i <= _CONTEXTS else (above * 0x9E3779B1 >> 11) & (_CONTEXTS - 1))
+                for i in (0, 1):
                     rows = tables[i].take(row, axis=0)
-                    if ids is not None:
-                        d = (mt >> 4 * (digits - 1 - i) & 15).astype(np.int64)
-                    elif i == j:
+                    if codes is not None:
+                        d = sub >> 4 if i == 0 else sub & 15
+                    elif i == 0:
                         d = _count(rows, v >> 15)
                     else:
                         d = _count(rows, np.minimum((v - (first << 15)) // share, (1 << 15) - 1))
@@ -196,58 +302,84 @@ def _run(coder: _Coder, lengths: np.ndarray, digits: int, ids: np.ndarray | None
                     at = np.arange(0, 16 * len(miss), 16) + d
                     a = flat.take(at).astype(np.int64)
                     f = flat.take(at + 1, mode="wrap") - a & 32767
-                    if i == j:
-                        first, share = a, f
-                    else:
-                        ml += step * ((first << 15) + a * share).astype(np.uint64)
-                        mr = step * (share * f).astype(np.uint64)
                     more = _MIX.take(d, axis=0)
                     more -= rows
                     more >>= _RATE
                     more += rows
                     whole[i][row] = more.view("V32").reshape(-1)
-                    above = above << 4 | d
-            low[miss], rng[miss] = ml, mr
-            if ids is None:
-                true[miss] = above
-        if ids is None:
+                    if i == 0:
+                        first, share, one = a, f, d
+                        row = miss * 16 + d
+                ml += step * ((first << 15) + a * share).astype(np.uint64)
+                mr = step * (share * f).astype(np.uint64)
+                coder.widen(ml, mr, miss)
+                if codes is None:
+                    sub = one << 4 | d
+                    total = np.maximum(prior.total.take(sub), 1)
+                    step = mr // total.astype(np.uint64)
+                    v = np.minimum(((coder.code.take(miss) - ml) // step).astype(np.int64), total - 1)
+                    mt = (np.searchsorted(prior.find, sub << 24 | v, side="right") - 1).astype(np.int32)
+                    true[miss] = mt
+                else:
+                    step = mr // prior.total.take(sub).astype(np.uint64)
+                ml += step * prior.low.take(mt).astype(np.uint64)
+                mr = step * prior.freq.take(mt).astype(np.uint64)
+                out_of = np.flatnonzero(mt == escape)
+                if len(out_of):
+                    at, el, er = miss.take(out_of), ml.take(out_of), mr.take(out_of)
+                    for shift in (_ESCAPE_BITS, 0):
+                        coder.widen(el, er, at)
+                        step = er >> _U(_ESCAPE_BITS)
+                        if codes is None:
+                            digit = np.minimum((coder.code.take(at) - el) // step, _U(0xFFFF))
+                            raw[t, at] |= (digit << _U(shift)).astype(np.uint32)
+                        else:
+                            digit = raw[t, at].astype(np.uint64) >> _U(shift) & _U(0xFFFF)
+                        el += step * digit
+                        er = step
+                    ml[out_of], mr[out_of] = el, er
+                low[miss], rng[miss] = ml, mr
+        if codes is None:
             out[t, :k] = true
-        seen = true << 4 | 1
+        keep = true != escape  # an escape is no prediction
+        seen = (true + 1) << 4 | 1
         for table, i, e, c, s, j, a in ((t1, i1, e1, c1, s1, j1, a1), (t2, i2, e2, c2, s2, j2, a2)):
             ok = c == true
             s[j] = a + (ok * np.int32(65535) - a >> 5)
-            e += e & 15 != 15
-            new = seen.copy()
-            np.copyto(new, e, where=ok)
-            table[i] = new
+            e += (e & 15 != 15) & ok
+            new = np.where(ok, e, seen)
+            table[i] = np.where(keep, new, e)
         p2, p1 = p1, true
     return out
 
 
-def _digits(top: int) -> int:
-    return 2 * max(1, -(-int(top).bit_length() // 8))
-
-
 def encode_frame(documents: list[tuple[int | None, bytes]], block: int = BLOCK) -> bytes:
-    """Documents (doc_id, ids as little-endian u32) as one frame."""
+    """Documents (doc_id, ids as little-endian u32, any of them) as one frame."""
     data = b"".join(b for _, b in documents)
-    ids = np.frombuffer(data, "<u4").astype(np.int32)
-    digits = _digits(ids.max(initial=0))
+    ids = np.frombuffer(data, "<u4")
+    prior = Prior.of(ids, block)
+    dumped = prior.dump()
+    codes = prior.codes(ids)
     sizes = np.array([min(block, len(ids) - s) for s in range(0, len(ids), block)], np.int64)
     coded: list[bytes] = []
     for a in range(0, len(sizes), LANES):
         own = sizes[a : a + LANES]
-        part = np.zeros((len(own), int(own[0])), np.int32)
-        flat = ids[a * block : a * block + int(own.sum())]
-        part.reshape(-1)[: len(flat)] = flat
-        coder = _Coder(len(own), capacity=part.shape[1])
-        _run(coder, own, digits, np.ascontiguousarray(part.T))
+
+        def dealt(x: np.ndarray) -> np.ndarray:
+            part = np.zeros((len(own), int(own[0])), x.dtype)
+            flat = x[a * block : a * block + int(own.sum())]
+            part.reshape(-1)[: len(flat)] = flat
+            return np.ascontiguousarray(part.T)
+
+        coder = _Coder(len(own), capacity=int(own[0]))
+        _run(coder, own, prior, dealt(codes), dealt(ids.astype(np.uint32)))
         coder.finish()
         coded += [coder.out[i, : coder.at[i]].tobytes() for i in range(len(own))]
     table = b"".join(struct.pack("<qI", NO_ID if d is None else d, len(b) // 4) for d, b in documents)
     view = memoryview(data)
     table += b"".join(struct.pack("<IIII", n, len(c), zlib.crc32(c), zlib.crc32(view[4 * block * i : 4 * (block * i + n)])) for i, (n, c) in enumerate(zip(sizes.tolist(), coded, strict=True)))
-    return HEAD.pack(MAGIC, digits, block, len(documents), len(ids), len(sizes), zlib.crc32(table)) + table + b"".join(coded)
+    table += dumped
+    return HEAD.pack(MAGIC, block, len(documents), len(ids), len(sizes), len(dumped), zlib.crc32(table)) + table + b"".join(coded)
 
 
 class CorruptFrame(ValueError):
@@ -258,12 +390,16 @@ def decode_frame(frame: bytes) -> list[tuple[int | None, bytes]]:
     """The documents of a frame; every checksum is verified (CorruptFrame otherwise)."""
     if len(frame) < HEAD.size:
         raise CorruptFrame("short frame")
-    magic, digits, _, n_docs, n_ids, n_blocks, crc = HEAD.unpack_from(frame)
-    at = HEAD.size + 12 * n_docs + 16 * n_blocks
+    magic, _, n_docs, n_ids, n_blocks, n_prior, crc = HEAD.unpack_from(frame)
+    begin = HEAD.size + 12 * n_docs + 16 * n_blocks
+    at = begin + n_prior
     if magic != MAGIC or len(frame) < at or zlib.crc32(frame[HEAD.size : at]) != crc:
         raise CorruptFrame("damaged header")
     docs = np.frombuffer(frame, np.dtype([("id", "<i8"), ("n", "<u4")]), n_docs, HEAD.size)
     blocks = np.frombuffer(frame, np.dtype([("n", "<u4"), ("bytes", "<u4"), ("crc", "<u4"), ("ids", "<u4")]), n_blocks, HEAD.size + 12 * n_docs)
+    prior = Prior.load(frame[begin:at])
+    escape = len(prior.ids)
+    names = np.append(prior.ids, 0).astype(np.uint32)
     ends = at + np.cumsum(blocks["bytes"].astype(np.int64))
     if len(frame) != (int(ends[-1]) if n_blocks else at):
         raise CorruptFrame("wrong length")
@@ -276,7 +412,10 @@ def decode_frame(frame: bytes) -> list[tuple[int | None, bytes]]:
         lo, hi = int(ends[a]) - int(own["bytes"][0]), int(ends[a + len(own) - 1])
         words = np.concatenate([np.frombuffer(frame, "<u2", (hi - lo) // 2, lo), np.zeros(8, "<u2")])
         starts = (ends[a : a + len(own)] - own["bytes"] - lo) // 2
-        ids = _run(_Coder(len(own), words=words.astype(np.uint64), starts=starts.astype(np.int64)), own["n"].astype(np.int64), digits, None)
+        lengths = own["n"].astype(np.int64)
+        raw = np.zeros((int(lengths[0]), len(own)), np.uint32)
+        codes = _run(_Coder(len(own), words=words.astype(np.uint64), starts=starts.astype(np.int64)), lengths, prior, None, raw)
+        ids = np.where(codes == escape, raw, names.take(codes))
         for i in range(len(own)):
             b = ids[: own["n"][i], i].astype("<u4").tobytes()
             if zlib.crc32(b) != own["ids"][i]:

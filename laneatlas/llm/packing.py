@@ -106,11 +106,14 @@ def pack(cut: DataFrame, capacity: int = 2048) -> DataFrame:
 
     The driver sees one count for each length (capacity at most). Pieces of one length, even if they are most of all
     rows, are ranked in as many groups as there are shuffle partitions. An empty table gives an empty result;
-    repeated documents are packed each for itself; pieces longer than capacity are an error of the caller and are left out.
+    repeated documents are packed each for itself; a piece that is empty or longer than capacity raises ValueError.
     """
     salt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(partitions(cut.sparkSession)))
     cut = written(cut.withColumn("_salt", salt))
     sums = cut.groupBy("length", "_salt").agg(F.count("*").alias("n"))
+    odd = sums.where(F.col("length").isNull() | ~F.col("length").between(1, capacity)).first()
+    if odd:
+        raise ValueError(f"a piece of {odd['length']} ids does not fit into {capacity}")
     counts = {r[0]: r[1] for r in sums.where(F.col("length").between(1, capacity)).groupBy("length").agg(F.sum("n")).collect()}
     table = places(fill(counts, capacity))
     shared = cut.sparkSession.sparkContext.broadcast(table)  # a few rows for each length: bounded by capacity
@@ -132,7 +135,7 @@ def pack(cut: DataFrame, capacity: int = 2048) -> DataFrame:
             yield pdf
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out) + ", sequence_id long, offset long"
-    return ranked.where(F.col("length").between(1, capacity)).mapInPandas(place, columns)
+    return ranked.mapInPandas(place, columns)
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, **how) -> DataFrame:

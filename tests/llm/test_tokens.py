@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 
 from laneatlas.llm import codec
 from laneatlas.llm.packing import fill, pack_documents, places
-from laneatlas.llm.token_files import read_token_files, save_frames, write_token_files
+from laneatlas.llm.token_files import read_token_files, write_token_files
 from laneatlas.llm.common import shared_dir
 from laneatlas.llm.tokens import slices, tokenizer
 
@@ -29,7 +29,7 @@ def test_corpus_encodes_as_whole_texts(corpus, encode):
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(-(1 << 40), 1 << 40)), st.lists(st.one_of(st.integers(0, 3), st.integers(0, (1 << 20) - 1)), max_size=60)), max_size=8), st.integers(1, 30))
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(-(1 << 40), 1 << 40)), st.lists(st.one_of(st.integers(0, 3), st.integers(0, (1 << 20) - 1), st.integers((1 << 32) - 3, (1 << 32) - 1)), max_size=60)), max_size=8), st.integers(1, 30))
 def test_frames_round_trip(docs, block):
     docs = [(d, _bytes(x)) for d, x in docs]
     assert codec.decode_frame(codec.encode_frame(docs, block)) == docs
@@ -59,7 +59,11 @@ def test_files(spark, corpus, encode, edges, crc, tmp_path):
         want.append((i, at, len(ids), crc(_bytes(ids))))
         at += len(ids)
     assert got == sorted(want)
-    files = save_frames(spark, path, str(tmp_path))
+    names = [r.file for r in spark.read.parquet(f"{path}/manifest").orderBy("part", "seq").collect()]
+    folder = path.removeprefix("file://") + "/files"
+    open(f"{folder}/part-00000-00000-left-by-a-lost-task.lat", "wb").write(b"half a frame")
+    assert sorted(map(tuple, read_token_files(spark, path).collect())) == got
+    files = [f"{folder}/{n}" for n in names]
     read = [d for f in files for d in codec.decode_frame(open(f, "rb").read())]
     assert [d for d, _ in read] == [i for i, *_ in want] and read[5][1] == _bytes(encode(sorted(rows, key=lambda r: (r[0], r[1] or ""))[5][1]))
     write_token_files(df.limit(0), path)
@@ -81,6 +85,32 @@ def test_fill_uses_every_piece_once(counts):
         assert own[0, 1] == 0 and own[-1, 1] < c
 
 
+def test_frames_are_smaller_than_static_frequencies_allow(spark, encode):
+    """Whole frames, header and all, against the order-0 entropy of their ids (without its table)."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").select("text").collect()]
+    coded = tokenizer().encode(texts)
+    ids = np.frombuffer(b"".join(coded), "<u4")
+    n = np.unique(ids, return_counts=True)[1]
+    bits = -(n * np.log2(n / len(ids))).sum()
+    docs = list(enumerate(coded))
+    frame = codec.encode_frame(docs)
+    assert 8 * len(frame) < 0.95 * bits
+    assert codec.decode_frame(frame) == docs
+
+
+def test_all_unsigned_ids(spark):
+    docs = [(1, _bytes([0, 2**31 - 1, 2**31, 2**32 - 1] * 9)), (None, b""), (2, _bytes([7] * 5000))]
+    assert codec.decode_frame(codec.encode_frame(docs, 16)) == docs
+
+
+def test_pieces_that_do_not_fit_raise(spark):
+    from laneatlas.llm.packing import pack
+
+    df = spark.createDataFrame([(1, 0, 3000, 5, 3000), (2, 0, 10, 5, 10)], "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    with pytest.raises(ValueError, match="3000"):
+        pack(df, 2048)
+
+
 def test_fill_finds_full_windows():
     assert fill({7: 1, 5: 2, 3: 1, 2: 3}, 10)[0] == (1, [(7, 1), (3, 1)])
     assert fill({6: 2, 3: 2, 2: 2}, 10)[0][1] in ([(6, 1), (2, 2)],)
