@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from laneatlas.session import ship
 
+from .buckets import many, rests, stars
 from .common import meet, with_row_key, written
 from .components import components, forest, local_forests
 
@@ -37,6 +38,11 @@ def simhash(text: str | None, words: int = 4) -> bytes:
     starts = (ends - sizes)[: n - words + 1].tolist()
     digest = xxhash.xxh64_digest
     h = b"".join([digest(line[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)])
+    return fold(h)
+
+
+def fold(h: bytes) -> bytes:
+    """Big-endian 64-bit hashes, one after the other, to the bits that are set in over half of them."""
     bits = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 16):
         bits += np.unpackbits(np.frombuffer(h[i : i + (1 << 16)], np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
@@ -75,21 +81,20 @@ def _balls(bits: int, radius: int) -> list[int]:
     return ball
 
 
-def links(fps: DataFrame, distance: int = 4, parts: int = 3, small: int = 8, large: int = 50_000) -> DataFrame:
+def links(fps: DataFrame, distance: int = 4, parts: int | None = None, small: int = 8, block: int = 2000) -> DataFrame:
     """Links (a, b) between distinct fingerprints that give the components of all pairs within `distance` bits.
 
     Each part of a fingerprint has a table of buckets (`index`); each fingerprint looks into the buckets within the part's
-    radius of its own (`probes`). Buckets of up to `small` members join with their probes one by one and each pair's whole
-    distance is verified. Of a larger bucket only its name joins; its members and probes are then compared
-    by blocks in one task, which gives out a forest. A bucket with more than `large` rows (members and probes) is left to
-    midpoints instead: its rows spread to all codes within distance/2 bits of them; two of them share a code if
-    and only if they are within `distance` (for an even distance), a code has a bounded number of members, and neighbours in a code
-    are linked. No pair is lost and no bucket is compared as a whole beyond that bound.
+    radius of its own (`probes`). parts None: as many as give parts of about log2(n) bits, so that a bucket of n spread fingerprints has a
+    few members at any n. Buckets of up to `small` members join with their probes one by one and each pair's whole
+    distance is verified. Of a larger bucket only its name joins; its members and probes are then compared in blocks of `block` (see
+    buckets.py), which give out forests. No pair is lost, and no task holds more than two blocks of a bucket of any size.
     """
     ship(fps.sparkSession)
+    if parts is None:
+        parts = max(2, min(distance + 1, round(64 / max(12.0, math.log2(max(2, fps.count()))))))
     plan = segments(distance, parts)
-    if distance % 2:
-        raise ValueError("distance must be even")
+
     def entries(i: int, shift: int, bits: int, masks: list[int]):
         key = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << bits) - 1))
         return F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: F.struct(F.lit(i).alias("part"), key.bitwiseXOR(m).alias("key")))
@@ -100,55 +105,56 @@ def links(fps: DataFrame, distance: int = 4, parts: int = 3, small: int = 8, lar
     probes = fps.select("fp", F.explode(all_).alias("e")).select("e.part", "e.key", F.col("fp").alias("a"))
     sizes = index.groupBy("part", "key").agg(F.count("*").alias("n"))
     full = sizes.where(F.col("n") > small)
-    few = index.join(full.select("part", "key"), ["part", "key"], "left_anti").select("part", "key", "b", F.lit(0).cast("long").alias("n"))
-    tables = few.unionByName(full.select("part", "key", F.lit(None).cast("long").alias("b"), "n"))
+    few = index.join(full.select("part", "key"), ["part", "key"], "left_anti")
+    tables = few.unionByName(full.select("part", "key", F.lit(None).cast("long").alias("b")))
     near = F.col("b").isNull() | ((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance))
     found = written(probes.join(tables, ["part", "key"]).where(near))
-    out = found.where("b is not null").select("a", "b")
-    many = found.where("b is null")
-    loads = many.groupBy("part", "key").agg(F.count("*").alias("rows"))
-    heavy = loads.where(F.col("rows") > large).select("part", "key")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf["a"].to_numpy(np.int64)
-        shift, bits, _ = plan[int(pdf["part"].iloc[0])]
-        home = (x.view(np.uint64) >> np.uint64(shift) & np.uint64((1 << bits) - 1)).astype(np.int64) == int(pdf["key"].iloc[0])
-        m = x[home]
-        a, b = [], []
-        step = max(1, 2_000_000 // len(m))
-        for i in range(0, len(x), step):
-            apart = (x[i : i + step, None] ^ m[None, :]).view(np.uint64)  # bitwise_count takes the size of signed numbers
-            u, v = np.nonzero(np.bitwise_count(apart) <= distance)
-            u, v = forest(x[i : i + step][u], m[v])
-            a.append(u)
-            b.append(v)
-        a, b = forest(np.concatenate(a), np.concatenate(b))
-        return pd.DataFrame({"a": a, "b": b})
-
-    blocks = many.join(heavy, ["part", "key"], "left_anti").select("part", "key", "a").groupBy("part", "key").applyInPandas(compare, "a long, b long")
-    out = out.unionByName(blocks)
-    if heavy.limit(1).count():
-        codes = F.explode(F.transform(F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in _balls(64, distance // 2)]), lambda m: F.col("a").bitwiseXOR(m)))
-
-        def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            last: tuple | None = None
-            for batch in batches:
-                code, a = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                if not len(a):
-                    continue
-                if last is not None:
-                    code, a = np.concatenate([[last[0]], code]), np.concatenate([[last[1]], a])
-                last = (code[-1], a[-1])
-                same = code[1:] == code[:-1]
-                u, v = forest(a[:-1][same], a[1:][same])
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["a", "b"])
-
-        spread = many.join(heavy, ["part", "key"], "left_semi").select("a").distinct().select(codes.alias("code"), "a")
-        out = out.unionByName(spread.repartition(F.col("code")).sortWithinPartitions("code").mapInArrow(neighbours, "a long, b long"))
-    return local_forests(out)
-
-
-def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, parts: int = 3, text: str = "text", doc_id: str = "doc_id", row: str | None = None) -> DataFrame:
+    large = found.where("b is null").select("part", "key", "a")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+
+        def forests(t: np.ndarray) -> pa.RecordBatch:
+            ends = np.flatnonzero((t[1:, :4] != t[:-1, :4]).any(axis=1)) + 1
+            a, b = [], []
+            for g in np.split(t, ends):
+                shift, bits, _ = plan[int(g[0, 0])]
+                x, label = g[:, 4], g[:, 5]
+                home = (x.view(np.uint64) >> np.uint64(shift) & np.uint64((1 << bits) - 1)).astype(np.int64) == g[0, 1]
+                m, own_label = x[home], label[home]
+                step = max(1, 2_000_000 // max(1, len(m)))
+                for i in range(0, len(x), step):
+                    apart = (x[i : i + step, None] ^ m[None, :]).view(np.uint64)  # bitwise_count takes the size of signed numbers
+                    u, v = np.nonzero((np.bitwise_count(apart) <= distance) & (label[i : i + step, None] != own_label[None, :]))
+                    u, v = forest(x[i : i + step][u], m[v])
+                    a.append(u)
+                    b.append(v)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+        for batch in batches:
+            t = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns], axis=1)
+            t = t if rest is None else np.concatenate([rest, t])
+            cut = len(t) - int(np.argmax((t[::-1, :4] != t[-1, :4]).any(axis=1))) if len(t) and (t[:, :4] != t[-1, :4]).any() else 0
+            if cut:
+                yield forests(t[:cut])
+            rest = t[cut:]
+        if rest is not None and len(rest):
+            yield forests(rest)
+
+    def compared(members: DataFrame) -> DataFrame:
+        keys = ["part", "key", "i", "j"]
+        return members.select(*keys, "a", "label").repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
+
+    out = found.where("b is not null").select("a", "b").unionByName(compared(stars(large, ["part", "key"], "a", block).withColumn("label", F.col("a"))))
+    if not many(large, ["part", "key"], block):
+        return local_forests(out)
+    out = written(local_forests(out))
+    roots = components(out)
+    marked = large.join(roots, large["a"] == roots["node"], "left").select("part", "key", "a", F.coalesce("root", "a").alias("label"))
+    return local_forests(out.unionByName(compared(rests(written(marked), ["part", "key"], "a", "label", block))))
+
+
+def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, parts: int | None = None, text: str = "text", doc_id: str = "doc_id", row: str | None = None) -> DataFrame:
     """For every row: doc_id, fp, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links), row, keeper (its row).
 
     Null texts count as empty; texts without words have the fingerprint zero and are linked like any other. Repeated rows share
@@ -167,7 +173,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, parts: i
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
-    """Of each component the row with the smallest doc_id, all columns."""
+    """Of each component (see near_duplicates) the row with the smallest doc_id, all columns."""
     numbered, row = with_row_key(docs, doc_id)
     kept = near_duplicates(numbered, doc_id=doc_id, row=row, **how).where("row = keeper").select(F.col("row").alias(row))
     return numbered.join(kept, row, "left_semi").select(docs.columns)

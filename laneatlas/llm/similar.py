@@ -1,4 +1,4 @@
-"""Near copies by the Jaccard similarity of word shingles: several independent fingerprints (MinHash bands) name candidates, each is verified."""
+"""Near copies by the Jaccard similarity of word shingles: SimHash buckets and bands of MinHash name candidates, each is verified."""
 
 from __future__ import annotations
 
@@ -12,14 +12,17 @@ from pyspark.sql import functions as F
 
 from laneatlas.session import ship
 
+from .buckets import many, rests, stars
 from .common import with_row_key, written
 from .components import components
 from .lines import band_keys
-from .simhash import SEED
+from .simhash import SEED, fold, links
 
-#: Minima in a band, and the bands of each round; later rounds look only at buckets that still hold several components.
-ROWS = 4
-ROUNDS = ((0, 5), (5, 20))
+#: Minima in a band; number of bands; rounds over [the SimHash group, the bands]: later ones look only at buckets that still hold several components.
+ROWS, BANDS = 4, 20
+ROUNDS = ((0, 1), (1, 6), (6, 21))
+#: Rows of a bucket that meet in one task.
+BLOCK = 500
 
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
@@ -42,7 +45,7 @@ def shingles(text: str | None, words: int = 5) -> np.ndarray:
 def bands(own: np.ndarray, seed: int = 5, step: int = 4096) -> np.ndarray:
     """The key of each band of minima over the shingles of a text."""
     rng = np.random.default_rng(seed)
-    n = ROUNDS[-1][1] * ROWS
+    n = BANDS * ROWS
     factor = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     shift = rng.integers(0, 1 << 63, n, dtype=np.uint64)
     least = np.full(n, ~np.uint64(0))
@@ -82,16 +85,11 @@ def alike(sets: list[np.ndarray], group: list[int], least: float) -> list[tuple[
     return out
 
 
-def similar_links(texts: DataFrame, entries: DataFrame, words: int, least: float) -> DataFrame:
-    """Links (a, b) between similar rows that share a bucket; texts: row, text; entries: band, row, part (the component so far)."""
-    mixed = F.xxhash64("row"), F.xxhash64(F.lit(7), "row")
-    name = F.bit_xor(mixed[0]).alias("x"), F.bit_xor(mixed[1]).alias("y")
-    full = entries.groupBy("band").agg(*name, F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
-    # buckets with the same members have the same name and are compared once
-    wanted = entries.join(full.select("band", "x", "y"), "band").select("x", "y", "row", "part").distinct()
-    held = wanted.groupBy("row").agg(F.collect_list(F.struct("x", "y", "part")).alias("w"))
-    dealt = texts.join(held.hint("shuffle_hash"), "row").select("row", "text", F.explode("w").alias("w")).select("w.x", "w.y", "w.part", "row", "text")
-    dealt = dealt.repartition(F.col("x"), F.col("y")).sortWithinPartitions("x", "y", "row")
+def similar_links(texts: DataFrame, members: DataFrame, words: int, least: float) -> DataFrame:
+    """Links (a, b) between similar rows of one (x, y, i, j); texts: row, text; members: x, y, i, j, row, part (the component so far)."""
+    held = members.groupBy("row").agg(F.collect_list(F.struct("x", "y", "i", "j", "part")).alias("w"))
+    dealt = texts.join(held.hint("shuffle_hash"), "row").select("row", "text", F.explode("w").alias("w")).select("w.*", "row", "text")
+    dealt = dealt.repartition(F.col("x"), F.col("y"), F.col("i"), F.col("j")).sortWithinPartitions("x", "y", "i", "j", "row")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows, parts, sets, out = None, [], [], [], []
@@ -101,10 +99,10 @@ def similar_links(texts: DataFrame, entries: DataFrame, words: int, least: float
                 out.extend((rows[i], rows[j]) for i, j in alike(sets, parts, least))
 
         for batch in batches:
-            for x, y, part, row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (x, y) != now:
+            for x, y, i, j, part, row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (x, y, i, j) != now:
                     settle()
-                    now, rows, parts, sets = (x, y), [], [], []
+                    now, rows, parts, sets = (x, y, i, j), [], [], []
                 rows.append(row)
                 parts.append(part)
                 sets.append(shingles(text, words))
@@ -118,17 +116,28 @@ def similar_links(texts: DataFrame, entries: DataFrame, words: int, least: float
     return dealt.mapInArrow(verify, "a long, b long")
 
 
+def _open(entries: DataFrame) -> DataFrame:
+    """(x, y, row, part) of buckets that hold several components; those with the same members have the same name (x, y), once."""
+    mixed = F.xxhash64("row"), F.xxhash64(F.lit(7), "row")
+    name = F.bit_xor(mixed[0]).alias("x"), F.bit_xor(mixed[1]).alias("y")
+    full = entries.groupBy("band").agg(*name, F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
+    return entries.join(full.select("band", "x", "y"), "band").select("x", "y", "row", "part").distinct()
+
+
 def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def drop_similar(docs: DataFrame, words: int = 5, least: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def drop_similar(docs: DataFrame, words: int = 5, least: float = 0.8, distance: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Of each component of rows whose sets of `words`-word shingles have a Jaccard similarity of `least` or more, the row with the smallest
     doc_id (null last), all columns.
 
-    Candidates share a band of ROWS of the minima; of pairs at 0.8 that is 1 - (1 - 0.8^4)^20 = 99.997 %, at 0.9 all but 1 in 10^9.
+    Candidates come from SimHash over the same shingles, by multi-index hashing (`distance` bits of 64): that joins close copies in one round.
+    At a similarity of 0.8 two SimHashes differ in some 10 bits, beyond what small Hamming balls reach, so bands of ROWS minima name the others:
+    of pairs at 0.8 that is 1 - (1 - 0.8^4)^20 = 99.997 %, at 0.9 all but 1 in 10^9.
     Every candidate is verified on the 64-bit hashes of its shingles. Rows with equal sets (128 bits of hash) are one before any
-    comparison. Texts with fewer words are one shingle; those without words are equal. An empty table gives an empty result.
+    comparison. Buckets of any size are compared in blocks of BLOCK rows. Texts with fewer words are one shingle; those without words
+    are equal; null counts as empty; further columns stay, whatever their names. An empty table gives an empty result.
     """
     ship(docs.sparkSession)
     numbered, row = with_row_key(docs, doc_id)
@@ -136,29 +145,41 @@ def drop_similar(docs: DataFrame, words: int = 5, least: float = 0.8, text: str
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, keys = [], []
+            names, fps, keys = [], [], []
             for t in batch.column(2):
                 own = shingles(t.as_py(), words)
                 names.append(xxhash.xxh3_128_digest(own.tobytes()))
+                fps.append(fold(own.astype(">u8").tobytes()))
                 keys.append(bands(own).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["row", "doc_id", "name", "bands"])
+            fps = np.frombuffer(b"".join(fps), ">i8").astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.binary()), pa.array(fps), pa.array(keys, pa.list_(pa.int64()))], names=["row", "doc_id", "name", "fp", "bands"])
 
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    rows = written(texts.mapInArrow(sketch, "row long, doc_id long, name binary, bands array<long>"))
-    nodes = written(rows.groupBy("name").agg(F.min(F.struct(order.alias("at"), "bands")).alias("first")).select("first.at.*", "first.bands"))
+    rows = written(texts.mapInArrow(sketch, "row long, doc_id long, name binary, fp long, bands array<long>"))
+    sets = written(rows.groupBy("name").agg(F.min(F.struct(order.alias("at"), "fp", "bands")).alias("first")).select("first.at.*", "first.fp", "first.bands"))
+    near = components(links(sets.select("fp").distinct(), distance))
+    group = F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp"))
+    nodes = written(sets.join(near, sets["fp"] == near["node"], "left").select("no_id", "doc_id", "row", F.array_prepend("bands", group).alias("bands")))
     every = nodes.select("row", F.explode("bands").alias("band"))
     shared = every.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     # only these texts are dealt in the rounds
-    near = written(texts.select("row", "text").join(every.join(shared, "band").select("row").distinct().hint("shuffle_hash"), "row").select("row", "text"))
-    links, root = None, None
+    held = written(texts.select("row", "text").join(every.join(shared, "band").select("row").distinct().hint("shuffle_hash"), "row").select("row", "text"))
+    found, root = None, None
+
+    def parts() -> DataFrame:
+        if root is None:
+            return nodes.select("row", "bands", F.col("row").alias("part"))
+        return nodes.join(root, nodes["row"] == root["node"], "left").select("row", "bands", F.coalesce("root", "row").alias("part"))
+
     for a, b in ROUNDS:
-        known = nodes.select("row", "bands", F.col("row").alias("part"))
-        if root is not None:
-            known = nodes.join(root, nodes["row"] == root["node"], "left").select("row", "bands", F.coalesce("root", "row").alias("part"))
-        entries = written(known.select("row", "part", F.explode(F.slice("bands", a + 1, b - a)).alias("band")))
-        found = written(similar_links(near, entries, words, least))
-        links = found if links is None else links.unionByName(found)
-        root = components(links)
+        entries = written(_open(written(parts().select("row", "part", F.explode(F.slice("bands", a + 1, b - a)).alias("band")))))
+        some = written(similar_links(held, stars(entries, ["x", "y"], "row", BLOCK), words, least))
+        found = some if found is None else found.unionByName(some)
+        root = components(found)
+    entries = written(_open(parts().select("row", "part", F.explode("bands").alias("band"))))
+    if many(entries, ["x", "y"], BLOCK):
+        found = found.unionByName(written(similar_links(held, rests(entries, ["x", "y"], "row", "part", BLOCK), words, least)))
+        root = components(found)
     joined = nodes.join(root, nodes["row"] == root["node"], "left")
     kept = joined.groupBy(F.coalesce("root", "row").alias("root")).agg(F.min(order).alias("first")).select(F.col("first.row").alias(row))
     return numbered.join(kept, row, "left_semi").select(docs.columns)

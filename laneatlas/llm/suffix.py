@@ -4,8 +4,8 @@ A string of `length` bytes that starts earlier in the corpus is found in four st
 1. Each window of `length` bytes names one of its grams of GRAM bytes, the one with the smallest hash (its anchor). Equal windows
    name equal grams at equal places, so windows need only meet where their anchors agree. Neighbouring windows share an
    anchor; such a run of windows is a fragment. Fragments repeated whole within a slice of a task are settled there.
-2. Fragments whose anchor occurs once are dropped, whole fragments that repeat are settled (one shuffle of their hashes: 64 bits of the
-   anchor and 64 of the fragment must agree, besides its length and the anchor's place).
+2. Fragments whose anchor occurs once are dropped, whole fragments that repeat are settled (one shuffle of their hashes: 64 bits of a
+   polynomial hash of the anchor and 64 of an unrelated hash, xxh3, of the fragment's bytes must agree, besides the anchor's place).
 3. Where different fragments share an anchor, their bytes are cut from the texts and sent to the anchor's task.
 4. The windows of what is left are suffixes to be sorted, truncated at `length`: prefix polynomial hashes of the fragments and binary
    search give the common extension of two suffixes, hence their order, in a logarithmic number of hash comparisons; a
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -260,10 +261,12 @@ def repeated_spans(texts: DataFrame, length: int = 100, hot: int = 5000, chunk:
                 for k, v in by.items():
                     spans += [(k, x, min(b, x + 0xFFFFFF)) for a, b in merged_spans(v) for x in range(a, b, 0xFFFFFF)]
                 m, k = int(keep.sum()), len(spans)
+                digest = xxhash.xxh3_64_intdigest  # of the fragment's bytes and its anchor's place: unrelated to the hash of the anchor
+                same = np.array([digest(plain[t][a : a + n + length - 1], o) for t, a, n, o in zip(own[keep].tolist(), first[keep].tolist(), count[keep].tolist(), off[keep].tolist(), strict=True)], np.uint64).view(np.int64)
                 one = lambda x, y: pa.array(np.concatenate([x, np.array(y, np.int64)]))
                 yield pa.RecordBatch.from_arrays(
                     [one(g[keep].view(np.int64), [(x[0] * 0x9E3779B1 + x[1]) & (1 << 63) - 1 for x in spans]),
-                     pa.array(np.concatenate([mix[keep].view(np.int64), np.zeros(k, np.int64)]), mask=np.arange(m + k) >= m),
+                     pa.array(np.concatenate([same, np.zeros(k, np.int64)]), mask=np.arange(m + k) >= m),
                      one(key[keep], [x[0] for x in spans]),
                      one(first[keep] << 24 | count[keep] << 12 | off[keep], [x[1] << 24 | x[2] - x[1] for x in spans])],
                     names=["g", "same", "key", "at"],

@@ -34,6 +34,57 @@ def test_boundaries_come_from_the_context():
     assert max(len(p) for f in (whole, moved) for p in f.split(":")[1:2]) <= 64
 
 
+def _plain(data):
+    """The fingerprint of a text by loops over its bytes."""
+    import zlib
+
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    if not data:
+        return "3::"
+    trigger = []
+    for i in range(len(data)):
+        h = 0
+        for k in range(7):
+            h += (data[i - k] if i >= k else 0) * pow(0x01000193, k, 1 << 32)
+        h &= 0xFFFFFFFF
+        h ^= h >> 15
+        h = h * 0x85EBCA6B & 0xFFFFFFFF
+        h ^= h >> 13
+        trigger.append((h + 1) & 0xFFFFFFFF)
+
+    def ends(size):
+        return [i + 1 for i, v in enumerate(trigger) if v and v % size == 0 or v == 0]
+
+    def letters_of(at, most):
+        cuts = [0, *at[: most - 1]]
+        cuts += [] if cuts[-1] == len(data) else [len(data)]
+        return "".join(letters[zlib.crc32(data[a:b]) >> 8 & 63] for a, b in zip(cuts, cuts[1:]))
+
+    size = 3
+    while size * 64 < len(data):
+        size *= 2
+    while size > 3 and len(ends(size)) < 31:
+        size //= 2
+    return f"{size}:{letters_of(ends(size), 64)}:{letters_of(ends(2 * size), 32)}"
+
+
+def _like(x, y):
+    if x == y:
+        return 1.0
+    (p, *s), (q, *t) = x.split(":"), y.split(":")
+    sizes = {int(p): s[0], 2 * int(p): s[1]}, {int(q): t[0], 2 * int(q): t[1]}
+    both = [(sizes[0][k], sizes[1][k]) for k in sizes[0] if k in sizes[1]]
+    return max([1 - _distance(a, b) / max(len(a), len(b)) for a, b in both if a and b] or [0.0])
+
+
+def test_fingerprints_against_loops(corpus):
+    texts = [t.encode()[:6000] for t in list(corpus.values())[:40]] + [b"", b"a", b"ab" * 50, bytes(range(256)) * 3]
+    assert fingerprints(texts) == [_plain(t) for t in texts]
+    own = fingerprints(texts)
+    pairs = [(a, b) for a in own for b in own[::5]]
+    assert likeness([a for a, _ in pairs], [b for _, b in pairs]).tolist() == pytest.approx([_like(a, b) for a, b in pairs])
+
+
 def _check(spark, rows, parts):
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, _part int").repartition(parts)
     rows = [(i, t or "") for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1] or ""))]

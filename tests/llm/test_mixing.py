@@ -45,5 +45,23 @@ def test_weights_by_name_empty_and_bound(spark):
     df = spark.createDataFrame(_rows(), "doc_id long, text string, source string")
     assert {r.source for r in mix(df, share=0.2, weights={"s1": 1.0}).where("taken > 0").collect()} == {"s1"}
     assert mix(df.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        mix(df, max_sources=2)
+
+
+@pytest.mark.parametrize("share, cycle", [(1.5, (3, 1, 2)), (0.3, (5, 1)), (5.0, (1,))])
+def test_many_sources_are_weighed_as_water_fills(spark, share, cycle):
+    own = {f"s{i:03d}": [("w " * (1 + (i * j) % 9)).strip() for j in range(1 + i % 5)] for i in range(120)}
+    own["empty"] = [None, "", "  "]
+    df = spark.createDataFrame([(n, t, s) for n, (s, t) in enumerate((s, t) for s, v in own.items() for t in v)], "doc_id long, text string, source string")
+    size = {s: sum(len((t or "").split()) for t in v) for s, v in own.items()}
+    names = sorted(size)
+    want = water_fill([size[n] for n in names], [cycle[i % len(cycle)] for i in range(len(names))], share * sum(size.values()), 2)
+    got = {r.source: r.target for r in mix(df, share=share, cycle=cycle).collect()}
+    assert [got[n] for n in names] == pytest.approx(want)
+
+
+def test_clashing_columns_and_long_texts(spark):
+    rows = [(1, "w " * 60_000, "a", 7, 8, 9, 10, 11), (2, "x y", "b", 7, 8, 9, 10, 11), (3, "z", "b", 7, 8, 9, 10, 11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _times int, _copy int, size int, name int, _row int")
+    out = repeat_to_mix(df)
+    assert out.columns == df.columns and {(r._times, r._copy, r.size, r.name, r._row) for r in out.collect()} == {(7, 8, 9, 10, 11)}
+    assert {r.doc_id: r.size for r in mix(df).collect()} == {1: 60_000, 2: 2, 3: 1}

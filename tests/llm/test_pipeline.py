@@ -8,7 +8,7 @@ import corpus_pipeline as P
 from laneatlas.llm.quality import fit_quality
 from laneatlas.llm.mixing import water_fill
 
-from test_simhash import _brute, _components
+from test_similar import _components, _shingles
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,7 +40,7 @@ def test_copies(spark, docs):
 
 
 def test_near_copies(spark, docs):
-    want = set(_components({r.doc_id: _brute(r.text, 5) for r in docs.collect()}).values())
+    want = set(_components({r.doc_id: _shingles(r.text) for r in docs.collect()}).values())
     assert {r.doc_id for r in P.drop_near_copies(spark, docs, SF).collect()} == want
 
 
@@ -68,3 +68,17 @@ def test_run(spark):
     for r in rows:
         fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
     assert max(fill.values()) <= 2048 and P.ORACLE_SQL is None
+
+
+def test_stages_on_odd_rows(spark, edges):
+    """Nulls, empty and long texts, repeats, ties; then no rows at all: each stage ends, with the columns of documents."""
+    rows = [(i, t, "en", None if k % 2 else "s", None if t is None else len(t), k) for k, (i, t) in enumerate(edges)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _times int")
+    for name, stage in P.STAGES[:-1]:
+        for docs in (df, df.limit(0)):
+            got = stage(spark, docs, SF)
+            assert got.columns == P.COLUMNS
+            n = got.count()
+            assert n == 0 if docs is not df else n <= 2 * len(rows)
+    packed = P.pack_windows(spark, df, SF)
+    assert {r.doc_id for r in packed.collect()} == {i for i, *_ in rows} and P.pack_windows(spark, df.limit(0), SF).count() == 0

@@ -56,8 +56,8 @@ def test_edges(spark, edges):
     assert drop_near_duplicates(spark.createDataFrame(edges, "doc_id long, text string")).count() == len(by)
 
 
-@pytest.mark.parametrize("small, large", [(8, 50_000), (1, 50_000), (2, 40), (10_000, 50_000)])
-def test_every_tier_finds_all_links(spark, small, large):
+@pytest.mark.parametrize("parts, small, block", [(3, 8, 2000), (None, 1, 2000), (2, 2, 7), (4, 1, 3), (3, 10_000, 2000)])
+def test_every_block_finds_all_links(spark, parts, small, block):
     r = random.Random(3)
     fps = set()
     for c in [r.getrandbits(64) for _ in range(12)]:
@@ -69,7 +69,7 @@ def test_every_tier_finds_all_links(spark, small, large):
     sign = lambda x: x - (1 << 64) if x >> 63 else x
     df = spark.createDataFrame([(sign(x),) for x in fps], "fp long")
     want = _components({sign(x): x for x in fps})
-    got = {x.node: x.root for x in components(links(df, small=small, large=large)).collect()}
+    got = {x.node: x.root for x in components(links(df, parts=parts, small=small, block=block)).collect()}
     assert {k: got.get(k, k) for k in want} == want
 
 

@@ -87,3 +87,15 @@ def test_alike_joins_what_brute_force_joins():
         x, y = sorted((find(i), find(j)))
         root[y] = x
     assert {k: find(k) for k in texts} == _components(sets)
+
+
+def test_blocks_of_large_buckets_lose_no_pair(spark, monkeypatch):
+    from laneatlas.llm import similar
+
+    monkeypatch.setattr(similar, "BLOCK", 3)
+    texts = _planted()
+    base = " ".join(f"h{i}" for i in range(60))
+    texts |= {1000 + k: base + f" own{k}" for k in range(40)}  # one group of near copies
+    sets = {k: _shingles(t) for k, t in texts.items()}
+    df = spark.createDataFrame([(k, t) for k, t in texts.items()], "doc_id long, text string")
+    assert {r.doc_id for r in drop_similar(df).collect()} == set(_components(sets).values())
