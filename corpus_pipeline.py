@@ -23,7 +23,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies, on shingles of five words: all pairs with a Jaccard similarity of 0.8 or more are linked.
-    SimHashes of 64 bits (op 5) differ in some 10 bits there, too many for an index; bands of MinHash name the candidates instead."""
+    The multi-index hashing of op 5 joins the close copies; as SimHashes differ in some 10 bits at 0.8, bands of MinHash name the rest. All are verified."""
     return similar.drop_similar(docs, words=5, least=0.8).select(COLUMNS)
 
 
@@ -52,6 +52,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir; each result is written as Parquet and read back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    others = set(common.work_tables())
     for _, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir))
+        path = common.shared_dir(spark)
+        docs = common.written(stage(spark, docs, sf_dir), path)
+        for old in set(common.work_tables()) - others - {path}:  # also what the stage before has written
+            common.remove(spark, old)
     return STAGES[-1][1](spark, docs, sf_dir)
