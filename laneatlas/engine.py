@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laneatlas.functions import geo, shapes
-from laneatlas.operators import contours, heatmap, learning, markings, tiles, traffic
+from laneatlas.operators import contours, filters, heatmap, learning, markings, raster, tiles, traffic
 from laneatlas.sources import locations
 from laneatlas.streaming import tracker
 
@@ -43,7 +43,7 @@ class Engine:
     def heatmap(self, points: DataFrame, width: int, height: int, grid: int = 50, bounds: tuple | None = None, road_ratio: float | None = None) -> DataFrame:
         """One heatmap document of pixel positions px, py."""
         _within("grid", grid, 10, 200)
-        b = geo.bounds_literal(*(bounds or locations.NYC))
+        b = geo.bounds_literal(*(bounds or locations.DEFAULT_BOUNDS))
         b = geo.road_bounds(b, ratio=road_ratio) if road_ratio else b
         return heatmap.document(heatmap.heatmap(traffic.density(points, "px", "py", width, height, grid), grid), grid, b)
 
@@ -53,7 +53,58 @@ class Engine:
         _within("rate", rate, 1, 30)
         seen = traffic.plausible_detections(traffic.sample_frames(detections, rate, max_frames, "frame_id"))
         cells = tracker.density(tracker.track(seen), width, height, grid)
-        return heatmap.document(heatmap.heatmap(cells, grid), grid, geo.road_bounds(geo.bounds_literal(*(bounds or locations.NYC)), ratio=0.4))
+        return heatmap.document(heatmap.heatmap(cells, grid), grid, geo.road_bounds(geo.bounds_literal(*(bounds or locations.DEFAULT_BOUNDS)), ratio=0.4))
+
+    def motion(self, frames: DataFrame, width: int, height: int, grid: int = 50, rate: int = 5, max_frames: int | None = None, bounds: tuple | None = None) -> DataFrame:
+        """One heatmap document of moving pixels in footage (frames as in sources/frames.py): background model, ellipse 5 x 5 opening and 7 x 7
+        closing, area means of the grid, their mean over frames, smoothing over 21 cells."""
+        _within("grid", grid, 10, 200)
+        _within("rate", rate, 1, 30)
+        seen = traffic.sample_frames(frames, rate, max_frames, "frame_idx")
+        moving = filters.foreground(seen).select(F.concat_ws(":", "video_id", "frame_idx").alias("k"), "r", "c")
+        clean = raster.closed(raster.opened(moving, "k", raster.ellipse(5), height, width), "k", raster.ellipse(7), height, width)
+        cells = raster.area_resampled(clean.withColumn("v", F.lit(1.0)), "k", height, width, grid)
+        mean = raster.accumulated(cells, seen.agg(F.count("*").alias("n")))
+        intensity = heatmap.by_maximum(heatmap.smooth(mean, grid, 21))
+        return heatmap.document(intensity, grid, geo.bounds_literal(*(bounds or locations.DEFAULT_BOUNDS)), least=0.001)
+
+    def footage(self, frames: DataFrame, width: int, height: int, rate: int = 2, max_frames: int | None = None, **how) -> DataFrame:
+        """One heatmap document of vehicles in footage: background model (variance 50), opening and closing, boxes of components, tracker."""
+        _within("rate", rate, 1, 30)
+        seen = traffic.sample_frames(frames, rate, max_frames, "frame_idx")
+        return self.traffic(self.detections(seen, width, height), width, height, rate=1, **how)
+
+    def detections(self, frames: DataFrame, width: int, height: int) -> DataFrame:
+        """Boxes of moving things: video_id, frame_id, event_id (in reading order), x, y, w, h."""
+        moving = filters.foreground(frames, near=50).select(F.concat_ws(":", "video_id", "frame_idx").alias("k"), "r", "c")
+        clean = raster.closed(raster.opened(moving, "k", raster.ellipse(5), height, width), "k", raster.ellipse(7), height, width)
+        found = contours.contours(clean, "k", height, width).where(F.col("area").between(500, 50_000))
+        name = F.split("k", ":(?=[0-9]+$)")
+        return found.select(name[0].alias("video_id"), name[1].cast("long").alias("frame_id"), F.col("part").cast("long").alias("event_id"), "x", "y", "w", "h")
+
+    def extract(self, gray: DataFrame, key: str, width: int, height: int, threshold: int = 200, min_area: float = 100, rule: str = "v1", bounds: tuple | None = None) -> DataFrame:
+        """Features of markings in gray images (key, r, c, gray): equalising, smoothing, bilateral filter, strict threshold, line-like
+        openings, closing, then markings() with simplified and repaired rings."""
+        _within("threshold", threshold, 0, 255)
+        level = filters.filtered(gray, key, "equalized", height, width)
+        soft = raster.blurred(level, key, 5, height, width).select(key, "r", "c", F.round("v").cast("int").alias("v"))
+        flat = filters.filtered(soft, key, "bilateral", height, width, value="v")
+        mask = raster.line_mask(flat, key, threshold, height, width, value="v")
+        return self.markings(mask, key, width, height, min_area, bounds, rule)
+
+    def demo(self, bounds: tuple | None = None) -> tuple[DataFrame, DataFrame]:
+        """Invented features and one invented heatmap document."""
+        at = bounds or locations.DEFAULT_BOUNDS
+        return markings.demo(self.spark, at), heatmap.demo_document(self.spark, at)
+
+    def complete(self, place: str, mask: DataFrame, key: str, width: int, height: int, detections: DataFrame | None = None) -> dict[str, DataFrame]:
+        """The whole route of a place: its tiles, the markings on its imagery and, with detections, the heatmap of its traffic; nothing runs yet."""
+        row = locations.location(self.spark, place).first()
+        sides = (row["min_lat"], row["max_lat"], row["min_lon"], row["max_lon"])
+        out = {"tiles": self.tiles(place), "markings": self.markings(mask, key, width, height, bounds=sides)}
+        if detections is not None:
+            out["traffic"] = self.traffic(detections, 640, 480, bounds=sides)
+        return out
 
     def markings(self, mask: DataFrame, key: str, width: int, height: int, min_area: float = 80, bounds: tuple | None = None, rule: str = "v2") -> DataFrame:
         """Features of the markings of binary images (key, r, c of set pixels); rule: v2, v1, trainer or parallel."""
@@ -68,8 +119,8 @@ class Engine:
         else:
             kept = found.where(shapes.keep_marking_rotated(area, c("long"), c("short"), width * height, min_area))
             rules = {"v1": lambda: shapes.classify_v1(area, around, c("long"), c("short")), "trainer": lambda: shapes.classify_trainer(area, around, c("long"), c("short")), "parallel": lambda: shapes.classify_parallel(c("long"), c("short"))}
-            kept = kept.withColumn("type", rules[rule]()).withColumn("confidence", shapes.confidence(area, around))
-        return markings.features(markings.numbered(kept, key, ["part"]), width, height, geo.bounds_literal(*(bounds or locations.NYC)))
+            kept = kept.withColumn("type", rules[rule]()).withColumn("confidence", shapes.confidence(area, around)).withColumn("ring", c("simple"))
+        return markings.features(markings.numbered(kept, key, ["part"]), width, height, geo.bounds_literal(*(bounds or locations.DEFAULT_BOUNDS)))
 
     def train(self, samples: DataFrame, trees: int = 200):
         """A balanced forest on samples (f: nine numbers, label)."""

@@ -91,6 +91,15 @@ def classify_cv(area: Column, perimeter: Column, w: Column, h: Column) -> Column
 CLASS_NAMES = {0: "background", 1: "lane_line", 2: "crosswalk", 3: "arrow", 4: "stop_line"}
 
 
+#: Red, green and blue of each class on overlays.
+CLASS_COLOURS = {0: (0, 0, 0), 1: (255, 255, 0), 2: (255, 255, 255), 3: (0, 255, 0), 4: (255, 0, 0)}
+
+
+def class_colour(class_id: Column) -> Column:
+    rgb = lambda v: F.struct(*[F.lit(x).alias(n) for n, x in zip(("red", "green", "blue"), v, strict=True)])
+    return F.create_map(*[x for k, v in CLASS_COLOURS.items() for x in (F.lit(k), rgb(v))])[class_id]
+
+
 def class_name(class_id: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in CLASS_NAMES.items() for x in kv])[class_id]
 

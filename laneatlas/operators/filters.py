@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from laneatlas.operators.heatmap import gaussian, mirrored
+from laneatlas.operators.heatmap import constant_table, gaussian, mirrored
 from laneatlas.session import ship
 
 
@@ -90,6 +95,19 @@ class Background:
         self.m = np.zeros((modes, *shape))
         self.v = np.full((modes, *shape), 15.0)
 
+    def dump(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, w=self.w, m=self.m, v=self.v, how=np.array([self.history, self.near, self.modes, self.share, self.n]))
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, data: bytes) -> Background:
+        with np.load(io.BytesIO(data), allow_pickle=False) as f:
+            history, near, modes, share, n = f["how"].tolist()
+            made = cls(f["w"].shape[1:], int(history), near, int(modes), share)
+            made.n, made.w, made.m, made.v = int(n), f["w"], f["m"], f["v"]
+        return made
+
     def apply(self, image: np.ndarray) -> np.ndarray:
         x = image.astype(float)
         self.n += 1
@@ -152,19 +170,82 @@ def filtered(pixels: DataFrame, key: str, kernel: str, high: int, wide: int, val
     return pixels.groupBy(key).applyInPandas(run, f"{key} {dict(pixels.dtypes)[key]}, r int, c int, v int")
 
 
-def foreground(frames: DataFrame, video: str, frame: str, high: int, wide: int, value: str = "gray", history: int = 500, near: float = 16) -> DataFrame:
-    """video, frame, r, c of moving pixels (shadows left out) by a background model that runs through each video in frame order.
+def in_frame_order(rows: DataFrame, video: str, frame: str, *ties: str) -> DataFrame:
+    """Each video's rows in one partition, by frame: a kernel then steps over Arrow batches with its state in hand, never a whole video."""
+    return rows.repartition(F.col(video)).sortWithinPartitions(video, frame, *ties)
 
-    Sequential within a video, which is one group; videos run side by side.
-    """
+
+def foreground(frames: DataFrame, history: int = 500, near: float = 16) -> DataFrame:
+    """video_id, frame_idx, r, c of moving pixels (shadows left out) of frames (see sources/frames.py), by a background model that runs through
+    each video in frame order. Sequential within a video; videos run side by side; a task holds one model and one batch of frames."""
     ship(frames.sparkSession)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        model, out = Background((high, wide), history, near), []
-        for k, part in pdf.groupby(frame, sort=True):
-            r, c = np.nonzero(model.apply(_dense(part, high, wide, value)) > 200)
-            out.append(pd.DataFrame({video: pdf[video].iloc[0], frame: k, "r": r, "c": c}))
-        return pd.concat(out)
-
-    kinds = dict(frames.dtypes)
-    return frames.groupBy(video).applyInPandas(run, f"{video} {kinds[video]}, {frame} {kinds[frame]}, r int, c int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, model = None, None
+        for batch in batches:
+            for video, k, high, wide, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if video != now:
+                    now, model = video, Background((high, wide), history, near)
+                r, c = np.nonzero(model.apply(np.frombuffer(data, np.uint8).reshape(high, wide)) > 200)
+                yield pa.RecordBatch.from_arrays([pa.array([video] * len(r), pa.string()), pa.array(np.full(len(r), k, np.int64)), pa.array(r.astype(np.int32)), pa.array(c.astype(np.int32))], names=["video_id", "frame_idx", "r", "c"])
+
+    rows = in_frame_order(frames.select("video_id", "frame_idx", "height", "width", "image"), "video_id", "frame_idx")
+    return rows.mapInArrow(run, MOVING)
+
+
+MOVING = "video_id string, frame_idx long, r int, c int"
+
+
+def foreground_stream(frames: DataFrame, history: int = 500, near: float = 16) -> DataFrame:
+    """As foreground(), over a stream whose frames arrive in order; each video's model is state in the query's checkpoint."""
+    ship(frames.sparkSession)
+
+    def run(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        rows = sorted((r for part in parts for r in part.itertuples(index=False)), key=lambda r: r.frame_idx)
+        model = Background.load(state.get[0]) if state.exists else None
+        out = []
+        for f in rows:
+            model = model or Background((f.height, f.width), history, near)
+            r, c = np.nonzero(model.apply(np.frombuffer(f.image, np.uint8).reshape(f.height, f.width)) > 200)
+            out.append(pd.DataFrame({"video_id": key[0], "frame_idx": f.frame_idx, "r": r, "c": c}))
+        state.update((model.dump(),))
+        yield pd.concat(out)
+
+    rows = frames.select("video_id", "frame_idx", "height", "width", "image")
+    return rows.groupBy("video_id").applyInPandasWithState(run, MOVING, "model binary", "append", "NoTimeout")
+
+
+def flow_between(frames: DataFrame, window: int = 5, scale: float = 10) -> DataFrame:
+    """video_id, frame_idx, r, c, dx, dy, magnitude (times scale, held within 255) from each frame to the next of its video."""
+    ship(frames.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None
+        for batch in batches:
+            for video, k, high, wide, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                image = np.frombuffer(data, np.uint8).reshape(high, wide)
+                if video == now:
+                    dx, dy = (v.ravel() for v in flow(last, image, window))
+                    r, c = (v.ravel() for v in np.indices((high, wide), np.int32))
+                    size = np.minimum(255, np.hypot(dx, dy) * scale)
+                    yield pa.RecordBatch.from_arrays([pa.array([video] * r.size), pa.array(np.full(r.size, k, np.int64)), *map(pa.array, (r, c, dx, dy, size))], names=["video_id", "frame_idx", "r", "c", "dx", "dy", "magnitude"])
+                now, last = video, image
+
+    rows = in_frame_order(frames.select("video_id", "frame_idx", "height", "width", "image"), "video_id", "frame_idx")
+    return rows.mapInArrow(run, "video_id string, frame_idx long, r int, c int, dx double, dy double, magnitude double")
+
+
+def resized(pixels: DataFrame, key: str, high: int, wide: int, new_high: int, new_wide: int, value: str = "gray") -> DataFrame:
+    """key, r, c, v: images resized bilinearly, pixel centres aligned; two joins with tables of two weights a line (broadcast)."""
+    spark = pixels.sparkSession
+
+    def weights(n: int, m: int) -> DataFrame:
+        rows = []
+        for t in range(m):
+            at = min(n - 1.0, max(0.0, (t + 0.5) * n / m - 0.5))
+            low = int(at)
+            rows += [(low, t, 1 - (at - low))] + ([(low + 1, t, at - low)] if at > low else [])
+        return F.broadcast(constant_table(spark, rows, s=pa.int32(), t=pa.int32(), k=pa.float64()))
+
+    out = pixels.join(weights(wide, new_wide), F.col("c") == F.col("s")).groupBy(key, "r", F.col("t").alias("c")).agg(F.sum(F.col(value) * F.col("k")).alias("v"))
+    return out.join(weights(high, new_high), F.col("r") == F.col("s")).groupBy(key, F.col("t").alias("r"), "c").agg(F.sum(F.col("v") * F.col("k")).alias("v"))

@@ -87,11 +87,23 @@ def document(cells: DataFrame, grid: int, bounds: Column, least: float = 0.01) -
     return listed.crossJoin(F.broadcast(statistics(cells, least).select(F.struct("*").alias("statistics")))).select(bounds.alias("bounds"), F.lit(grid).alias("grid_size"), "points", "statistics")
 
 
+#: Centres (x, y) of the invented clusters, and the statistics stated with them.
+DEMO_CENTRES = ((0.3, 0.5), (0.5, 0.5), (0.7, 0.5), (0.5, 0.3), (0.5, 0.7))
+DEMO_STATISTICS = {"max_intensity": 1.0, "min_intensity": 0.3, "mean_intensity": 0.65}
+
+
+def demo_document(spark: SparkSession, bounds: tuple[float, float, float, float], grid: int = 50) -> DataFrame:
+    """One heatmap document of invented points; its statistics are stated, not measured."""
+    listed = demo_points(spark, bounds).agg(F.collect_list(F.struct("lat", "lon", "intensity")).alias("points"))
+    stated = F.struct(*[F.lit(v).alias(k) for k, v in DEMO_STATISTICS.items()], F.size("points").cast("long").alias("total_points"), F.lit(0).alias("frames_processed"))
+    return listed.select(geo.bounds_literal(*bounds).alias("bounds"), F.lit(grid).alias("grid_size"), "points", stated.alias("statistics"))
+
+
 def demo_points(spark: SparkSession, bounds: tuple[float, float, float, float], n: int = 200, seed: int = 42) -> DataFrame:
     """Invented points about five centres, with a normal jitter of 0.1 in normalised coordinates, and intensities of 0.3 to 1."""
-    centres = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.3, 0.3), (0.7, 0.3), (0.5, 0.5), (0.3, 0.7), (0.7, 0.7))])
-    at = spark.range(n).select("id", F.get(centres, (F.col("id") % 5).cast("int")).alias("c"))
+    centres = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in DEMO_CENTRES])
+    at = spark.range(n).select("id", F.get(centres, F.floor(F.rand(seed + 3) * 5).cast("int")).alias("c"))
     hold = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
-    at = at.select("id", hold(F.col("c.x") + 0.1 * F.randn(seed)).alias("x"), hold(F.col("c.y") + 0.1 * F.randn(seed + 1)).alias("y"), (0.3 + 0.7 * F.rand(seed + 2)).alias("intensity"))
+    at = at.select("id", hold(F.col("c.x") + 0.1 * F.randn(seed)).alias("x"), hold(F.col("c.y") + 0.1 * F.randn(seed + 1)).alias("y"), F.round(0.3 + 0.7 * F.rand(seed + 2), 4).alias("intensity"))
     a, b, c, d = bounds
     return at.select("id", (a + F.col("y") * (b - a)).alias("lat"), (c + F.col("x") * (d - c)).alias("lon"), "intensity")

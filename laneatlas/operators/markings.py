@@ -50,6 +50,12 @@ def class_pixels(mask: DataFrame, cls: str = "cls") -> DataFrame:
     return n.crossJoin(total).where(F.col(cls) != 0).select(cls, "pixels", F.round(100 * F.col("pixels") / F.col("_all"), 2).alias("percentage"))
 
 
+def largest(parts: DataFrame, key: str, size: str, k: int, *ties: str) -> DataFrame:
+    """The k largest rows of each image."""
+    w = Window.partitionBy(key).orderBy(F.desc(size), *ties)
+    return parts.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k).withColumnRenamed("_rank", "rank")
+
+
 def brightness(images: DataFrame, key: str, v: str = "gray", bright: int = 180) -> DataFrame:
     """Per image: mean of bright pixels (null if none), extremes, and the share of bright pixels in percent."""
     on = F.when(F.col(v) > bright, F.col(v))
@@ -65,14 +71,14 @@ def marking_masks(rgb: DataFrame, white_from: int = 180) -> DataFrame:
 
 
 #: Colours of marking types on the map, and of any other.
-COLOURS = {"lane_line": "#00ff00", "crosswalk": "#ffff00", "arrow": "#ff00ff", "stop_line": "#ff0000"}
-OTHER_COLOUR = "#ffffff"
+COLOURS = {"lane_line": "#FFFF00", "crosswalk": "#FF00FF", "stop_line": "#FF0000", "arrow": "#00FF00", "unknown": "#FFA500"}
+OTHER_COLOUR = "#FFA500"
 
 
 def styled(markings: DataFrame, kind: str = "type") -> DataFrame:
-    """markings with a colour by type and a title (words with capitals, no underscores)."""
+    """markings with a colour by type and a title (capitals, the first underscore a space; "Unknown" without a type)."""
     look_up = F.create_map(*[F.lit(x) for kv in COLOURS.items() for x in kv])
-    title = F.initcap(F.replace(F.coalesce(F.col(kind), F.lit("unknown")), F.lit("_"), F.lit(" ")))
+    title = F.coalesce(F.upper(F.regexp_replace(F.col(kind), "^([^_]*)_", "$1 ")), F.lit("Unknown"))
     return markings.withColumn("colour", F.coalesce(F.try_element_at(look_up, F.col(kind)), F.lit(OTHER_COLOUR))).withColumn("title", title)
 
 
@@ -81,13 +87,24 @@ def in_view(points: DataFrame, width: int, height: int, margin: int = 50, x: str
     return points.where(F.col(x).between(-margin, width + margin) & F.col(y).between(-margin, height + margin))
 
 
+def label(kind: Column, confidence: Column) -> Column:
+    """What stands beside a marking on an annotated image: four letters of its type and its confidence in percent."""
+    return F.format_string("%s %s%%", F.substring(kind, 1, 4), F.bround(confidence * 100, 0).cast("int"))
+
+
+def annotated_name(path: Column) -> Column:
+    """The name of the annotated image of a document."""
+    return F.replace(path, F.lit(".geojson"), F.lit("_detection.png"))
+
+
 def demo(spark, bounds: tuple[float, float, float, float]) -> DataFrame:
-    """Invented features: three lane lines across, five crosswalk bars and a stop line, as kind, number and ring of [lon, lat]."""
+    """Invented features: three upright lane lines, five bars of a crosswalk and a stop line, as id, type, confidence and ring of [lon, lat]."""
     low, high, west, east = bounds
     at = lambda fx, fy: F.array(F.lit(west) + fx * (east - west), F.lit(low) + fy * (high - low))
-    box = lambda x, y, w, h: F.array(at(x, y), at(x + w, y), at(x + w, y + h), at(x, y + h), at(x, y))
-    n = F.col("id").cast("double")
-    lanes = spark.range(3).select(F.lit("lane_line").alias("type"), "id", F.array(at(F.lit(0.1), 0.3 + n * 0.2), at(F.lit(0.9), 0.3 + n * 0.2)).alias("ring"))
-    bars = spark.range(5).select(F.lit("crosswalk").alias("type"), "id", box(0.3 + n * 0.08, F.lit(0.45), 0.04, 0.1).alias("ring"))
-    stop = spark.range(1).select(F.lit("stop_line").alias("type"), "id", box(F.lit(0.2), F.lit(0.4), 0.6, 0.02).alias("ring"))
+    box = lambda x, y, x2, y2: F.array(at(x, y), at(x2, y), at(x2, y2), at(x, y2), at(x, y))
+    n, lit = F.col("id").cast("double"), F.lit
+    lanes = spark.range(3).select("id", lit("lane_line").alias("type"), lit(0.85).alias("confidence"), F.array(at(0.3 + n * 0.2, lit(0.1)), at(0.3 + n * 0.2, lit(0.9))).alias("ring"))
+    y = 0.48 + n * 0.01
+    bars = spark.range(5).select((F.col("id") + 3).alias("id"), lit("crosswalk").alias("type"), lit(0.92).alias("confidence"), box(lit(0.25), y, lit(0.75), y + 0.008).alias("ring"))
+    stop = spark.range(1).select((F.col("id") + 8).alias("id"), lit("stop_line").alias("type"), lit(0.88).alias("confidence"), box(lit(0.25), lit(0.45), lit(0.45), lit(0.46)).alias("ring"))
     return lanes.unionByName(bars).unionByName(stop)

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from laneatlas.functions import pixels as pixel
 from laneatlas.operators.heatmap import constant_table, kernel_table
 
 
@@ -38,13 +39,28 @@ def _spread(mask: DataFrame, key: str, element: list[tuple[int, int]], high: int
     return mask.select(key, F.col("r").alias("sr"), F.col("c").alias("sc"), o).select(key, (F.col("sr") - F.col("o.r")).alias("r"), (F.col("sc") - F.col("o.c")).alias("c")).where(_inside(high, wide))
 
 
+def _sides(element) -> list | None:
+    """A rectangular element as a column and a row of it, which have the same effect one after the other."""
+    rows, cols = sorted({r for r, _ in element}), sorted({c for _, c in element})
+    if len(rows) > 1 and len(cols) > 1 and len(element) == len(rows) * len(cols):
+        return [[(r, 0) for r in rows], [(0, c) for c in cols]]
+
+
 def dilate(mask: DataFrame, key: str, element, high: int, wide: int) -> DataFrame:
-    """Places whose element covers a set pixel; mask: key, r, c of set pixels."""
+    """Places whose element covers a set pixel; mask: key, r, c of set pixels. A rectangle costs the sum of its sides, not their product."""
+    for side in _sides(element) or []:
+        mask = dilate(mask, key, side, high, wide)
+    if _sides(element):
+        return mask
     return _spread(mask, key, element, high, wide).distinct()
 
 
 def erode(mask: DataFrame, key: str, element, high: int, wide: int) -> DataFrame:
     """Places whose element covers only set pixels; cells beyond the border do not count."""
+    for side in _sides(element) or []:
+        mask = erode(mask, key, side, high, wide)
+    if _sides(element):
+        return mask
     need = sum([_in(F.col("r") + r, high) * _in(F.col("c") + c, wide) for r, c in element], F.lit(0))
     return _spread(mask, key, element, high, wide).groupBy(key, "r", "c").agg(F.count("*").alias("n")).where(F.col("n") == need).select(key, "r", "c")
 
@@ -70,6 +86,23 @@ def lines_kept(mask: DataFrame, key: str, high: int, wide: int) -> DataFrame:
     return opened(mask, key, rectangle(7, 1), high, wide).union(opened(mask, key, rectangle(1, 7), high, wide)).distinct()
 
 
+def line_mask(gray: DataFrame, key: str, threshold: int, high: int, wide: int, value: str = "gray") -> DataFrame:
+    """Set pixels of line-like bright markings: brighter than threshold + 20, opened twice over by 2 x 2 (two erosions, then two dilations),
+    then only what a 7-pixel row or column keeps; no edges are looked for, so the combined mask is this one closed by 3 x 3."""
+    mask = gray.where(F.col(value) > threshold + 20).select(key, "r", "c")
+    return closed(lines_kept(denoised(mask, key, high, wide), key, high, wide), key, rectangle(3, 3), high, wide)
+
+
+def denoised(mask: DataFrame, key: str, high: int, wide: int, times: int = 2) -> DataFrame:
+    """Opening by 2 x 2 with `times` erosions before as many dilations."""
+    tiny = rectangle(2, 2)
+    for _ in range(times):
+        mask = erode(mask, key, tiny, high, wide)
+    for _ in range(times):
+        mask = dilate(mask, key, _flip(tiny), high, wide)
+    return mask
+
+
 def near(points: DataFrame, mask: DataFrame, key: str, size: int, high: int, wide: int) -> DataFrame:
     """points whose pixel lies in the mask dilated by a size x size square."""
     return points.join(dilate(mask, key, rectangle(size, size), high, wide), [key, "r", "c"], "left_semi")
@@ -101,18 +134,31 @@ def area_resampled(pixels: DataFrame, key: str, high: int, wide: int, grid: int,
     return out.groupBy(key, "gy", "gx").agg(F.sum(F.col(value) * F.col("wy") * F.col("wx")).alias("v"))
 
 
-def variants(pixels: DataFrame, size: int) -> DataFrame:
-    """Five turns of square images (column variant): same, mirrored, upside down, quarter and half turn."""
+#: Thresholds of the smaller and of the larger augmentation.
+FEW_THRESHOLDS, MANY_THRESHOLDS = (150, 180, 200), (170, 180, 190, 200, 210, 220, 230)
+
+
+def variants(pixels: DataFrame, size: int, names: tuple[str, ...] = ("same", "mirrored", "flipped", "quarter", "half")) -> DataFrame:
+    """Turns of square images (column variant): same, mirrored, flipped (upside down), quarter (to the left), clockwise, half."""
     r, c, top = F.col("r"), F.col("c"), F.lit(size - 1)
-    turns = {"same": (r, c), "mirrored": (r, top - c), "flipped": (top - r, c), "quarter": (top - c, r), "half": (top - r, top - c)}
+    turns = {"same": (r, c), "mirrored": (r, top - c), "flipped": (top - r, c), "quarter": (top - c, r), "clockwise": (c, top - r), "half": (top - r, top - c)}
+    turns = {n: turns[n] for n in names}
     v = F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), y.alias("r"), x.alias("c")) for n, (y, x) in turns.items()])).alias("t")
     rest = [x for x in pixels.columns if x not in ("r", "c")]
     return pixels.select(*rest, v).select(*rest, "t.variant", "t.r", "t.c")
 
 
-def accumulated(frames: DataFrame, n_frames: int) -> DataFrame:
-    """Sum over frames of cells gy, gx, v divided by the number of frames; absent cells count as 0."""
-    return frames.groupBy("gy", "gx").agg((F.sum("v") / n_frames).alias("v"))
+def augmented(images: DataFrame, size: int, value: str = "gray") -> DataFrame:
+    """Eight variants (six turns, two gammas) of square gray images at seven thresholds: set pixels with variant and t."""
+    turned = variants(images, size, ("same", "flipped", "mirrored", "clockwise", "quarter", "half"))
+    lit = [images.withColumn("variant", F.lit(f"gamma_{g}")).withColumn(value, pixel.gamma(F.col(value), g)) for g in (0.8, 1.2)]
+    all_ = turned.unionByName(lit[0]).unionByName(lit[1])
+    return all_.withColumn("t", F.explode(F.array(*[F.lit(t) for t in MANY_THRESHOLDS]))).where(F.col(value) > F.col("t"))
+
+
+def accumulated(frames: DataFrame, n_frames: DataFrame) -> DataFrame:
+    """Sum over frames of cells gy, gx, v divided by the number of frames (n, one row, broadcast); absent cells count as 0."""
+    return frames.groupBy("gy", "gx").agg(F.sum("v").alias("v")).crossJoin(F.broadcast(n_frames)).select("gy", "gx", (F.col("v") / F.col("n")).alias("v"))
 
 
 def stitched(tiles: DataFrame) -> DataFrame:

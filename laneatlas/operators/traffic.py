@@ -35,11 +35,13 @@ def displacements(points: DataFrame) -> DataFrame:
 def velocities(points: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """track_id, vx, vy: displacements folded from (0, 0) with weight alpha for the newest, in frame order.
 
-    The fold runs over a track's own steps, which are one array; tracks of a video are short.
+    The fold in closed form: a displacement that j others follow weighs alpha (1 - alpha)^j. A window over each track, then sums, so that no
+    track is held as one value.
     """
-    steps = displacements(points).where("dx is not null").groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "dx", "dy"))).alias("s"))
-    fold = lambda c: F.aggregate("s", F.lit(0.0), lambda a, s: alpha * s[c] + (1 - alpha) * a)
-    return steps.select("track_id", fold("dx").alias("vx"), fold("dy").alias("vy"))
+    last_first = Window.partitionBy("track_id").orderBy(F.desc("frame_idx"))
+    steps = displacements(points).where("dx is not null").withColumn("_j", F.row_number().over(last_first) - 1)
+    weight = F.lit(alpha) * F.pow(F.lit(1.0 - alpha), F.col("_j"))
+    return steps.groupBy("track_id").agg(F.sum(weight * F.col("dx")).alias("vx"), F.sum(weight * F.col("dy")).alias("vy"))
 
 
 def path_lengths(points: DataFrame) -> DataFrame:
@@ -54,6 +56,12 @@ def predicted(points: DataFrame) -> DataFrame:
     return last.join(velocities(points), "track_id", "left").select("track_id", cut(F.col("p.px") + F.coalesce("vx", F.lit(0.0))).alias("px"), cut(F.col("p.py") + F.coalesce("vy", F.lit(0.0))).alias("py"))
 
 
+def still_live(lost: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Of the ids lost between steps (step, track_id) those that the tracker still has: seen again at a later step."""
+    again = tracks.groupBy("track_id").agg(F.max("step").alias("_last"))
+    return lost.join(again, "track_id").where(F.col("_last") > F.col("step")).drop("_last")
+
+
 def density(points: DataFrame, x: str, y: str, width: int, height: int, grid: int = 50) -> DataFrame:
     """Occupied cells gy, gx and their count n; partial counts are summed before the shuffle."""
     return points.select(geo.cell(F.col(y), height, grid).alias("gy"), geo.cell(F.col(x), width, grid).alias("gx")).groupBy("gy", "gx").agg(F.count("*").alias("n"))

@@ -90,7 +90,9 @@ select x, y, round({_LAT.format(y='y+1', z=8)}, 9) as min_lat, round({_LAT.forma
     "area_tile_scan": (area_tile_scan, _TILES),
     "stitched_extent": (stitched_extent, f"""with r as ({_RANGE}) select id, zoom, min_x, max_x, min_y, max_y, (max_x-min_x+1)*256 as width, (max_y-min_y+1)*256 as height,
 round({_LAT.format(y='max_y+1', z='zoom')}, 9) as min_lat, round({_LAT.format(y='min_y', z='zoom')}, 9) as max_lat, round({_LON.format(x='min_x', z='zoom')}, 9) as min_lon, round({_LON.format(x='(max_x+1)', z='zoom')}, 9) as max_lon from r"""),
-    "location_list": (location_list, f"select * from {L.SQL}"),
+    "location_list": (location_list, """select * from (values ('times_square_nyc', 'Times Square, New York', 40.7565::double, 40.7595::double, -73.989::double, -73.984::double, 19),
+('shibuya_tokyo', 'Shibuya Crossing, Tokyo', 35.658, 35.661, 139.699, 139.703, 19), ('champs_elysees_paris', 'Champs-Élysées, Paris', 48.869, 48.872, 2.305, 2.31, 19),
+('highway_intersection', 'Highway Intersection Sample', 40.748, 40.752, -73.992, -73.987, 18), ('downtown_la', 'Downtown Los Angeles', 34.048, 34.052, -118.255, -118.249, 19)) t(id, name, min_lat, max_lat, min_lon, max_lon, zoom)"""),
     "points_in_locations": (points_in_locations, f"select p.id, l.id as place from {SQL['geo_points']} p join {L.SQL} l on p.lat between l.min_lat-15 and l.max_lat+15 and p.lon between l.min_lon-15 and l.max_lon+15"),
     "nearest_centre": (nearest_centre, f"select id, arg_min(place, (d2, place)) as place, min(d2) as d2 from (select id, place, round((clat-lat)*(clat-lat)+(clon-lon)*(clon-lon),3) as d2 from {SQL['geo_points']}, ({_CENTRES})) group by id"),
     "pixel_to_geo": (pixel_to_geo, f"select event_id, round({_C}::double+px/640.0::double*({_D}::double-({_C}::double)),9) as lon, round({_B}::double-py/480.0::double*({_B}::double-{_A}::double),9) as lat from {SQL['heat_points']}"),

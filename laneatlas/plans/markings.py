@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from laneatlas.functions import geo, shapes
 from laneatlas.operators import markings as M
 from laneatlas.sources.adapters import SQL, view
-from laneatlas.sources.locations import NYC
+from laneatlas.sources.locations import DEFAULT_BOUNDS, NYC
 
 IMAGE = 1920 * 1080
 
@@ -80,7 +80,24 @@ def viewport_cull(spark, d):
 
 
 def demo_features(spark, d):
-    return M.demo(spark, NYC).select("type", "id", F.size("ring").alias("n"), F.round(F.col("ring")[1][0], 6).alias("lon"), F.round(F.col("ring")[1][1], 6).alias("lat"))
+    ring = F.array_join(F.transform("ring", lambda p: F.format_string("%.7f %.7f", p[0], p[1])), ",")
+    return M.demo(spark, DEFAULT_BOUNDS).select("id", "type", "confidence", ring.alias("ring"))
+
+
+def marking_labels(spark, d):
+    name = F.concat(F.lit("markings_"), F.col("l_orderkey"), F.lit(".geojson"))
+    return classify_v2(spark, d).select("l_orderkey", "l_linenumber", M.label(F.col("type"), F.col("confidence")).alias("label"), M.annotated_name(name).alias("picture"))
+
+
+def class_palette(spark, d):
+    c = spark.range(5).select(F.col("id").cast("int").alias("cls"))
+    rgb = shapes.class_colour(F.col("cls"))
+    return c.select("cls", shapes.class_name(F.col("cls")).alias("name"), rgb["red"].alias("red"), rgb["green"].alias("green"), rgb["blue"].alias("blue"))
+
+
+def noise_filters(spark, d):
+    r = _regions(spark, d)
+    return r.agg(*[F.count_if(F.col("area") >= n).alias(f"from_{n}") for n in (30, 50, 100)])
 
 
 _R = SQL["regions"]
@@ -100,13 +117,22 @@ _LAT = f"({_S[1]}-({{y}})/480.0::double*({_S[1]}-{_S[0]}))"
 _CORNERS = [("x", "y"), ("x+w-1", "y"), ("x+w-1", "y+h-1"), ("x", "y+h-1"), ("x", "y")]
 _RING = ", ".join(_LON.format(x=x) + ", " + _LAT.format(y=y) for x, y in _CORNERS)
 
-_COLOUR = "case type " + " ".join(f"when '{k}' then '{v}'" for k, v in M.COLOURS.items()) + f" else '{M.OTHER_COLOUR}' end"
-_TITLE = "case type when 'lane_line' then 'Lane Line' when 'stop_line' then 'Stop Line' when 'crosswalk' then 'Crosswalk' end"
+_COLOUR = "case type when 'lane_line' then '#FFFF00' when 'crosswalk' then '#FF00FF' when 'stop_line' then '#FF0000' when 'arrow' then '#00FF00' else '#FFA500' end"
+_TITLE = "case type when 'lane_line' then 'LANE LINE' when 'stop_line' then 'STOP LINE' when 'crosswalk' then 'CROSSWALK' end"
+_P = lambda x, y: f"format('{{:.7f}} {{:.7f}}', -74.006::double+({x})*(-74.005::double-(-74.006::double)), 40.7128::double+({y})*(40.7138::double-40.7128::double))"
+_Y, _Y2 = "(0.48::double+i*0.01::double)", "(0.48::double+i*0.01::double+0.008::double)"
+_BOX = lambda x, y, x2, y2: " || ',' || ".join(_P(a, b) for a, b in ((x, y), (x2, y), (x2, y2), (x, y2), (x, y)))
+_DEMO = f"""select i::bigint as id, 'lane_line' as type, 0.85::double as confidence, {_P('0.3::double+i*0.2::double', '0.1::double')} || ',' || {_P('0.3::double+i*0.2::double', '0.9::double')} as ring from range(3) t(i)
+union all select i+3, 'crosswalk', 0.92::double, {_BOX('0.25::double', _Y, '0.75::double', _Y2)} from range(5) t(i)
+union all select 8, 'stop_line', 0.88::double, {_BOX('0.25::double', '0.45::double', '0.45::double', '0.46::double')}"""
 
 QUERIES = {
     "style_lookup": (style_lookup, f"select {_ID}, {_COLOUR} as colour, {_TITLE} as title from (select {_ID}, {_T2} as type from ({_V2}))"),
     "viewport_cull": (viewport_cull, f"select event_id, px-300 as px, py-200 as py from {SQL['heat_points']} where px-300 between -50 and 250 and py-200 between -50 and 200"),
-    "demo_features": (demo_features, None),
+    "demo_features": (demo_features, _DEMO),
+    "marking_labels": (marking_labels, f"select {_ID}, substr(type,1,4) || ' ' || round(confidence*100)::int || '%' as label, 'markings_' || l_orderkey || '_detection.png' as picture from (select {_ID}, {_T2} as type, {_C2} as confidence from ({_V2}))"),
+    "class_palette": (class_palette, "select * from (values (0,'background',0,0,0),(1,'lane_line',255,255,0),(2,'crosswalk',255,255,255),(3,'arrow',0,255,0),(4,'stop_line',255,0,0)) t(cls, name, red, green, blue)"),
+    "noise_filters": (noise_filters, f"select count(*) filter (where area>=30) as from_30, count(*) filter (where area>=50) as from_50, count(*) filter (where area>=100) as from_100 from {_R}"),
     "marking_filter_v2": (marking_filter_v2, _V2),
     "marking_filter_v1": (marking_filter_v1, f"select * from {_R} where area>=100 and area<={IMAGE}*0.01::double and {_ROT}>=3"),
     "classify_v2": (classify_v2, f"select {_ID}, {_T2} as type, {_C2} as confidence from ({_V2})"),

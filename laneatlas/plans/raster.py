@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from laneatlas.functions import pixels as X
 from laneatlas.operators import contours as K
 from laneatlas.operators import filters
-from laneatlas.operators import heatmap as H
 from laneatlas.operators import markings as M
 from laneatlas.operators import raster as R
+from laneatlas.sources import frames
 from laneatlas.sources.adapters import SQL, view
 
 N = 8
@@ -88,7 +88,7 @@ def block_resample_uneven(spark, d):
 
 def motion_accumulate(spark, d):
     m = _pixels(spark, d).select("vec_id", "r", "c", F.when(F.col("gray") > 180, 1.0).otherwise(0.0).alias("v"))
-    n = view(spark, d, "features").count()
+    n = view(spark, d, "features").agg(F.count("*").alias("n"))
     return R.accumulated(R.area_resampled(m, "vec_id", N, N, 4), n).select("gy", "gx", F.round("v", 6).alias("v"))
 
 
@@ -134,9 +134,17 @@ def _filter(kernel, **how):
     return lambda spark, d: filters.filtered(_pixels(spark, d), "vec_id", kernel, N, N, **how)
 
 
+def _frames(spark, d):
+    return frames.from_pixels(_pixels(spark, d).withColumn("video", F.col("vec_id") % 4), "video", "vec_id", N, N)
+
+
 def moving_pixels(spark, d):
-    frames = _pixels(spark, d).select((F.col("vec_id") % 4).alias("video"), "vec_id", "r", "c", "gray")
-    return filters.foreground(frames, "video", "vec_id", N, N)
+    return filters.foreground(_frames(spark, d))
+
+
+def flow_pairs(spark, d):
+    f = filters.flow_between(_frames(spark, d))
+    return f.groupBy("video_id", "frame_idx").agg(F.count("*").alias("n"), F.round(F.max("magnitude"), 6).alias("fastest"))
 
 
 _P = SQL["pixels"]
@@ -162,7 +170,11 @@ def _opn(m: str, e) -> str:
 
 
 def _k(n: int, size: int) -> str:
-    return "(values " + ",".join(f"({s},{t},{w!r}::double)" for s, t, w in H.kernel_rows(n, size)) + ") k(s,t,k)"
+    """(source, target, weight) of a mirrored Gaussian, from its formula."""
+    h = size // 2
+    w = f"exp(-(d*d)/(2*pow(0.3::double*(({size}-1)*0.5::double-1)+0.8::double, 2)))"
+    at = f"(case when t+d < 0 then -(t+d) when t+d > {n - 1} then {2 * (n - 1)}-(t+d) else t+d end)"
+    return f"(select {at}::int as s, t::int as t, sum({w})/(select sum({w}) from range(-{h},{h + 1}) z(d)) as k from range({n}) a(t), range(-{h},{h + 1}) b(d) group by 1, 2) k"
 
 
 def _hsv() -> str:
@@ -207,8 +219,13 @@ l as (select vec_id, id as root, r, c from m union select l.vec_id, l.root, m.r,
 s as (select vec_id, r, c, min(root) as root from l group by 1,2,3), z as (select vec_id, root, count(*) as k from s group by 1,2)
 select vec_id, count(*) as n, max(k)::int as largest from z group by 1"""),
     "contour_features": (contour_features, None),
-    "adaptive_threshold": (_filter("adaptive_threshold", size=5, c=-10), None),
-    "bilateral": (_filter("bilateral", size=5), None),
+    "adaptive_threshold": (_filter("adaptive_threshold", size=5, c=-10), f"""with a as (select vec_id, r, k.t as c, sum(gray*k.k) as v from {_P} join {_k(8, 5)} on c=k.s group by 1,2,3),
+b as (select vec_id, k.t as r, c, sum(v*k.k) as m from a join {_k(8, 5)} on r=k.s group by 1,2,3) select p.vec_id, p.r, p.c, case when gray > round(m)+10 then 255 else 0 end as v from {_P} p join b on b.vec_id=p.vec_id and b.r=p.r and b.c=p.c"""),
+    "bilateral": (_filter("bilateral", size=5), f"""with o as (select y, x from range(-2,3) a(y), range(-2,3) b(x) where y*y+x*x <= 4),
+w as (select p.vec_id, p.r, p.c, q.gray as v, exp(-(y*y+x*x)/11250.0::double-pow(q.gray-p.gray,2)/11250.0::double) as g from {_P} p, o, {_P} q
+where q.vec_id=p.vec_id and q.r=(case when p.r+y<0 then -(p.r+y) when p.r+y>7 then 14-(p.r+y) else p.r+y end) and q.c=(case when p.c+x<0 then -(p.c+x) when p.c+x>7 then 14-(p.c+x) else p.c+x end))
+select vec_id, r, c, round(sum(g*v)/sum(g))::int as v from w group by 1,2,3"""),
     "equalized": (_filter("equalized", tiles=2), None),
     "moving_pixels": (moving_pixels, None),
+    "flow_pairs": (flow_pairs, None),
 }

@@ -9,7 +9,7 @@ from laneatlas.functions import boxes, geo
 from laneatlas.operators import heatmap as H
 from laneatlas.operators import traffic as T
 from laneatlas.sources.adapters import SQL, view
-from laneatlas.sources.locations import NYC
+from laneatlas.sources.locations import DEFAULT_BOUNDS, NYC
 
 G, W, HT = 50, 640, 480
 BOUNDS = geo.bounds_literal
@@ -128,7 +128,21 @@ def render_points(spark, d):
 
 
 def demo_heatmap(spark, d):
-    return H.demo_points(spark, NYC)
+    """What is fixed about the invented points: their number, their range and the statistics stated with them."""
+    doc = H.demo_document(spark, DEFAULT_BOUNDS)
+    inside = F.forall("points", lambda p: p["lat"].between(40.7128, 40.7138) & p["lon"].between(-74.006, -74.005) & p["intensity"].between(0.3, 1.0))
+    return doc.select("grid_size", "statistics.*", inside.alias("inside"))
+
+
+def heatmap_fine(spark, d):
+    """The smoothed map down to a thousandth."""
+    return H.heatmap(_counts(spark, d), G, 11).where("v >= 0.001").select("gy", "gx", F.round("v", 6).alias("v"))
+
+
+def live_ids(spark, d):
+    """Ids lost from one step to the next that come back later."""
+    seen = view(spark, d, "tracks").select((F.floor(F.col("frame_idx") / 100)).cast("long").alias("step"), "track_id").distinct()
+    return T.still_live(ids_lost_next_frame(spark, d), seen)
 
 
 def predicted_position(spark, d):
@@ -146,7 +160,8 @@ def rank_cells(spark, d):
 _CELL = lambda p, s: f"least({G - 1}, greatest(0, cast(floor({p}/{s}.0::double*{G}) as int)))"
 _N = f"(select {_CELL('py', HT)} as gy, {_CELL('px', W)} as gx, count(*) as n from {SQL['heat_points']} group by 1, 2)"
 _V = f"(select gy, gx, n::double/(select max(n) from {_N}) as v from {_N})"
-_K = "(values " + ", ".join(f"({s},{t},{w!r}::double)" for s, t, w in H.kernel_rows(G, 11)) + ") k(s, t, k)"
+_W11 = "exp(-(d*d)/8.0::double)"  # a deviation of 2 for 11 cells
+_K = f"(select (case when t+d < 0 then -(t+d) when t+d > 49 then 98-(t+d) else t+d end)::int as s, t::int as t, sum({_W11})/(select sum({_W11}) from range(-5,6) z(d)) as k from range(50) a(t), range(-5,6) b(d) group by 1, 2) k"
 _S0 = f"(select b.t as gy, a.gx, sum(a.v*b.k) as v from (select gy, k.t as gx, sum(v*k.k) as v from {_V} join {_K} on gx = k.s group by 1, 2) a join (select * from {_K}) b on a.gy = b.s group by 1, 2)"
 _S = f"(select gy, gx, v/(select max(v) from {_S0}) as v from {_S0})"
 
@@ -181,7 +196,10 @@ QUERIES = {
     "heatmap_cells_geojson": (heatmap_cells_geojson, f"""with c as (select gy, gx, round(v,4) as intensity, {_NEG[2]}+gx*({_LONS}/{G}) as w, {_NEG[1]}-gy*({_LATS}/{G}) as n from {_V} where v >= 0.5), e as (select *, w+{_LONS}/{G} as e, n-{_LATS}/{G} as s from c)
 select gy, gx, intensity, format('{{:.7f}} {{:.7f}},{{:.7f}} {{:.7f}},{{:.7f}} {{:.7f}},{{:.7f}} {{:.7f}},{{:.7f}} {{:.7f}}', w,s,e,s,e,n,w,n,w,s) as ring from e"""),
     "render_points": (render_points, f"select gy, gx, round(28*(0.5::double+0.5::double*v),6) as radius, round(least(0.8::double,0.9::double*v),6) as alpha, round(60*(1-v),6) as hue from {_V}"),
-    "demo_heatmap": (demo_heatmap, None),
+    "demo_heatmap": (demo_heatmap, "select 50 as grid_size, 1.0::double as max_intensity, 0.3::double as min_intensity, 0.65::double as mean_intensity, 200::bigint as total_points, 0 as frames_processed, true as inside"),
+    "heatmap_fine": (heatmap_fine, f"select gy, gx, round(v,6) as v from {_S} where v >= 0.001"),
+    "live_ids": (live_ids, f"""with s as (select distinct frame_idx//100 as step, track_id from {_TR}) select step, track_id from s where step < (select max(step) from s) and not exists (select 1 from s n where n.step=s.step+1 and n.track_id=s.track_id)
+and exists (select 1 from s n where n.step>s.step and n.track_id=s.track_id)"""),
     "predicted_position": (predicted_position, f"""with s as (select track_id, dx, dy, row_number() over (partition by track_id order by frame_idx desc)-1 as j from {_DISP} where dx is not null),
 v as (select track_id, {_EMA.format(c='dx')} as vx, {_EMA.format(c='dy')} as vy from s group by track_id), l as (select track_id, arg_max(px, frame_idx) as px, arg_max(py, frame_idx) as py from {_TR} group by track_id)
 select l.track_id, trunc(px+coalesce(vx,0))::int as px, trunc(py+coalesce(vy,0))::int as py from l left join v on l.track_id=v.track_id"""),

@@ -58,5 +58,5 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view over the files of its table as a stream (views made of expressions only)."""
     source, expressions = _EXPRESSIONS[name]
-    rows = spark.readStream.schema(table(spark, sf_dir, source).schema).parquet(f"{sf_dir}/{source}*.parquet")
+    rows = spark.readStream.schema(table(spark, sf_dir, source).schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/{source}.parq*t")
     return rows.selectExpr(*expressions)

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from laneatlas.session import ship
+
+#: Rows of an image that become one batch of pixels.
+STRIP = 64
 BOUNDS = "struct<min_lat:double,max_lat:double,min_lon:double,max_lon:double>"
 HEATMAP = f"bounds {BOUNDS}, grid_size int, points array<struct<lat:double,lon:double,intensity:double>>, statistics struct<max_intensity:double,min_intensity:double,mean_intensity:double,total_points:bigint>"
 ALLOWED = ("png", "jpg", "jpeg", "tif", "tiff")
@@ -25,18 +33,27 @@ def images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def image_pixels(read: DataFrame) -> DataFrame:
-    """Rows origin, r, c, red, green, blue of three-channel images."""
-    hexed = F.hex("data")
-    at = F.posexplode(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1)).alias("i", "p")
-    byte = lambda k: F.conv(F.substr(F.col("hexed"), 6 * F.col("p") + 2 * k + 1, F.lit(2)), 16, 10).cast("int")
-    cells = read.where("n_channels = 3").withColumn("hexed", hexed).select("origin", "width", "hexed", at)
-    return cells.select("origin", F.floor(F.col("p") / F.col("width")).cast("int").alias("r"), (F.col("p") % F.col("width")).cast("int").alias("c"), byte(2).alias("red"), byte(1).alias("green"), byte(0).alias("blue"))
+    """Rows origin, r, c, red, green, blue of three-channel images, linear in their size; an image is one row, so it must fit a task."""
+    ship(read.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for origin, high, wide, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                image = np.frombuffer(data, np.uint8).reshape(high, wide, 3)
+                for top in range(0, high, STRIP):
+                    part = image[top : top + STRIP].astype(np.int32)
+                    r, c = np.indices(part.shape[:2], np.int32)
+                    cells = [(r + top).ravel(), c.ravel(), *(np.ascontiguousarray(part[..., k]).ravel() for k in (2, 1, 0))]
+                    yield pa.RecordBatch.from_arrays([pa.array([origin] * r.size), *map(pa.array, cells)], names=["origin", "r", "c", "red", "green", "blue"])
+
+    rows = read.where("n_channels = 3").select("origin", "height", "width", "data")
+    return rows.mapInArrow(run, "origin string, r int, c int, red int, green int, blue int")
 
 
 def scan(spark: SparkSession, path: str, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
     """Files of the allowed kinds below a folder, by path; contents are not read unless selected."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return found.where(extension(F.col("path")).isin(*allowed)).select("path", "length", "modificationTime")
+    return found.where(extension(F.col("path")).isin(*allowed)).select("path", "length", "modificationTime").orderBy("path")
 
 
 def first_file(spark: SparkSession, path: str, allowed: tuple[str, ...] = ("mov", "mp4", "avi")) -> str | None:

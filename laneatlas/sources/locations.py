@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 
 #: Id, name, min_lat, max_lat, min_lon, max_lon, zoom.
 LOCATIONS = [
-    ("times_square_nyc", "Times Square, NYC", 40.7565, 40.7595, -73.9890, -73.9840, 19),
+    ("times_square_nyc", "Times Square, New York", 40.7565, 40.7595, -73.9890, -73.9840, 19),
     ("shibuya_tokyo", "Shibuya Crossing, Tokyo", 35.6580, 35.6610, 139.6990, 139.7030, 19),
-    ("champs_elysees_paris", "Champs-Elysees, Paris", 48.8690, 48.8720, 2.3050, 2.3100, 19),
-    ("highway_intersection", "Highway intersection", 40.7480, 40.7520, -73.9920, -73.9870, 18),
+    ("champs_elysees_paris", "Champs-Élysées, Paris", 48.8690, 48.8720, 2.3050, 2.3100, 19),
+    ("highway_intersection", "Highway Intersection Sample", 40.7480, 40.7520, -73.9920, -73.9870, 18),
     ("downtown_la", "Downtown Los Angeles", 34.0480, 34.0520, -118.2550, -118.2490, 19),
 ]
 COLUMNS = ["id", "name", "min_lat", "max_lat", "min_lon", "max_lon", "zoom"]
 MAX_ZOOM = 19
-#: The default bounds (the first place).
+#: Bounds of the first place, which the queries use.
 NYC = LOCATIONS[0][2:6]
+#: min_lat, max_lat, min_lon, max_lon where an application gives no bounds.
+DEFAULT_BOUNDS = (40.7128, 40.7138, -74.0060, -74.0050)
 
 SQL = "(select * from (values " + ", ".join(f"('{i}', '{n}', {a}::double, {b}::double, {c}::double, {d}::double, {z})" for i, n, a, b, c, d, z in LOCATIONS) + ") t(id, name, min_lat, max_lat, min_lon, max_lon, zoom))"
 

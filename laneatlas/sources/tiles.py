@@ -9,15 +9,20 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-#: Tile servers by name (URL template, largest zoom).
+#: Tile servers by name (URL template, attribution, largest zoom).
 SERVERS = {
-    "esri_satellite": ("https://server.arcgisonline.com/ArcGIS/rest/services/World_Imagery/MapServer/tile/{z}/{y}/{x}", 19),
-    "openstreetmap": ("https://tile.openstreetmap.org/{z}/{x}/{y}.png", 19),
-    "esri_street": ("https://server.arcgisonline.com/ArcGIS/rest/services/World_Street_Map/MapServer/tile/{z}/{y}/{x}", 19),
-    "carto_light": ("https://basemaps.cartocdn.com/light_all/{z}/{x}/{y}.png", 19),
+    "esri_satellite": ("https://server.arcgisonline.com/ArcGIS/rest/services/World_Imagery/MapServer/tile/{z}/{y}/{x}", "ESRI World Imagery", 19),
+    "esri_streets": ("https://server.arcgisonline.com/ArcGIS/rest/services/World_Street_Map/MapServer/tile/{z}/{y}/{x}", "ESRI World Street Map", 19),
+    "osm": ("https://tile.openstreetmap.org/{z}/{x}/{y}.png", "OpenStreetMap", 19),
+    "carto_light": ("https://cartodb-basemaps-a.global.ssl.fastly.net/light_all/{z}/{x}/{y}.png", "CartoDB", 19),
 }
 
 
+def servers(spark: SparkSession):
+    """The registry as rows: server, url, attribution, max_zoom."""
+    return spark.createDataFrame([(k, *v) for k, v in SERVERS.items()], "server string, url string, attribution string, max_zoom int")
+
+
 class TileRun(InputPartition):
     def __init__(self, zoom: int, y: int, first: int, last: int) -> None:
         self.zoom, self.y, self.first, self.last = zoom, y, first, last

@@ -79,9 +79,8 @@ class Tracker:
         self.tracks = {k: t for k, t in self.tracks.items() if self.frame - t["seen"] <= self.patience}
         return [(k, match.get(k)) for k in self.tracks]
 
-    def rows(self, video, frame: int, pdf: pd.DataFrame) -> list[tuple]:
-        live = self.step(pdf[["x", "y", "w", "h"]].to_numpy())
-        ids = pdf["event_id"].to_numpy()
+    def rows(self, video, frame: int, boxes: np.ndarray, ids: np.ndarray) -> list[tuple]:
+        live = self.step(boxes)
         return [(video, frame, k, None if q is None else int(ids[q]), *t["box"], *t["c"], *t["v"], t["n"], q is not None) for k, q in live for t in (self.tracks[k],)]
 
 
@@ -92,16 +91,39 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 def track(detections: DataFrame, **how) -> DataFrame:
-    """Every live track after each frame that has detections, by video; seen tells whether the frame held it."""
-    ship(detections.sparkSession)
+    """Every live track after each frame that has detections, by video; seen tells whether the frame held it.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, rows = Tracker(**how), []
-        for frame, part in pdf.sort_values(["frame_id", "event_id"]).groupby("frame_id", sort=True):
-            rows += t.rows(part["video_id"].iloc[0], int(frame), part)
-        return _frame(rows)
+    A task steps over batches of a video's frames in order; it holds live tracks and one batch."""
+    ship(detections.sparkSession)
 
-    return detections.groupBy("video_id").applyInPandas(run, SCHEMA)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, t, rest = None, None, None
+
+        def step(frames: pd.DataFrame) -> pd.DataFrame:
+            nonlocal now, t
+            video, frame = frames["video_id"].to_numpy(), frames["frame_id"].to_numpy()
+            boxes, ids = frames[["x", "y", "w", "h"]].to_numpy(), frames["event_id"].to_numpy()
+            cut = np.flatnonzero(np.append(True, (frame[1:] != frame[:-1]) | (video[1:] != video[:-1])))
+            rows: list[tuple] = []
+            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(frame)], strict=True):
+                if video[a] != now:
+                    now, t = video[a], Tracker(**how)
+                rows += t.rows(now, int(frame[a]), boxes[a:b], ids[a:b])
+            return _frame(rows)
+
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf])
+            if not len(pdf):
+                continue
+            last = ((pdf["video_id"] == pdf["video_id"].iloc[-1]) & (pdf["frame_id"] == pdf["frame_id"].iloc[-1])).to_numpy()
+            if not last.all():
+                yield step(pdf[~last])  # the last frame may go on in the next batch
+            rest = pdf[last]
+        if rest is not None:
+            yield step(rest)
+
+    rows = detections.select("video_id", "frame_id", "event_id", "x", "y", "w", "h").repartition(F.col("video_id"))
+    return rows.sortWithinPartitions("video_id", "frame_id", "event_id").mapInPandas(run, SCHEMA)
 
 
 def track_stream(detections: DataFrame, **how) -> DataFrame:
@@ -114,7 +136,7 @@ def track_stream(detections: DataFrame, **how) -> DataFrame:
             t.load(state.get[0])
         rows = []
         for frame, part in pd.concat(list(frames)).sort_values(["frame_id", "event_id"]).groupby("frame_id", sort=True):
-            rows += t.rows(key[0], int(frame), part)
+            rows += t.rows(key[0], int(frame), part[["x", "y", "w", "h"]].to_numpy(), part["event_id"].to_numpy())
         state.update((t.dump(),))
         yield _frame(rows)
 
