@@ -245,7 +245,7 @@ def resized(pixels: DataFrame, key: str, high: int, wide: int, new_high: int, ne
             at = min(n - 1.0, max(0.0, (t + 0.5) * n / m - 0.5))
             low = int(at)
             rows += [(low, t, 1 - (at - low))] + ([(low + 1, t, at - low)] if at > low else [])
-        return F.broadcast(constant_table(spark, rows, s=pa.int32(), t=pa.int32(), k=pa.float64()))
+        return F.broadcast(constant_table(spark, rows, _s=pa.int32(), _t=pa.int32(), _k=pa.float64()))
 
-    out = pixels.join(weights(wide, new_wide), F.col("c") == F.col("s")).groupBy(key, "r", F.col("t").alias("c")).agg(F.sum(F.col(value) * F.col("k")).alias("v"))
-    return out.join(weights(high, new_high), F.col("r") == F.col("s")).groupBy(key, F.col("t").alias("r"), "c").agg(F.sum(F.col("v") * F.col("k")).alias("v"))
+    out = pixels.join(weights(wide, new_wide), F.col("c") == F.col("_s")).groupBy(key, "r", F.col("_t").alias("c")).agg(F.sum(F.col(value) * F.col("_k")).alias("v"))
+    return out.join(weights(high, new_high), F.col("r") == F.col("_s")).groupBy(key, F.col("_t").alias("r"), "c").agg(F.sum(F.col("v") * F.col("_k")).alias("v"))

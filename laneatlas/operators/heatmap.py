@@ -44,7 +44,7 @@ def constant_table(spark: SparkSession, rows: list[tuple], **columns: pa.DataTyp
 
 
 def kernel_table(spark: SparkSession, grid: int, size: int) -> DataFrame:
-    return F.broadcast(constant_table(spark, kernel_rows(grid, size), s=pa.int32(), t=pa.int32(), k=pa.float64()))
+    return F.broadcast(constant_table(spark, kernel_rows(grid, size), _s=pa.int32(), _t=pa.int32(), _k=pa.float64()))
 
 
 def by_maximum(cells: DataFrame, value: str = "v") -> DataFrame:
@@ -58,8 +58,8 @@ def smooth(cells: DataFrame, grid: int, size: int = 11, value: str = "v") -> Dat
     """Separable Gaussian smoothing of sparse cells gy, gx, v: two joins with a kernel table of grid x size rows (broadcast)."""
     spark: SparkSession = cells.sparkSession
     k = kernel_table(spark, grid, size)
-    out = cells.join(k, F.col("gx") == F.col("s")).groupBy("gy", F.col("t").alias("gx")).agg(F.sum(F.col(value) * F.col("k")).alias(value))
-    return out.join(k, F.col("gy") == F.col("s")).groupBy(F.col("t").alias("gy"), "gx").agg(F.sum(F.col(value) * F.col("k")).alias(value))
+    out = cells.join(k, F.col("gx") == F.col("_s")).groupBy("gy", F.col("_t").alias("gx")).agg(F.sum(F.col(value) * F.col("_k")).alias(value))
+    return out.join(k, F.col("gy") == F.col("_s")).groupBy(F.col("_t").alias("gy"), "gx").agg(F.sum(F.col(value) * F.col("_k")).alias(value))
 
 
 def heatmap(counts: DataFrame, grid: int, blur: int = 11) -> DataFrame:

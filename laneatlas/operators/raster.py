@@ -112,8 +112,8 @@ def blurred(pixels: DataFrame, key: str, size: int, high: int, wide: int, value:
     """Separable Gaussian of dense images: two joins with kernel tables of a row for each cell and tap (broadcast)."""
     spark = pixels.sparkSession
     across, down = kernel_table(spark, wide, size), kernel_table(spark, high, size)
-    out = pixels.join(across, F.col("c") == F.col("s")).groupBy(key, "r", F.col("t").alias("c")).agg(F.sum(F.col(value) * F.col("k")).alias(value))
-    return out.join(down, F.col("r") == F.col("s")).groupBy(key, F.col("t").alias("r"), "c").agg(F.sum(F.col(value) * F.col("k")).alias(value))
+    out = pixels.join(across, F.col("c") == F.col("_s")).groupBy(key, "r", F.col("_t").alias("c")).agg(F.sum(F.col(value) * F.col("_k")).alias(value))
+    return out.join(down, F.col("r") == F.col("_s")).groupBy(key, F.col("_t").alias("r"), "c").agg(F.sum(F.col(value) * F.col("_k")).alias(value))
 
 
 def area_resampled(pixels: DataFrame, key: str, high: int, wide: int, grid: int, value: str = "v") -> DataFrame:
