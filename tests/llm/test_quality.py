@@ -71,3 +71,29 @@ def test_one_huge_text_does_not_end_the_sample(spark):
     assert good > 0.5 > bad
     huge = fit_quality(docs.selectExpr("doc_id", "repeat(text, 1000) as text"), labels, max_bytes=1000)
     assert len(set(huge.score([text(1), text(2)]))) == 2
+
+
+def test_scores_against_loops(corpus):
+    """The same scores from plain formulas, a text and a window at a time."""
+    import math
+
+    import zstandard
+
+    from laneatlas.llm.quality import QualityModel
+
+    texts = list(corpus.values())
+    model = QualityModel.fit(texts, [k % 3 != 0 for k in range(len(texts))])
+    made = []
+    for dictionary in (model.good, model.bad):
+        data = zstandard.ZstdCompressionDict(dictionary)
+        made.append(zstandard.ZstdCompressor(level=1, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False))
+    some = [*texts[:40], "", None]
+    for text, score in zip(some, model.score(some)):
+        b = (text or "").encode()
+        parts = [b[i : i + 512] for i in range(0, len(b), 512)]
+        g, w = (max(1.0, sum(len(c.compress(p)) for p in parts) - 8.0 * len(parts)) for c in made)
+        d = min(2, max(-2, 4 * (w - g) / (w + g)))
+        r = min(2, max(-4, math.log(min(g, w) / max(1, len(b))) + 1))
+        s = 1 / (1 + len(b) / 64)
+        z = sum(a * x for a, x in zip(model.weights, (1, d, r, s, d * d, r * r, d * r, d * s, r * s)))
+        assert abs(score - 1 / (1 + math.exp(-min(30, max(-30, z))))) < 1e-9
