@@ -21,7 +21,7 @@ S = 40
 
 def _spots(spark, d):
     p = view(spark, d, "heat_points")
-    return p.select((F.col("event_id") % 8).alias("k"), (F.col("py") % S).alias("r"), (F.col("px") % S).alias("c")).where("(r * 7 + c * 3 + k) % 5 < 2").distinct()
+    return p.select((F.col("event_id") % 8).alias("k"), (F.col("py") % S).alias("r"), (F.col("px") % S).alias("c")).where("(r * 7 + c * 3 + k) % 11 = 0 and r between 3 and 30 and c between 4 and 24 + k").distinct()
 
 
 def tile_servers(spark, d):
@@ -50,7 +50,7 @@ def wide_close_open(spark, d):
 
 
 def wide_dilate(spark, d):
-    return R.dilate(_spots(spark, d).where("(r + c) % 9 = 0"), "k", R.rectangle(30, 30), S, S)
+    return R.dilate(_spots(spark, d).where("(r + c) % 9 = 0 and r < 12 and c < 12"), "k", R.rectangle(30, 30), S, S)
 
 
 def augment_many(spark, d):
@@ -102,7 +102,7 @@ _SQ3 = [(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1)]
 _COL, _ROW = [(k, 0) for k in range(-3, 4)], [(0, k) for k in range(-3, 4)]
 _DEN = _dil(_dil(_ero(_ero(_M(60), _SQ2), _SQ2), _SQ2B), _SQ2B)
 _LINES = f"(select * from {_dil(_ero(_DEN, _COL), _COL)} union select * from {_dil(_ero(_DEN, _ROW), _ROW)})"
-_SPOTS = f"(select distinct event_id%8 as k, py%40 as r, px%40 as c from {SQL['heat_points']} where ((py%40)*7+(px%40)*3+event_id%8)%5 < 2)"
+_SPOTS = f"(select distinct event_id%8 as k, py%40 as r, px%40 as c from {SQL['heat_points']} where ((py%40)*7+(px%40)*3+event_id%8)%11 = 0 and py%40 between 3 and 30 and px%40 between 4 and 24+event_id%8)"
 _ALL = "(select k, r::int as r, c::int as c from range(8) a(k), range(40) b(r), range(40) c(c))"
 
 
@@ -134,7 +134,7 @@ QUERIES = {
     "ellipse_open": (ellipse_open, f"select * from {_dil(_ero(_M(60), _DISC), _DISC)}"),
     "ellipse_close": (ellipse_close, f"select * from {_ero(_dil(_M(150), _DISC), _DISC)}"),
     "wide_close_open": (wide_close_open, f"select * from {_grown(_shrunk(_CLOSED15, 7), -7, 7)}"),
-    "wide_dilate": (wide_dilate, f"select * from {_grown(f'(select * from {_SPOTS} where (r+c)%9=0)', -15, 14)}"),
+    "wide_dilate": (wide_dilate, f"select * from {_grown(f'(select * from {_SPOTS} where (r+c)%9=0 and r<12 and c<12)', -15, 14)}"),
     "augment_many": (augment_many, f"select vec_id, variant, t, count(*) as n, sum(r*8+c)::bigint as places from {_VAR}, (values (170),(180),(190),(200),(210),(220),(230)) w(t) where gray>t group by 1,2,3"),
     "blend": (blend, f"select vec_id, r, c, least(255,greatest(0,round(gray*0.6::double+(255-gray)*0.4::double)))::int as v from {_P}"),
     "stitched": (stitched, f"select vec_id%3 as id, 8+r as r, (vec_id*8)::int+c as c, gray as v from {_P}"),
