@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from laneatlas.functions.shapes import finite
+from laneatlas.operators.boosting import BoostedStumps
 
 NAMES = ["aspect_ratio", "circularity", "solidity", "extent", "orientation", "hu_moments_0", "hu_moments_1", "hu_moments_2", "hu_moments_3"]
 
@@ -44,12 +45,14 @@ def argmax(values) -> F.Column:
 
 
 def classifiers(n_features: int, n_classes: int, seed: int = 42) -> dict:
-    """The bake-off: forests of three sizes, boosted trees (one against the rest for more than two classes) and two perceptrons. A forest splits leaves of 2 rows at least."""
+    """The bake-off: forests of three sizes, boosted trees (one against the rest for more than two classes), boosted stumps and two perceptrons. Leaves of
+    the smallest forest hold 2 rows at least, of the others 1."""
     common = {"featuresCol": "vector", "labelCol": "target", "seed": seed}
-    forest = lambda n, depth: RandomForestClassifier(numTrees=n, maxDepth=depth, minInstancesPerNode=2, weightCol="weight", **common)
-    out = {"forest_200": forest(200, 15), "forest_500": forest(500, 20), "forest_1000": forest(1000, 25)}
+    forest = lambda n, depth, leaf: RandomForestClassifier(numTrees=n, maxDepth=depth, minInstancesPerNode=leaf, weightCol="weight", **common)
+    out = {"forest_200": forest(200, 15, 2), "forest_500": forest(500, 20, 1), "forest_1000": forest(1000, 25, 1)}
     boosted = GBTClassifier(maxIter=200, maxDepth=10, stepSize=0.1, **common)
     out["boosted"] = boosted if n_classes == 2 else OneVsRest(classifier=boosted, featuresCol="vector", labelCol="target")
+    out["stumps"] = BoostedStumps(featuresCol="vector", labelCol="target", rounds=200, rate=0.5)
     out["perceptron_3"] = MultilayerPerceptronClassifier(layers=[n_features, 256, 128, 64, n_classes], **common)
     out["perceptron_2"] = MultilayerPerceptronClassifier(layers=[n_features, 512, 256, n_classes], **common)
     return out

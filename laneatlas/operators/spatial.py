@@ -37,3 +37,13 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], cell: int =
     pairs = spread(left, "a").join(spread(right, "b"), [*keys, "_cx", "_cy"])
     first = (F.floor(F.greatest("a.x", "b.x") / cell) == F.col("_cx")) & (F.floor(F.greatest("a.y", "b.y") / cell) == F.col("_cy"))
     return pairs.where(first).withColumn("iou", boxes.iou(F.col("a"), F.col("b"))).where("iou > 0").drop("_cx", "_cy")
+
+
+def greedy_matches(pairs: DataFrame, keys: list[str], a: str, b: str, score: str) -> DataFrame:
+    """Of the candidate pairs with equal keys (a frame), one to one matches: pairs are taken by falling score, then rising a, then rising b, each
+    side once. A frame's pairs are one array, as each choice depends on those before; frames are matched side by side, in the JVM."""
+    listed = F.sort_array(F.collect_list(F.struct((-F.col(score)).alias("m"), F.col(a).alias("a"), F.col(b).alias("b")))).alias("_p")
+    frames = pairs.groupBy(*keys).agg(listed)
+    free = lambda taken, p: ~F.exists(taken, lambda t: (t["a"] == p["a"]) | (t["b"] == p["b"]))
+    taken = F.aggregate("_p", F.slice("_p", 1, 0), lambda t, p: F.when(free(t, p), F.array_append(t, p)).otherwise(t))
+    return frames.select(*keys, F.explode(taken).alias("t")).select(*keys, F.col("t.a").alias(a), F.col("t.b").alias(b), (-F.col("t.m")).alias(score))

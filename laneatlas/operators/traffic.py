@@ -78,3 +78,9 @@ def flow(points: DataFrame, width: int, height: int, grid: int = 50) -> DataFram
 
 def plausible_detections(detections: DataFrame) -> DataFrame:
     return detections.where(boxes.plausible(F.col("w"), F.col("h")))
+
+
+def eligible(points: DataFrame, density: int = 2, path: int = 6) -> DataFrame:
+    """Tracks with their number of positions and whether that lets them into the density map and the paths."""
+    n = points.groupBy("track_id").agg(F.count("*").alias("n"))
+    return n.select("track_id", "n", (F.col("n") >= density).alias("in_density"), (F.col("n") >= path).alias("is_path"))

@@ -50,6 +50,13 @@ def points_in_locations(spark, d):
     return spatial.points_in_boxes(view(spark, d, "geo_points"), wide).select("id", "place")
 
 
+def location_lookup(spark, d):
+    """Every sixth customer asks for a place that the registry lacks."""
+    names = F.array(*[F.lit(x) for x in ("times_square_nyc", "shibuya_tokyo", "champs_elysees_paris", "highway_intersection", "downtown_la", "london")])
+    asked = view(spark, d, "geo_points").select("id", F.get(names, (F.col("id") % 6).cast("int")).alias("place"))
+    return L.looked_up(asked).select("id", "place", "known", "max_lat", "zoom")
+
+
 def nearest_centre(spark, d):
     centres = F.array(*[F.struct(F.lit(i).alias("place"), F.lit((a + b) / 2).alias("lat"), F.lit((c + e) / 2).alias("lon")) for i, _, a, b, c, e, _ in L.LOCATIONS])
     far = F.transform(centres, lambda c: F.struct(F.round((c["lat"] - F.col("lat")) * (c["lat"] - F.col("lat")) + (c["lon"] - F.col("lon")) * (c["lon"] - F.col("lon")), 3).alias("d2"), c["place"].alias("place")))
@@ -94,6 +101,8 @@ round({_LAT.format(y='max_y+1', z='zoom')}, 9) as min_lat, round({_LAT.format(y=
 ('shibuya_tokyo', 'Shibuya Crossing, Tokyo', 35.658, 35.661, 139.699, 139.703, 19), ('champs_elysees_paris', 'Champs-Élysées, Paris', 48.869, 48.872, 2.305, 2.31, 19),
 ('highway_intersection', 'Highway Intersection Sample', 40.748, 40.752, -73.992, -73.987, 18), ('downtown_la', 'Downtown Los Angeles', 34.048, 34.052, -118.255, -118.249, 19)) t(id, name, min_lat, max_lat, min_lon, max_lon, zoom)"""),
     "points_in_locations": (points_in_locations, f"select p.id, l.id as place from {SQL['geo_points']} p join {L.SQL} l on p.lat between l.min_lat-15 and l.max_lat+15 and p.lon between l.min_lon-15 and l.max_lon+15"),
+    "location_lookup": (location_lookup, f"""select id, n[(id%6)::int+1] as place, id%6<>5 as known, ([40.7595, 35.661, 48.872, 40.752, 34.052, null]::double[])[(id%6)::int+1] as max_lat, ([19, 19, 19, 18, 19, null]::int[])[(id%6)::int+1] as zoom
+from {SQL['geo_points']}, (select ['times_square_nyc', 'shibuya_tokyo', 'champs_elysees_paris', 'highway_intersection', 'downtown_la', 'london'] as n)"""),
     "nearest_centre": (nearest_centre, f"select id, arg_min(place, (d2, place)) as place, min(d2) as d2 from (select id, place, round((clat-lat)*(clat-lat)+(clon-lon)*(clon-lon),3) as d2 from {SQL['geo_points']}, ({_CENTRES})) group by id"),
     "pixel_to_geo": (pixel_to_geo, f"select event_id, round({_C}::double+px/640.0::double*({_D}::double-({_C}::double)),9) as lon, round({_B}::double-py/480.0::double*({_B}::double-{_A}::double),9) as lat from {SQL['heat_points']}"),
     "road_bounds": (road_bounds, f"""select id, round(min_lat+(max_lat-min_lat)*0.5::double-(max_lat-min_lat)*0.4::double/2,9) as min_lat, round(min_lat+(max_lat-min_lat)*0.5::double+(max_lat-min_lat)*0.4::double/2,9) as max_lat,

@@ -11,7 +11,7 @@ from laneatlas.operators import filters
 from laneatlas.operators import markings as M
 from laneatlas.operators import raster as R
 from laneatlas.plans.raster import N, _dil, _ero, _frames, _mask, _M, _P, _pixels
-from laneatlas.sources import frames, tiles
+from laneatlas.sources import files, frames, tiles
 from laneatlas.sources.adapters import SQL, view
 from laneatlas.sources.locations import DEFAULT_BOUNDS
 
@@ -76,6 +76,18 @@ def component_boxes(spark, d):
     return K.contours(_mask(spark, d), "vec_id", N, N).select("vec_id", "part", "n_pixels", "x", "y", "w", "h")
 
 
+def hull_area(spark, d):
+    return K.contours(_mask(spark, d), "vec_id", N, N).select("vec_id", "part", "hull_area")
+
+
+def pictures_with_masks(spark, d):
+    """Pictures of all customers, masks of every third; the others take a mask made of their own pixels."""
+    p = view(spark, d, "geo_points")
+    pictures = p.select(F.concat(F.lit("/in/"), "id", F.when(F.col("id") % 2 == 0, ".png").otherwise(".jpg")).alias("path"))
+    masks = p.where("id % 3 = 0").select(F.concat(F.lit("/masks/"), "id", F.lit(".png")).alias("path"))
+    return files.with_masks(pictures, masks).select("stem", "path", "mask", F.col("mask").isNull().alias("made"))
+
+
 def bilinear(spark, d):
     return filters.resized(_pixels(spark, d), "vec_id", N, N, 4, 4).select("vec_id", "r", "c", F.round("v", 6).alias("v"))
 
@@ -140,6 +152,12 @@ QUERIES = {
     "stitched": (stitched, f"select vec_id%3 as id, 8+r as r, (vec_id*8)::int+c as c, gray as v from {_P}"),
     "largest_components": (largest_components, f"{_COMP}, q as (select vec_id, k::int as n_pixels, (row_number() over (partition by vec_id order by k desc, root))::int as rank from z) select vec_id, rank, n_pixels from q where rank <= 3"),
     "component_boxes": (component_boxes, f"{_COMP} select vec_id, (row_number() over (partition by vec_id order by root))::int as part, k::int as n_pixels, x::int as x, y::int as y, w::int as w, h::int as h from z"),
+    "hull_area": (hull_area, f"""{_COMP}, o as (select vec_id, root, (row_number() over (partition by vec_id order by root))::int as part from z),
+e as (select a.vec_id, a.root, a.c*b.r-b.c*a.r as turn from s a join s b on a.vec_id=b.vec_id and a.root=b.root and (a.r<>b.r or a.c<>b.c)
+where not exists (select 1 from s q where q.vec_id=a.vec_id and q.root=a.root and ((b.c-a.c)*(q.r-a.r)-(b.r-a.r)*(q.c-a.c) < 0
+or ((b.c-a.c)*(q.r-a.r)-(b.r-a.r)*(q.c-a.c) = 0 and (q.c-a.c)*(q.c-b.c)+(q.r-a.r)*(q.r-b.r) > 0))))
+select o.vec_id, o.part, coalesce(sum(turn),0)/2.0::double as hull_area from o left join e on e.vec_id=o.vec_id and e.root=o.root group by 1, 2"""),
+    "pictures_with_masks": (pictures_with_masks, f"""select id::varchar as stem, '/in/' || id || (case when id%2=0 then '.png' else '.jpg' end) as path, case when id%3=0 then '/masks/' || id || '.png' end as mask, id%3<>0 as made from {SQL['geo_points']}"""),
     "bilinear": (bilinear, f"select vec_id, r//2 as r, c//2 as c, round(avg(gray),6) as v from {_P} group by 1,2,3"),
     "frame_bytes": (frame_bytes, f"select (vec_id%4)::varchar as video_id, vec_id::bigint as frame_idx, r, c, gray from {_P}"),
     "default_bounds": (default_bounds, f"""with b as (select id, case when id%5=0 then null else 0.0::double end as a, abs(lat) as b, case when id%5=1 then null else 0.0::double end as c, abs(lon) as d from {SQL['geo_points']})

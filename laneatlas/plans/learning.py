@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from laneatlas.functions.shapes import log_hu
 from laneatlas.operators import learning as L
 from laneatlas.sources.adapters import SQL, table, view
 
@@ -39,6 +40,12 @@ def prediction_accuracy(spark, d):
     return t.agg(F.round(F.avg((F.col("p") == F.col("label") % 2).cast("double")), 6).alias("accuracy"))
 
 
+def log_moments(spark, d):
+    """Each number as a Hu moment, on a logarithmic scale."""
+    u = _features(spark, d).select("vec_id", F.posexplode("f").alias("i", "x"))
+    return u.select("vec_id", "i", F.round(log_hu(F.when(F.col("vec_id") % 13 == 0, 0.0).otherwise(F.col("x"))), 6).alias("v"))
+
+
 def train_rf_predict(spark, d):
     p = L.prepared(_features(spark, d))
     return L.train_forest(p).transform(p).select("vec_id", "label", F.col("prediction").cast("int").alias("prediction"))
@@ -59,6 +66,7 @@ QUERIES = {
     "finite_filter": (finite_filter, f"select vec_id, label from {_F} where vec_id%7<>0 and vec_id%11<>0"),
     "argmax_class": (argmax_class, f"select vec_id, (list_position(f, list_max(f))-1)::int as cls from {_F}"),
     "prediction_accuracy": (prediction_accuracy, f"select round(avg(case when (list_position(f, list_max(f))-1)%2 = label%2 then 1.0::double else 0 end),6) as accuracy from {_F}"),
+    "log_moments": (log_moments, f"select vec_id, i::int as i, round(case when vec_id%13=0 or x=0 then 0 else least(20.0::double, greatest(-20.0::double, -sign(x)*log10(abs(x)+1e-10::double))) end, 6) as v from {_U}"),
     "train_rf_predict": (train_rf_predict, None),
     "feature_importance": (feature_importance, None),
 }

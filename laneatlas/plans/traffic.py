@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from laneatlas.functions import boxes, geo
 from laneatlas.operators import heatmap as H
+from laneatlas.operators import spatial
 from laneatlas.operators import traffic as T
 from laneatlas.sources.adapters import SQL, view
 from laneatlas.sources.locations import DEFAULT_BOUNDS, NYC
@@ -37,6 +38,15 @@ def iou_best_per_det(spark, d):
     return p.groupBy("b_id").agg(F.min(F.struct((-F.col("iou")).alias("m"), F.col("a_id"))).alias("s")).select("b_id", F.col("s.a_id").alias("a_id"), (-F.col("s.m")).alias("iou"))
 
 
+def greedy_matches(spark, d):
+    return spatial.greedy_matches(iou_pairs(spark, d), ["video_id", "frame_id"], "a_id", "b_id", "iou")
+
+
+def eligible_tracks(spark, d):
+    """Positions are those of every third event, which leaves tracks on both sides of the bounds."""
+    return T.eligible(view(spark, d, "tracks").where("frame_idx % 3 = 0"))
+
+
 def unmatched_detections(spark, d):
     det = view(spark, d, "detections")
     return det.join(T.consecutive_overlaps(det).select(F.col("b_id").alias("event_id")), "event_id", "left_anti").select("event_id", "video_id", "frame_id")
@@ -208,6 +218,13 @@ select l.track_id, trunc(px+coalesce(vx,0))::int as px, trunc(py+coalesce(vy,0))
     "box_centres": (box_centres, f"select event_id, x+w//2 as cx, y+h//2 as cy, w*h as area from {_DET}"),
     "iou_pairs": (iou_pairs, f"select * from {_PAIRS}"),
     "iou_best_per_det": (iou_best_per_det, f"select b_id, arg_min(a_id, (-iou, a_id)) as a_id, max(iou) as iou from {_PAIRS} group by b_id"),
+    "greedy_matches": (greedy_matches, f"""with recursive p as (select *, row_number() over (partition by video_id, frame_id order by iou desc, a_id, b_id) as i from {_PAIRS}),
+g as (select video_id, frame_id, 0::bigint as i, []::bigint[] as a, []::bigint[] as b, null::bigint as a_id, null::bigint as b_id, null::double as iou from (select distinct video_id, frame_id from p)
+union all select p.video_id, p.frame_id, p.i, case when list_contains(g.a, p.a_id) or list_contains(g.b, p.b_id) then g.a else list_append(g.a, p.a_id) end,
+case when list_contains(g.a, p.a_id) or list_contains(g.b, p.b_id) then g.b else list_append(g.b, p.b_id) end,
+case when list_contains(g.a, p.a_id) or list_contains(g.b, p.b_id) then null else p.a_id end, p.b_id, p.iou from g join p on p.video_id=g.video_id and p.frame_id=g.frame_id and p.i=g.i+1)
+select video_id, frame_id, a_id, b_id, iou from g where a_id is not null"""),
+    "eligible_tracks": (eligible_tracks, f"select track_id, count(*) as n, count(*)>=2 as in_density, count(*)>5 as is_path from {_TR} where frame_idx%3=0 group by 1"),
     "unmatched_detections": (unmatched_detections, f"select event_id, video_id, frame_id from {_DET} where event_id not in (select b_id from {_PAIRS})"),
     "unmatched_tracks": (unmatched_tracks, f"select event_id from {_DET} where event_id not in (select a_id from {_PAIRS})"),
     "ids_lost_next_frame": (ids_lost_next_frame, f"""with s as (select distinct frame_idx//100 as step, track_id from {_TR}) select step, track_id from s where step < (select max(step) from s) and not exists (select 1 from s n where n.step=s.step+1 and n.track_id=s.track_id)"""),

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 #: Arrow batches stand in the JVM and in each Python worker; texts and images fill Spark's default size.
@@ -29,3 +29,21 @@ def ship(spark: SparkSession) -> None:
     copy = Path(tmp, "src", here.name)
     shutil.copytree(here, copy, ignore=shutil.ignore_patterns("__pycache__", "*.pyc"))
     spark.sparkContext.addPyFile(shutil.make_archive(str(Path(tmp, here.name)), "zip", str(copy.parent)))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where tests on one machine name none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="laneatlas-")
+    return base.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Rows written to the shared folder, cut from what made them."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()

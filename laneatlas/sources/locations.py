@@ -37,6 +37,13 @@ def location(spark: SparkSession, name: str) -> DataFrame:
     return locations(spark).where(F.col("id") == name)
 
 
+def looked_up(requests: DataFrame, place: str = "place") -> DataFrame:
+    """requests with name, bounds and zoom of the place they ask for, and known: false, and null elsewhere, for one that the registry lacks. The
+    registry is broadcast (five rows)."""
+    found = locations(requests.sparkSession).withColumnRenamed("id", place).withColumn("known", F.lit(True))
+    return requests.join(F.broadcast(found), place, "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
 def with_bounds(df: DataFrame) -> DataFrame:
     """The four sides as one struct `bounds`."""
     return df.withColumn("bounds", F.struct("min_lat", "max_lat", "min_lon", "max_lon"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laneatlas.functions import geo
+from laneatlas.session import shared_folder
 
 
 def stream_density(points: DataFrame, width: int, height: int, grid: int = 50) -> DataFrame:
@@ -30,22 +31,13 @@ def sessions(events: DataFrame, gap: str, late: str = "10 minutes", key: str = "
     return timed.groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), "n")
 
 
-def _shared(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="laneatlas-")  # tests on one machine
-    return f"{base.rstrip('/')}/drained-{uuid.uuid4().hex}"
-
-
 def drained(stream: DataFrame, mode: str = "complete", seconds: int = 600) -> DataFrame:
     """What a stream gives once all that is there now has been read, as a table in the shared folder, where the query's checkpoint lies too.
 
     mode append: the rows of all micro-batches; complete: those of the last one. TimeoutError after `seconds`.
     """
     spark, schema = stream.sparkSession, stream.schema
-    path = _shared(spark)
+    path = f"{shared_folder(spark)}/drained-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/rows/batch={n}")
