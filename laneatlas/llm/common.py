@@ -124,3 +124,14 @@ def meet(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total:
     large = groups.where(F.col(size) > limit)
     rest = rows.join(F.broadcast(large.select(keys)), keys, "left_anti")
     return rows.join(F.broadcast(large), keys).unionByName(rest.join(groups, keys))
+
+
+def heavy(rows: DataFrame, key: str, share: float = 0.001, least: int = 1000) -> DataFrame:
+    """The values of `key` that more than the share `share` of all rows (and more than `least`) have: fewer than 2/share rows, to be broadcast.
+
+    A frequent-items sketch passes over every row and is merged from partition to partition; its error is far below `share`,
+    so none above it is missed. Counts are estimates: use it to deal rows, not for results.
+    """
+    top = rows.agg(F.expr(f"approx_top_k(`{key}`, {int(2 / share)}, {int(32 / share)})").alias("top"), F.count("*").alias("n"))
+    many = F.greatest(F.lit(float(least)), F.col("n") * share)
+    return top.select("n", F.explode("top").alias("t")).where(F.col("t.count") > many).select(F.col("t.item").alias(key))

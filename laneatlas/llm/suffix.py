@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from laneatlas.session import ship
 
-from .common import written
+from .common import heavy, remove, shared_dir, written
 from .tokens import slices
 
 GRAM = 32
@@ -226,11 +226,12 @@ def _spans_batch(spans: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["key", "a", "b"])
 
 
-def repeated_spans(texts: DataFrame, length: int = 100, hot: int = 5000, chunk: int = 20_000) -> DataFrame:
+def repeated_spans(texts: DataFrame, length: int = 100, hot: int = 5000, chunk: int = 20_000, share: float = 0.001, least: int = 1000) -> DataFrame:
     """Spans (key, a, b) of bytes that windows of `length` cover which also start earlier; texts: key (ascending: earlier), text.
 
     An anchor with more than `hot` fragments sends its windows one by one, dealt by their bytes as well, so that no task gets all
-    of them; equal ones are settled as they arrive, and a task holds distinct fragments only.
+    of them; equal ones are settled as they arrive, and a task holds distinct fragments only. So does an anchor that more than the share `share` of all
+    fragments (and more than `least`) have; its fragments are never in one task.
     """
     ship(texts.sparkSession)
 
@@ -318,17 +319,24 @@ def repeated_spans(texts: DataFrame, length: int = 100, hot: int = 5000, chunk:
         if spans:
             yield _spans_batch(spans)
 
-    found = texts.select("key", "text").mapInArrow(find, "g long, same long, key long, at long")
-    group = Window.partitionBy("g")
-    found = found.select(
-        "*", F.count("same").over(group).alias("n"), (F.min("same").over(group) != F.max("same").over(group)).alias("mixed"),
-        F.row_number().over(Window.partitionBy("g", "same").orderBy("key", "at")).alias("nth"),
+    raw_path = shared_dir(texts.sparkSession)
+    raw = written(texts.select("key", "text").mapInArrow(find, "g long, same long, key long, at long"), raw_path)
+    # the fragments of a frequent anchor are dealt by their hashes too; they count as mixed, which the settling decides
+    often = heavy(raw, "g", share, least).withColumn("often", F.lit(True))
+    raw = raw.join(F.broadcast(often), "g", "left").withColumn("deal", F.when(F.col("often"), F.coalesce("same", F.lit(0))).otherwise(0))
+    group = Window.partitionBy("g", "deal")
+    split = F.col("often").isNotNull()
+    found = raw.select(
+        "g", "same", "key", "at", F.count("same").over(group).alias("n"), split.alias("often"),
+        (split | (F.min("same").over(group) != F.max("same").over(group))).alias("mixed"),
+        F.row_number().over(Window.partitionBy("g", "deal", "same").orderBy("key", "at")).alias("nth"),
     )
-    found = written(found.where("same is null or n > 1"))
+    found = written(found.where("same is null or n > 1 or often"))
+    remove(texts.sparkSession, raw_path)
     first, n, off = F.shiftright("at", 24), F.shiftright("at", 12).bitwiseAND(4095).cast("int"), F.col("at").bitwiseAND(4095).cast("int")
     local = found.where("same is null").select("key", first.alias("a"), (first + F.col("at").bitwiseAND(0xFFFFFF)).alias("b"))
     whole = found.where("same is not null and nth > 1").select("key", first.alias("a"), (first + n + length - 1).alias("b"))
-    open_ = F.struct("g", first.cast("int").alias("first"), n.alias("n"), off.alias("off"), (F.col("n") > hot).alias("many"))
+    open_ = F.struct("g", first.cast("int").alias("first"), n.alias("n"), off.alias("off"), (F.col("often") | (F.col("n") > hot)).alias("many"))
     wanted = found.where("same is not null and mixed and nth = 1").groupBy("key").agg(F.collect_list(open_).alias("f"))
     # the same exchange of the texts serves remove_repeats() again
     cut = texts.select("key", "doc_id", "text").join(wanted.hint("shuffle_hash"), "key").select("key", "doc_id", "text", "f")

@@ -40,14 +40,14 @@ def test_edges(spark, edges):
     assert S.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize("length, hot, chunk", [(100, 5000, 20_000), (40, 3, 50), (35, 5000, 10)])
-def test_shared_passages(spark, length, hot, chunk):
+@pytest.mark.parametrize("length, hot, chunk, least", [(100, 5000, 20_000, 1000), (40, 3, 50, 1000), (35, 5000, 10, 1000), (40, 5000, 50, 1), (100, 5000, 20_000, 2)])
+def test_shared_passages(spark, length, hot, chunk, least):
     r = random.Random(1)
     base = ["".join(r.choice("ab") for _ in range(60)) for _ in range(6)]
     docs = ["".join(r.choice(base) if r.random() < 0.6 else "".join(r.choice("ab é") for _ in range(r.randint(0, 30))) for _ in range(r.randint(0, 12))) for _ in range(200)]
     texts = S.ordered_keys(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(6), "text", "doc_id")
     spans = {}
-    for x in S.repeated_spans(texts, length, hot=hot, chunk=chunk).collect():
+    for x in S.repeated_spans(texts, length, hot=hot, chunk=chunk, least=least).collect():
         spans.setdefault(x.key, []).append((x.a, x.b))
     for i, (_, removed, runs, _) in enumerate(_brute(docs, length)):
         own = S.merged_spans(spans.get(i, []))
@@ -70,3 +70,14 @@ def test_sort_and_collisions(monkeypatch):
     check()
     monkeypatch.setattr(S, "_CODE", np.zeros(256, np.uint64))  # every hash collides
     check()
+
+
+def test_heavy_anchors(spark):
+    from pyspark.sql import functions as F
+
+    from laneatlas.llm.common import heavy
+
+    rows = spark.range(0, 90_000, 1, 7).select(F.when(F.col("id") % 3 == 0, -5).when(F.col("id") % 100 == 1, 7).otherwise(F.col("id")).alias("g"))
+    assert {r[0] for r in heavy(rows, "g").collect()} == {-5} | ({7} if rows.where("g = 7").count() > 1000 else set())
+    assert {r[0] for r in heavy(rows, "g", least=100).collect()} == {-5, 7}
+    assert heavy(rows.where("g is null"), "g").count() == 0
