@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, fingerprint, lines, mixing, packing, preferences, quality, simhash, suffix, token_files
+from . import exact, fingerprint, lines, merkle, mixing, negatives, packing, preferences, quality, secrets, simhash, suffix, token_files
 from .common import shared_dir
 
 
@@ -65,6 +65,24 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh vec_id has the next label; every fiftieth is an anchor."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), label, "id % 50 = 0")
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tampering lower-cases A-Z in the texts whose doc_id has a crc32 that 5 divides."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    tampered = F.when(hit, F.translate("text", upper, lower)).otherwise(F.col("text"))
+    return merkle.manifest(_table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], changed={"text": tampered})
+
+
 _BLANK = r"[\x20\x09-\x0D]"
 
 OP4_SQL = rf"""
@@ -113,6 +131,76 @@ select conv_id, any_value(n_prompt)::bigint as n_prompt,
 from w group by conv_id
 """
 
+
+OP11_SQL = """
+with e as (
+  select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.id as a, e.id as b, a.label = e.label as same, list_dot_product(a.v, e.v)::bigint as score
+  from e as a join e on a.id <> e.id where a.id % 50 = 0),
+p as (select * from s where same qualify row_number() over (partition by a order by score desc, b) <= 5),
+n as (
+  select p.a as anchor_id, p.b as positive_id, row_number() over (partition by p.a, p.b order by s.score desc, s.b)::int as rank,
+         s.b as negative_id, p.score as positive_score, s.score as negative_score
+  from p join s on s.a = p.a and not s.same and 50 * p.score <= 100 * s.score and 100 * s.score <= 95 * p.score)
+select * from n where rank <= 3
+"""
+
+
+def _merkle_sql(depth: int = 6, over: int = 4) -> str:
+    """Levels as joins of parents: `depth` levels of leaves of a source and `over` of sources, 16 children each (16 million and 65,536)."""
+    coded = lambda c: f"coalesce(strlen(cast({c} as varchar)) || ':' || cast({c} as varchar), '-')"
+    tree = lambda t, k: f"{t}{k + 1} as (select s, i // 16 as i, (any_value(n) + 15) // 16 as n, string_agg(h, '' order by i) as pre, sha256(string_agg(h, '' order by i)) as h from {t}{k} where n > 1 group by s, i // 16)"
+    cut = lambda t, k: f"coalesce(substr({t}{k}.pre, 1, 64 * ({'p' if t == 'l' else 'q'} // {16 ** (k - 1)} % 16)) || substr({t}{k}.pre, 64 * ({'p' if t == 'l' else 'q'} // {16 ** (k - 1)} % 16) + 65), '')"
+    put = lambda t, k, h: f"case when {t}{k}.pre is null then {h} else sha256(substr({t}{k}.pre, 1, 64 * ({'p' if t == 'l' else 'q'} // {16 ** (k - 1)} % 16)) || {h} || substr({t}{k}.pre, 64 * ({'p' if t == 'l' else 'q'} // {16 ** (k - 1)} % 16) + 65)) end"
+    one = lambda t, k: " union all ".join(f"select s, h from {t}{x} where n = 1" for x in range(k + 1))
+    head = f"""
+with recursive bits(b, step, c) as (
+  select b, 0, b from range(256) r(b) union all
+  select b, step + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from bits where step < 8),
+tab as (select list(c order by b) as t from bits where step = 8),
+d as (
+  select *, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(doc_id as varchar), ''), lambda x: ord(x)::bigint)),
+         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 5 = 0 as hit from documents, tab),
+a as (
+  select doc_id, source as s, sha256(concat({", ".join(map(coded, ("doc_id", "source", "lang", "n_chars", "text")))})) as h,
+         case when hit then sha256(concat({", ".join(map(coded, ("doc_id", "source", "lang", "n_chars")))}, {coded("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")})) end as changed
+  from d),
+l0 as (
+  select doc_id, coalesce('s' || s, '') as s, h, coalesce(changed, h) as g, count(*) over (partition by s) as n,
+         row_number() over (partition by s order by doc_id nulls first, h) - 1 as i
+  from a),
+"""
+    parts = [tree("l", k) for k in range(depth)]
+    parts.append(f"u as ({one('l', depth)})")
+    parts.append("t0 as (select '' as s, s as name, h, count(*) over () as n, row_number() over (order by s) - 1 as i from u)")
+    parts += [tree("t", k) for k in range(over)]
+    parts.append(f"top as ({one('t', over)})")
+    joins = " ".join(f"left join l{k} on l{k}.s = l0.s and l{k}.i = l0.i // {16**k}" for k in range(1, depth + 1))
+    joins_over = " ".join(f"left join t{k} on t{k}.i = q // {16**k}" for k in range(1, over + 1))
+    inner = "l0.g"
+    steps = []
+    for k in range(1, depth + 1):
+        steps.append(f"f{k} as (select *, {put('f', k, 'g' if k == 1 else f'g{k - 1}').replace(f'f{k}.pre', f'pre{k}').replace('q //', 'p //')} as g{k} from {'w' if k == 1 else f'f{k - 1}'})")
+    parts.append(f"w as (select l0.doc_id, l0.s, l0.h, l0.g, l0.i as p, {', '.join(f'l{k}.pre as pre{k}' for k in range(1, depth + 1))} from l0 {joins})")
+    parts += steps
+    sib = " || ".join(cut("l", k).replace(f"l{k}.pre", f"pre{k}") for k in range(1, depth + 1))
+    parts.append(f"x as (select f{depth}.*, t0.h as subroot, t0.i as q, {sib} as sib from f{depth} join t0 on t0.name = f{depth}.s)")
+    parts.append(f"y as (select x.*, {', '.join(f't{k}.pre as over{k}' for k in range(1, over + 1))} from x {joins_over})")
+    last = "y"
+    for k in range(1, over + 1):
+        parts.append(f"o{k} as (select *, {put('t', k, f'g{depth}' if k == 1 else f'e{k - 1}').replace(f't{k}.pre', f'over{k}')} as e{k} from {last})")
+        last = f"o{k}"
+    sib_over = " || ".join(cut("t", k).replace(f"t{k}.pre", f"over{k}") for k in range(1, over + 1))
+    return head + ",\n".join(parts) + f"\nselect doc_id, {last}.h as leaf, subroot, top.h as root, sha256(sib || {sib_over}) as proof_sha256, e{over} as folded_root, e{over} = top.h as verified from {last}, top"
+
+
+OP13_SQL = _merkle_sql()
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_line_dedup": op2_line_dedup,
@@ -124,6 +212,9 @@ QUERIES = {
     "op8_preference_format": op8_preference_format,
     "op9_packing": op9_packing,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_secret_scan": op12_secret_scan,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLES = {"op4_exact_dedup": OP4_SQL, "op8_preference_format": OP8_SQL}
+ORACLES = {"op4_exact_dedup": OP4_SQL, "op8_preference_format": OP8_SQL, "op11_hard_negatives": OP11_SQL, "op13_merkle_manifest": OP13_SQL}

@@ -14,6 +14,7 @@ COLUMNS = {
     "op6_source_mixing": {"doc_id", "size", "source_size", "target", "taken"},
     "op7_suffix_dedup": {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"},
     "op10_quality_classifier": {"doc_id", "held_out", "score", "predicted"},
+    "op12_secret_scan": {"doc_id", "n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans"},
 }
 
 
@@ -34,7 +35,7 @@ def test_oracles(spark, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = c.sql(ORACLES[name])
     got = QUERIES[name](spark, SF)
