@@ -19,7 +19,11 @@ def centre(box: Column) -> Column:
     return F.struct((box["x"] + F.floor(box["w"] / 2)).cast("int").alias("cx"), (box["y"] + F.floor(box["h"] / 2)).cast("int").alias("cy"))
 
 
-def plausible(w: Column, h: Column, least: float = 500, most: float = 50_000) -> Column:
-    """Detections of a vehicle's size and form: area within bounds, width over height from 0.2 to 5."""
-    ratio = F.when(h > 0, w / h).otherwise(F.lit(0.0))
-    return (w * h).between(least, most) & ratio.between(0.2, 5.0)
+def upright(w: Column, h: Column) -> Column:
+    """Width over height from 0.2 to 5; a box without height does not pass."""
+    return F.when(h > 0, w / h).otherwise(F.lit(0.0)).between(0.2, 5.0)
+
+
+def plausible(w: Column, h: Column, least: float = 500, most: float = 50_000, area: Column | None = None) -> Column:
+    """Detections of a vehicle's size and form: area (of the contour; where there is none, of the box) within bounds, and upright()."""
+    return (w * h if area is None else area).between(least, most) & upright(w, h)

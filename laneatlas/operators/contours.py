@@ -1,67 +1,95 @@
-"""Kernels over binary images: components, outer contours and their measures; NumPy under applyInPandas, one image a group."""
+"""Kernels over binary images: components, outer contours, boxes, hulls and repaired rings; areas, moments and features are columns (functions/polygons.py)."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from laneatlas.functions import polygons
 from laneatlas.session import ship
 
 #: Clockwise neighbours (dr, dc) from east.
 _AROUND = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
 
 
-def components(mask: np.ndarray) -> np.ndarray:
-    """8-connected labels from 1 in reading order of their first pixel; 0 is background."""
-    high, wide = mask.shape
+def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first column, last column) of the runs of set pixels, in reading order."""
+    edge = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, first = np.nonzero(edge == 1)
+    return row, first, np.nonzero(edge == -1)[1] - 1
+
+
+def components(mask: np.ndarray, diagonal: bool = True) -> np.ndarray:
+    """Labels from 1 in reading order of their first pixel; 0 is background. 8-connected, without `diagonal` 4-connected.
+
+    Runs of the rows are linked to those they touch in the row above, and labels sink to the smallest linked one: work by runs, not by pixels."""
+    row, first, last = _runs(mask)
+    n, wide, by = len(row), mask.shape[1] + 3, int(diagonal)
+    above = (row - 1) * wide
+    lo = np.searchsorted(row * wide + last, above + first - by)
+    hi = np.searchsorted(row * wide + first, above + last + by, side="right")
+    count = np.maximum(hi - lo, 0)
+    a = np.repeat(np.arange(n), count)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    number = np.cumsum(root == np.arange(n))[root]
     label = np.zeros(mask.shape, np.int32)
-    n = 0
-    for r, c in zip(*np.nonzero(mask), strict=True):
-        if label[r, c]:
-            continue
-        n += 1
-        label[r, c] = n
-        todo = [(r, c)]
-        while todo:
-            y, x = todo.pop()
-            for dy, dx in _AROUND:
-                v, u = y + dy, x + dx
-                if 0 <= v < high and 0 <= u < wide and mask[v, u] and not label[v, u]:
-                    label[v, u] = n
-                    todo.append((v, u))
+    flat, size = label.reshape(-1), last - first + 1
+    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(row * mask.shape[1] + first, size)
+    flat[at] = np.repeat(number, size)
     return label
 
 
+def outermost(mask: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """The labels that lie in no hole of another: those that touch the background that reaches the border."""
+    ground = components(~np.pad(mask, 1), diagonal=False)
+    open_ = ground == ground[0, 0]
+    beside = open_[:-2, 1:-1] | open_[2:, 1:-1] | open_[1:-1, :-2] | open_[1:-1, 2:]
+    return np.unique(label[beside & mask])
+
+
 def outline(part: np.ndarray) -> list[tuple[int, int]]:
     """Outer border (x, y) of one component, traced about it from its first pixel, runs of one direction reduced to their ends."""
-    ys, xs = np.nonzero(part)
-    y0, x0 = int(ys[0]), int(xs[0])
-    high, wide = part.shape
-    on = lambda y, x: 0 <= y < high and 0 <= x < wide and part[y, x]
-    path, y, x, way = [(x0, y0)], y0, x0, 7
-    first = None
+    wide = part.shape[1] + 2
+    on = np.pad(part, 1).tobytes()
+    steps = [dr * wide + dc for dr, dc in _AROUND]
+    start = at = on.index(1)
+    path, way, first = [start], 7, None
     while True:
         for k in range(8):
             d = (way + k) % 8
-            if on(y + _AROUND[d][0], x + _AROUND[d][1]):
+            if on[at + steps[d]]:
                 break
         else:
-            return path
+            return [(start % wide - 1, start // wide - 1)]
         if first is None:
             first = d
-        elif (y, x) == (y0, x0) and d == first:
+        elif at == start and d == first:
             break
-        y, x = y + _AROUND[d][0], x + _AROUND[d][1]
-        path.append((x, y))
+        at += steps[d]
+        path.append(at)
         way = (d + 6) % 8 if d % 2 == 0 else (d + 5) % 8
     path.pop()
+    points = [(p % wide - 1, p // wide - 1) for p in path]
     if len(path) < 3:
-        return path
-    step = lambda a, b: (b[0] - a[0], b[1] - a[1])
-    return [p for i, p in enumerate(path) if step(path[i - 1], p) != step(p, path[(i + 1) % len(path)])]
+        return points
+    turn = [path[i - 1] + path[(i + 1) % len(path)] != 2 * path[i] for i in range(len(path))]
+    return [p for p, t in zip(points, turn, strict=True) if t]
 
 
 def shoelace(ring: list[tuple[float, float]]) -> float:
@@ -121,103 +149,187 @@ def simplified(ring: list[tuple[float, float]], share: float = 0.02) -> list[tup
     return reduce(ring[: far + 1])[:-1] + reduce(ring[far:] + ring[:1])[:-1]
 
 
+def crossings(ring: list[tuple[float, float]]) -> list[tuple[int, int]]:
+    """Pairs of sides that cross inside both. A sweep over x: a side meets those that begin before it ends."""
+    n = len(ring)
+    p = np.array(ring, float)
+    q = np.roll(p, -1, axis=0)
+    order = np.argsort(np.minimum(p[:, 0], q[:, 0]), kind="stable")
+    a, b = p[order], q[order]
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    ends = np.searchsorted(low[:, 0], high[:, 0], side="right")
+    side = lambda a, b, c: (b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0])
+    out = []
+    for i in range(n):
+        j = np.arange(i + 1, ends[i])
+        j = j[(low[j, 1] <= high[i, 1]) & (high[j, 1] >= low[i, 1])]
+        cross = (side(a[i], b[i], a[j]) * side(a[i], b[i], b[j]) < 0) & (side(a[j], b[j], a[i]) * side(a[j], b[j], b[i]) < 0)
+        out += [tuple(sorted((int(order[i]), int(order[k])))) for k in j[cross]]
+    return sorted(out)
+
+
+def touches(ring: list[tuple[float, float]]) -> list[tuple[int, int]]:
+    """(corner, side) where a corner lies on a side that it does not end, or on another corner (as the first point of that one's side)."""
+    p = np.array(ring, float)
+    q = np.roll(p, -1, axis=0)
+    order = np.argsort(p[:, 0], kind="stable")
+    xs = p[order, 0]
+    out = []
+    for i in range(len(ring)):
+        (ax, ay), (bx, by) = p[i], q[i]
+        k = order[np.searchsorted(xs, min(ax, bx)) : np.searchsorted(xs, max(ax, bx), side="right")]
+        x, y = p[k, 0], p[k, 1]
+        on = ((bx - ax) * (y - ay) == (by - ay) * (x - ax)) & (y >= min(ay, by)) & (y <= max(ay, by)) & ~((x == bx) & (y == by) & ((bx != ax) | (by != ay)))
+        out += [(int(j), i) for j in k[on] if j != i]
+    return out
+
+
 def valid(ring: list[tuple[float, float]]) -> bool:
-    """At least three points and no two sides that cross."""
+    """At least three points, no two sides that cross, and no corner on another side or corner."""
+    return len(ring) >= 3 and not crossings(ring) and not touches(ring)
+
+
+def split(ring: list[tuple[float, float]]) -> list[list[tuple[float, float]]]:
+    """The simple rings that bound what a crossing ring winds around, outer ones counterclockwise (area positive), holes clockwise.
+
+    Sides are cut where they cross; the pieces part the plane into faces, whose winding numbers follow from the outside inwards; the
+    pieces between a face that is wound around and one that is not are joined to rings."""
     n = len(ring)
-    if n < 3:
-        return False
-    side = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+    cuts: dict[int, list[tuple[float, float]]] = {}
+    for i, j in crossings(ring):
+        (ax, ay), (bx, by), (cx, cy), (dx, dy) = ring[i], ring[(i + 1) % n], ring[j], ring[(j + 1) % n]
+        t = ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / ((bx - ax) * (dy - cy) - (by - ay) * (dx - cx))
+        at = (round(ax + t * (bx - ax), 9), round(ay + t * (by - ay), 9))
+        cuts.setdefault(i, []).append(at)
+        cuts.setdefault(j, []).append(at)
+    for j, i in touches(ring):
+        cuts.setdefault(i, []).append(ring[j])
+    times: dict[tuple, int] = {}  # how often the ring goes along a piece, less the other way
     for i in range(n):
-        for j in range(i + 2, n - (i == 0)):
-            a, b, c, d = ring[i], ring[(i + 1) % n], ring[j], ring[(j + 1) % n]
-            if side(a, b, c) * side(a, b, d) < 0 and side(c, d, a) * side(c, d, b) < 0:
-                return False
-    return True
+        a = ring[i]
+        way = [a, *sorted(cuts.get(i, []), key=lambda p: math.dist(a, p)), ring[(i + 1) % n]]
+        for p, q in zip(way, way[1:], strict=False):
+            p, q = (float(p[0]), float(p[1])), (float(q[0]), float(q[1]))
+            if p != q:
+                times[p, q] = times.get((p, q), 0) + 1
+                times[q, p] = times.get((q, p), 0) - 1
+    spokes: dict[tuple, list] = {}
+    for p, q in times:
+        spokes.setdefault(p, []).append(q)
+    for p, around in spokes.items():
+        around.sort(key=lambda q: math.atan2(q[1] - p[1], q[0] - p[0]))
+    place = {(p, q): k for p, around in spokes.items() for k, q in enumerate(around)}
+    after = lambda p, q: (q, spokes[q][place[q, p] - 1])  # the next piece of the face on the left
+    face: dict[tuple, int] = {}
+    faces: list[list[tuple]] = []
+    for piece in times:
+        if piece not in face:
+            way, at = [], piece
+            while at not in face:
+                face[at] = len(faces)
+                way.append(at)
+                at = after(*at)
+            faces.append(way)
+    if not faces:
+        return []
+    turn = lambda way: sum(p[0] * q[1] - q[0] * p[1] for p, q in way) / 2
+    outside = min(range(len(faces)), key=lambda k: turn(faces[k]))
+    winding, todo = {outside: 0}, [outside]
+    while todo:
+        for p, q in faces[todo.pop()]:
+            other = face[q, p]
+            if other not in winding:
+                winding[other] = winding[face[p, q]] - times[p, q]
+                todo.append(other)
+    border = {(p, q) for p, q in times if winding[face[p, q]] and not winding[face[q, p]]}
+    out = []
+    while border:
+        at = start = min(border)
+        way = []
+        while True:
+            border.discard(at)
+            way.append(at[0])
+            p, q = at
+            k = place[q, p]
+            at = next((q, spokes[q][(k - s) % len(spokes[q])]) for s in range(1, len(spokes[q]) + 1) if (q, spokes[q][(k - s) % len(spokes[q])]) in border or (q, spokes[q][(k - s) % len(spokes[q])]) == start)
+            if at == start:
+                break
+        out.append(way)
+    return out
 
 
-def repaired(ring: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    """The ring if no two sides cross, else its hull; fewer than three points stay as they are (a line)."""
-    return ring if len(ring) < 3 or valid(ring) else hull(ring)
+def repaired(ring: list[tuple[float, float]]) -> list[list[tuple[float, float]]]:
+    """The rings of a valid shape: the ring itself if no two sides cross or it is a line of fewer than three points, else those of split()."""
+    return [ring] if len(ring) < 3 or valid(ring) else split(ring)
 
 
 def filled(ring: list[tuple[float, float]], high: int, wide: int) -> np.ndarray:
-    """Pixels inside or on a polygon."""
-    yy, xx = np.mgrid[0:high, 0:wide]
-    inside, edge = np.zeros((high, wide), bool), np.zeros((high, wide), bool)
+    """Pixels inside or on a polygon: the crossings of each row in pairs, and the sides' own pixels. The relational form is operators/fill.py."""
+    out = np.zeros((high, wide), bool)
+    rows: dict[int, list[float]] = {}
     for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True):
-        crosses = (y1 > yy) != (y2 > yy)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            inside ^= crosses & (xx < (x2 - x1) * (yy - y1) / (y2 - y1 if y2 != y1 else np.inf) + x1)
-        on = np.abs((x2 - x1) * (yy - y1) - (y2 - y1) * (xx - x1)) < 1e-9
-        edge |= on & (xx >= min(x1, x2)) & (xx <= max(x1, x2)) & (yy >= min(y1, y2)) & (yy <= max(y1, y2))
-    return inside | edge
-
-
-def orientation(points: list[tuple[float, float]]) -> float:
-    """Angle of the ellipse of equal second moments, as a share of a half turn; 0.5 for fewer than five points."""
-    if len(points) < 5:
-        return 0.5
-    p = np.array(points, float)
-    p -= p.mean(axis=0)
-    a, b, c = (p[:, 0] ** 2).mean(), (p[:, 0] * p[:, 1]).mean(), (p[:, 1] ** 2).mean()
-    return (math.degrees(0.5 * math.atan2(2 * b, a - c)) % 180) / 180
-
-
-def hu(ring: list[tuple[float, float]], n: int = 4) -> list[float]:
-    """The first invariants of the moments of a polygon's pixels."""
-    x0, y0 = min(p[0] for p in ring), min(p[1] for p in ring)
-    area = filled([(x - x0, y - y0) for x, y in ring], int(max(p[1] for p in ring) - y0) + 1, int(max(p[0] for p in ring) - x0) + 1)
-    y, x = (v.astype(float) for v in np.nonzero(area))
-    m = len(x)
-    if not m:
-        return [0.0] * n
-    x -= x.mean()
-    y -= y.mean()
-    eta = lambda p, q: float((x**p * y**q).sum()) / m ** (1 + (p + q) / 2)
-    a, b, c = eta(2, 0), eta(0, 2), eta(1, 1)
-    d, e, f, g = eta(3, 0), eta(1, 2), eta(2, 1), eta(0, 3)
-    return [a + b, (a - b) ** 2 + 4 * c * c, (d - 3 * e) ** 2 + (3 * f - g) ** 2, (d + e) ** 2 + (f + g) ** 2][:n]
-
-
-def features(ring: list[tuple[float, float]]) -> list[float]:
-    """Aspect (50 at most), circularity, solidity, extent, orientation and four log Hu moments; nine zeros for an empty shape."""
-    area, around = shoelace(ring), perimeter(ring)
-    if not area or not around:
-        return [0.0] * 9
-    w, h, _ = rotated_box(ring)
-    box = (max(p[0] for p in ring) - min(p[0] for p in ring) + 1) * (max(p[1] for p in ring) - min(p[1] for p in ring) + 1)
-    solid = shoelace(hull(ring))
-    moments = [0.0 if m == 0 else max(-20.0, min(20.0, -math.copysign(1, m) * math.log10(abs(m) + 1e-10))) for m in hu(ring)]
-    ratio = max(w, h) / min(w, h) if min(w, h) > 0 else 0.0
-    return [min(ratio, 50.0), min(1.0, 4 * math.pi * area / around**2), area / solid if solid else 0.0, area / box if box else 0.0, orientation(ring), *moments]
-
-
-def contours(mask: DataFrame, key: str, high: int, wide: int) -> DataFrame:
-    """mask (key, r, c of set pixels) to one row a component: key, part, n_pixels, ring, area, perimeter, x, y, w, h, hull_area, long, short, features, and simple: the
-    ring simplified by 2 % of its length and repaired. Each component is looked at within its own box."""
+        for y in range(max(0, math.ceil(min(y1, y2))), min(high - 1, math.floor(max(y1, y2))) + 1):
+            if y1 == y2:
+                a, b = sorted((x1, x2))
+            else:
+                a = b = x1 + (x2 - x1) * (y - y1) / (y2 - y1)
+                if min(y1, y2) <= y < max(y1, y2):
+                    rows.setdefault(y, []).append(a)
+            a, b = max(0, math.ceil(a - 1e-9)), min(wide - 1, math.floor(b + 1e-9))
+            out[y, a : max(0, b + 1)] = True
+    for y, xs in rows.items():
+        xs.sort()
+        for a, b in zip(xs[::2], xs[1::2], strict=True):
+            out[y, max(0, math.ceil(a)) : max(0, math.floor(b) + 1)] = True
+    return out
+
+
+#: Columns of a component's row after its key: what needs a walk over pixels or points; the rest follows from the ring by column functions.
+_SHAPE = "part int, n_pixels int, ring array<struct<x:int,y:int>>, x int, y int, w int, h int, hull_area double, long double, short double, parts array<array<struct<x:double,y:double>>>"
+
+
+def shapes_of(image: np.ndarray, external: bool = False) -> Iterator[tuple]:
+    """For each component of a binary image: part, n_pixels, ring, x, y, w, h, hull_area, long, short, parts."""
+    label = components(image)
+    ys, xs = np.nonzero(label)
+    order = np.argsort(label[ys, xs], kind="stable")
+    ends = np.cumsum(np.bincount(label[ys, xs])[1:]) if len(ys) else np.zeros(0, int)
+    kept = set(outermost(image, label).tolist()) if external else None
+    for part, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False), 1):
+        if kept is not None and part not in kept:
+            continue
+        r, c = ys[order[a:b]], xs[order[a:b]]
+        top, left = int(r.min()), int(c.min())
+        own = np.zeros((int(r.max()) - top + 1, int(c.max()) - left + 1), bool)
+        own[r - top, c - left] = True
+        ring = [(x + left, y + top) for x, y in outline(own)]
+        w, h, _ = rotated_box(ring)
+        points = lambda ring, kind: [{"x": kind(x), "y": kind(y)} for x, y in ring]
+        yield part, b - a, points(ring, int), left, top, own.shape[1], own.shape[0], shoelace(hull(ring)), max(w, h), min(w, h), [points(p, float) for p in repaired(simplified(ring))]
+
+
+def measured(found: DataFrame) -> DataFrame:
+    """Rows of shapes_of() with area, perimeter, features and simple (the first of the repaired parts, on whole pixels), all by column functions of the ring."""
+    c = F.col
+    out = found.withColumn("area", polygons.area(c("ring"))).withColumn("perimeter", polygons.perimeter(c("ring")))
+    out = out.withColumn("features", polygons.vector(c("ring"), c("area"), c("perimeter"), c("hull_area"), c("w"), c("h"), c("long"), c("short")))
+    whole = F.transform(F.coalesce(F.get("parts", F.lit(0)), F.array().cast("array<struct<x:double,y:double>>")), lambda p: F.struct(F.round(p["x"]).cast("int").alias("x"), F.round(p["y"]).cast("int").alias("y")))
+    return out.withColumn("simple", whole)
+
+
+def contours(mask: DataFrame, key: str, high: int, wide: int, external: bool = False, chain: Callable[[np.ndarray], np.ndarray] | None = None, value: str = "gray") -> DataFrame:
+    """mask (key, r, c of set pixels) to one row a component: key, part, n_pixels, ring, area, perimeter, x, y, w, h, hull_area, long, short, features,
+    parts (the rings left when the ring is simplified by 2 % of its length and repaired) and simple (the first of them). external: without
+    components that lie in holes of others. chain: makes the mask of gray images (key, r, c, value), in the same task. One shuffle, by image;
+    each component is looked at within its own box."""
     ship(mask.sparkSession)
+    gray = [value] * (chain is not None)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        image = np.zeros((high, wide), bool)
-        image[pdf["r"].to_numpy(), pdf["c"].to_numpy()] = True
-        label = components(image)
-        rows = []
-        ys, xs = np.nonzero(label)
-        order = np.argsort(label[ys, xs], kind="stable")
-        ends = np.cumsum(np.bincount(label[ys, xs])[1:])
-        for part, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True), 1):
-            r, c = ys[order[a:b]], xs[order[a:b]]
-            top, left = int(r.min()), int(c.min())
-            own = np.zeros((int(r.max()) - top + 1, int(c.max()) - left + 1), bool)
-            own[r - top, c - left] = True
-            ring = [(x + left, y + top) for x, y in outline(own)]
-            w, h, _ = rotated_box(ring)
-            points = lambda ring: [{"x": int(x), "y": int(y)} for x, y in ring]
-            rows.append((pdf[key].iloc[0], part, b - a, points(ring), shoelace(ring), perimeter(ring), left, top, own.shape[1], own.shape[0], shoelace(hull(ring)), max(w, h), min(w, h), features(ring), points(repaired(simplified(ring)))))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-
-    kind = dict(mask.dtypes)[key]
-    schema = f"{key} {kind}, part int, n_pixels int, ring array<struct<x:int;y:int>>, area double, perimeter double, x int, y int, w int, h int, hull_area double, long double, short double, features array<double>, simple array<struct<x:int;y:int>>"
-    columns = schema
-    schema = columns.replace("x:int;y:int", "x:int")  # names only, for the columns above
-    return mask.select(key, "r", "c").groupBy(key).applyInPandas(run, columns.replace(";", ","))
+        image = np.zeros((high, wide), bool if chain is None else np.uint8)
+        image[pdf["r"].to_numpy(), pdf["c"].to_numpy()] = True if chain is None else pdf[value].to_numpy()
+        rows = [(pdf[key].iloc[0], *s) for s in shapes_of(image if chain is None else chain(image), external)]
+        return pd.DataFrame(rows, columns=[key, "part", "n_pixels", "ring", "x", "y", "w", "h", "hull_area", "long", "short", "parts"])
+
+    found = mask.select(key, "r", "c", *gray).groupBy(key).applyInPandas(run, f"{key} {dict(mask.dtypes)[key]}, {_SHAPE}")
+    return measured(found)

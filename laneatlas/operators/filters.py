@@ -34,16 +34,17 @@ def adaptive_threshold(image: np.ndarray, size: int = 11, c: float = -30) -> np.
 
 
 def bilateral(image: np.ndarray, size: int = 9, sigma_value: float = 75, sigma_space: float = 75) -> np.ndarray:
-    """Mean of a round neighbourhood, weighted by nearness in place and in value."""
-    half, img = size // 2, image.astype(float)
+    """Mean of a round neighbourhood, weighted by nearness in place and in value (whole numbers from 0 to 255: their weights are a table)."""
+    half, img = size // 2, np.rint(image).astype(np.int16)
     p, (h, w) = _pad(img, half), image.shape
     total, weight = np.zeros((h, w)), np.zeros((h, w))
+    alike = np.exp(-(np.arange(256.0) ** 2) / (2 * sigma_value**2))
     for dy in range(-half, half + 1):
         for dx in range(-half, half + 1):
             if dy * dy + dx * dx > half * half:
                 continue
             v = p[half + dy : half + dy + h, half + dx : half + dx + w]
-            g = np.exp(-(dy * dy + dx * dx) / (2 * sigma_space**2) - (v - img) ** 2 / (2 * sigma_value**2))
+            g = np.exp(-(dy * dy + dx * dx) / (2 * sigma_space**2)) * alike[np.abs(v - img)]
             total += g * v
             weight += g
     return np.rint(total / weight)
@@ -135,17 +136,71 @@ class Background:
         return np.where(back, 0, np.where(shadow, 127, 255)) if self.n > 1 else np.zeros(image.shape, int)
 
 
-def flow(a: np.ndarray, b: np.ndarray, window: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(dx, dy) of each pixel from image a to b by least squares of the brightness gradients in a smoothed window."""
+def _across(image: np.ndarray, down: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Correlation with a column of weights, then with a row of them; the border pixels go on outside."""
+    half, (h, w) = len(down) // 2, image.shape
+    p = np.pad(image, half, mode="edge")
+    rows = sum(k * p[i : i + h] for i, k in enumerate(down))
+    return sum(k * rows[:, i : i + w] for i, k in enumerate(right))
+
+
+def expansion(image: np.ndarray, reach: int = 5, sigma: float = 1.2) -> np.ndarray:
+    """Of each pixel's neighbourhood the quadratic c + bx x + by y + axx x^2 + ayy y^2 + axy x y of least squares under Gaussian weights: bx, by, axx, ayy, axy.
+
+    The weights are separable, so are the six sums that the fit takes, and its matrix is the same everywhere."""
+    x = np.arange(-reach, reach + 1.0)
+    g = np.exp(-x * x / (2 * sigma * sigma))
+    g /= g.sum()
+    two, four = (g * x**2).sum(), (g * x**4).sum()
+    s = {(i, j): _across(image, g * x**j, g * x**i) for i, j in ((0, 0), (1, 0), (0, 1), (2, 0), (0, 2), (1, 1))}
+    spread = four - two * two
+    return np.stack([s[1, 0] / two, s[0, 1] / two, (s[2, 0] - two * s[0, 0]) / spread, (s[0, 2] - two * s[0, 0]) / spread, s[1, 1] / (two * two)])
+
+
+def _sampled(layers: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Layers at places between pixels, bilinearly; places outside take the border's values."""
+    h, w = layers.shape[1:]
+    y, x = np.clip(y, 0, h - 1), np.clip(x, 0, w - 1)
+    a, b = np.minimum(y.astype(int), max(h - 2, 0)), np.minimum(x.astype(int), max(w - 2, 0))
+    c, d, v, u = np.minimum(a + 1, h - 1), np.minimum(b + 1, w - 1), y - a, x - b
+    return (1 - v) * ((1 - u) * layers[:, a, b] + u * layers[:, a, d]) + v * ((1 - u) * layers[:, c, b] + u * layers[:, c, d])
+
+
+def flow(a: np.ndarray, b: np.ndarray, window: int = 15, levels: int = 3, iterations: int = 3, reach: int = 5, sigma: float = 1.2, least: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """(dx, dy) of each pixel from image a to b by polynomial expansion, from coarse to fine.
+
+    A neighbourhood that moves by d keeps its quadratic form A and changes its slope by -2 A d. At each of `levels` halvings of the images (none has
+    a side under `least`) the slopes of both at places that the flow so far connects give A d, and d is the least-squares solution over a
+    window x window mean, `iterations` times over. Places that the flow takes outside the image do not count.
+    """
     a, b = a.astype(float), b.astype(float)
-    gy, gx = np.gradient((a + b) / 2)
-    gt = b - a
-    s = lambda v: smoothed(v, window)
-    xx, xy, yy, xt, yt = s(gx * gx), s(gx * gy), s(gy * gy), s(gx * gt), s(gy * gt)
-    det = xx * yy - xy * xy
-    ok = det > 1e-6
-    safe = np.where(ok, det, 1)
-    return np.where(ok, (xy * yt - yy * xt) / safe, 0), np.where(ok, (xy * xt - xx * yt) / safe, 0)
+    pyramid = [(a, b)]
+    half = np.exp(-np.arange(-2, 3.0) ** 2 / 0.5)
+    half /= half.sum()
+    while len(pyramid) < levels and min(pyramid[-1][0].shape) >= 2 * least:
+        h, w = pyramid[-1][0].shape
+        pyramid.append(tuple(bilinear(_across(v, half, half), (h + 1) // 2, (w + 1) // 2) for v in pyramid[-1]))
+    d = np.zeros((2, *pyramid[-1][0].shape))
+    box = np.full(window, 1 / window)
+    for one, other in reversed(pyramid):
+        h, w = one.shape
+        if d.shape[1:] != (h, w):
+            grown = (w / d.shape[2], h / d.shape[1])
+            d = np.stack([bilinear(v, h, w) * k for v, k in zip(d, grown, strict=True)])
+        r1, r2 = expansion(one, reach, sigma), expansion(other, reach, sigma)
+        y, x = np.mgrid[0:h, 0:w].astype(float)
+        for _ in range(iterations):
+            at = (y + d[1], x + d[0])
+            inside = ((at[0] >= 0) & (at[0] <= h - 1) & (at[1] >= 0) & (at[1] <= w - 1)).astype(float)
+            moved = _sampled(r2, *at)
+            xx, yy, xy = (r1[2] + moved[2]) / 2, (r1[3] + moved[3]) / 2, (r1[4] + moved[4]) / 4
+            bx = (r1[0] - moved[0]) / 2 + xx * d[0] + xy * d[1]
+            by = (r1[1] - moved[1]) / 2 + xy * d[0] + yy * d[1]
+            mean = lambda v: _across(v * inside, box, box)  # noqa: B023, E731
+            g, k, q, u, v = mean(xx * xx + xy * xy), mean(xy * (xx + yy)), mean(xy * xy + yy * yy), mean(xx * bx + xy * by), mean(xy * bx + yy * by)
+            det = g * q - k * k + 1e-3
+            d = np.stack([(q * u - k * v) / det, (g * v - k * u) / det])
+    return d[0], d[1]
 
 
 _KERNELS = {"adaptive_threshold": adaptive_threshold, "bilateral": bilateral, "equalized": equalized}
@@ -215,8 +270,8 @@ def foreground_stream(frames: DataFrame, history: int = 500, near: float = 16) -
     return rows.groupBy("video_id").applyInPandasWithState(run, MOVING, "model binary", "append", "NoTimeout")
 
 
-def flow_between(frames: DataFrame, window: int = 5, scale: float = 10) -> DataFrame:
-    """video_id, frame_idx, r, c, dx, dy, magnitude (times scale, held within 255) from each frame to the next of its video."""
+def flow_between(frames: DataFrame, window: int = 15, scale: float = 10) -> DataFrame:
+    """video_id, frame_idx, r, c, dx, dy, magnitude (times scale, held within 255) from each frame to the next of its video, by flow()."""
     ship(frames.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

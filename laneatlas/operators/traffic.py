@@ -77,7 +77,8 @@ def flow(points: DataFrame, width: int, height: int, grid: int = 50) -> DataFram
 
 
 def plausible_detections(detections: DataFrame) -> DataFrame:
-    return detections.where(boxes.plausible(F.col("w"), F.col("h")))
+    """Rows of a vehicle's size and form; a column `area` is that of the contour and takes the place of the box's."""
+    return detections.where(boxes.plausible(F.col("w"), F.col("h"), area=F.col("area") if "area" in detections.columns else None))
 
 
 def eligible(points: DataFrame, density: int = 2, path: int = 6) -> DataFrame:

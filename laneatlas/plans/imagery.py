@@ -4,24 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from laneatlas.functions import geo
+from laneatlas.engine import Engine
+from laneatlas.functions import geo, shapes
 from laneatlas.functions import pixels as X
+from laneatlas.functions import polygons as P
+from laneatlas.operators import chains, fill, filters
 from laneatlas.operators import contours as K
-from laneatlas.operators import filters
 from laneatlas.operators import markings as M
 from laneatlas.operators import raster as R
-from laneatlas.plans.raster import N, _dil, _ero, _frames, _mask, _M, _P, _pixels
+from laneatlas.plans.raster import N, _dil, _ero, _frames, _k, _mask, _M, _P, _pixels
 from laneatlas.sources import files, frames, tiles
 from laneatlas.sources.adapters import SQL, view
 from laneatlas.sources.locations import DEFAULT_BOUNDS
 
-#: Masks of S x S pixels made of the heat points, eight of them.
-S = 40
+#: Side of the mosaics.
+S = 64
 
 
-def _spots(spark, d):
-    p = view(spark, d, "heat_points")
-    return p.select((F.col("event_id") % 8).alias("k"), (F.col("py") % S).alias("r"), (F.col("px") % S).alias("c")).where("(r * 7 + c * 3 + k) % 11 = 0 and r between 3 and 30 and c between 4 and 24 + k").distinct()
+def _spots(spark, d, least):
+    return view(spark, d, "mosaics").where(F.col("gray") > least).select("k", "r", "c")
+
+
+def _images(spark, d):
+    return frames.from_pixels(view(spark, d, "mosaics").withColumn("video", F.lit("m")), "video", "k", S, S)
 
 
 def tile_servers(spark, d):
@@ -46,11 +51,56 @@ def ellipse_close(spark, d):
 
 def wide_close_open(spark, d):
     box = R.rectangle(15, 15)
-    return R.opened(R.closed(_spots(spark, d), "k", box, S, S), "k", box, S, S)
+    return R.opened(R.closed(_spots(spark, d, 240), "k", box, S, S), "k", box, S, S)
 
 
 def wide_dilate(spark, d):
-    return R.dilate(_spots(spark, d).where("(r + c) % 9 = 0 and r < 12 and c < 12"), "k", R.rectangle(30, 30), S, S)
+    return R.dilate(_spots(spark, d, 250), "k", R.rectangle(30, 30), S, S)
+
+
+def dense_line_mask(spark, d):
+    """line_mask() as one pass over image rows."""
+    patches = frames.from_pixels(_pixels(spark, d).withColumn("video", F.lit("p")), "video", "vec_id", N, N)
+    return chains.masks(patches, chains.line_mask, threshold=40).select(F.col("frame_idx").alias("vec_id"), "r", "c")
+
+
+def bright_clean(spark, d):
+    """The mask behind pseudo masks, by the chain."""
+    return chains.masks(_images(spark, d), chains.bright, threshold=110).select(F.col("frame_idx").alias("k"), "r", "c")
+
+
+def outstanding_clean(spark, d):
+    """Of the classical detector's mask what follows the equalising: adaptive threshold or bright, opened, closed."""
+    return chains.masks(_images(spark, d), _outstanding).select(F.col("frame_idx").alias("k"), "r", "c")
+
+
+def _outstanding(gray):
+    return chains.cleaned((filters.adaptive_threshold(gray, 5, -10) > 0) | (gray > 200))
+
+
+def pseudo_masks(spark, d):
+    mask = Engine(spark).pseudo_masks(_images(spark, d), threshold=110, min_area=10)
+    return mask.groupBy("frame_idx", F.col("v").alias("class_id")).agg(F.count("*").alias("pixels"), F.sum(F.col("r") * S + F.col("c")).alias("places"))
+
+
+def cv_detect(spark, d):
+    """What the classical detector finds on the mosaics, in pixels and per cent of each image."""
+    e, images = Engine(spark), _images(spark, d)
+    return e.mask_statistics(e.detect(images, min_area=1), images)
+
+
+def ring_measures(spark, d):
+    """Area, length and moments of rings by Green's theorem, and the logarithms of their invariants."""
+    q = view(spark, d, "quads").select("id", F.array(*[F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in range(4)]).alias("ring"))
+    m = q.select("id", P.area(F.col("ring")).alias("area"), P.perimeter(F.col("ring")).alias("perimeter"), P.moments(F.col("ring")).alias("m"))
+    m = m.where("area >= 1").withColumn("hu", F.transform(P.hu(F.col("m")), lambda h: F.round(F.when(F.abs(h) > 1e-7, shapes.log_hu(h)).otherwise(0.0), 5)))
+    return m.select("id", "area", F.round("perimeter", 6).alias("perimeter"), *[F.col("hu")[k].alias(f"hu{k}") for k in range(4)])
+
+
+def filled_rings(spark, d):
+    """Pixels inside or on rings, crossing ones by the even-odd rule."""
+    q = view(spark, d, "quads").select("id", F.array(*[F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in range(4)]).alias("ring"), F.lit(32).alias("height"), F.lit(32).alias("width"), F.lit(0).alias("part"))
+    return fill.painted(q, ["id"], F.lit(1)).groupBy("id").agg(F.count("*").alias("pixels"), F.sum(F.col("r") * 32 + F.col("c")).alias("places"))
 
 
 def augment_many(spark, d):
@@ -114,20 +164,33 @@ _SQ3 = [(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1)]
 _COL, _ROW = [(k, 0) for k in range(-3, 4)], [(0, k) for k in range(-3, 4)]
 _DEN = _dil(_dil(_ero(_ero(_M(60), _SQ2), _SQ2), _SQ2B), _SQ2B)
 _LINES = f"(select * from {_dil(_ero(_DEN, _COL), _COL)} union select * from {_dil(_ero(_DEN, _ROW), _ROW)})"
-_SPOTS = f"(select distinct event_id%8 as k, py%40 as r, px%40 as c from {SQL['heat_points']} where ((py%40)*7+(px%40)*3+event_id%8)%11 = 0 and py%40 between 3 and 30 and px%40 between 4 and 24+event_id%8)"
-_ALL = "(select k, r::int as r, c::int as c from range(8) a(k), range(40) b(r), range(40) c(c))"
+_SPOTS = lambda t: f"(select k, r, c from {SQL['mosaics']} where gray > {t})"
+_ALL = f"(select k, r, c from {SQL['mosaics']})"
+_FRAME = f"(select k, r::int as r, c::int as c from (select distinct k from {SQL['mosaics']}) a, range(64) b(r), range(64) c(c))"
 
 
 def _grown(m: str, low: int, high: int) -> str:
-    return f"(select distinct g.k, g.r, g.c from {_ALL} g join {m} m on m.k=g.k and m.r-g.r between {low} and {high} and m.c-g.c between {low} and {high})"
+    return f"(select distinct g.k, g.r, g.c from {_FRAME} g join {m} m on m.k=g.k and m.r-g.r between {low} and {high} and m.c-g.c between {low} and {high})"
 
 
 def _shrunk(m: str, reach: int) -> str:
     """Cells with no unset cell within reach."""
-    return f"(select g.k, g.r, g.c from {_ALL} g where exists (select 1 from {m} x where x.k=g.k) and not exists (select 1 from (select * from {_ALL} except select k, r, c from {m}) u where u.k=g.k and abs(u.r-g.r)<={reach} and abs(u.c-g.c)<={reach}))"
+    return f"(select g.k, g.r, g.c from {_FRAME} g where exists (select 1 from {m} x where x.k=g.k) and not exists (select 1 from (select * from {_FRAME} except select k, r, c from {m}) u where u.k=g.k and abs(u.r-g.r)<={reach} and abs(u.c-g.c)<={reach}))"
+
+
+_CLOSED15 = _shrunk(_grown(_SPOTS(240), -7, 7), 7)
+
+
+def _clean(m: str) -> str:
+    """Opened, then closed by 3 x 3; cells beyond the border do not count."""
+    opened = _grown(_shrunk(m, 1), -1, 1)
+    return _shrunk(_grown(opened, -1, 1), 1)
 
 
-_CLOSED15 = _shrunk(_grown(_SPOTS, -7, 7), 7)
+_SIDES = f"""(select id, px, py, case k when 0 then x0 when 1 then x1 when 2 then x2 else x3 end as ax, case k when 0 then y0 when 1 then y1 when 2 then y2 else y3 end as ay,
+case k when 0 then x1 when 1 then x2 when 2 then x3 else x0 end as zx, case k when 0 then y1 when 1 then y2 when 2 then y3 else y0 end as zy from {{q}}, range(4) t(k))"""
+_QUADS = f"(select *, 0 as px, 0 as py from {SQL['quads']})"
+_SPREAD = f"(select q.*, px::int as px, py::int as py from {SQL['quads']} q, range(32) a(px), range(32) b(py))"
 _G = "least(255,greatest(0,cast(floor(pow(gray/255.0::double,1/{g}::double)*255) as int)))"
 _VAR = f"""(select vec_id, 'same' as variant, r, c, gray from {_P} union all select vec_id, 'flipped', 7-r, c, gray from {_P} union all select vec_id, 'mirrored', r, 7-c, gray from {_P}
 union all select vec_id, 'clockwise', c, 7-r, gray from {_P} union all select vec_id, 'quarter', 7-c, r, gray from {_P} union all select vec_id, 'half', 7-r, 7-c, gray from {_P}
@@ -146,7 +209,26 @@ QUERIES = {
     "ellipse_open": (ellipse_open, f"select * from {_dil(_ero(_M(60), _DISC), _DISC)}"),
     "ellipse_close": (ellipse_close, f"select * from {_ero(_dil(_M(150), _DISC), _DISC)}"),
     "wide_close_open": (wide_close_open, f"select * from {_grown(_shrunk(_CLOSED15, 7), -7, 7)}"),
-    "wide_dilate": (wide_dilate, f"select * from {_grown(f'(select * from {_SPOTS} where (r+c)%9=0 and r<12 and c<12)', -15, 14)}"),
+    "wide_dilate": (wide_dilate, f"select * from {_grown(_SPOTS(250), -15, 14)}"),
+    "dense_line_mask": (dense_line_mask, f"select vec_id::bigint as vec_id, r, c from {_ero(_dil(_LINES, _SQ3), _SQ3)}"),
+    "bright_clean": (bright_clean, f"select k::bigint as k, r, c from {_clean(_SPOTS(110))}"),
+    "outstanding_clean": (outstanding_clean, f"""with recursive a as (select p.k, r, k.t as c, sum(gray*k.k) as v from {SQL['mosaics']} p join {_k(64, 5)} on c=k.s group by 1,2,3),
+b as (select a.k, k.t as r, c, sum(v*k.k) as m from a join {_k(64, 5)} on r=k.s group by 1,2,3),
+n as (select p.k, p.r, p.c from {_FRAME} p join b on b.k=p.k and b.r=p.r and b.c=p.c left join {SQL['mosaics']} g on g.k=p.k and g.r=p.r and g.c=p.c where coalesce(gray,0) > round(m)+10 or coalesce(gray,0) > 200) select k::bigint as k, r, c from {_clean('n')}"""),
+    "pseudo_masks": (pseudo_masks, None),
+    "cv_detect": (cv_detect, None),
+    "ring_measures": (ring_measures, f"""with s as (select *, (ax*zy-zx*ay)::double as t from {_SIDES.format(q=_QUADS)}),
+g as (select id, sum(t)/2 as a, sum(sqrt((zx-ax)*(zx-ax)+(zy-ay)*(zy-ay))) as perimeter, sum(t*(ax+zx))/6 as sx, sum(t*(ay+zy))/6 as sy, sum(t*(ax*ax+ax*zx+zx*zx))/12 as sxx, sum(t*(ay*ay+ay*zy+zy*zy))/12 as syy,
+sum(t*(2*ax*ay+ax*zy+zx*ay+2*zx*zy))/24 as sxy, sum(t*(ax*ax*ax+ax*ax*zx+ax*zx*zx+zx*zx*zx))/20 as sxxx, sum(t*(ay*ay*ay+ay*ay*zy+ay*zy*zy+zy*zy*zy))/20 as syyy,
+sum(t*(3*ax*ax*ay+ax*ax*zy+2*ax*zx*ay+2*ax*zx*zy+zx*zx*ay+3*zx*zx*zy))/60 as sxxy, sum(t*(3*ay*ay*ax+ay*ay*zx+2*ay*zy*ax+2*ay*zy*zx+zy*zy*ax+3*zy*zy*zx))/60 as sxyy from s group by 1),
+f as (select id, abs(a) as a, perimeter, sx/a as x, sy/a as y, sxx/a as xx, syy/a as yy, sxy/a as xy, sxxx/a as xxx, syyy/a as yyy, sxxy/a as xxy, sxyy/a as xyy from g where abs(a) >= 1),
+u as (select id, a, perimeter, (xx-x*x)/a as n20, (yy-y*y)/a as n02, (xy-x*y)/a as n11, (xxx-3*x*xx+2*x*x*x)/pow(a,1.5::double) as n30, (yyy-3*y*yy+2*y*y*y)/pow(a,1.5::double) as n03,
+(xxy-2*x*xy-y*xx+2*x*x*y)/pow(a,1.5::double) as n21, (xyy-2*y*xy-x*yy+2*y*y*x)/pow(a,1.5::double) as n12 from f),
+h as (select id, a, perimeter, n20+n02 as h0, pow(n20-n02,2)+4*n11*n11 as h1, pow(n30-3*n12,2)+pow(3*n21-n03,2) as h2, pow(n30+n12,2)+pow(n21+n03,2) as h3 from u)
+select id, a as area, round(perimeter,6) as perimeter, {', '.join(f"round(case when abs(h{k})>1e-7::double then -sign(h{k})*log10(abs(h{k})+1e-10::double) else 0.0::double end,5) as hu{k}" for k in range(4))} from h"""),
+    "filled_rings": (filled_rings, f"""with s as (select *, (zx-ax)*(py-ay)-(zy-ay)*(px-ax) as side from {_SIDES.format(q=_SPREAD)}),
+p as (select id, px, py, sum(case when (ay>py)<>(zy>py) and px < (zx-ax)*(py-ay)/(zy-ay)::double+ax then 1 else 0 end) % 2 = 1 as inside, bool_or(side=0 and px between least(ax,zx) and greatest(ax,zx) and py between least(ay,zy) and greatest(ay,zy)) as edge from s group by 1,2,3)
+select id, count(*) as pixels, sum(py*32+px)::bigint as places from p where inside or edge group by 1"""),
     "augment_many": (augment_many, f"select vec_id, variant, t, count(*) as n, sum(r*8+c)::bigint as places from {_VAR}, (values (170),(180),(190),(200),(210),(220),(230)) w(t) where gray>t group by 1,2,3"),
     "blend": (blend, f"select vec_id, r, c, least(255,greatest(0,round(gray*0.6::double+(255-gray)*0.4::double)))::int as v from {_P}"),
     "stitched": (stitched, f"select vec_id%3 as id, 8+r as r, (vec_id*8)::int+c as c, gray as v from {_P}"),

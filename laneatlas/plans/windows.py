@@ -45,6 +45,38 @@ def tracked_density(spark, d):
     return tracker.density(tracker.track(view(spark, d, "detections")), 640, 480, 50)
 
 
+def _lives(spark, d):
+    return tracker.track(view(spark, d, "sightings"))
+
+
+def track_lives(spark, d):
+    """Boxes that always overlap: a track ends where no frame holds it for more than thirty."""
+    return _lives(spark, d).groupBy("video_id", "track_id").agg(
+        F.min("frame_id").alias("first"), F.max(F.when(F.col("seen"), F.col("frame_id"))).alias("last"), F.max("n_positions").alias("n_positions"),
+        F.count("*").alias("frames"), F.sum((~F.col("seen")).cast("long")).alias("unseen"))
+
+
+def lives_density(spark, d):
+    """Their density and summed velocities, frames that do not hold them included. Sums may lie between two roundings: both are told apart on one side."""
+    return tracker.density(_lives(spark, d), 640, 480, 50, digits=None).select("gy", "gx", "n", *[F.round(F.col(c) + 3e-10, 6).alias(c) for c in ("vx", "vy")])
+
+
+def clocked_lives(spark, d):
+    """The same against a clock that runs over all frames to the end: what ended there stays alive for thirty frames more."""
+    seen = view(spark, d, "sightings")
+    last = seen.agg(F.max("frame_id").alias("top"))
+    ends = seen.groupBy("video_id").agg(F.min("frame_id").alias("a"), F.max("frame_id").alias("b")).crossJoin(F.broadcast(last))
+    clock = ends.select("video_id", F.explode(F.sequence("a", F.least(F.col("top"), F.col("b") + 40))).alias("frame_id"))
+    t = tracker.track(seen, clock)
+    return t.groupBy("video_id").agg(F.countDistinct("track_id").alias("tracks"), F.count("*").alias("frames"), F.max("frame_id").alias("until"))
+
+
+def stream_lives(spark, d):
+    """track_lives as a stream with map state."""
+    seen = D.drained(tracker.track_stream(stream(spark, d, "sightings")), "append")
+    return seen.groupBy("video_id", "track_id").agg(F.max("n_positions").alias("n_positions"), F.count("*").alias("frames"))
+
+
 def stream_density(spark, d):
     """The grid of the heat points, counted by a stream."""
     return D.drained(D.stream_density(stream(spark, d, "heat_points"), 640, 480, 50))
@@ -57,7 +89,16 @@ def stream_tracks(spark, d):
 
 
 _C = lambda p, s: f"least(49, greatest(0, cast(floor({p}/{s}.0::double*50) as int)))"
+_LIFE = f"""with s as (select *, x+w//2 as cx, y+h//2 as cy, lag(frame_id) over v as p, lead(frame_id) over v as q from {SQL['sightings']} window v as (partition by video_id order by frame_id)),
+i as (select *, sum(case when frame_id-p > 31 then 1 else 0 end) over (partition by video_id order by frame_id) as track_id, case when q is null then {{last}} else least(31, q-frame_id) end as held from s)"""
+_LIVES = _LIFE.format(last="1")
 QUERIES = {
+    "track_lives": (track_lives, f"{_LIVES} select video_id, track_id::int as track_id, min(frame_id) as first, max(frame_id) as last, count(*)::int as n_positions, sum(held)::bigint as frames, (sum(held)-count(*))::bigint as unseen from i group by 1,2"),
+    "stream_lives": (stream_lives, f"{_LIVES} select video_id, track_id::int as track_id, count(*)::int as n_positions, sum(held)::bigint as frames from i group by 1,2"),
+    "clocked_lives": (clocked_lives, f"{_LIFE.format(last='least(31, (select max(frame_id) from s)-frame_id+1)')} select video_id, count(distinct track_id) as tracks, sum(held)::bigint as frames, max(frame_id+held-1) as until from i group by 1"),
+    "lives_density": (lives_density, f"""{_LIVES}, d as (select *, row_number() over v as k, cx-lag(cx) over v as dx, cy-lag(cy) over v as dy from i window v as (partition by video_id, track_id order by frame_id)),
+e as (select a.video_id, a.frame_id, sum(0.3::double*pow(0.7::double, a.k-b.k)*b.dx) as vx, sum(0.3::double*pow(0.7::double, a.k-b.k)*b.dy) as vy from d a join d b on a.video_id=b.video_id and a.track_id=b.track_id and b.k between 2 and a.k group by 1,2)
+select {_C('cy', 480)} as gy, {_C('cx', 640)} as gx, sum(held)::bigint as n, round(sum(held*vx)+3e-10::double,6) as vx, round(sum(held*vy)+3e-10::double,6) as vy from d join e using (video_id, frame_id) group by 1,2"""),
     "stream_density": (stream_density, f"select {_C('py', 480)} as gy, {_C('px', 640)} as gx, count(*) as n from {SQL['heat_points']} group by 1, 2"),
     "stream_tracks": (stream_tracks, None),
     "tumbling_counts": (tumbling_counts, "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n from events group by 1,2"),

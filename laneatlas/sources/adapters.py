@@ -15,6 +15,10 @@ _EXPRESSIONS = {
         "cast((user_id*37)%560 + cast(floor(event_id/20.0) as bigint)%7 as int) as x",
         "cast((user_id*53)%400 + cast(floor(event_id/20.0) as bigint)%5 as int) as y",
         "cast(40+user_id%20 as int) as w", "cast(30+user_id%25 as int) as h"]),
+    # a video for each user, a box for each event, always near the one before
+    "sightings": ("events", [
+        "event_id", "concat('u', user_id) as video_id", "event_id as frame_id", "cast((user_id*37)%560 + event_id%7 as int) as x",
+        "cast((user_id*53)%400 + event_id%5 as int) as y", "cast(40+user_id%20 as int) as w", "cast(30+user_id%25 as int) as h"]),
     # a track for each user
     "tracks": ("events", [
         "user_id as track_id", "event_id as frame_idx", "cast((user_id*37 + event_id*11)%560 as int) as px", "cast((user_id*53 + event_id*7)%400 as int) as py"]),
@@ -28,6 +32,10 @@ _EXPRESSIONS = {
     "geo_points": ("customer", [
         "c_custkey as id", "-60+cast((c_custkey*7919)%120000 as double)/1000 as lat",
         "-180+cast((c_custkey*104729)%360000 as double)/1000 as lon"]),
+    # a ring of four corners for each customer; some cross themselves
+    "quads": ("customer", [
+        "c_custkey as id", "cast(c_custkey%7 as int) as x0", "cast(c_custkey%5 as int) as y0", "cast(c_custkey%7 + 5 + c_custkey%11 as int) as x1", "cast(c_custkey%3 as int) as y1",
+        "cast(7 + c_custkey%13 as int) as x2", "cast(6 + c_custkey%9 as int) as y2", "cast(c_custkey%4 as int) as x3", "cast(4 + c_custkey%10 as int) as y3"]),
 }
 
 #: The same views for the oracle.
@@ -36,6 +44,8 @@ SQL["pixels"] = (
     "(select vec_id, cast(floor(i/8.0) as int) as r, cast(i%8 as int) as c, least(255, greatest(0, cast(floor(128+400*v) as int))) as gray "
     "from (select vec_id, generate_subscripts(embedding,1)-1 as i, cast(unnest(embedding) as double) as v from embeddings))"
 )
+#: Images of 64 x 64: sixty-four patches in rows of eight.
+SQL["mosaics"] = f"(select vec_id // 64 as k, (vec_id % 64 // 8 * 8 + r)::int as r, (vec_id % 8 * 8 + c)::int as c, gray from {SQL['pixels']})"
 SQL["features"] = "(select vec_id, label, list_transform(embedding[1:9], lambda v: cast(v as double)) as f from embeddings)"
 
 
@@ -44,7 +54,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """detections, tracks, heat_points, regions, geo_points, pixels (8 x 8 gray patches) or features (nine numbers and a label)."""
+    """detections, sightings, tracks, heat_points, regions, geo_points, quads, pixels (8 x 8 gray patches), mosaics (64 x 64 images of patches) or
+    features (nine numbers and a label)."""
+    if name == "mosaics":
+        at = F.pmod(F.col("vec_id"), F.lit(64))
+        return view(spark, sf_dir, "pixels").select(F.floor(F.col("vec_id") / 64).alias("k"), (F.floor(at / 8) * 8 + F.col("r")).cast("int").alias("r"), (at % 8 * 8 + F.col("c")).cast("int").alias("c"), "gray")
     if name == "pixels":
         cells = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
         gray = F.least(F.lit(255), F.greatest(F.lit(0), F.floor(128 + 400 * F.col("v").cast("double")).cast("int")))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import copy
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession

@@ -1,17 +1,19 @@
-"""Vehicle tracking by greedy overlap: one step a frame, the same step in batch and as a stream.
+"""Vehicle tracking by greedy overlap: one step a processed frame, with boxes or without, the same step in batch and as a stream.
 
-Tracking is sequential in a video; videos are tracked side by side.
+Tracks age by processed frames. Which those are is told by a clock, a table or stream of frames beside the boxes; without one every `rate`-th frame
+from the first to the last with boxes counts. Tracking is sequential in a video; videos are tracked side by side.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from laneatlas.functions import geo
 from laneatlas.session import ship
@@ -21,20 +23,13 @@ SCHEMA = "video_id string, frame_id long, track_id int, event_id long, x int, y
 
 
 class Tracker:
-    """State: tracks by id (box, centre, velocity, positions, last_seen), next_id, frame number."""
+    """State: tracks by id (box, centre, velocity, positions, last_seen), next_id, number of processed frames."""
 
     def __init__(self, least: float = 0.3, patience: int = 30, alpha: float = 0.3) -> None:
         self.least, self.patience, self.alpha = least, patience, alpha
         self.tracks: dict[int, dict] = {}
         self.next_id = self.frame = 0
 
-    def dump(self) -> str:
-        return json.dumps({"tracks": list(self.tracks.items()), "next_id": self.next_id, "frame": self.frame})
-
-    def load(self, text: str) -> None:
-        s = json.loads(text)
-        self.tracks, self.next_id, self.frame = {int(k): v for k, v in s["tracks"]}, s["next_id"], s["frame"]
-
     def _overlaps(self, boxes: np.ndarray) -> list[tuple[float, int, int]]:
         ids = list(self.tracks)
         a = np.array([self.tracks[i]["box"] for i in ids], float)[:, None, :]
@@ -83,77 +78,159 @@ class Tracker:
         live = self.step(boxes)
         return [(video, frame, k, None if q is None else int(ids[q]), *t["box"], *t["c"], *t["v"], t["n"], q is not None) for k, q in live for t in (self.tracks[k],)]
 
+    def idle(self, video, first: int, end: int, rate: int) -> list[tuple]:
+        """Frames without boxes from `first` to before `end`, `rate` apart; once no track lives, the rest is only counted."""
+        out: list[tuple] = []
+        for at in range(first, end, rate):
+            if not self.tracks:
+                self.frame += len(range(at, end, rate))
+                break
+            out += self.rows(video, at, _NONE, _NONE)
+        return out
+
+
+_NONE = np.zeros((0, 4), np.int64)
+_NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+_KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+_ARROW = pa.schema([(n, _KINDS[k]) for n, k in (c.split() for c in SCHEMA.split(", "))])
+
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+    out = pd.DataFrame(rows, columns=_NAMES)
     out["event_id"] = out["event_id"].astype("Int64")
     return out
 
 
-def track(detections: DataFrame, **how) -> DataFrame:
-    """Every live track after each frame that has detections, by video; seen tells whether the frame held it.
-
+def with_frames(detections: DataFrame, frames: DataFrame) -> DataFrame:
+    """Boxes (video_id, frame_id, event_id, x, y, w, h) and a row without a box (null event_id) for each row of `frames` (video_id, frame_id), so that
+    frames without boxes are met too. A union: nothing is shuffled; both may be streams."""
+    boxes = detections.select("video_id", "frame_id", "event_id", "x", "y", "w", "h")
+    none = [F.lit(None).cast(dict(boxes.dtypes)[c]).alias(c) for c in boxes.columns[2:]]
+    return boxes.unionByName(frames.select("video_id", F.col("frame_id").cast(dict(boxes.dtypes)["frame_id"]).alias("frame_id"), *none))
+
+
+def _in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(video, frame, boxes, ids) of each frame; the last frame of a batch may go on in the next one."""
+    held: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        video, frame = batch.column(0).to_pylist(), np.asarray(batch.column(1))
+        own = np.asarray(batch.column(2).is_valid())
+        ids = np.asarray(batch.column(2).fill_null(0))
+        boxes = np.stack([np.asarray(batch.column(k).fill_null(0)) for k in range(3, 7)], axis=1)
+        cut = [k for k in range(1, len(video)) if frame[k] != frame[k - 1] or video[k] != video[k - 1]]
+        for a, b in zip([0, *cut], [*cut, len(video)], strict=True):
+            part = (video[a], int(frame[a]), boxes[a:b][own[a:b]], ids[a:b][own[a:b]])
+            if held is not None and held[:2] == part[:2]:
+                part = (*held[:2], np.concatenate([held[2], part[2]]), np.concatenate([held[3], part[3]]))
+            elif held is not None:
+                yield held
+            held = part
+    if held is not None:
+        yield held
+
+
+def track(detections: DataFrame, frames: DataFrame | None = None, rate: int = 1, **how) -> DataFrame:
+    """Every live track after each processed frame, by video; seen tells whether the frame held it.
+
+    frames (video_id, frame_id): the processed frames. Without them, every rate-th frame from a video's first to its last one with boxes; rows with a
+    null event_id stand for frames without boxes. A track ends once more than `patience` processed frames have not held it.
     A task steps over batches of a video's frames in order; it holds live tracks and one batch."""
     ship(detections.sparkSession)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, t, rest = None, None, None
-
-        def step(frames: pd.DataFrame) -> pd.DataFrame:
-            nonlocal now, t
-            video, frame = frames["video_id"].to_numpy(), frames["frame_id"].to_numpy()
-            boxes, ids = frames[["x", "y", "w", "h"]].to_numpy(), frames["event_id"].to_numpy()
-            cut = np.flatnonzero(np.append(True, (frame[1:] != frame[:-1]) | (video[1:] != video[:-1])))
-            rows: list[tuple] = []
-            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(frame)], strict=True):
-                if video[a] != now:
-                    now, t = video[a], Tracker(**how)
-                rows += t.rows(now, int(frame[a]), boxes[a:b], ids[a:b])
-            return _frame(rows)
-
-        for pdf in batches:
-            pdf = pdf if rest is None else pd.concat([rest, pdf])
-            if not len(pdf):
-                continue
-            last = ((pdf["video_id"] == pdf["video_id"].iloc[-1]) & (pdf["frame_id"] == pdf["frame_id"].iloc[-1])).to_numpy()
-            if not last.all():
-                yield step(pdf[~last])  # the last frame may go on in the next batch
-            rest = pdf[last]
-        if rest is not None:
-            yield step(rest)
-
-    rows = detections.select("video_id", "frame_id", "event_id", "x", "y", "w", "h").repartition(F.col("video_id"))
-    return rows.sortWithinPartitions("video_id", "frame_id", "event_id").mapInPandas(run, SCHEMA)
-
-
-def track_stream(detections: DataFrame, **how) -> DataFrame:
-    """As track(), over a stream whose frames arrive whole and in order; state survives restarts in the query's checkpoint."""
-    ship(detections.sparkSession)
-
-    def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        t = Tracker(**how)
-        if state.exists:
-            t.load(state.get[0])
-        rows = []
-        for frame, part in pd.concat(list(frames)).sort_values(["frame_id", "event_id"]).groupby("frame_id", sort=True):
-            rows += t.rows(key[0], int(frame), part[["x", "y", "w", "h"]].to_numpy(), part["event_id"].to_numpy())
-        state.update((t.dump(),))
-        yield _frame(rows)
-
-    return detections.groupBy("video_id").applyInPandasWithState(run, SCHEMA, "state string", "append", "NoTimeout")
-
-
-def density(tracks: DataFrame, width: int, height: int, grid: int, observed: bool = False) -> DataFrame:
+    filled = frames is None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, t, last, rows = None, None, 0, []
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+
+        for video, frame, boxes, ids in _in_turn(batches):
+            if video != now or t is None:
+                now, t = video, Tracker(**how)
+            elif filled:
+                rows += t.idle(now, last + rate, frame, rate)
+            rows += t.rows(now, frame, boxes, ids)
+            last = frame
+            if len(rows) >= 5000:
+                yield made()
+                rows = []
+        if rows:
+            yield made()
+
+    rows = detections.select("video_id", "frame_id", "event_id", "x", "y", "w", "h") if filled else with_frames(detections, frames)
+    rows = rows.withColumn("frame_id", F.col("frame_id").cast("long")).withColumn("event_id", F.col("event_id").cast("long"))
+    return rows.repartition(F.col("video_id")).sortWithinPartitions("video_id", "frame_id", F.col("event_id").asc_nulls_last()).mapInArrow(run, SCHEMA)
+
+
+class TrackerState(StatefulProcessor):
+    """The step over one video's new frames. Its tracks are entries of a map state, of which a batch writes those it has changed and removes those that have
+    ended; a value state holds the next id, the number of processed frames and the last frame."""
+
+    def __init__(self, rate: int = 1, filled: bool = True, how: dict | None = None) -> None:
+        self.rate, self.filled, self.how = rate, filled, how or {}
+
+    def init(self, handle) -> None:
+        self.tracks = handle.getMapState("tracks", "track_id int", "x int, y int, w int, h int, cx int, cy int, vx double, vy double, n int, seen long")
+        self.clock = handle.getValueState("clock", "next_id int, frame long, last long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        t, last = Tracker(**self.how), None
+        if self.clock.exists():
+            t.next_id, t.frame, last = self.clock.get()
+            for (k,), (x, y, w, h, cx, cy, vx, vy, n, seen) in self.tracks.iterator():
+                t.tracks[k] = {"box": [x, y, w, h], "c": [cx, cy], "v": [vx, vy], "n": n, "seen": seen}
+            t.tracks = dict(sorted(t.tracks.items()))
+        before, since = set(t.tracks), t.frame
+        out: list[tuple] = []
+        new = pd.concat(list(rows)).sort_values(["frame_id", "event_id"], na_position="last", kind="stable")
+        for frame, part in new.groupby("frame_id", sort=True):
+            if self.filled and last is not None:
+                out += t.idle(key[0], last + self.rate, int(frame), self.rate)
+            boxes = part[part["event_id"].notna()]
+            out += t.rows(key[0], int(frame), boxes[["x", "y", "w", "h"]].to_numpy(np.int64), boxes["event_id"].to_numpy(np.int64))
+            last = int(frame)
+        for k, v in t.tracks.items():
+            if v["seen"] > since:
+                self.tracks.updateValue((k,), (*v["box"], *v["c"], *v["v"], v["n"], v["seen"]))
+        for k in before - set(t.tracks):
+            self.tracks.removeKey((k,))
+        self.clock.update((t.next_id, t.frame, last))
+        yield _frame(out)
+
+    def close(self) -> None:
+        pass
+
+
+#: The state store that map states need.
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def track_stream(detections: DataFrame, frames: DataFrame | None = None, rate: int = 1, **how) -> DataFrame:
+    """As track(), over a stream whose frames arrive whole and in order; state survives restarts in the query's checkpoint.
+
+    Names RocksDB as the session's state store, which map states need."""
+    spark = detections.sparkSession
+    ship(spark)
+    spark.conf.set(_STORE, _ROCKS)
+    rows = detections.select("video_id", "frame_id", "event_id", "x", "y", "w", "h") if frames is None else with_frames(detections, frames)
+    return rows.groupBy("video_id").transformWithStateInPandas(TrackerState(rate, frames is None, how), SCHEMA, "Append", "None")
+
+
+def density(tracks: DataFrame, width: int, height: int, grid: int, observed: bool = False, digits: int | None = 6) -> DataFrame:
     """Cells with the number of live tracks of two or more positions summed over frames (also while unseen, unless observed), and
-    the sum of their velocities."""
+    the sum of their velocities, to so many digits (None: all)."""
+    total = lambda c: F.sum(c) if digits is None else F.round(F.sum(c), digits)
     t = tracks.where("n_positions >= 2")
     t = t.where("seen") if observed else t
-    return t.groupBy(geo.cell(F.col("cy"), height, grid).alias("gy"), geo.cell(F.col("cx"), width, grid).alias("gx")).agg(F.count("*").alias("n"), F.round(F.sum("vx"), 6).alias("vx"), F.round(F.sum("vy"), 6).alias("vy"))
+    return t.groupBy(geo.cell(F.col("cy"), height, grid).alias("gy"), geo.cell(F.col("cx"), width, grid).alias("gx")).agg(F.count("*").alias("n"), total("vx").alias("vx"), total("vy").alias("vy"))
 
 
-def paths(tracks: DataFrame, which: str = "alive_at_end") -> DataFrame:
-    """Tracks with more than five positions: those alive after the last frame, or all."""
-    last = tracks.groupBy("video_id").agg(F.max("frame_id").alias("end"))
+def paths(tracks: DataFrame, which: str = "alive_at_end", frames: DataFrame | None = None) -> DataFrame:
+    """Tracks with more than five positions: those alive after the last frame (of `frames`, where a clock was given to the tracker), or all."""
+    last = (tracks if frames is None else frames).groupBy("video_id").agg(F.max("frame_id").alias("end"))
     t = tracks.groupBy("video_id", "track_id").agg(F.max("n_positions").alias("n_positions"), F.max("frame_id").alias("until"))
-    t = t.where("n_positions > 5").join(F.broadcast(last), "video_id")  # a row a video
+    t = t.where("n_positions > 5").join(last, "video_id")  # a row a video
     return (t.where("until = end") if which == "alive_at_end" else t).select("video_id", "track_id", "n_positions")
