@@ -94,16 +94,26 @@ DEMO_STATISTICS = {"max_intensity": 1.0, "min_intensity": 0.3, "mean_intensity":
 
 def demo_document(spark: SparkSession, bounds: tuple[float, float, float, float], grid: int = 50) -> DataFrame:
     """One heatmap document of invented points; its statistics are stated, not measured."""
-    listed = demo_points(spark, bounds).agg(F.collect_list(F.struct("lat", "lon", "intensity")).alias("points"))
-    stated = F.struct(*[F.lit(v).alias(k) for k, v in DEMO_STATISTICS.items()], F.size("points").cast("long").alias("total_points"), F.lit(0).alias("frames_processed"))
-    return listed.select(geo.bounds_literal(*bounds).alias("bounds"), F.lit(grid).alias("grid_size"), "points", stated.alias("statistics"))
+    one = spark.range(1).select(geo.bounds_literal(*bounds).alias("bounds"))
+    return demo_documents(one, grid)
 
 
-def demo_points(spark: SparkSession, bounds: tuple[float, float, float, float], n: int = 200, seed: int = 42) -> DataFrame:
-    """Invented points about five centres, with a normal jitter of 0.1 in normalised coordinates, and intensities of 0.3 to 1."""
-    centres = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in DEMO_CENTRES])
-    at = spark.range(n).select("id", F.get(centres, F.floor(F.rand(seed + 3) * 5).cast("int")).alias("c"))
+def demo_documents(areas: DataFrame, grid: int = 50, n: int = 200, seed: int = 42) -> DataFrame:
+    """areas (with a struct bounds) with grid_size, points and statistics of a document of n invented points each; the points differ from row to row."""
+    unit = lambda i: F.abs(F.hash(F.lit(seed), *[c for c in areas.columns if c != "bounds"], "bounds", i)) % 2_000_003
+    share = lambda i, k: unit(i * 8 + k) / 2_000_003.0
     hold = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
-    at = at.select("id", hold(F.col("c.x") + 0.1 * F.randn(seed)).alias("x"), hold(F.col("c.y") + 0.1 * F.randn(seed + 1)).alias("y"), F.round(0.3 + 0.7 * F.rand(seed + 2), 4).alias("intensity"))
-    a, b, c, d = bounds
-    return at.select("id", (a + F.col("y") * (b - a)).alias("lat"), (c + F.col("x") * (d - c)).alias("lon"), "intensity")
+    # two uniform numbers give a normal one
+    jitter = lambda i, k: 0.1 * F.sqrt(-2 * F.log(1 - share(i, k))) * F.cos(2 * F.pi() * share(i, k + 1))
+    centres = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in DEMO_CENTRES])
+
+    def point(i: Column) -> Column:
+        c = F.get(centres, F.floor(share(i, 5) * 5).cast("int"))
+        x, y = hold(c["x"] + jitter(i, 0)), hold(c["y"] + jitter(i, 2))
+        b = F.col("bounds")
+        lat, lon = b["min_lat"] + y * (b["max_lat"] - b["min_lat"]), b["min_lon"] + x * (b["max_lon"] - b["min_lon"])
+        return F.struct(lat.alias("lat"), lon.alias("lon"), F.round(0.3 + 0.7 * share(i, 4), 4).alias("intensity"))
+
+    listed = areas.withColumn("points", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), point))
+    stated = F.struct(*[F.lit(v).alias(k) for k, v in DEMO_STATISTICS.items()], F.size("points").cast("long").alias("total_points"), F.lit(0).alias("frames_processed"))
+    return listed.withColumn("grid_size", F.lit(grid)).withColumn("statistics", stated)

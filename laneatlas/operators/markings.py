@@ -108,3 +108,11 @@ def demo(spark, bounds: tuple[float, float, float, float]) -> DataFrame:
     bars = spark.range(5).select((F.col("id") + 3).alias("id"), lit("crosswalk").alias("type"), lit(0.92).alias("confidence"), box(lit(0.25), y, lit(0.75), y + 0.008).alias("ring"))
     stop = spark.range(1).select((F.col("id") + 8).alias("id"), lit("stop_line").alias("type"), lit(0.88).alias("confidence"), box(lit(0.25), lit(0.45), lit(0.45), lit(0.46)).alias("ring"))
     return lanes.unionByName(bars).unionByName(stop)
+
+
+def demo_at(areas: DataFrame) -> DataFrame:
+    """The invented features placed in each area: the columns of areas (with a struct bounds), feature_id, type, confidence and ring. Nine rows are broadcast."""
+    unit = demo(areas.sparkSession, (0.0, 1.0, 0.0, 1.0)).withColumnRenamed("id", "feature_id")
+    b = F.col("bounds")
+    place = lambda p: F.array(b["min_lon"] + p[0] * (b["max_lon"] - b["min_lon"]), b["min_lat"] + p[1] * (b["max_lat"] - b["min_lat"]))
+    return areas.crossJoin(F.broadcast(unit)).withColumn("ring", F.transform("ring", place))

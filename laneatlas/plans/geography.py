@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from laneatlas.functions import geo
 from laneatlas.operators import spatial, tiles
 from laneatlas.sources import locations as L
+from laneatlas.sources import tiles as T
 from laneatlas.sources.adapters import SQL, view
 
 Z = 12
@@ -16,8 +17,8 @@ _LON = "({x}/pow(2.0,{z})*360-180)"
 _LAT = "degrees(atan(sinh(pi()*(1-2*({y})/pow(2.0,{z})))))"
 
 
-def _areas(spark):
-    return L.with_bounds(L.locations(spark))
+def _areas(spark, d):
+    return L.with_bounds(view(spark, d, "areas"))
 
 
 def tile_assign(spark, d):
@@ -33,16 +34,18 @@ def tile_bounds(spark, d):
 
 
 def area_tile_scan(spark, d):
-    return tiles.area_tiles(_areas(spark))
+    return tiles.area_tiles(_areas(spark, d))
 
 
 def stitched_extent(spark, d):
-    s = tiles.stitched_extent(_areas(spark))
+    s = tiles.stitched_extent(_areas(spark, d))
     return s.select("id", "zoom", "min_x", "max_x", "min_y", "max_y", "width", "height", *[F.round(f"actual.{c}", 9).alias(c) for c in ("min_lat", "max_lat", "min_lon", "max_lon")])
 
 
 def location_list(spark, d):
-    return L.locations(spark)
+    """The registry, with the number of customers that each place is nearest to."""
+    near = nearest_centre(spark, d).groupBy(F.col("place").alias("id")).agg(F.count("*").alias("customers"))
+    return L.locations(spark).join(near, "id", "left").withColumn("customers", F.coalesce("customers", F.lit(0)))
 
 
 def points_in_locations(spark, d):
@@ -71,20 +74,19 @@ def pixel_to_geo(spark, d):
 
 def road_bounds(spark, d):
     r = geo.road_bounds(F.col("bounds"), 0.5, 0.5, 0.4)
-    return _areas(spark).select("id", *[F.round(r[c], 9).alias(c) for c in ("min_lat", "max_lat", "min_lon", "max_lon")])
+    return _areas(spark, d).select("id", *[F.round(r[c], 9).alias(c) for c in ("min_lat", "max_lat", "min_lon", "max_lon")])
 
 
 def tile_urls(spark, d):
-    t = tiles.area_tiles(_areas(spark))
-    template = F.lit("https://tiles.example/{z}/{y}/{x}")
-    url = F.replace(F.replace(F.replace(template, F.lit("{z}"), F.col("zoom").cast("string")), F.lit("{y}"), F.col("y").cast("string")), F.lit("{x}"), F.col("x").cast("string"))
-    return t.select("id", "seq", url.alias("url"))
+    """Addresses of all tiles of the areas, at a server of each area's own."""
+    t = tiles.area_tiles(_areas(spark, d)).withColumn("server", F.get(F.array(*[F.lit(k) for k in T.SERVERS]), (F.col("id") % len(T.SERVERS)).cast("int")))
+    return T.with_urls(t).select("id", "seq", "url")
 
 
 _RANGE = f"""select id, least(zoom, 19) as zoom,
   least({_TX.format(lon='min_lon', z='zoom')}, {_TX.format(lon='max_lon', z='zoom')}) as min_x, greatest({_TX.format(lon='min_lon', z='zoom')}, {_TX.format(lon='max_lon', z='zoom')}) as max_x,
   least({_TY.format(lat='min_lat', z='zoom')}, {_TY.format(lat='max_lat', z='zoom')}) as min_y, greatest({_TY.format(lat='min_lat', z='zoom')}, {_TY.format(lat='max_lat', z='zoom')}) as max_y
-  from {L.SQL}"""
+  from (select * replace (least(zoom, 19) as zoom) from {SQL['areas']})"""
 _TILES = f"""with r as ({_RANGE}), ys as (select *, unnest(range(min_y, max_y+1)) as y from r), xs as (select *, unnest(range(min_x, max_x+1)) as x from ys)
 select id, zoom, ((y-min_y)*(max_x-min_x+1)+x-min_x)::bigint as seq, x::bigint as x, y::bigint as y, ((x-min_x)*256)::bigint as px, ((y-min_y)*256)::bigint as py from xs"""
 _CENTRES = " union all ".join(f"select '{i}' as place, {(a + b) / 2!r}::double as clat, {(c + e) / 2!r}::double as clon" for i, _, a, b, c, e, _ in L.LOCATIONS)
@@ -97,15 +99,16 @@ select x, y, round({_LAT.format(y='y+1', z=8)}, 9) as min_lat, round({_LAT.forma
     "area_tile_scan": (area_tile_scan, _TILES),
     "stitched_extent": (stitched_extent, f"""with r as ({_RANGE}) select id, zoom, min_x, max_x, min_y, max_y, (max_x-min_x+1)*256 as width, (max_y-min_y+1)*256 as height,
 round({_LAT.format(y='max_y+1', z='zoom')}, 9) as min_lat, round({_LAT.format(y='min_y', z='zoom')}, 9) as max_lat, round({_LON.format(x='min_x', z='zoom')}, 9) as min_lon, round({_LON.format(x='(max_x+1)', z='zoom')}, 9) as max_lon from r"""),
-    "location_list": (location_list, """select * from (values ('times_square_nyc', 'Times Square, New York', 40.7565::double, 40.7595::double, -73.989::double, -73.984::double, 19),
-('shibuya_tokyo', 'Shibuya Crossing, Tokyo', 35.658, 35.661, 139.699, 139.703, 19), ('champs_elysees_paris', 'Champs-Élysées, Paris', 48.869, 48.872, 2.305, 2.31, 19),
-('highway_intersection', 'Highway Intersection Sample', 40.748, 40.752, -73.992, -73.987, 18), ('downtown_la', 'Downtown Los Angeles', 34.048, 34.052, -118.255, -118.249, 19)) t(id, name, min_lat, max_lat, min_lon, max_lon, zoom)"""),
+    "location_list": (location_list, f"""with n as (select id, arg_min(place, (d2, place)) as place from (select id, place, round((clat-lat)*(clat-lat)+(clon-lon)*(clon-lon),3) as d2 from {SQL['geo_points']}, ({_CENTRES})) group by id)
+select l.*, (select count(*) from n where n.place=l.id) as customers from {L.SQL} l"""),
     "points_in_locations": (points_in_locations, f"select p.id, l.id as place from {SQL['geo_points']} p join {L.SQL} l on p.lat between l.min_lat-15 and l.max_lat+15 and p.lon between l.min_lon-15 and l.max_lon+15"),
     "location_lookup": (location_lookup, f"""select id, n[(id%6)::int+1] as place, id%6<>5 as known, ([40.7595, 35.661, 48.872, 40.752, 34.052, null]::double[])[(id%6)::int+1] as max_lat, ([19, 19, 19, 18, 19, null]::int[])[(id%6)::int+1] as zoom
 from {SQL['geo_points']}, (select ['times_square_nyc', 'shibuya_tokyo', 'champs_elysees_paris', 'highway_intersection', 'downtown_la', 'london'] as n)"""),
     "nearest_centre": (nearest_centre, f"select id, arg_min(place, (d2, place)) as place, min(d2) as d2 from (select id, place, round((clat-lat)*(clat-lat)+(clon-lon)*(clon-lon),3) as d2 from {SQL['geo_points']}, ({_CENTRES})) group by id"),
     "pixel_to_geo": (pixel_to_geo, f"select event_id, round({_C}::double+px/640.0::double*({_D}::double-({_C}::double)),9) as lon, round({_B}::double-py/480.0::double*({_B}::double-{_A}::double),9) as lat from {SQL['heat_points']}"),
     "road_bounds": (road_bounds, f"""select id, round(min_lat+(max_lat-min_lat)*0.5::double-(max_lat-min_lat)*0.4::double/2,9) as min_lat, round(min_lat+(max_lat-min_lat)*0.5::double+(max_lat-min_lat)*0.4::double/2,9) as max_lat,
-round(min_lon+(max_lon-min_lon)*0.5::double-(max_lon-min_lon)*0.4::double/2,9) as min_lon, round(min_lon+(max_lon-min_lon)*0.5::double+(max_lon-min_lon)*0.4::double/2,9) as max_lon from {L.SQL}"""),
-    "tile_urls": (tile_urls, f"select id, seq, 'https://tiles.example/' || zoom || '/' || y || '/' || x as url from ({_TILES})"),
+round(min_lon+(max_lon-min_lon)*0.5::double-(max_lon-min_lon)*0.4::double/2,9) as min_lon, round(min_lon+(max_lon-min_lon)*0.5::double+(max_lon-min_lon)*0.4::double/2,9) as max_lon from {SQL['areas']}"""),
+    "tile_urls": (tile_urls, f"""select id, seq, case id%4 when 0 then 'https://server.arcgisonline.com/ArcGIS/rest/services/World_Imagery/MapServer/tile/' || zoom || '/' || y || '/' || x
+when 1 then 'https://server.arcgisonline.com/ArcGIS/rest/services/World_Street_Map/MapServer/tile/' || zoom || '/' || y || '/' || x
+when 2 then 'https://tile.openstreetmap.org/' || zoom || '/' || x || '/' || y || '.png' else 'https://cartodb-basemaps-a.global.ssl.fastly.net/light_all/' || zoom || '/' || x || '/' || y || '.png' end as url from ({_TILES})"""),
 }

@@ -30,7 +30,9 @@ def _images(spark, d):
 
 
 def tile_servers(spark, d):
-    return tiles.servers(spark)
+    """The registry, with the number of areas whose zoom each server has."""
+    areas = view(spark, d, "areas").groupBy("zoom").agg(F.count("*").alias("n"))
+    return tiles.servers(spark).join(areas, F.col("zoom") <= F.col("max_zoom"), "left").groupBy("server", "url", "attribution", "max_zoom").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("areas"))
 
 
 def denoised(spark, d):
@@ -201,9 +203,9 @@ s as (select vec_id, r, c, min(root) as root from l group by 1,2,3),
 z as (select vec_id, root, count(*) as k, min(c) as x, min(r) as y, max(c)-min(c)+1 as w, max(r)-min(r)+1 as h from s group by 1,2)"""
 
 QUERIES = {
-    "tile_servers": (tile_servers, """select * from (values ('esri_satellite', 'https://server.arcgisonline.com/ArcGIS/rest/services/World_Imagery/MapServer/tile/{z}/{y}/{x}', 'ESRI World Imagery', 19),
-('esri_streets', 'https://server.arcgisonline.com/ArcGIS/rest/services/World_Street_Map/MapServer/tile/{z}/{y}/{x}', 'ESRI World Street Map', 19), ('osm', 'https://tile.openstreetmap.org/{z}/{x}/{y}.png', 'OpenStreetMap', 19),
-('carto_light', 'https://cartodb-basemaps-a.global.ssl.fastly.net/light_all/{z}/{x}/{y}.png', 'CartoDB', 19)) t(server, url, attribution, max_zoom)"""),
+    "tile_servers": (tile_servers, f"""select t.*, (select count(*) from {SQL['areas']} a where a.zoom <= t.max_zoom) as areas from (values ('esri_satellite', 'https://server.arcgisonline.com/ArcGIS/rest/services/World_Imagery/MapServer/tile/{{z}}/{{y}}/{{x}}', 'ESRI World Imagery', 19),
+('esri_streets', 'https://server.arcgisonline.com/ArcGIS/rest/services/World_Street_Map/MapServer/tile/{{z}}/{{y}}/{{x}}', 'ESRI World Street Map', 19), ('osm', 'https://tile.openstreetmap.org/{{z}}/{{x}}/{{y}}.png', 'OpenStreetMap', 19),
+('carto_light', 'https://cartodb-basemaps-a.global.ssl.fastly.net/light_all/{{z}}/{{x}}/{{y}}.png', 'CartoDB', 19)) t(server, url, attribution, max_zoom)"""),
     "denoised": (denoised, f"select * from {_DEN}"),
     "line_mask": (line_mask, f"select * from {_ero(_dil(_LINES, _SQ3), _SQ3)}"),
     "ellipse_open": (ellipse_open, f"select * from {_dil(_ero(_M(60), _DISC), _DISC)}"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from laneatlas.functions import geo, shapes
 from laneatlas.operators import markings as M
 from laneatlas.sources.adapters import SQL, view
-from laneatlas.sources.locations import DEFAULT_BOUNDS, NYC
+from laneatlas.sources.locations import NYC, with_bounds
 
 IMAGE = 1920 * 1080
 
@@ -80,8 +80,9 @@ def viewport_cull(spark, d):
 
 
 def demo_features(spark, d):
-    ring = F.array_join(F.transform("ring", lambda p: F.format_string("%.7f %.7f", p[0], p[1])), ",")
-    return M.demo(spark, DEFAULT_BOUNDS).select("id", "type", "confidence", ring.alias("ring"))
+    """The invented features in each area."""
+    ring = F.array_join(F.transform("ring", lambda p: F.format_string("%.6f %.6f", F.round(p[0], 6), F.round(p[1], 6))), ",")
+    return M.demo_at(with_bounds(view(spark, d, "areas")).select("id", "bounds")).select("id", "feature_id", "type", "confidence", ring.alias("ring"))
 
 
 def marking_labels(spark, d):
@@ -90,9 +91,11 @@ def marking_labels(spark, d):
 
 
 def class_palette(spark, d):
-    c = spark.range(5).select(F.col("id").cast("int").alias("cls"))
+    """Names, colours and pixels of the classes of all patches."""
+    g = F.col("gray")
+    c = view(spark, d, "pixels").groupBy(F.when(g > 200, 1).when(g > 160, 2).when(g > 120, 3).when(g > 80, 4).otherwise(0).alias("cls")).agg(F.count("*").alias("pixels"))
     rgb = shapes.class_colour(F.col("cls"))
-    return c.select("cls", shapes.class_name(F.col("cls")).alias("name"), rgb["red"].alias("red"), rgb["green"].alias("green"), rgb["blue"].alias("blue"))
+    return c.select("cls", shapes.class_name(F.col("cls")).alias("name"), rgb["red"].alias("red"), rgb["green"].alias("green"), rgb["blue"].alias("blue"), "pixels")
 
 
 def noise_filters(spark, d):
@@ -119,19 +122,20 @@ _RING = ", ".join(_LON.format(x=x) + ", " + _LAT.format(y=y) for x, y in _CORNER
 
 _COLOUR = "case type when 'lane_line' then '#FFFF00' when 'crosswalk' then '#FF00FF' when 'stop_line' then '#FF0000' when 'arrow' then '#00FF00' else '#FFA500' end"
 _TITLE = "case type when 'lane_line' then 'LANE LINE' when 'stop_line' then 'STOP LINE' when 'crosswalk' then 'CROSSWALK' end"
-_P = lambda x, y: f"format('{{:.7f}} {{:.7f}}', -74.006::double+({x})*(-74.005::double-(-74.006::double)), 40.7128::double+({y})*(40.7138::double-40.7128::double))"
+_P = lambda x, y: f"format('{{:.6f}} {{:.6f}}', round(min_lon+({x})*(max_lon-min_lon),6), round(min_lat+({y})*(max_lat-min_lat),6))"
 _Y, _Y2 = "(0.48::double+i*0.01::double)", "(0.48::double+i*0.01::double+0.008::double)"
 _BOX = lambda x, y, x2, y2: " || ',' || ".join(_P(a, b) for a, b in ((x, y), (x2, y), (x2, y2), (x, y2), (x, y)))
-_DEMO = f"""select i::bigint as id, 'lane_line' as type, 0.85::double as confidence, {_P('0.3::double+i*0.2::double', '0.1::double')} || ',' || {_P('0.3::double+i*0.2::double', '0.9::double')} as ring from range(3) t(i)
-union all select i+3, 'crosswalk', 0.92::double, {_BOX('0.25::double', _Y, '0.75::double', _Y2)} from range(5) t(i)
-union all select 8, 'stop_line', 0.88::double, {_BOX('0.25::double', '0.45::double', '0.45::double', '0.46::double')}"""
+_DEMO = f"""select id, i::bigint as feature_id, 'lane_line' as type, 0.85::double as confidence, {_P('0.3::double+i*0.2::double', '0.1::double')} || ',' || {_P('0.3::double+i*0.2::double', '0.9::double')} as ring from {SQL['areas']}, range(3) t(i)
+union all select id, i+3, 'crosswalk', 0.92::double, {_BOX('0.25::double', _Y, '0.75::double', _Y2)} from {SQL['areas']}, range(5) t(i)
+union all select id, 8, 'stop_line', 0.88::double, {_BOX('0.25::double', '0.45::double', '0.45::double', '0.46::double')} from {SQL['areas']}"""
 
 QUERIES = {
     "style_lookup": (style_lookup, f"select {_ID}, {_COLOUR} as colour, {_TITLE} as title from (select {_ID}, {_T2} as type from ({_V2}))"),
     "viewport_cull": (viewport_cull, f"select event_id, px-300 as px, py-200 as py from {SQL['heat_points']} where px-300 between -50 and 250 and py-200 between -50 and 200"),
     "demo_features": (demo_features, _DEMO),
     "marking_labels": (marking_labels, f"select {_ID}, substr(type,1,4) || ' ' || round(confidence*100)::int || '%' as label, 'markings_' || l_orderkey || '_detection.png' as picture from (select {_ID}, {_T2} as type, {_C2} as confidence from ({_V2}))"),
-    "class_palette": (class_palette, "select * from (values (0,'background',0,0,0),(1,'lane_line',255,255,0),(2,'crosswalk',255,255,255),(3,'arrow',0,255,0),(4,'stop_line',255,0,0)) t(cls, name, red, green, blue)"),
+    "class_palette": (class_palette, f"""select t.*, n.pixels from (values (0,'background',0,0,0),(1,'lane_line',255,255,0),(2,'crosswalk',255,255,255),(3,'arrow',0,255,0),(4,'stop_line',255,0,0)) t(cls, name, red, green, blue)
+join (select case when gray>200 then 1 when gray>160 then 2 when gray>120 then 3 when gray>80 then 4 else 0 end as cls, count(*) as pixels from {SQL['pixels']} group by 1) n on n.cls=t.cls"""),
     "noise_filters": (noise_filters, f"select count(*) filter (where area>=30) as from_30, count(*) filter (where area>=50) as from_50, count(*) filter (where area>=100) as from_100 from {_R}"),
     "marking_filter_v2": (marking_filter_v2, _V2),
     "marking_filter_v1": (marking_filter_v1, f"select * from {_R} where area>=100 and area<={IMAGE}*0.01::double and {_ROT}>=3"),

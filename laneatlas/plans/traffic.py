@@ -10,7 +10,7 @@ from laneatlas.operators import heatmap as H
 from laneatlas.operators import spatial
 from laneatlas.operators import traffic as T
 from laneatlas.sources.adapters import SQL, view
-from laneatlas.sources.locations import DEFAULT_BOUNDS, NYC
+from laneatlas.sources.locations import NYC, with_bounds
 
 G, W, HT = 50, 640, 480
 BOUNDS = geo.bounds_literal
@@ -138,10 +138,11 @@ def render_points(spark, d):
 
 
 def demo_heatmap(spark, d):
-    """What is fixed about the invented points: their number, their range and the statistics stated with them."""
-    doc = H.demo_document(spark, DEFAULT_BOUNDS)
-    inside = F.forall("points", lambda p: p["lat"].between(40.7128, 40.7138) & p["lon"].between(-74.006, -74.005) & p["intensity"].between(0.3, 1.0))
-    return doc.select("grid_size", "statistics.*", inside.alias("inside"))
+    """What is fixed about the invented points of each area: their number, their range and the statistics stated with them."""
+    doc = H.demo_documents(with_bounds(view(spark, d, "areas")).select("id", "bounds"))
+    b = F.col("bounds")
+    inside = F.forall("points", lambda p: p["lat"].between(b["min_lat"], b["max_lat"]) & p["lon"].between(b["min_lon"], b["max_lon"]) & p["intensity"].between(0.3, 1.0))
+    return doc.select("id", "grid_size", "statistics.*", inside.alias("inside"))
 
 
 def heatmap_fine(spark, d):
@@ -206,7 +207,7 @@ QUERIES = {
     "heatmap_cells_geojson": (heatmap_cells_geojson, f"""with c as (select gy, gx, round(v,4) as intensity, {_NEG[2]}+gx*({_LONS}/{G}) as w, {_NEG[1]}-gy*({_LATS}/{G}) as n from {_V} where v >= 0.5), e as (select *, w+{_LONS}/{G} as e, n-{_LATS}/{G} as s from c)
 select gy, gx, intensity, format('{{:.7f}} {{:.7f}},{{:.7f}} {{:.7f}},{{:.7f}} {{:.7f}},{{:.7f}} {{:.7f}},{{:.7f}} {{:.7f}}', w,s,e,s,e,n,w,n,w,s) as ring from e"""),
     "render_points": (render_points, f"select gy, gx, round(28*(0.5::double+0.5::double*v),6) as radius, round(least(0.8::double,0.9::double*v),6) as alpha, round(60*(1-v),6) as hue from {_V}"),
-    "demo_heatmap": (demo_heatmap, "select 50 as grid_size, 1.0::double as max_intensity, 0.3::double as min_intensity, 0.65::double as mean_intensity, 200::bigint as total_points, 0 as frames_processed, true as inside"),
+    "demo_heatmap": (demo_heatmap, f"select id, 50 as grid_size, 1.0::double as max_intensity, 0.3::double as min_intensity, 0.65::double as mean_intensity, 200::bigint as total_points, 0 as frames_processed, true as inside from {SQL['areas']}"),
     "heatmap_fine": (heatmap_fine, f"select gy, gx, round(v,6) as v from {_S} where v >= 0.001"),
     "live_ids": (live_ids, f"""with s as (select distinct frame_idx//100 as step, track_id from {_TR}) select step, track_id from s where step < (select max(step) from s) and not exists (select 1 from s n where n.step=s.step+1 and n.track_id=s.track_id)
 and exists (select 1 from s n where n.step>s.step and n.track_id=s.track_id)"""),

@@ -44,6 +44,8 @@ SQL["pixels"] = (
     "(select vec_id, cast(floor(i/8.0) as int) as r, cast(i%8 as int) as c, least(255, greatest(0, cast(floor(128+400*v) as int))) as gray "
     "from (select vec_id, generate_subscripts(embedding,1)-1 as i, cast(unnest(embedding) as double) as v from embeddings))"
 )
+#: An area for each customer, of a few tiles, at zoom 13 to 20.
+SQL["areas"] = f"(select id, lat as min_lat, lat+0.002::double*(1+id%3) as max_lat, lon as min_lon, lon+0.002::double*(1+id%3) as max_lon, (13+id%8)::int as zoom from {SQL['geo_points']})"
 #: Images of 64 x 64: sixty-four patches in rows of eight.
 SQL["mosaics"] = f"(select vec_id // 64 as k, (vec_id % 64 // 8 * 8 + r)::int as r, (vec_id % 8 * 8 + c)::int as c, gray from {SQL['pixels']})"
 SQL["features"] = "(select vec_id, label, list_transform(embedding[1:9], lambda v: cast(v as double)) as f from embeddings)"
@@ -54,8 +56,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """detections, sightings, tracks, heat_points, regions, geo_points, quads, pixels (8 x 8 gray patches), mosaics (64 x 64 images of patches) or
+    """detections, sightings, tracks, heat_points, regions, geo_points, areas, quads, pixels (8 x 8 gray patches), mosaics (64 x 64 images of patches) or
     features (nine numbers and a label)."""
+    if name == "areas":
+        wide = F.lit(0.002) * (1 + F.col("id") % 3)
+        return view(spark, sf_dir, "geo_points").select("id", F.col("lat").alias("min_lat"), (F.col("lat") + wide).alias("max_lat"), F.col("lon").alias("min_lon"), (F.col("lon") + wide).alias("max_lon"), (13 + F.col("id") % 8).cast("int").alias("zoom"))
     if name == "mosaics":
         at = F.pmod(F.col("vec_id"), F.lit(64))
         return view(spark, sf_dir, "pixels").select(F.floor(F.col("vec_id") / 64).alias("k"), (F.floor(at / 8) * 8 + F.col("r")).cast("int").alias("r"), (at % 8 * 8 + F.col("c")).cast("int").alias("c"), "gray")

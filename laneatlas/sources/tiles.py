@@ -6,7 +6,8 @@ import time
 import urllib.request
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Tile servers by name (URL template, attribution, largest zoom).
@@ -23,6 +24,14 @@ def servers(spark: SparkSession):
     return spark.createDataFrame([(k, *v) for k, v in SERVERS.items()], "server string, url string, attribution string, max_zoom int")
 
 
+def with_urls(tiles: DataFrame) -> DataFrame:
+    """tiles (server, zoom, x, y) with the url of each; null for a server that the registry (broadcast, four rows) lacks."""
+    out = tiles.join(F.broadcast(servers(tiles.sparkSession).select("server", F.col("url").alias("_t"))), "server", "left")
+    for name, c in (("{z}", "zoom"), ("{y}", "y"), ("{x}", "x")):
+        out = out.withColumn("_t", F.replace("_t", F.lit(name), F.col(c).cast("string")))
+    return out.withColumnRenamed("_t", "url")
+
+
 class TileRun(InputPartition):
     def __init__(self, zoom: int, y: int, first: int, last: int) -> None:
         self.zoom, self.y, self.first, self.last = zoom, y, first, last
