@@ -173,23 +173,66 @@ def _lines(text: str | None) -> list[tuple[int, str]]:
     return [(i, x) for i, x in enumerate((text or "").split("\n")) if x.strip()]
 
 
+#: Entries of a slot, of 16 bytes, about; more where lines repeat between slices.
+SLOT = 200_000
+
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+    """The entries of one slot after the other; rows come sorted by slot."""
+    now, held = None, []
+    for batch in batches:
+        for slot, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if slot != now and held:
+                yield b"".join(held)
+                held = []
+            now = slot
+            held.append(entries)
+    if held:
+        yield b"".join(held)
+
+
+def _buckets(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(bucket, block, line) of entries (band, h) whose band has several distinct lines."""
+    e = e[np.lexsort((e["h"], e["band"]))]
+    e = e[np.append(True, e[1:] != e[:-1])]
+    at = np.flatnonzero(np.append(True, e["band"][1:] != e["band"][:-1]))
+    size = np.diff(np.append(at, len(e)))
+    several = np.repeat(size > 1, size)
+    e, which = e[several], np.repeat(np.arange(int((size > 1).sum())), size[size > 1])
+    if not len(e):
+        return None
+    mixed = (e["h"].view(np.uint64) ^ e["h"].view(np.uint64) >> np.uint64(31)) * _C
+    name = np.add.reduceat(mixed ^ mixed >> np.uint64(29), np.flatnonzero(np.append(True, which[1:] != which[:-1])))
+    size = size[size > 1]
+    nth = np.arange(len(e)) - np.repeat(np.cumsum(size) - size, size)
+    first = np.flatnonzero((nth > 0) & (nth % BLOCK == 0))  # the smallest member stands in each further block too
+    lead = first - nth[first]
+    h, i = np.append(e["h"], e["h"][lead]), np.append(nth // BLOCK, nth[first] // BLOCK).astype(np.int32)
+    return name[np.append(which, which[lead])].view(np.int64), i, h
+
+
 def line_links(texts: DataFrame, heads: DataFrame, shingle: int, rows: int, bands: int, least: float, seed: int) -> DataFrame:
-    """Links (a, b) between hashes of similar lines. texts: key, doc_id, text; heads: h, key, no (where each line is first)."""
+    """Links (a, b) between hashes of similar lines. texts: key, doc_id, text; heads: h, key, no (where each line is first).
+
+    Band keys are dealt to partitions and, in each, to `slots` that Spark sorts by; a task looks at one slot at a time. There are as many as keep
+    SLOT entries in each, whatever a partition holds."""
     parts = partitions(texts.sparkSession)
+    slots = max(1, -(-heads.count() * bands // (parts * SLOT)))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
 
         def dealt() -> pa.RecordBatch:
-            """Entries (band key, line), packed by the partition they go to."""
+            """Entries (band key, line), packed by the partition and slot they go to."""
             e = np.concatenate(held)
-            p = (e["band"] >> np.uint64(20)) % np.uint64(parts)
-            order = np.argsort(p, kind="stable")
-            e, p = e[order], p[order]
-            at = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
-            ends = np.append(at[1:], len(p))
-            return pa.RecordBatch.from_arrays([pa.array(p[at].astype(np.int32)), pa.array([e[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())], names=["p", "entries"])
+            g = (e["band"] >> np.uint64(20)) % np.uint64(parts * slots)
+            order = np.argsort(g, kind="stable")
+            e, g = e[order], g[order]
+            at = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+            ends = np.append(at[1:], len(g))
+            to = g[at].astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array((to % parts).astype(np.int32)), pa.array(to // parts), pa.array([e[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())], names=["p", "slot", "entries"])
 
         for batch in batches:
             column = batch.column(0).to_pylist()
@@ -211,28 +254,20 @@ def line_links(texts: DataFrame, heads: DataFrame, shingle: int, rows: int, band
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Distinct lines of each bucket that has several, named by a hash of the bucket's members, in blocks (see buckets.py)."""
-        raw = [x for batch in batches for x in batch.column(1).to_pylist()]
-        if not raw:
-            return
-        e = np.frombuffer(b"".join(raw), [("band", "<u8"), ("h", "<i8")])
-        del raw
-        e = e[np.lexsort((e["h"], e["band"]))]
-        e = e[np.append(True, e[1:] != e[:-1])]
-        head = np.append(True, e["band"][1:] != e["band"][:-1])
-        at = np.flatnonzero(head)
-        size = np.diff(np.append(at, len(e)))
-        several = np.repeat(size > 1, size)
-        e, which = e[several], np.repeat(np.arange(int((size > 1).sum())), size[size > 1])
-        if not len(e):
-            return
-        mixed = (e["h"].view(np.uint64) ^ e["h"].view(np.uint64) >> np.uint64(31)) * _C
-        name = np.add.reduceat(mixed ^ mixed >> np.uint64(29), np.flatnonzero(np.append(True, which[1:] != which[:-1])))
-        size = size[size > 1]
-        nth = np.arange(len(e)) - np.repeat(np.cumsum(size) - size, size)
-        first = np.flatnonzero((nth > 0) & (nth % BLOCK == 0))  # the smallest member stands in each further block too
-        lead = first - nth[first]
-        h, i = np.append(e["h"], e["h"][lead]), np.append(nth // BLOCK, nth[first] // BLOCK).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(name[np.append(which, which[lead])].view(np.int64)), pa.array(i), pa.array(h)], names=["bucket", "i", "h"])
+        done: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            bucket, i, h = (np.concatenate(c) for c in zip(*done, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(i), pa.array(h)], names=["bucket", "i", "h"])
+
+        for raw in _slots(batches):
+            if (found := _buckets(np.frombuffer(raw, [("band", "<u8"), ("h", "<i8")]))) is not None:
+                done.append(found)
+            if sum(len(x[2]) for x in done) > 100_000:
+                yield out()
+                done = []
+        if done:
+            yield out()
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,8 +309,8 @@ def line_links(texts: DataFrame, heads: DataFrame, shingle: int, rows: int, band
         dealt = cut.mapInArrow(fetch, "bucket long, i int, j int, h long, label long, line string")
         return dealt.repartition(F.col("bucket"), F.col("i"), F.col("j")).sortWithinPartitions("bucket", "i", "j", "h").mapInArrow(verify, "a long, b long")
 
-    blobs = texts.select("text").mapInArrow(sketch, "p int, entries binary").repartitionById(parts, F.col("p"))
-    found = written(blobs.mapInArrow(gather, "bucket long, i int, h long").distinct())
+    blobs = texts.select("text").mapInArrow(sketch, "p int, slot long, entries binary").repartitionById(parts, F.col("p")).sortWithinPartitions("slot")
+    found = written(blobs.select("slot", "entries").mapInArrow(gather, "bucket long, i int, h long").distinct())
     links = compared(found.withColumn("j", F.col("i")).withColumn("label", F.col("h")))
     large = found.where("i > 0").select("bucket").distinct()
     if not large.limit(1).count():
@@ -293,7 +328,7 @@ def dedup_lines(docs: DataFrame, shingle: int = 7, rows: int = 4, bands: int = 1
     Lines (between newlines, not blank) are alike if equal, or if their sets of `shingle`-character shingles have a Jaccard similarity of
     `least` or more; shorter lines only if equal. Of each component of alike lines over all documents the first stays (smallest
     doc_id, null last, then the first line). Blank lines always stay. Null texts are empty; repeated rows are ordered by text;
-    an empty table gives an empty result.
+    an empty table gives an empty result; further columns are ignored, whatever their names.
     Candidates share a band of `rows` of rows * bands minima: at 0.8 a pair is found with 99.8 % (1 - (1 - 0.8^4)^12), at 0.9 with
     99.999 %, and every candidate pair is verified on its shingles. Equal lines are one line before any comparison, and so are equal buckets;
     lines count as equal if two unrelated 64-bit hashes and their lengths agree. Buckets of any size are compared in blocks of BLOCK lines.

@@ -1,5 +1,8 @@
 """Line dedup against all pairs of lines."""
 
+import numpy as np
+import pyarrow as pa
+
 import hashlib
 
 from laneatlas.llm.lines import dedup_lines, linked, signatures
@@ -111,3 +114,29 @@ def test_one_hash_for_different_lines(spark, monkeypatch):
 def test_very_long_lines(spark):
     x = "lorem ipsum dolor sit amet " * 4000
     _same(spark, {1: x, 2: x + "!", 3: x[: len(x) // 3] + "\n" + "q" * 50_000})
+
+
+def test_a_slot_at_a_time_in_one_partition(spark, monkeypatch):
+    """However much one partition holds, a task looks at entries of one slot: more data, more slots of the same size."""
+    from laneatlas.llm import lines
+
+    held = []
+    monkeypatch.setattr(lines, "SLOT", 40)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        docs = {k: "\n".join(f"line {j} of document {k // 2} and more text" for j in range(5)) for k in range(40)}
+        _same(spark, docs)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    rng = np.random.default_rng(1)
+    for n in (4_000, 16_000):
+        e = np.empty(n, [("band", "<u8"), ("h", "<i8")])
+        e["band"], e["h"] = rng.integers(0, 1 << 63, n), rng.integers(-(1 << 62), 1 << 62, n)
+        slots = -(-n // lines.SLOT)
+        g = (e["band"] >> np.uint64(20)) % np.uint64(slots)
+        batch = pa.RecordBatch.from_arrays([pa.array(np.sort(g).astype(np.int64)), pa.array([x.tobytes() for x in e[np.argsort(g, kind="stable")]], pa.binary())], names=["slot", "entries"])
+        sizes = [len(raw) // 16 for raw in lines._slots(iter([batch.slice(0, n // 3), batch.slice(n // 3)]))]
+        assert sum(sizes) == n
+        held.append(max(sizes))
+    assert held[1] < 2 * held[0]
