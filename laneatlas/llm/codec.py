@@ -1,7 +1,7 @@
 """Token ids as binary files: an adaptive context-mixing range coder over independently reset, checksummed blocks.
 
 A frame holds whole documents. Layout, little-endian:
-  b"LAT2", u32 ids a block, u32 documents, u64 ids, u32 blocks, u32 bytes of the prior, u32 crc32 of the three tables below;
+  b"LAT3", u32 ids a block, u32 documents, u64 ids, u32 blocks, u32 bytes of the prior, u32 crc32 of the three tables below;
   documents: i64 doc_id, u32 ids each (null ids: the smallest i64);
   blocks: u32 ids, u32 bytes, u32 crc32 of the coded bytes, u32 crc32 of the ids as u32 each;
   prior (deflated): what every block starts from, see Prior;
@@ -18,12 +18,13 @@ last id's first digit; within a stretch the frequencies of the frame decide. Ids
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 
 import numpy as np
 
-MAGIC = b"LAT2"
+MAGIC = b"LAT3"
 HEAD = struct.Struct("<4sIIQIII")
 BLOCK = 4096
 #: Lanes at most that advance together; bounds the memory of the models (some 100 MB).
@@ -99,15 +100,26 @@ def _count(rows: np.ndarray, v: np.ndarray) -> np.ndarray:
     return ((held[:, 0] + held[:, 1]) * _ONES >> _U(56)).astype(np.int64) - 1
 
 
+#: 16 times 2 to the power of a quarter of 0, 1, 2 ..., rounded down, by whole-number roots: a frame's tables are the same on every machine.
+_MASS = np.array([math.isqrt(math.isqrt(1 << (min(q, 128) + 16))) for q in range(256)], np.int64)
+
+
 def _cumulated(mass: np.ndarray) -> np.ndarray:
-    """Rows of 16 masses as cumulative int16 of 2**15, each digit with 16 at least."""
-    share = mass / np.maximum(mass.sum(axis=-1, keepdims=True), 1e-12)
-    share = np.where(mass.sum(axis=-1, keepdims=True) > 0, share, 1 / 16)
-    whole = 16 + np.floor(share * ((1 << 15) - 256)).astype(np.int64)
+    """Rows of 16 whole masses as cumulative int16 of 2**15, each digit with 16 at least."""
+    total = mass.sum(axis=-1, keepdims=True)
+    left = (1 << 15) - 256
+    whole = 16 + np.where(total > 0, mass * left // np.maximum(total, 1), left // 16)
     ends = np.cumsum(whole, axis=-1)
     return np.concatenate([np.zeros_like(ends[..., :1]), ends[..., :-1]], axis=-1).astype(np.int16)
 
 
+def _summed(at: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums of whole numbers at 256 places."""
+    out = np.zeros(256, np.int64)
+    np.add.at(out, at, values)
+    return out
+
+
 class Prior:
     """The ids a frame's blocks start from: code k has id ids[k]; code len(ids) is the escape.
 
@@ -120,18 +132,18 @@ class Prior:
         parts = [np.lexsort((c, -o)) for c, o in zip(clusters, often, strict=True)]
         self.ids = np.concatenate([c[p] for c, p in zip(clusters, parts, strict=True)] + [np.zeros(0, np.int64)]).astype(np.int64)
         q = np.concatenate([o[p] for o, p in zip(often, parts, strict=True)] + [np.full(1, 8)])
-        mass = np.exp2(q / 4.0)  # the escape is one more symbol, seen some times
+        mass = _MASS[q.astype(np.int64)]  # the escape is one more symbol, seen some times
         before = np.cumsum(mass) - mass
-        self.sub = np.minimum(255, (before / mass.sum() * 256).astype(np.int64))  # stretch of each code
+        self.sub = np.minimum(255, before * 256 // mass.sum())  # stretch of each code
         self.first = self.sub >> 4
-        by = np.bincount(self.sub, mass, 256)
+        by = _summed(self.sub, mass)
         self.second = _cumulated(by.reshape(16, 16))
-        self.start = _cumulated(np.where(follow > 0, np.exp2(follow / 4.0) - 1, 0) + 0.02 * by.reshape(16, 16).sum(axis=1))
-        f = np.maximum(1, np.floor(mass / by[self.sub] * 40_000)).astype(np.int64)
+        self.start = _cumulated(_MASS[follow.astype(np.int64)] - 16 + by.reshape(16, 16).sum(axis=1) // 50)
+        f = np.maximum(1, mass * 40_000 // by[self.sub])
         head = np.flatnonzero(np.append(True, self.sub[1:] != self.sub[:-1]))
         upto = np.cumsum(f) - f
         self.low = upto - np.repeat(upto[head], np.diff(np.append(head, len(f))))
-        self.freq, self.total = f, np.bincount(self.sub, f, 256).astype(np.int64)
+        self.freq, self.total = f, _summed(self.sub, f)
         self.find = self.sub << 24 | self.low
         self.order = np.argsort(self.ids, kind="stable")
 

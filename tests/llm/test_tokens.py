@@ -147,3 +147,28 @@ def test_packing_of_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(1, "a b c")] * 500 + [(None, "d")], "doc_id long, text string")
     got = pack_documents(df, capacity=16).collect()
     assert len(got) == 501 and len({(r.sequence_id, r.offset) for r in got}) == 501
+
+
+def test_tables_are_whole_numbers(spark):
+    """Each mass is 16 times a quarter power of two, rounded down, and sums of them stay exact."""
+    from fractions import Fraction
+
+    for q in (0, 1, 2, 3, 7, 40, 92, 128):
+        m = int(codec._MASS[q])
+        assert Fraction(m) ** 4 <= Fraction(2) ** (q + 16) < Fraction(m + 1) ** 4
+    prior = codec.Prior([np.array([4, 7, 9]), np.array([1, 100])], [np.array([3, 12, 40]), np.array([0, 8])], np.zeros((16, 16), np.int64))
+    assert all(x.dtype == np.int64 for x in (prior.sub, prior.freq, prior.total, prior.low)) and (prior.freq > 0).all()
+    assert (codec._cumulated(np.zeros((2, 16), np.int64))[:, 1] == 16 + 2032).all()
+
+
+def test_files_of_null_and_repeated_ids(spark, encode, crc):
+    rows = [(None, "b c"), (None, "a"), (3, "x y"), (3, "a"), (None, None)]
+    path = shared_dir(spark)
+    write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), path)
+    got = [tuple(r) for r in read_token_files(spark, path).orderBy("start").collect()]
+    want, at = [], 0
+    for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+        ids = encode(t)
+        want.append((d, at, len(ids), crc(_bytes(ids))))
+        at += len(ids)
+    assert got == want
