@@ -184,7 +184,7 @@ def fingerprint_edits(docs: DataFrame, part: int = 4, text: str = "text", doc_id
 
 
 def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a column fingerprint; null texts count as empty."""
+    """docs with a column fingerprint, which takes the place of one of that name; null texts count as empty."""
 
     ship(docs.sparkSession)
 

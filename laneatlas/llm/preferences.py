@@ -25,6 +25,8 @@ def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str =
 
     n_prompt is the length of the longest common prefix of turns (equal role and text; nulls count as empty). If one conversation continues
     the other, the shorter's completion is empty; equal ones leave both empty. Null or empty arrays are conversations of no turns.
+    Columns of pairs that have a name of the result are replaced by it; all others stay. Repeated rows stay rows of their own; texts of any length are
+    rendered whole; an empty table gives an empty result.
     """
     empty = F.array().cast("array<struct<role:string,text:string>>")
     a, b = F.coalesce(F.col(chosen), empty), F.coalesce(F.col(rejected), empty)

@@ -33,3 +33,14 @@ def test_conversations_against_sql(spark, tmp_path):
     at = [want.columns.index(c) for c in got.columns]
     assert sorted(map(tuple, got.collect()), key=str) == sorted((tuple(r[i] for i in at) for r in want.fetchall()), key=str)
     assert conversation_pairs(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_columns_of_the_result_replace_those_of_the_input(spark):
+    u, a, b = ("user", "hi"), ("assistant", "yes"), ("assistant", "no")
+    df = spark.createDataFrame([(1, [u, a], [u, b], "mine")], PAIR).selectExpr("*", "7 as n_prompt", "'x' as chosen_mask", "'stays' as other")
+    (r,) = format_preferences(df).collect()
+    assert r.prompt == _show(*u) and r.n_prompt == 1 and len(r.chosen_mask) == 1 and r.other == "stays"
+    long = "word " * 200_000
+    (r,) = format_preferences(spark.createDataFrame([(1, [("user", long), a], [("user", long), b], "")], PAIR)).collect()
+    assert r.prompt == _show("user", long) and r.n_prompt == 1
+    assert format_preferences(df.limit(0)).count() == 0
