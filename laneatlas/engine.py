@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from laneatlas.functions import geo, shapes
 from laneatlas.operators import chains, contours, filters, fill, heatmap, learning, markings, raster, tiles, traffic
-from laneatlas.sources import locations
+from laneatlas.sources import imagery, locations
 from laneatlas.streaming import tracker
 
 
@@ -42,6 +42,17 @@ class Engine:
             raise BadParameter("a place or all four bounds")
         return tiles.area_tiles(locations.with_bounds(areas))
 
+    def imagery(self, path: str, place: str | None = None, bounds: tuple[float, float, float, float] | None = None, zoom: int = 18, **how) -> dict:
+        """Fetch the tiles of a place or of bounds to path and write the sidecar, which is returned; sources/imagery.py puts the picture together."""
+        if place is not None:
+            areas = locations.location(self.spark, place)
+        elif bounds is not None and all(b is not None for b in bounds):
+            areas = self.spark.createDataFrame([("custom", "custom", *map(float, bounds), zoom)], locations.locations(self.spark).schema)
+        else:
+            raise BadParameter("a place or all four bounds")
+        (extent,) = tiles.stitched_extent(locations.with_bounds(areas)).collect()
+        return imagery.download(self.spark, extent.asDict(recursive=True), path, **how)
+
     def heatmap(self, points: DataFrame, width: int, height: int, grid: int = 50, bounds: tuple | None = None, road_ratio: float | None = None) -> DataFrame:
         """One heatmap document of pixel positions px, py."""
         _within("grid", grid, 10, 200)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from laneatlas.functions.shapes import finite
 from laneatlas.operators.boosting import BoostedStumps
+from laneatlas.operators.perceptron import EarlyStoppingPerceptron
 
 NAMES = ["aspect_ratio", "circularity", "solidity", "extent", "orientation", "hu_moments_0", "hu_moments_1", "hu_moments_2", "hu_moments_3"]
 
@@ -45,7 +46,7 @@ def argmax(values) -> F.Column:
 
 
 def classifiers(n_features: int, n_classes: int, seed: int = 42) -> dict:
-    """The bake-off: forests of three sizes, boosted trees (one against the rest for more than two classes), boosted stumps and two perceptrons. Leaves of
+    """The bake-off: forests of three sizes, boosted trees (one against the rest for more than two classes), boosted stumps and two perceptrons that stop early. Leaves of
     the smallest forest hold 2 rows at least, of the others 1."""
     common = {"featuresCol": "vector", "labelCol": "target", "seed": seed}
     forest = lambda n, depth, leaf: RandomForestClassifier(numTrees=n, maxDepth=depth, minInstancesPerNode=leaf, weightCol="weight", **common)
@@ -53,8 +54,8 @@ def classifiers(n_features: int, n_classes: int, seed: int = 42) -> dict:
     boosted = GBTClassifier(maxIter=200, maxDepth=10, stepSize=0.1, **common)
     out["boosted"] = boosted if n_classes == 2 else OneVsRest(classifier=boosted, featuresCol="vector", labelCol="target")
     out["stumps"] = BoostedStumps(featuresCol="vector", labelCol="target", rounds=200, rate=0.5)
-    out["perceptron_3"] = MultilayerPerceptronClassifier(layers=[n_features, 256, 128, 64, n_classes], **common)
-    out["perceptron_2"] = MultilayerPerceptronClassifier(layers=[n_features, 512, 256, n_classes], **common)
+    out["perceptron_3"] = EarlyStoppingPerceptron(featuresCol="vector", labelCol="target", hidden=[256, 128, 64], epochs=1000, seed=seed)
+    out["perceptron_2"] = EarlyStoppingPerceptron(featuresCol="vector", labelCol="target", hidden=[512, 256], epochs=1000, seed=seed)
     return out
 
 

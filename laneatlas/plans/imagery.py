@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from laneatlas.engine import Engine
 from laneatlas.functions import geo, shapes
 from laneatlas.functions import pixels as X
 from laneatlas.functions import polygons as P
-from laneatlas.operators import chains, fill, filters
+from laneatlas.operators import chains, fill, filters, seams
 from laneatlas.operators import contours as K
 from laneatlas.operators import markings as M
 from laneatlas.operators import raster as R
 from laneatlas.plans.raster import N, _dil, _ero, _frames, _k, _mask, _M, _P, _pixels
-from laneatlas.sources import files, frames, tiles
+from laneatlas.session import shared_folder
+from laneatlas.sources import files, frame_stream, frames, tiles
 from laneatlas.sources.adapters import SQL, view
 from laneatlas.sources.locations import DEFAULT_BOUNDS
+from laneatlas.streaming.density import drained
 
 #: Side of the mosaics.
 S = 64
@@ -99,6 +103,20 @@ def ring_measures(spark, d):
     return m.select("id", "area", F.round("perimeter", 6).alias("perimeter"), *[F.col("hu")[k].alias(f"hu{k}") for k in range(4)])
 
 
+def tiled_components(spark, d):
+    """Components of the mosaics, looked at in tiles of 16 x 16 and united over their seams."""
+    return seams.tiled_components(_spots(spark, d, 190), "k", 16)
+
+
+def streamed_frames(spark, d):
+    """The mosaics as footage of four cameras, read as a stream with offsets in batches of three frames."""
+    path = f"{shared_folder(spark)}/footage-{uuid.uuid4().hex}"
+    p = view(spark, d, "mosaics").withColumn("video", F.col("k") % 4)
+    frames.from_pixels(p, "video", "k", S, S).write.parquet(path)
+    seen = drained(frame_stream.stream_footage(spark, path, per_batch=3), "append")
+    return frames.frame_pixels(seen).groupBy("video_id", "frame_idx").agg(F.sum("gray").alias("light"), F.count("*").alias("pixels"))
+
+
 def filled_rings(spark, d):
     """Pixels inside or on rings, crossing ones by the even-odd rule."""
     q = view(spark, d, "quads").select("id", F.array(*[F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in range(4)]).alias("ring"), F.lit(32).alias("height"), F.lit(32).alias("width"), F.lit(0).alias("part"))
@@ -228,6 +246,10 @@ u as (select id, a, perimeter, (xx-x*x)/a as n20, (yy-y*y)/a as n02, (xy-x*y)/a
 (xxy-2*x*xy-y*xx+2*x*x*y)/pow(a,1.5::double) as n21, (xyy-2*y*xy-x*yy+2*y*y*x)/pow(a,1.5::double) as n12 from f),
 h as (select id, a, perimeter, n20+n02 as h0, pow(n20-n02,2)+4*n11*n11 as h1, pow(n30-3*n12,2)+pow(3*n21-n03,2) as h2, pow(n30+n12,2)+pow(n21+n03,2) as h3 from u)
 select id, a as area, round(perimeter,6) as perimeter, {', '.join(f"round(case when abs(h{k})>1e-7::double then -sign(h{k})*log10(abs(h{k})+1e-10::double) else 0.0::double end,5) as hu{k}" for k in range(4))} from h"""),
+    "tiled_components": (tiled_components, f"""with recursive m as (select k, r, c, r::bigint*4294967296+c as id from {SQL['mosaics']} where gray > 190),
+l as (select k, id as root, r, c from m union select l.k, l.root, m.r, m.c from l join m on m.k=l.k and abs(m.r-l.r)<=1 and abs(m.c-l.c)<=1),
+s as (select k, r, c, min(root) as root from l group by 1,2,3) select k, root, count(*) as n_pixels, min(c) as x, min(r) as y, max(c)-min(c)+1 as w, max(r)-min(r)+1 as h from s group by 1,2"""),
+    "streamed_frames": (streamed_frames, f"select (k%4)::varchar as video_id, k::bigint as frame_idx, sum(gray)::bigint as light, 4096::bigint as pixels from {SQL['mosaics']} group by 1,2"),
     "filled_rings": (filled_rings, f"""with s as (select *, (zx-ax)*(py-ay)-(zy-ay)*(px-ax) as side from {_SIDES.format(q=_SPREAD)}),
 p as (select id, px, py, sum(case when (ay>py)<>(zy>py) and px < (zx-ax)*(py-ay)/(zy-ay)::double+ax then 1 else 0 end) % 2 = 1 as inside, bool_or(side=0 and px between least(ax,zx) and greatest(ax,zx) and py between least(ay,zy) and greatest(ay,zy)) as edge from s group by 1,2,3)
 select id, count(*) as pixels, sum(py*32+px)::bigint as places from p where inside or edge group by 1"""),

@@ -1,4 +1,4 @@
-"""Map tiles as a Python data source: one partition for each run of tiles, null data where a tile cannot be had."""
+"""Map tiles as a Python data source: as many partitions as may fetch at a time, one rate over all of them, null data where a tile cannot be had."""
 
 from __future__ import annotations
 
@@ -33,32 +33,47 @@ def with_urls(tiles: DataFrame) -> DataFrame:
 
 
 class TileRun(InputPartition):
-    def __init__(self, zoom: int, y: int, first: int, last: int) -> None:
-        self.zoom, self.y, self.first, self.last = zoom, y, first, last
+    """Every slots-th tile of the area, from the one of number `slot`."""
+
+    def __init__(self, slot: int) -> None:
+        self.slot = slot
 
 
 class TileReader(DataSourceReader):
+    """Options: rate, requests a second over all tasks (or pause, seconds for ten of them), and slots, tasks that fetch at a time. A task keeps to its share of the rate by the
+    clock, so that all together keep to the whole, however many cores there are."""
+
     def __init__(self, options) -> None:
         self.template = SERVERS[options["server"]][0] if "server" in options else options["template"]
-        self.timeout, self.pause = float(options.get("timeout", 30)), float(options.get("pause", 0.1))
+        self.timeout = float(options.get("timeout", 30))
+        pause = float(options.get("pause", 0.1))
+        self.rate = float(options["rate"]) if "rate" in options else 10 / pause if pause else 0.0
         self.zoom = int(options["zoom"])
         self.x = (int(options["min_x"]), int(options["max_x"]))
         self.y = (int(options["min_y"]), int(options["max_y"]))
+        self.slots = max(1, min(int(options.get("slots", 4)), self._tiles()))
+
+    def _tiles(self) -> int:
+        return (self.x[1] - self.x[0] + 1) * (self.y[1] - self.y[0] + 1)
 
     def partitions(self) -> list[InputPartition]:
-        """Rows of ten tiles, which is also how many go before a pause."""
-        return [TileRun(self.zoom, y, x, min(x + 9, self.x[1])) for y in range(self.y[0], self.y[1] + 1) for x in range(self.x[0], self.x[1] + 1, 10)]
+        return [TileRun(k) for k in range(self.slots)]
 
     def read(self, partition: TileRun) -> Iterator[tuple]:
-        for x in range(partition.first, partition.last + 1):
-            url = self.template.replace("{z}", str(partition.zoom)).replace("{y}", str(partition.y)).replace("{x}", str(x))
+        wide = self.x[1] - self.x[0] + 1
+        due = time.monotonic()
+        for k in range(partition.slot, self._tiles(), self.slots):
+            if self.rate:
+                time.sleep(max(0.0, due - time.monotonic()))
+                due = max(due, time.monotonic()) + self.slots / self.rate
+            x, y = self.x[0] + k % wide, self.y[0] + k // wide
+            url = self.template.replace("{z}", str(self.zoom)).replace("{y}", str(y)).replace("{x}", str(x))
             try:
                 with urllib.request.urlopen(url, timeout=self.timeout) as got:  # noqa: S310
                     data = got.read()
             except OSError:
                 data = None
-            yield partition.zoom, x, partition.y, data
-        time.sleep(self.pause)
+            yield self.zoom, x, y, data
 
 
 class TileSource(DataSource):
