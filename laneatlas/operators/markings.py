@@ -87,6 +87,14 @@ def in_view(points: DataFrame, width: int, height: int, margin: int = 50, x: str
     return points.where(F.col(x).between(-margin, width + margin) & F.col(y).between(-margin, height + margin))
 
 
+def stripes(found: DataFrame, key: str, first: int = 5) -> DataFrame:
+    """Of contours (key, part, w, h): per image their number and the sizes [w, h] of the first ones in reading order."""
+    n = found.groupBy(key).agg(F.count("*").alias("stripes"))
+    top = found.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("part"))).where(F.col("_n") <= first)
+    sizes = top.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_n", "w", "h"))).alias("_s"))  # `first` rows
+    return n.join(sizes, key).select(key, "stripes", F.transform("_s", lambda x: F.array(x["w"], x["h"])).alias("sizes"))
+
+
 def label(kind: Column, confidence: Column) -> Column:
     """What stands beside a marking on an annotated image: four letters of its type and its confidence in percent."""
     return F.format_string("%s %s%%", F.substring(kind, 1, 4), F.bround(confidence * 100, 0).cast("int"))

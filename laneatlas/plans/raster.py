@@ -74,6 +74,14 @@ def brightness_profile(spark, d):
     return b.select("vec_id", F.round("mean_bright", 6).alias("mean_bright"), "low", "high", F.round("bright_percent", 6).alias("bright_percent"))
 
 
+def training_report(spark, d):
+    """Brightness of each patch, the number of its outermost bright stripes and the sizes of the first five."""
+    b = M.brightness(_pixels(spark, d), "vec_id").where("mean_bright is not null")
+    found = M.stripes(K.contours(_mask(spark, d, 180), "vec_id", N, N, external=True), "vec_id")
+    sizes = F.array_join(F.transform("sizes", lambda x: F.concat_ws("x", x[0], x[1])), ",")
+    return b.join(found, "vec_id").select("vec_id", F.round("mean_bright", 6).alias("mean_bright"), "low", "high", F.round("bright_percent", 6).alias("bright_percent"), "stripes", sizes.alias("sizes"))
+
+
 def _as_v(spark, d):
     return _pixels(spark, d).select("vec_id", "r", "c", F.col("gray").cast("double").alias("v"))
 
@@ -206,6 +214,15 @@ QUERIES = {
     "near_mask": (near_mask, f"select m.* from {_M(150)} m where exists (select 1 from {_M(230)} o where o.vec_id=m.vec_id and o.r-m.r between -2 and 1 and o.c-m.c between -2 and 1)"),
     "class_pixels": (class_pixels, f"with k as (select case when gray>200 then 1 when gray>150 then 2 when gray>100 then 3 else 0 end as cls from {_P}) select cls, count(*) as pixels, round(100.0::double*count(*)/(select count(*) from k),2) as percentage from k where cls<>0 group by 1"),
     "brightness_profile": (brightness_profile, f"select vec_id, round(avg(gray) filter (where gray>180),6) as mean_bright, min(gray) as low, max(gray) as high, round(100.0::double*count(*) filter (where gray>180)/count(*),6) as bright_percent from {_P} group by 1"),
+    "training_report": (training_report, f"""with recursive m as (select vec_id, r, c, r*8+c as id from {_M(180)}),
+o as (select distinct vec_id, -1 as r, -1 as c from m union select o.vec_id, o.r+s.a, o.c+s.b from o, (values (0,1),(0,-1),(1,0),(-1,0)) s(a,b)
+where o.r+s.a between -1 and 8 and o.c+s.b between -1 and 8 and not exists (select 1 from m where m.vec_id=o.vec_id and m.r=o.r+s.a and m.c=o.c+s.b)),
+l as (select vec_id, id as root, r, c from m union select l.vec_id, l.root, m.r, m.c from l join m on m.vec_id=l.vec_id and abs(m.r-l.r)<=1 and abs(m.c-l.c)<=1),
+s as (select vec_id, r, c, min(root) as root from l group by 1,2,3),
+z as (select s.vec_id, root, max(c)-min(c)+1 as w, max(r)-min(r)+1 as h from s group by 1,2 having bool_or(exists (select 1 from o where o.vec_id=s.vec_id and abs(o.r-s.r)+abs(o.c-s.c)=1))),
+q as (select *, row_number() over (partition by vec_id order by root) as n from z),
+b as (select vec_id, round(avg(gray) filter (where gray>180),6) as mean_bright, min(gray) as low, max(gray) as high, round(100.0::double*count(*) filter (where gray>180)/count(*),6) as bright_percent from {_P} group by 1)
+select b.*, t.stripes, t.sizes from b join (select vec_id, count(*) as stripes, string_agg(w || 'x' || h, ',' order by n) filter (where n <= 5) as sizes from q group by 1) t on t.vec_id=b.vec_id"""),
     "block_resample": (block_resample, f"select vec_id, r//2 as gy, c//2 as gx, round(avg(gray),6) as v from {_P} group by 1,2,3"),
     "block_resample_uneven": (block_resample_uneven, f"select vec_id, a.g as gy, b.g as gx, round(sum(gray*a.w*b.w),6) as v from {_P} join {_AREA3} a(p,g,w) on a.p=r join {_AREA3} b(p,g,w) on b.p=c group by 1,2,3"),
     "motion_accumulate": (motion_accumulate, f"select r//2 as gy, c//2 as gx, round(sum(case when gray>180 then 0.25::double else 0 end)/count(distinct vec_id),6) as v from {_P} group by 1,2"),
