@@ -1,7 +1,11 @@
-"""A compression classifier: texts are compressed against zstandard dictionaries of good and of bad text."""
+"""A compression classifier: texts are compressed against zstandard dictionaries of good and of bad text.
+
+What decides is the normalised difference of the two compressed sizes and nothing else: it is taken for pieces of four lengths, as a share of the text's bytes and as a
+share of both sizes, over the whole text and in the spread of its pieces, and these sixteen differences are calibrated to a score."""
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import zip_longest
 
@@ -14,9 +18,10 @@ from pyspark.sql import types as T
 
 from laneatlas.session import ship
 
-#: Bytes of text compressed at a time, so that the dictionary and not the text's own past decides.
+#: Bytes of the pieces that dictionaries are trained on.
 WINDOW = 512
-FEATURES = 9
+#: Bytes of text compressed at a time: in short pieces the dictionary decides, in long ones also how both sizes fare against the text's own past.
+SPANS = (64, 256, 1024, 1 << 20)
 
 
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
@@ -34,44 +39,85 @@ def build_dictionary(texts: list[str], size: int = 112_640) -> bytes:
         return b"".join(samples)[:size] or b"\0" * 8
 
 
-def sizes(text: str | None, good, bad) -> tuple[int, int, int, int]:
-    """Bytes of the whole text; its size compressed in windows against good and against bad; the number of windows."""
+#: Spans up to this many bytes also tell how the differences of their pieces are spread.
+SHORT = 256
+
+
+def differences(text: str | None, good, bad) -> list[float]:
+    """For each of SPANS the size against bad less that against good, over the text's bytes and over both sizes; for the short ones also, of the single pieces' differences over
+    their bytes, a low and a high tenth and the shares below and at 0. An empty text is one empty piece."""
     b = (text or "").encode("utf-8", "replace")
-    g = w = 0
-    for i in range(0, len(b), WINDOW):
-        piece = b[i : i + WINDOW]
-        g += len(good.compress(piece))
-        w += len(bad.compress(piece))
-    return len(b), g, w, -(-len(b) // WINDOW)
+    out = []
+    for span in SPANS:
+        pieces = [b[i : i + span] for i in range(0, len(b), span)] or [b""]
+        g, w = ([len(c.compress(p)) - 8 for p in pieces] for c in (good, bad))  # 8: what any frame costs
+        gs, ws = max(1, sum(g)), max(1, sum(w))
+        out += [(ws - gs) / max(1, len(b)), (ws - gs) / (ws + gs)]
+        if span <= SHORT:
+            d = sorted([(y - x) / max(16, len(p)) for x, y, p in zip(g, w, pieces, strict=True)])
+            tenth = (len(d) - 1) // 10
+            below, upto = bisect_left(d, 0), bisect_right(d, 0)
+            out += [d[tenth], d[len(d) - 1 - tenth], below / len(d), (upto - below) / len(d)]
+    return out
+
+
+#: How many numbers differences() gives.
+WIDE = 2 * len(SPANS) + 4 * sum(s <= SHORT for s in SPANS)
+
 
+class Calibration:
+    """A logistic curve over differences: each standardised, bent at six of its quantiles, and all products and contrasts of two."""
 
-def features(n: np.ndarray, g: np.ndarray, b: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """From compressed sizes alone: the normalised difference d, the compression ratio r and their products."""
-    frame = 8.0 * windows  # what any frame costs
-    g, b = np.maximum(1.0, g - frame), np.maximum(1.0, b - frame)
-    d = np.clip(4 * (b - g) / (b + g), -2, 2)
-    r = np.clip(np.log(np.minimum(g, b) / np.maximum(1, n)) + 1, -4, 2)
-    s = 1 / (1 + np.maximum(0, n) / 64)
-    return np.stack([np.ones_like(d), d, r, s, d * d, r * r, d * r, d * s, r * s], axis=1)
+    def __init__(self, x: np.ndarray, y: np.ndarray) -> None:
+        self.mean, self.spread = x.mean(axis=0), x.std(axis=0) + 1e-9
+        self.bends = np.quantile(self._even(x), np.linspace(0.05, 0.95, 6), axis=0)
+        self.weights = fit_logistic(self.terms(x), y)
 
+    def _even(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.spread, -4, 4)
+
+    def terms(self, x: np.ndarray) -> np.ndarray:
+        z = self._even(x)
+        i, j = np.triu_indices(z.shape[1])
+        p, q = np.triu_indices(z.shape[1], 1)
+        return np.concatenate([np.ones((len(z), 1)), z, *[np.maximum(0, z - b) for b in self.bends], z[:, i] * z[:, j], np.tanh(z[:, p] - z[:, q])], axis=1)
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.terms(x) @ self.weights, -30, 30)))
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.03, steps: int = 100) -> np.ndarray:
+    """Weights by Newton's method, each step halved until the loss falls; `ridge` holds all but the first, the intercept."""
+    hold = np.full(x.shape[1], ridge)
+    hold[0] = 1e-6
+
+    def loss(w: np.ndarray) -> float:
+        z = np.clip(x @ w, -40, 40)
+        return float(np.log1p(np.exp(-z)) @ y + np.log1p(np.exp(z)) @ (1 - y) + 0.5 * (hold * w) @ w)
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
         v = np.maximum(p * (1 - p), 1e-6)
-        step = np.linalg.solve(x.T @ (x * v[:, None]) + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
-        w += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-6:
+        step, now = np.linalg.solve(x.T @ (x * v[:, None]) + np.diag(hold), x.T @ (y - p) - hold * w), loss(w)
+        share = 1.0
+        while share > 1e-6 and loss(w + share * step) > now:
+            share /= 2
+        w = w + share * step
+        if np.abs(share * step).max() < 1e-7:
             break
     return w
 
 
 class QualityModel:
-    """Two dictionaries and a calibration; small (a few hundred kB) whatever the corpus."""
+    """Two dictionaries and a calibration, or, with one class missing, a share; small (a few hundred kB) whatever the corpus."""
+
+    def __init__(self, good: bytes, bad: bytes, curve: Calibration | float) -> None:
+        self.good, self.bad, self.curve = good, bad, curve
 
-    def __init__(self, good: bytes, bad: bytes, weights: np.ndarray) -> None:
-        self.good, self.bad, self.weights = good, bad, weights
+    @property
+    def weights(self) -> np.ndarray:
+        return self.curve.weights if isinstance(self.curve, Calibration) else np.zeros(1)
 
     @classmethod
     def fit(cls, texts: list[str], labels: list[int], size: int = 112_640, totals: tuple[int, int] | None = None) -> QualityModel:
@@ -82,25 +128,21 @@ class QualityModel:
         good = [t or "" for t, y in zip(texts, labels, strict=True) if y == 1]
         bad = [t or "" for t, y in zip(texts, labels, strict=True) if y == 0]
         if not good or not bad:
-            w = np.zeros(FEATURES)
-            w[0] = 8.0 if good or not bad else -8.0
-            return cls(b"\0" * 8, b"\0" * 8, w)
-        model = cls(build_dictionary(good[::2], size), build_dictionary(bad[::2], size), np.zeros(FEATURES))
+            return cls(b"\0" * 8, b"\0" * 8, 1 / (1 + np.exp(-8.0 if good or not bad else 8.0)))
+        model = cls(build_dictionary(good[::2], size), build_dictionary(bad[::2], size), 0.5)
         rest = [(t, 1) for t in good[1::2] or good] + [(t, 0) for t in bad[1::2] or bad]
-        x = model._features([t for t, _ in rest])
         ys = np.array([y for _, y in rest], float)
-        model.weights = fit_logistic(x, ys)
+        model.curve = Calibration(model._differences([t for t, _ in rest]), ys)
         if totals and min(totals) > 0:
-            model.weights[0] += np.log(totals[1] / totals[0]) - np.log(ys.sum() / (len(ys) - ys.sum()))
+            model.curve.weights[0] += np.log(totals[1] / totals[0]) - np.log(ys.sum() / (len(ys) - ys.sum()))
         return model
 
-    def _features(self, texts) -> np.ndarray:
+    def _differences(self, texts) -> np.ndarray:
         good, bad = _compressor(self.good), _compressor(self.bad)
-        m = np.array([sizes(t, good, bad) for t in texts], float).reshape(-1, 4)
-        return features(m[:, 0], m[:, 1], m[:, 2], m[:, 3])
+        return np.array([differences(t, good, bad) for t in texts], float).reshape(-1, WIDE)
 
     def score(self, texts) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self._features(texts) @ self.weights, -30, 30)))
+        return self.curve.score(self._differences(texts)) if isinstance(self.curve, Calibration) else np.full(len(texts), self.curve)
 
 
 def remainder(doc_id: str = "doc_id"):
@@ -164,10 +206,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_per_class: int = 2000, m
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3, text: str = "text") -> DataFrame:
     """docs plus score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= threshold); columns of these names are replaced.
 
-    Whole texts; null counts as empty; empty texts get the score of a text without evidence. One pass, no shuffle.
+    Whole texts; null counts as empty; empty texts get the score of differences of 0. Repeated rows get equal scores; an empty table gives an empty
+    result. One pass, no shuffle.
     """
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((model.good, model.bad, model.weights))  # two dictionaries of 110 kB
+    shared = docs.sparkSession.sparkContext.broadcast((model.good, model.bad, model.curve))  # two dictionaries of 110 kB
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = QualityModel(*shared.value)

@@ -88,12 +88,52 @@ def test_scores_against_loops(corpus):
         data = zstandard.ZstdCompressionDict(dictionary)
         made.append(zstandard.ZstdCompressor(level=1, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False))
     some = [*texts[:40], "", None]
+    c = model.curve
     for text, score in zip(some, model.score(some)):
         b = (text or "").encode()
-        parts = [b[i : i + 512] for i in range(0, len(b), 512)]
-        g, w = (max(1.0, sum(len(c.compress(p)) for p in parts) - 8.0 * len(parts)) for c in made)
-        d = min(2, max(-2, 4 * (w - g) / (w + g)))
-        r = min(2, max(-4, math.log(min(g, w) / max(1, len(b))) + 1))
-        s = 1 / (1 + len(b) / 64)
-        z = sum(a * x for a, x in zip(model.weights, (1, d, r, s, d * d, r * r, d * r, d * s, r * s)))
-        assert abs(score - 1 / (1 + math.exp(-min(30, max(-30, z))))) < 1e-9
+        x = []
+        for span in (64, 256, 1024, 1 << 20):
+            parts = [b[i : i + span] for i in range(0, len(b), span)] or [b""]
+            g, w = ([len(m.compress(p)) - 8 for p in parts] for m in made)
+            gs, ws = max(1, sum(g)), max(1, sum(w))
+            x += [(ws - gs) / max(1, len(b)), (ws - gs) / (ws + gs)]
+            if span <= 256:
+                d = sorted((w[k] - g[k]) / max(16, len(p)) for k, p in enumerate(parts))
+                cut = (len(d) - 1) // 10
+                x += [d[cut], d[-1 - cut], sum(v < 0 for v in d) / len(d), sum(v == 0 for v in d) / len(d)]
+        z = [min(4, max(-4, (v - m) / s)) for v, m, s in zip(x, c.mean, c.spread)]
+        terms = [1.0, *z, *[max(0, v - e) for bend in c.bends for v, e in zip(z, bend)]]
+        terms += [z[i] * z[j] for i in range(16) for j in range(i, 16)] + [math.tanh(z[i] - z[j]) for i in range(16) for j in range(i + 1, 16)]
+        u = sum(a * t for a, t in zip(c.weights, terms, strict=True))
+        assert abs(score - 1 / (1 + math.exp(-min(30, max(-30, u))))) < 1e-6
+
+
+def test_fit_finds_the_least_loss():
+    """No small change of a weight lowers the penalised loss."""
+    from laneatlas.llm.quality import fit_logistic
+
+    r = np.random.default_rng(2)
+    x = np.concatenate([np.ones((80, 1)), r.normal(size=(80, 4))], axis=1)
+    y = (x[:, 1] + 0.5 * r.normal(size=80) > 0).astype(float)
+    w = fit_logistic(x, y, 0.1)
+
+    def loss(w):
+        z = x @ w
+        return sum(math_log1p(-v if t else v) for v, t in zip(z, y)) + 0.05 * (w[1:] @ w[1:]) + 0.5e-6 * w[0] ** 2
+
+    def math_log1p(v):
+        return np.log1p(np.exp(v))
+
+    for k in range(5):
+        for d in (-1e-3, 1e-3):
+            other = w.copy()
+            other[k] += d
+            assert loss(other) >= loss(w) - 1e-12
+
+
+def test_difference_alone_ranks_held_out_rows(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    rows = score_quality(docs.join(labels.where("quality is not null"), "doc_id"), fit_quality(docs, labels)).where(remainder() == 0).select("score", "quality").collect()
+    good, bad = np.sort([r.score for r in rows if r.quality == 1]), np.array([r.score for r in rows if r.quality == 0])
+    auc = (np.searchsorted(good, bad, "left") + np.searchsorted(good, bad, "right")).sum() / 2 / len(good) / len(bad)
+    assert 1 - auc > 0.99
