@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from laneatlas.functions import geo, shapes
 from laneatlas.operators import chains, contours, filters, fill, heatmap, learning, markings, raster, tiles, traffic
+from laneatlas.sources import frames as footage
 from laneatlas.sources import imagery, locations
 from laneatlas.streaming import tracker
 
@@ -125,6 +126,13 @@ class Engine:
         found = chains.shapes(images, chains.detected).where(c("area") >= min_area)
         return fill.painted(found, ["video_id", "frame_idx"], shapes.classify_cv(c("area"), c("perimeter"), c("long"), c("short")))
 
+    def masks(self, images: DataFrame, given: DataFrame, threshold: int = 200, min_area: float = 50) -> DataFrame:
+        """Class masks (as pseudo_masks() has them) of images: the given one (frames.SCHEMA, bytes are class ids) where there is one, else a pseudo mask."""
+        key = ["video_id", "frame_idx"]
+        known = images.select(key).join(given, key, "left_semi").distinct()
+        own = footage.frame_pixels(given.join(known, key, "left_semi")).where("gray > 0").withColumnRenamed("gray", "v")
+        return own.unionByName(self.pseudo_masks(images.join(known, key, "left_anti"), threshold, min_area))
+
     def mask_statistics(self, mask: DataFrame, images: DataFrame) -> DataFrame:
         """Per image and class that it shows: video_id, frame_idx, class, pixels and percentage (2 digits) of all its pixels."""
         size = images.select("video_id", "frame_idx", (F.col("height") * F.col("width")).alias("_all"))

@@ -16,7 +16,16 @@ from laneatlas.session import ship
 STRIP = 64
 BOUNDS = "struct<min_lat:double,max_lat:double,min_lon:double,max_lon:double>"
 HEATMAP = f"bounds {BOUNDS}, grid_size int, points array<struct<lat:double,lon:double,intensity:double>>, statistics struct<max_intensity:double,min_intensity:double,mean_intensity:double,total_points:bigint>"
-ALLOWED = ("png", "jpg", "jpeg", "tif", "tiff")
+#: Kinds of files that each route takes.
+KINDS = {
+    "imagery": ("png", "jpg", "jpeg", "tif", "tiff", "geotiff"),
+    "video": ("mp4", "avi", "mov", "mkv", "webm"),
+    "footage": ("mov", "mp4", "avi"),
+    "pipeline_footage": ("mov", "mp4"),
+    "training": ("png", "jpg"),
+    "segmentation": ("png", "jpg", "tif"),
+}
+ALLOWED = KINDS["imagery"]
 
 
 class MissingDocument(FileNotFoundError):
@@ -56,7 +65,19 @@ def scan(spark: SparkSession, path: str, allowed: tuple[str, ...] = ALLOWED) ->
     return found.where(extension(F.col("path")).isin(*allowed)).select("path", "length", "modificationTime").orderBy("path")
 
 
-def first_file(spark: SparkSession, path: str, allowed: tuple[str, ...] = ("mov", "mp4", "avi")) -> str | None:
+class RefusedFile(ValueError):
+    """A file of a kind that a route does not take."""
+
+
+def accepted(name: str, route: str) -> str:
+    """The name, if its kind is one of the route's; upper case counts as lower."""
+    kind = name.rpartition(".")[2].lower() if "." in name else ""
+    if kind not in KINDS[route]:
+        raise RefusedFile(f"{name}: {route} takes {', '.join(KINDS[route])}")
+    return name
+
+
+def first_file(spark: SparkSession, path: str, allowed: tuple[str, ...] = KINDS["footage"]) -> str | None:
     row = scan(spark, path, allowed).orderBy("path").limit(1).first()
     return row and row["path"]
 
@@ -64,7 +85,7 @@ def first_file(spark: SparkSession, path: str, allowed: tuple[str, ...] = ("mov"
 def labelled(spark: SparkSession, path: str) -> DataFrame:
     """Training images with the label of their folder: lines are lane lines, crosswalk crosswalks."""
     folder = F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1)
-    return scan(spark, path, ("png", "jpg")).withColumn("label", F.when(folder == "lines", "lane_line").when(folder == "crosswalk", "crosswalk")).where("label is not null")
+    return scan(spark, path, KINDS["training"]).withColumn("label", F.when(folder == "lines", "lane_line").when(folder == "crosswalk", "crosswalk")).where("label is not null")
 
 
 def with_masks(pictures: DataFrame, masks: DataFrame) -> DataFrame:
@@ -83,6 +104,29 @@ def heatmap_document(spark: SparkSession, path: str) -> DataFrame:
         raise
 
 
+def geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Features of GeoJSON documents (a collection or a feature each), or, with `lines`, of a feature a line, as write_features() leaves them: id, geometry (its type),
+    rings (array of rings of [lon, lat]; a line is one, a point one of one place, several polygons give the rings of all), properties (map of strings) and
+    text, the feature as it stands. MissingDocument if there is no such path; what is no feature is left out. A document is one value."""
+    try:
+        read = spark.read.text(path, wholetext=not lines)
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e):
+            raise MissingDocument(path) from e
+        raise
+    if not lines:
+        one = F.from_json("value", "type string, features array<string>")
+        read = read.select(F.explode(F.when(one["type"] == "FeatureCollection", one["features"]).otherwise(F.array("value"))).alias("value"))
+    feature = "type string, id string, geometry struct<type:string,coordinates:string>, properties map<string,string>"
+    f = read.select(F.col("value").alias("text"), F.from_json("value", feature).alias("f")).where("f.type = 'Feature'")
+    raw, kind = F.col("f.geometry.coordinates"), F.col("f.geometry.type")
+    rings = (
+        F.when(kind == "Polygon", F.from_json(raw, "array<array<array<double>>>")).when(kind == "LineString", F.array(F.from_json(raw, "array<array<double>>")))
+        .when(kind == "Point", F.array(F.array(F.from_json(raw, "array<double>")))).when(kind == "MultiPolygon", F.flatten(F.from_json(raw, "array<array<array<array<double>>>>")))
+    )
+    return f.select(F.col("f.id").alias("id"), kind.alias("geometry"), rings.alias("rings"), F.col("f.properties").alias("properties"), "text")
+
+
 def sidecar_bounds(spark: SparkSession, path: str) -> DataFrame:
     """Bounds of imagery from its sidecar, nested or flat."""
     flat = "min_lat double, max_lat double, min_lon double, max_lon double"
