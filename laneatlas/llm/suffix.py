@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from laneatlas.session import ship
@@ -322,14 +322,15 @@ def repeated_spans(texts: DataFrame, length: int = 100, hot: int = 5000, chunk:
     raw_path = shared_dir(texts.sparkSession)
     raw = written(texts.select("key", "text").mapInArrow(find, "g long, same long, key long, at long"), raw_path)
     # the fragments of a frequent anchor are dealt by their hashes too; they count as mixed, which the settling decides
-    often = heavy(raw, "g", share, least).withColumn("often", F.lit(True))
+    often = written(heavy(raw, "g", share, least).withColumn("often", F.lit(True)))  # fewer than 2 / share rows
     raw = raw.join(F.broadcast(often), "g", "left").withColumn("deal", F.when(F.col("often"), F.coalesce("same", F.lit(0))).otherwise(0))
-    group = Window.partitionBy("g", "deal")
+    # the first of equal fragments is a minimum with partial sums before the shuffle, and comes back by a join, which Spark splits where one fragment is very frequent
+    equal = raw.where("same is not null").groupBy("g", "deal", "same").agg(F.min(F.struct("key", "at")).alias("lead"), F.count("*").alias("c"))
+    kinds = equal.groupBy("g", "deal").agg(F.sum("c").alias("n"), F.count("*").alias("kinds")).where("n > 1")
     split = F.col("often").isNotNull()
-    found = raw.select(
-        "g", "same", "key", "at", F.count("same").over(group).alias("n"), split.alias("often"),
-        (split | (F.min("same").over(group) != F.max("same").over(group))).alias("mixed"),
-        F.row_number().over(Window.partitionBy("g", "deal", "same").orderBy("key", "at")).alias("nth"),
+    found = raw.join(equal.join(kinds, ["g", "deal"], "left"), ["g", "deal", "same"], "left").select(
+        "g", "same", "key", "at", F.coalesce("n", F.lit(1)).alias("n"), split.alias("often"), (split | (F.coalesce("kinds", F.lit(1)) > 1)).alias("mixed"),
+        F.when(F.struct("key", "at") == F.col("lead"), 1).otherwise(2).alias("nth"),
     )
     found = written(found.where("same is null or n > 1 or often"))
     remove(texts.sparkSession, raw_path)
@@ -367,7 +368,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, text: str = "text", doc_i
 
     Bytes are those of the text in UTF-8 (null: empty). Each byte that a string of `length` bytes covers goes if that string also starts
     earlier (smaller doc_id, or the same row, before); matches never cross rows. All is judged on the input. Rows with
-    a null doc_id come last, repeated rows in the order of their texts. An empty table gives an empty result.
+    a null doc_id come last, repeated rows in the order of their texts. An empty table gives an empty result. Further columns are ignored, whatever
+    their names.
     """
     ship(docs.sparkSession)
     texts = ordered_keys(docs, text, doc_id)
