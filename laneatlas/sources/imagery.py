@@ -39,6 +39,8 @@ class ImageryWriter(DataSourceWriter):
         self.path, self.overwrite, self.run = options["path"].rstrip("/"), overwrite, uuid.uuid4().hex
         self.sidecar = json.loads(options.get("sidecar", "{}"))
         self.suffix = options.get("suffix", ".png")
+        store, folder = self._store()
+        store.create_dir(f"{folder}/_{self.run}", recursive=True)  # on the driver alone: a task that is late finds no folder once the write is aborted
 
     def _store(self):
         from pyarrow import fs
@@ -48,7 +50,6 @@ class ImageryWriter(DataSourceWriter):
     def write(self, iterator: Iterator) -> Written:
         store, folder = self._store()
         out = Written()
-        store.create_dir(f"{folder}/_{self.run}", recursive=True)
         for row in iterator:
             if row["data"] is None:
                 out.missing += 1
