@@ -24,6 +24,10 @@ WINDOW = 512
 SPANS = (64, 256, 1024, 1 << 20)
 
 
+#: Texts scored together.
+SLICE = 256
+
+
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     data = zstandard.ZstdCompressionDict(dictionary)
     data.precompute_compress(level=1)
@@ -142,7 +146,11 @@ class QualityModel:
         return np.array([differences(t, good, bad) for t in texts], float).reshape(-1, WIDE)
 
     def score(self, texts) -> np.ndarray:
-        return self.curve.score(self._differences(texts)) if isinstance(self.curve, Calibration) else np.full(len(texts), self.curve)
+        """Scores of texts, worked out for SLICE of them at a time: the calibration's terms are some 370 numbers a text."""
+        if not isinstance(self.curve, Calibration):
+            return np.full(len(texts), self.curve)
+        parts = [self.curve.score(self._differences(texts[i : i + SLICE])) for i in range(0, len(texts), SLICE)]
+        return np.concatenate([np.zeros(0), *parts])
 
 
 def remainder(doc_id: str = "doc_id"):
