@@ -81,19 +81,8 @@ def _balls(bits: int, radius: int) -> list[int]:
     return ball
 
 
-def links(fps: DataFrame, distance: int = 4, parts: int | None = None, small: int = 8, block: int = 2000) -> DataFrame:
-    """Links (a, b) between distinct fingerprints that give the components of all pairs within `distance` bits.
-
-    Each part of a fingerprint has a table of buckets (`index`); each fingerprint looks into the buckets within the part's
-    radius of its own (`probes`). parts None: as many as give parts of about log2(n) bits, so that a bucket of n spread fingerprints has a
-    few members at any n. Buckets of up to `small` members join with their probes one by one and each pair's whole
-    distance is verified. Of a larger bucket only its name joins; its members and probes are then compared in blocks of `block` (see
-    buckets.py), which give out forests. No pair is lost, and no task holds more than two blocks of a bucket of any size.
-    """
-    ship(fps.sparkSession)
-    if parts is None:
-        parts = max(2, min(distance + 1, round(64 / max(12.0, math.log2(max(2, fps.count()))))))
-    plan = segments(distance, parts)
+def candidates(fps: DataFrame, plan: list[tuple[int, int, int]], distance: int, small: int) -> DataFrame:
+    """(part, key, a, b): pairs a < b within `distance` bits from buckets of up to `small` members; b null: a looks into a larger bucket."""
 
     def entries(i: int, shift: int, bits: int, masks: list[int]):
         key = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << bits) - 1))
@@ -108,7 +97,24 @@ def links(fps: DataFrame, distance: int = 4, parts: int | None = None, small: in
     few = index.join(full.select("part", "key"), ["part", "key"], "left_anti")
     tables = few.unionByName(full.select("part", "key", F.lit(None).cast("long").alias("b")))
     near = F.col("b").isNull() | ((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance))
-    found = written(probes.join(tables, ["part", "key"]).where(near))
+    # Spark takes exploded rows to be as many as their input and would broadcast tens of rows a fingerprint through the driver
+    return probes.join(tables.hint("merge"), ["part", "key"]).where(near)
+
+
+def links(fps: DataFrame, distance: int = 4, parts: int | None = None, small: int = 8, block: int = 2000) -> DataFrame:
+    """Links (a, b) between distinct fingerprints that give the components of all pairs within `distance` bits.
+
+    Each part of a fingerprint has a table of buckets (`index`); each fingerprint looks into the buckets within the part's
+    radius of its own (`probes`). parts None: as many as give parts of about log2(n) bits, so that a bucket of n spread fingerprints has a
+    few members at any n. Buckets of up to `small` members join with their probes one by one and each pair's whole
+    distance is verified. Of a larger bucket only its name joins; its members and probes are then compared in blocks of `block` (see
+    buckets.py), which give out forests. No pair is lost, and no task holds more than two blocks of a bucket of any size.
+    """
+    ship(fps.sparkSession)
+    if parts is None:
+        parts = max(2, min(distance + 1, round(64 / max(12.0, math.log2(max(2, fps.count()))))))
+    plan = segments(distance, parts)
+    found = written(candidates(fps, plan, distance, small))
     large = found.where("b is null").select("part", "key", "a")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

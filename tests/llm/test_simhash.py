@@ -5,7 +5,7 @@ import pytest
 import xxhash
 
 from laneatlas.llm.components import components, forest
-from laneatlas.llm.simhash import drop_near_duplicates, links, near_duplicates, segments, simhash
+from laneatlas.llm.simhash import candidates, drop_near_duplicates, links, near_duplicates, segments, simhash
 
 import numpy as np
 
@@ -94,3 +94,13 @@ def test_components(spark):
 def test_forest():
     a, b = forest(np.array([5, 3, 9, 9]), np.array([3, 1, 8, 8]))
     assert dict(zip(a.tolist(), b.tolist())) == {3: 1, 5: 1, 9: 8}
+
+
+def test_exploded_rows_are_never_broadcast(spark, tmp_path):
+    """Spark's estimate of exploded rows is that of their input: at its default limit it sent the probes of 0.6 GB of texts through the driver."""
+    path = str(tmp_path / "fps")
+    spark.range(2000).selectExpr("xxhash64(id) as fp").write.parquet(path)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    joined = candidates(spark.read.parquet(path), segments(4, 4), 4, 8)
+    joins = re.findall(r"(\w+Join)\b", joined._jdf.queryExecution().sparkPlan().toString())
+    assert joins and joins[0] == "SortMergeJoin"
