@@ -7,7 +7,11 @@ import os
 import re
 import sys
 from array import array
-from itertools import chain
+from itertools import compress
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -16,7 +20,7 @@ _LETTERS = "a-z\xdf-\xf6\xf8-\xff"
 #: white space anyway), so that there are fewer words to know; texts with a mark behind another sign are looked up as they stand.
 _PLAIN = re.compile(r"[\n\x20-\x7e\xa1-\xff]*\Z")
 _MARK_BEHIND_SIGN = re.compile(rf"[.,!](?<=[^{_LETTERS}0-9\s!][.,!])|!(?:[.,]|!!)|<\|")
-_WORD = re.compile(rf"[{_LETTERS}]+\Z")
+_WORD = rf"\A[{_LETTERS}]+\z"  # for Arrow
 #: Longer words are not kept.
 LONG = 64
 
@@ -32,7 +36,9 @@ class WordTokenizer:
     """Encodes word by word, each new word once, where that is exact: for the word-wise BPE with NFC, white space and lower-case
     normalisation whose tokens never span a space or newline. Whole texts go to the library for any other tokenizer.
 
-    Words of lower-case Latin letters, which that normalisation leaves alone, skip it. The cache has two generations of max_words
+    Arrow parts the texts at their spaces, gives each different word a number and gathers the ids of all words by it. New words of
+    lower-case Latin letters, which that normalisation leaves alone, skip it and go to the library many at a time, with a sign between
+    them whose id no such word has. The cache has two generations of max_words
     words each, of LONG characters at most, so some 50 MB; a full one becomes the old one, and words that come again move up.
     """
 
@@ -47,45 +53,68 @@ class WordTokenizer:
         self.by_words = kinds("normalizer", "normalizers") == ["NFC", "Replace", "Lowercase"] and kinds("pre_tokenizer", "pretokenizers") == ["Split", "ByteLevel"]
         self.bare = Tokenizer.from_file(path)
         self.bare.normalizer = None
-        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        whole = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("!", "isolated"), whole])
+        mark = self.bare.encode("!", add_special_tokens=False).ids
+        self.mark, self.by_words = mark[0] if mark else -1, self.by_words and len(mark) == 1
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     @staticmethod
-    def _words(text: str) -> list[str]:
+    def _spaced(text: str) -> str:
+        """The text with single spaces or runs of them between its words, and nowhere else white space that parts words."""
         if _PLAIN.match(text):
             low = text.lower()
             if not _MARK_BEHIND_SIGN.search(low):
-                return low.replace(".", " .").replace(",", " ,").replace("!!", " !!").split()
-        return text.replace("\n", " ").split(" ")
+                return low.replace(".", " .").replace(",", " ,").replace("!!", " !!").replace("\n", " ")
+        return text.replace("\n", " ")
 
-    def _learn(self, words: list[str], by) -> None:
+    def _learn(self, words: list[str]) -> None:
         for i in range(0, len(words), 4096):
             part = words[i : i + 4096]
-            self.known.update(zip(part, [_bytes(e.ids) for e in by.encode_batch_fast(part, add_special_tokens=False)], strict=True))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Per text its ids as little-endian unsigned 32-bit integers, with the end id; null counts as empty."""
-        texts = [t or "" for t in texts]
-        if not self.by_words:
-            return [_bytes(e.ids) + self.end for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        parts = [self._words(t) for t in texts]
+            self.known.update(zip(part, [_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)], strict=True))
+
+    def _learn_plain(self, words: list[str], together: int = 512) -> None:
+        """Words of letters alone, without normalisation, so many in one text."""
+        for i in range(0, len(words), together):
+            part = words[i : i + together]
+            ids = np.array(self.bare.encode_batch_fast(["!".join(part) + "!"], add_special_tokens=False)[0].ids, "<u4")
+            ends, data = np.flatnonzero(ids == self.mark) * 4, ids.tobytes()
+            starts = np.append(0, ends[:-1] + 4)
+            self.known.update(zip(part, [data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], strict=True))
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        """The ids of different words."""
         if len(self.known) > self.max_words:
             self.old, self.known = self.known, {}
-        new = set(chain.from_iterable(parts)).difference(self.known)
+        new = set(words).difference(self.known)
         again = new.intersection(self.old)
         self.known.update((w, self.old[w]) for w in again)
         new -= again
-        plain = {w for w in new if _WORD.match(w)}
-        self._learn(list(plain), self.bare)
-        self._learn(list(new - plain), self.tokenizer)
-        get = self.known.__getitem__
-        out = [b"".join(map(get, p)) + self.end for p in parts]
+        new = list(new)
+        plain = pc.match_substring_regex(pa.array(new, pa.large_string()), _WORD).to_numpy(zero_copy_only=False)
+        self._learn_plain(list(compress(new, plain)))
+        self._learn(list(compress(new, ~plain)))
+        out = list(map(self.known.__getitem__, words))
         for w in new:
             if len(w) > LONG:
                 del self.known[w]
         return out
 
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Per text its ids as little-endian unsigned 32-bit integers, with the end id; null counts as empty."""
+        texts = [t or "" for t in texts]
+        if not self.by_words:
+            return [_bytes(e.ids) + self.end for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        parts = pc.split_pattern(pa.array([self._spaced(t) for t in texts], pa.large_string()), " ")
+        words = parts.values.dictionary_encode()
+        ids = self._known(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        at, sizes = words.indices.to_numpy(), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        table = pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes))), pa.array(np.frombuffer(b"".join(ids), np.uint32)))
+        data = table.take(words.indices).flatten().to_numpy().tobytes()
+        ends = (4 * np.append(0, np.cumsum(sizes.take(at))))[parts.offsets.to_numpy()].tolist()
+        return [data[a:b] + self.end for a, b in zip(ends, ends[1:])]
+
 
 _made: dict[tuple, WordTokenizer] = {}
 
@@ -102,7 +131,7 @@ def tokenizer(path: str | None = None, **how) -> WordTokenizer:
     return _made[key]
 
 
-def slices(texts, most: int = 500_000):
+def slices(texts, most: int = 2_000_000):
     """(from, to) of consecutive rows with about `most` characters together."""
     at = held = 0
     for i, t in enumerate(texts):

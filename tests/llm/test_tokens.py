@@ -172,3 +172,26 @@ def test_files_of_null_and_repeated_ids(spark, encode, crc):
         want.append((d, at, len(ids), crc(_bytes(ids))))
         at += len(ids)
     assert got == want
+
+
+def test_new_words_go_to_the_library_together(encode):
+    """One text for hundreds of new words; marks, signs, null, blanks and long words stay exact beside them."""
+    import public_tokenizers
+
+    from laneatlas.llm.tokens import WordTokenizer
+
+    own, calls = WordTokenizer(public_tokenizers.path("word_bpe_49k.json")), []
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, texts, **how):
+            calls.append(len(texts))
+            return self.inner.encode_batch_fast(texts, **how)
+
+    own.bare = Counted(own.bare)
+    words = ["".join(chr(97 + (i // 26**k + k) % 26) for k in range(4)) + "ßé" for i in range(3000)]
+    texts = [" ".join(words), None, "", " \n\t", "!", "a!b !! c!d", "a" * 300 + " " + "b" * 300, "Ünder the sea!! No. 7,\nyes", "a\xa0b c İX", *words[:20]]
+    assert [list(np.frombuffer(b, "<u4")) for b in own.encode(texts)] == [encode(t) for t in texts]
+    assert sum(calls) < 20
