@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laneatlas.session import ship
+from laneatlas.session import ship, sparing
 
 from .common import remove, shared_dir, written
 
@@ -56,7 +56,7 @@ def local_forests(links: DataFrame, rows: int = 200_000) -> DataFrame:
         if n:
             yield made()
 
-    return links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).mapInArrow(run, "a long, b long")
+    return links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).mapInArrow(sparing(run), "a long, b long")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:

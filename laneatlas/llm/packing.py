@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from laneatlas.session import ship
+from laneatlas.session import ship, sparing
 
 from .common import partitions, written
 from .tokens import slices, tokenizer
@@ -36,7 +36,7 @@ def pieces(docs: DataFrame, capacity: int = 2048, tokenizer_path: str | None = N
                 m = np.array(rows, np.int64).reshape(-1, 5)
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(m[:, 0])), *(pa.array(m[:, j]) for j in range(1, 5))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(sparing(cut), PIECES)
 
 
 def fill(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -135,7 +135,7 @@ def pack(cut: DataFrame, capacity: int = 2048) -> DataFrame:
             yield pdf
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out) + ", sequence_id long, offset long"
-    return ranked.mapInPandas(place, columns)
+    return ranked.mapInPandas(sparing(place), columns)
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, **how) -> DataFrame:

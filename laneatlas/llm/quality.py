@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from laneatlas.session import ship
+from laneatlas.session import ship, sparing
 
 #: Bytes of the pieces that dictionaries are trained on.
 WINDOW = 512
@@ -225,5 +225,5 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3,
         for t in batches:
             yield pd.Series(own.score(t.tolist()))
 
-    score = F.pandas_udf(run, "double")
+    score = F.pandas_udf(sparing(run), "double")
     return docs.withColumn("score", score(F.col(text))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

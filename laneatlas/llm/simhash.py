@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laneatlas.session import ship
+from laneatlas.session import ship, sparing
 
 from .buckets import many, rests, stars
 from .common import meet, with_row_key, written
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, words: int = 4, text: str = "text", doc_id: st
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], names=["doc_id", "row", "fp"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(row or doc_id).cast("long").alias("row"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, row long, fp long")
+    return rows.mapInArrow(sparing(run), "doc_id long, row long, fp long")
 
 
 def segments(distance: int, parts: int) -> list[tuple[int, int, int]]:
@@ -149,7 +149,7 @@ def links(fps: DataFrame, distance: int = 4, parts: int | None = None, small: in
 
     def compared(members: DataFrame) -> DataFrame:
         keys = ["part", "key", "i", "j"]
-        return members.select(*keys, "a", "label").repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
+        return members.select(*keys, "a", "label").repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).mapInArrow(sparing(compare), "a long, b long")
 
     out = found.where("b is not null").select("a", "b").unionByName(compared(stars(large, ["part", "key"], "a", block).withColumn("label", F.col("a"))))
     if not many(large, ["part", "key"], block):

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laneatlas.session import ship
+from laneatlas.session import ship, sparing
 
 from .buckets import many, rests, stars
 from .common import with_row_key, written
@@ -113,7 +113,7 @@ def similar_links(texts: DataFrame, members: DataFrame, words: int, least: float
         if out:
             yield _links(out)
 
-    return dealt.mapInArrow(verify, "a long, b long")
+    return dealt.mapInArrow(sparing(verify), "a long, b long")
 
 
 def _open(entries: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ def drop_similar(docs: DataFrame, words: int = 5, least: float = 0.8, distance:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.binary()), pa.array(fps), pa.array(keys, pa.list_(pa.int64()))], names=["row", "doc_id", "name", "fp", "bands"])
 
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    rows = written(texts.mapInArrow(sketch, "row long, doc_id long, name binary, fp long, bands array<long>"))
+    rows = written(texts.mapInArrow(sparing(sketch), "row long, doc_id long, name binary, fp long, bands array<long>"))
     sets = written(rows.groupBy("name").agg(F.min(F.struct(order.alias("at"), "fp", "bands")).alias("first")).select("first.at.*", "first.fp", "first.bands"))
     near = components(links(sets.select("fp").distinct(), distance))
     group = F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from laneatlas.session import ship
+from laneatlas.session import ship, sparing
 
 from .codec import BLOCK, LANES, decode_frame, encode_frame
 from .common import in_order
@@ -65,7 +65,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str | None = N
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     ordered = in_order(rows, "doc_id", tie="text").select("_part", "doc_id", "text")
-    ordered.mapInArrow(run, "part int, seq int, n_docs long, n_ids long, file string").write.mode("overwrite").parquet(f"{path}/manifest")
+    ordered.mapInArrow(sparing(run), "part int, seq int, n_docs long, n_ids long, file string").write.mode("overwrite").parquet(f"{path}/manifest")
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -94,4 +94,4 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(arrays)])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.lat").load(f"{path}/files").select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    return files.join(starts, "file").select("first", "content").mapInArrow(run, schema)
+    return files.join(starts, "file").select("first", "content").mapInArrow(sparing(run), schema)

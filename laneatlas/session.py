@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
 import tempfile
+from collections.abc import Callable
+from contextlib import suppress
+from functools import wraps
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
@@ -32,6 +37,26 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(shutil.make_archive(str(Path(tmp, here.name)), "zip", str(copy.parent)))
 
 
+def give_back() -> None:
+    """Return to the system what the allocators of Arrow and of the C library hold without using it."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def sparing(run: Callable) -> Callable:
+    """`run`, a function over a task's batches, whose worker gives unused memory back when the task ends.
+
+    Spark keeps idle workers for a minute and takes them in turn, several for each core; what they hold counts as the executor's."""
+
+    @wraps(run)
+    def spared(batches):
+        yield from run(batches)
+        give_back()
+
+    return spared
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where tests on one machine name none."""
     base = spark.conf.get("spark.checkpoint.dir", None)

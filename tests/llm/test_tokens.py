@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -195,3 +197,32 @@ def test_new_words_go_to_the_library_together(encode):
     texts = [" ".join(words), None, "", " \n\t", "!", "a!b !! c!d", "a" * 300 + " " + "b" * 300, "Ünder the sea!! No. 7,\nyes", "a\xa0b c İX", *words[:20]]
     assert [list(np.frombuffer(b, "<u4")) for b in own.encode(texts)] == [encode(t) for t in texts]
     assert sum(calls) < 20
+
+
+def test_a_task_gives_its_memory_back():
+    """What a worker of the packing stage holds after a task is its tokenizer and its words, not what the task needed on the way."""
+    code = """
+import re, sys
+from unittest.mock import MagicMock
+import pyarrow as pa
+from laneatlas.llm import packing
+
+def held():
+    return sum(map(int, re.findall(r"Private_Dirty:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+packing.ship, packing.F, docs = MagicMock(), MagicMock(), MagicMock()
+docs.select.return_value.mapInArrow = lambda run, schema: run
+run = packing.pieces(docs)
+batch = lambda k: pa.RecordBatch.from_pydict({"doc_id": [*range(400)], "text": [" ".join(f"w{(i * 7 + j * 13 + k) % 9000} and" for j in range(2500)) for i in range(400)]})
+list(run([batch(0).slice(0, 1)]))
+before = held()
+n = sum(b.num_rows for b in run(batch(k) for k in range(3)))
+assert n >= 1200, n
+print(held() - before)
+"""
+    import subprocess
+    import sys
+
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).resolve().parents[2], timeout=300)
+    assert out.returncode == 0, out.stderr
+    assert float(out.stdout) < 20, out.stdout
