@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +40,17 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Make the rows now and keep them as blocks on the executors' disks, until unpersist() or clearCache(); a lost block is made anew.
+
+    For tables of many partitions that are read from files or a scan: written() starts two processes (`chmod`) for each file on a local disk.
+    It cuts no lineage, so don't keep what is made from kept rows: write one of the two.
+    """
+    df = df.persist(StorageLevel.DISK_ONLY)
+    df.count()
+    return df
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a work table that no later step reads."""
     if path in _work:

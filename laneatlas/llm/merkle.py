@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, remove, shared_dir, written
+from .common import kept, partitions, written
 
 #: Children of a parent, and hexadecimal characters of a digest.
 FAN, WIDE = 16, 64
@@ -32,32 +32,29 @@ def leaf_of(columns: list[Column]) -> Column:
 def placed(rows: DataFrame, order: list[str], group: str = "_key") -> DataFrame:
     """rows with _at, their place from 0 within `group` by `order` (nulls first), and _n, the size of the group, without a window over a group.
 
-    Rows are written, dealt into ranges of (group, order) and written again; a place is the rank in the range's run of the group and the rows of the
-    group in earlier ranges. The runs are one row for each range and one for each group.
+    rows, which are read twice, are dealt into ranges of (group, order) and written; a place is the rank in the range's run of the group and the rows
+    of the group in earlier ranges. The runs are one row for each range and one for each group.
     """
-    spark = rows.sparkSession
-    plain, ranges = shared_dir(spark), shared_dir(spark)
-    dealt = written(rows, plain).repartitionByRange(partitions(spark), group, *order).sortWithinPartitions(group, *order)
-    dealt = written(dealt.withColumn("_row", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_row", 33)), ranges)
+    dealt = rows.repartitionByRange(partitions(rows.sparkSession), group, *order).sortWithinPartitions(group, *order)
+    dealt = written(dealt.withColumn("_row", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_row", 33)))
     runs = dealt.groupBy(group, "_part").agg(F.min("_row").alias("_first"), F.count("*").alias("_c"))
     own = Window.partitionBy(group)
     runs = runs.withColumn("_before", F.sum("_c").over(own.orderBy("_part")) - F.col("_c")).withColumn("_n", F.sum("_c").over(own))
     out = dealt.join(runs.drop("_c"), [group, "_part"])
-    out = written(out.withColumn("_at", F.col("_row") - F.col("_first") + F.col("_before")).drop("_row", "_part", "_first", "_before"))
-    for path in (plain, ranges):
-        remove(spark, path)
-    return out
+    return kept(out.withColumn("_at", F.col("_row") - F.col("_first") + F.col("_before")).drop("_row", "_part", "_first", "_before"))
 
 
 def levels(nodes: DataFrame, most: int) -> list[DataFrame]:
     """The parents of nodes (_key, _at, _n, _hash), level by level: _key, _at, _n (nodes of that level) and _pre (the preimage), as long as a group has
-    several nodes. `most` is the largest _n. Each level is written: a sixteenth of the rows below it."""
-    out = []
+    several nodes. `most` is the largest _n. Each level is written: a sixteenth of the rows below it, by a sixteenth of
+    the tasks."""
+    out, tasks = [], partitions(nodes.sparkSession)
     while most > 1:
+        tasks = -(-tasks // FAN)
         child = nodes.where("_n > 1")
         made = child.groupBy("_key", F.shiftright("_at", _BITS).alias("_at")).agg(F.array_sort(F.collect_list(F.struct("_at", "_hash"))).alias("_c"), F.first("_n").alias("_n"))
         made = made.select("_key", "_at", F.ceil(F.col("_n") / FAN).cast("long").alias("_n"), F.array_join("_c._hash", "").alias("_pre"))
-        out.append(written(made))
+        out.append(written(made.coalesce(tasks)))
         nodes = out[-1].select("_key", "_at", "_n", F.sha2("_pre", 256).alias("_hash"))
         most = -(-most // FAN)
     return out
@@ -121,13 +118,14 @@ def manifest(docs: DataFrame, fields: list[str], doc_id: str = "doc_id", source:
     other = changed or {}
     leaf, new = leaf_of([F.col(c) for c in fields]), leaf_of([other.get(c, F.col(c)) for c in fields])
     key = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit(""))
-    rows = docs.select(F.col(doc_id).alias("_id"), key.alias("_key"), leaf.alias("_hash"), new.alias("_new"))
+    rows = kept(docs.select(F.col(doc_id).alias("_id"), key.alias("_key"), leaf.alias("_hash"), new.alias("_new")))
     nodes = placed(rows, ["_id", "_hash"])
+    rows.unpersist()
     most = nodes.agg(F.max("_n")).first()[0]
     if most is None:
         return nodes.select(F.col("_id").alias(doc_id), *[F.col("_hash").alias(c) for c in ("leaf", "subroot", "root", "proof_sha256", "folded_root")], F.lit(True).alias("verified"))
     above = levels(nodes, most)
-    subroots = placed(tops(nodes, above).select(F.lit("").alias("_key"), F.col("_key").alias("_source"), "_hash"), ["_source"])
+    subroots = placed(written(tops(nodes, above).select(F.lit("").alias("_key"), F.col("_key").alias("_source"), "_hash")), ["_source"])
     over = levels(subroots, subroots.agg(F.max("_n")).first()[0])
     heads = ancestors(subroots, over, tops(subroots, over).select("_key", F.col("_hash").alias("root")))
     heads = written(heads.select(F.col("_source").alias("_key"), F.col("_hash").alias("subroot"), F.col("_at").alias("_place"), F.col("_path").alias("_over"), "root"))

@@ -1,9 +1,11 @@
 import hashlib
 import zlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from laneatlas.llm.common import work_tables
 from laneatlas.llm.merkle import field, manifest
 
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
@@ -97,3 +99,21 @@ def test_an_untouched_row_is_verified_and_a_changed_one_is_not(spark):
 def test_field(spark):
     row = spark.createDataFrame([(None, "", "é", -12)], "a string, b string, c string, d long").select(*[field(F.col(c)) for c in "abcd"]).first()
     assert tuple(row) == ("-", "0:", "2:é", "3:-12")
+
+
+def test_few_files_between(spark):
+    """Each file of a work table starts two processes; of three tables as wide as the input only one is written, and levels get narrower."""
+    before, parts = set(work_tables()), 24
+    plain = {"spark.sql.shuffle.partitions": str(parts), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    usual = {k: spark.conf.get(k) for k in plain}
+    try:
+        for k, v in plain.items():
+            spark.conf.set(k, v)
+        rows = [(i, f"s{i % 3}", "en", 4, f"text {i}") for i in range(4000)]
+        out = manifest(spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars int, text string").repartition(parts + 3), FIELDS)
+        assert out.count() == 4000
+    finally:
+        for k, v in usual.items():
+            spark.conf.set(k, v)
+    files = [len(list(Path(t.removeprefix("file://")).glob("part-*"))) for t in work_tables() if t not in before]
+    assert sum(n > parts // 2 for n in files) <= 1, files
