@@ -24,9 +24,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from laneatlas.session import ship
+from laneatlas.session import ship, sparing
 
-from .common import heavy, remove, shared_dir, written
+from .common import heavy, kept, written
 from .tokens import slices
 
 GRAM = 32
@@ -319,11 +319,10 @@ def repeated_spans(texts: DataFrame, length: int = 100, hot: int = 5000, chunk:
         if spans:
             yield _spans_batch(spans)
 
-    raw_path = shared_dir(texts.sparkSession)
-    raw = written(texts.select("key", "text").mapInArrow(find, "g long, same long, key long, at long"), raw_path)
+    made = kept(texts.select("key", "text").mapInArrow(sparing(find), "g long, same long, key long, at long"))
     # the fragments of a frequent anchor are dealt by their hashes too; they count as mixed, which the settling decides
-    often = heavy(raw, "g", share, least).withColumn("often", F.lit(True))
-    raw = raw.join(F.broadcast(often), "g", "left").withColumn("deal", F.when(F.col("often"), F.coalesce("same", F.lit(0))).otherwise(0))
+    often = heavy(made, "g", share, least).withColumn("often", F.lit(True))
+    raw = made.join(F.broadcast(often), "g", "left").withColumn("deal", F.when(F.col("often"), F.coalesce("same", F.lit(0))).otherwise(0))
     group = Window.partitionBy("g", "deal")
     split = F.col("often").isNotNull()
     found = raw.select(
@@ -332,7 +331,7 @@ def repeated_spans(texts: DataFrame, length: int = 100, hot: int = 5000, chunk:
         F.row_number().over(Window.partitionBy("g", "deal", "same").orderBy("key", "at")).alias("nth"),
     )
     found = written(found.where("same is null or n > 1 or often"))
-    remove(texts.sparkSession, raw_path)
+    made.unpersist()
     first, n, off = F.shiftright("at", 24), F.shiftright("at", 12).bitwiseAND(4095).cast("int"), F.col("at").bitwiseAND(4095).cast("int")
     local = found.where("same is null").select("key", first.alias("a"), (first + F.col("at").bitwiseAND(0xFFFFFF)).alias("b"))
     whole = found.where("same is not null and nth > 1").select("key", first.alias("a"), (first + n + length - 1).alias("b"))
@@ -340,9 +339,9 @@ def repeated_spans(texts: DataFrame, length: int = 100, hot: int = 5000, chunk:
     wanted = found.where("same is not null and mixed and nth = 1").groupBy("key").agg(F.collect_list(open_).alias("f"))
     # the same exchange of the texts serves remove_repeats() again
     cut = texts.select("key", "doc_id", "text").join(wanted.hint("shuffle_hash"), "key").select("key", "doc_id", "text", "f")
-    pieces = cut.mapInArrow(fetch, "g long, sub int, key long, first int, off short, data binary")
+    pieces = cut.mapInArrow(sparing(fetch), "g long, sub int, key long, first int, off short, data binary")
     dealt = pieces.repartition(F.col("g"), F.col("sub")).sortWithinPartitions("g", "sub", "key", "first")
-    return dealt.mapInArrow(settle, "key long, a long, b long").unionByName(local).unionByName(whole)
+    return dealt.mapInArrow(sparing(settle), "key long, a long, b long").unionByName(local).unionByName(whole)
 
 
 def _fragment_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -391,4 +390,4 @@ def remove_repeats(docs: DataFrame, length: int = 100, text: str = "text", doc_i
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"][: len(kinds)])
 
     joined = texts.select("key", "doc_id", "text").join(spans.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<struct<a:long,b:long>>, kept binary" * with_text)
+    return joined.mapInArrow(sparing(finish), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<struct<a:long,b:long>>, kept binary" * with_text)

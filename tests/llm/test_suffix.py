@@ -81,3 +81,13 @@ def test_heavy_anchors(spark):
     assert {r[0] for r in heavy(rows, "g").collect()} == {-5} | ({7} if rows.where("g = 7").count() > 1000 else set())
     assert {r[0] for r in heavy(rows, "g", least=100).collect()} == {-5, 7}
     assert heavy(rows.where("g is null"), "g").count() == 0
+
+
+def test_one_work_table(spark, monkeypatch):
+    """Each file of a work table starts two processes; the fragments are blocks of Spark instead, gone when the result is there."""
+    made, kept, write = [], spark.sparkContext._jsc.getPersistentRDDs().size(), S.written
+    monkeypatch.setattr(S, "written", lambda *a: made.append(write(*a)) or made[-1])
+    docs = spark.createDataFrame([(i, "a passage that comes again " * 6 + str(i)) for i in range(50)], "doc_id long, text string").repartition(9)
+    assert S.remove_repeats(docs, 40).where("n_removed > 0").count() == 50
+    assert len(made) == 1
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == kept
