@@ -28,7 +28,7 @@ def pieces(docs: DataFrame, capacity: int = 2048, tokenizer_path: str | None = N
         own = tokenizer(tokenizer_path, end_id=end_id)
         for batch in batches:
             texts, names = batch.column(1).to_pylist(), batch.column(0)
-            for a, b in slices(texts):
+            for a, b in slices(texts, 2_000_000):
                 rows = []
                 for k, ids in zip(range(a, b), own.encode(texts[a:b]), strict=True):
                     n = len(ids) // 4

@@ -51,7 +51,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str | None = N
 
         for batch in batches:
             ids, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, 2_000_000):
                 for k, coded in zip(range(a, b), own.encode(texts[a:b]), strict=True):
                     if held and size + len(coded) // 4 > frame_ids:
                         yield made()

@@ -226,3 +226,30 @@ print(held() - before)
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).resolve().parents[2], timeout=300)
     assert out.returncode == 0, out.stderr
     assert float(out.stdout) < 20, out.stdout
+
+
+def test_words_with_signs_are_learned_from_words_and_signs(encode):
+    """Words that differ in the signs behind them, or in nothing but that, don't go one by one through the whole library; all ids stay exact."""
+    import public_tokenizers
+
+    from laneatlas.llm.tokens import WordTokenizer
+
+    own, full = WordTokenizer(public_tokenizers.path("word_bpe_49k.json")), []
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, texts, **how):
+            full.extend(texts)
+            return self.inner.encode_batch_fast(texts, **how)
+
+    own.tokenizer = Counted(own.tokenizer)
+    words = ["".join(chr(97 + (i // 26**k + k) % 26) for k in range(4)) + "ßé" * (i % 2) for i in range(2000)]
+    texts = [" ".join(w + ("%%%", "***", "$$$", "&&&")[i % 4] for i, w in enumerate(words)), " ".join(words[:50]), "Go(!) it's' <|x|> a'll&& b<c d_e f_ g\xa0? h\xb5! É\xdf;; i0# \xad- j\xad- k~~ l\xd7 m\xd7* 'n' o!? p!!? q**!! r.,* s'* t<* u\x85"]
+    assert [list(np.frombuffer(b, "<u4")) for b in own.encode(texts)] == [encode(t) for t in texts]
+    for t in ("a!!", "a***!", "Zz$!, b", "Zz&.", "x<|endoftext|>"):
+        assert list(np.frombuffer(own.encode([t])[0], "<u4")) == encode(t)
+    assert len(full) < 100
+    own.encode(["c" * 300 + "%%%", "d" * 300 + "!! e&."])
+    assert max(map(len, own.known)) <= 64
