@@ -80,8 +80,8 @@ def viewport_cull(spark, d):
 
 
 def demo_features(spark, d):
-    """The invented features in each area."""
-    ring = F.array_join(F.transform("ring", lambda p: F.format_string("%.6f %.6f", F.round(p[0], 6), F.round(p[1], 6))), ",")
+    """The invented features in each area. Formatting rounds; the sign of what lies just below zero stays, as in SQL (Spark's round() drops it)."""
+    ring = F.array_join(F.transform("ring", lambda p: F.format_string("%.6f %.6f", p[0], p[1])), ",")
     return M.demo_at(with_bounds(view(spark, d, "areas")).select("id", "bounds")).select("id", "feature_id", "type", "confidence", ring.alias("ring"))
 
 

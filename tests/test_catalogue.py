@@ -37,6 +37,22 @@ def test_query(spark, duck, name):
     assert sorted(tuple(map(_key, r)) for r in rows) == sorted(tuple(_key(r[i]) for i in at) for r in want.fetchall())
 
 
+def _same(spark, duck, name, path):
+    want = duck.sql(ORACLES[name])
+    got = QUERIES[name](spark, str(path)).select(*want.columns).collect()
+    assert sorted(tuple(map(_key, r)) for r in got) == sorted(tuple(map(_key, r)) for r in want.fetchall())
+    return got
+
+
+def test_rings_just_below_zero_keep_their_sign(spark, tmp_path):
+    keys = [24631, 60000, 115369, 0]  # the first ring begins at -1e-14 degrees or so
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    with duckdb.connect() as c:
+        c.sql(f"create view customer as select * from '{tmp_path}/customer.parquet/*.parquet'")
+        got = _same(spark, c, "demo_features", tmp_path)
+    assert any("-0.000000" in r.ring for r in got)
+
+
 def test_names():
     import __spark_entry__ as entry
 
