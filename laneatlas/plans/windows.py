@@ -84,8 +84,8 @@ def stream_density(spark, d):
 
 def stream_tracks(spark, d):
     """The tracker as a stream: positions seen so far of each live track."""
-    seen = D.drained(tracker.track_stream(stream(spark, d, "detections")), "append")
-    return seen.select("video_id", "frame_id", "track_id", "n_positions", "seen")
+    tracks = tracker.track_stream(stream(spark, d, "detections"))
+    return D.drained(tracks.select("video_id", "frame_id", "track_id", "n_positions", "seen"), "append")
 
 
 _C = lambda p, s: f"least(49, greatest(0, cast(floor({p}/{s}.0::double*50) as int)))"

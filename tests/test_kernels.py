@@ -252,3 +252,59 @@ def test_stream_tracks_as_batch(spark, tmp_path):
     got = sorted(map(tuple, spark.sql("select video_id, frame_id, track_id, n_positions from tracked").collect()))
     assert got == want
     assert T.paths(T.track(d), "all").count() >= T.paths(T.track(d)).count()
+
+
+class _Value:
+    def __init__(self):
+        self.v = None
+
+    def exists(self):
+        return self.v is not None
+
+    def get(self):
+        return self.v
+
+    def update(self, v):
+        self.v = v
+
+
+class _Map:
+    def __init__(self):
+        self.m = {}
+
+    def iterator(self):
+        return iter(list(self.m.items()))
+
+    def updateValue(self, k, v):  # noqa: N802
+        self.m[k] = v
+
+    def removeKey(self, k):  # noqa: N802
+        del self.m[k]
+
+
+class _Handle:
+    def getMapState(self, *_):  # noqa: N802
+        return _Map()
+
+    def getValueState(self, *_):  # noqa: N802
+        return _Value()
+
+
+def test_a_long_micro_batch_is_sorted_by_runs_and_given_in_parts(spark, monkeypatch):
+    """A video's new frames may be many: neither its boxes nor its rows are held at once."""
+    monkeypatch.setattr(T, "_RUN", 700, raising=False)
+    monkeypatch.setattr(T, "_ROWS", 1000, raising=False)
+    d = view(spark, "/root/testdata/sf0.01", "detections").where("video_id = 'view'")
+    want = sorted(map(tuple, T.track(d).collect()), key=str)
+    rows = d.toPandas().sample(frac=1, random_state=1)
+    state = T.TrackerState()
+    state.init(_Handle())
+    got = []
+    for some in (rows["frame_id"] <= 300, rows["frame_id"] > 300):
+        new = rows[some]
+        parts = (new.iloc[a : a + 100] for a in range(0, len(new), 100))
+        made = list(state.handleInputRows(("view",), parts, None))
+        assert max(map(len, made)) <= 1000
+        got += [tuple(r) for p in made for r in p.astype(object).where(p.notna(), None).itertuples(index=False)]
+    assert len(got) > 20_000
+    assert sorted(got, key=str) == want
