@@ -277,11 +277,12 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         yield batch.column(0), np.asarray(batch.column(1)), np.asarray(batch.column(2).is_valid()), np.asarray(batch.column(2).fill_null(0)), boxes
 
 
-def track(detections: DataFrame, frames: DataFrame | None = None, rate: int = 1, **how) -> DataFrame:
+def track(detections: DataFrame, frames: DataFrame | None = None, rate: int = 1, until: DataFrame | None = None, **how) -> DataFrame:
     """Every live track after each processed frame, by video; seen tells whether the frame held it.
 
     frames (video_id, frame_id): the processed frames. Without them, every rate-th frame from a video's first to its last one with boxes; rows with a
-    null event_id stand for frames without boxes. A track ends once more than `patience` processed frames have not held it.
+    null event_id stand for frames without boxes. until (video_id, frame_id), without frames: a video's processed frames go on to that one, where its boxes
+    end before it; a row a video in place of a row a frame. A track ends once more than `patience` processed frames have not held it.
     A task steps over batches of a video's frames in order; it holds live tracks and one batch."""
     ship(detections.sparkSession)
     filled = frames is None
@@ -302,7 +303,7 @@ def track(detections: DataFrame, frames: DataFrame | None = None, rate: int = 1,
         if t is not None:
             yield from map(_batch, out.given(t, last=True))
 
-    rows = detections.select("video_id", "frame_id", "event_id", "x", "y", "w", "h") if filled else with_frames(detections, frames)
+    rows = detections.select("video_id", "frame_id", "event_id", "x", "y", "w", "h") if filled and until is None else with_frames(detections, until if filled else frames)
     rows = rows.withColumn("frame_id", F.col("frame_id").cast("long")).withColumn("event_id", F.col("event_id").cast("long"))
     return rows.repartition(F.col("video_id")).sortWithinPartitions("video_id", "frame_id", F.col("event_id").asc_nulls_last()).mapInArrow(run, SCHEMA)
 

@@ -53,6 +53,14 @@ def test_rings_just_below_zero_keep_their_sign(spark, tmp_path):
     assert any("-0.000000" in r.ring for r in got)
 
 
+def test_the_clock_is_not_laid_out_frame_by_frame(spark, tmp_path):
+    rows = [(i, 1) for i in (0, 5, 60, 10**12)] + [(7, 2), (10**12 - 10, 3)]
+    spark.createDataFrame(rows, "event_id long, user_id long").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    with duckdb.connect() as c:
+        c.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+        assert len(_same(spark, c, "clocked_lives", tmp_path)) == 3
+
+
 def test_names():
     import __spark_entry__ as entry
 

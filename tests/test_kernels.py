@@ -308,3 +308,13 @@ def test_a_long_micro_batch_is_sorted_by_runs_and_given_in_parts(spark, monkeypa
         got += [tuple(r) for p in made for r in p.astype(object).where(p.notna(), None).itertuples(index=False)]
     assert len(got) > 20_000
     assert sorted(got, key=str) == want
+
+
+def test_frames_go_on_until_the_end_by_one_row_a_video(spark):
+    boxes = [(1, 0), (2, 0), (40, 0)]
+    end = lambda f: spark.createDataFrame([("v", f)], "video_id string, frame_id long")
+    d = _run(spark, boxes)[1]
+    rows = lambda t: sorted(map(tuple, t.collect()), key=str)
+    for f in (2, 40, 45, 70, 71, 100):
+        assert rows(T.track(d, until=end(f))) == rows(_run(spark, boxes, range(1, max(f, 40) + 1))[0])
+    assert rows(T.track(d, until=end(10**12))) == rows(_run(spark, boxes, range(1, 100))[0])
