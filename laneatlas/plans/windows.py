@@ -71,7 +71,8 @@ def clocked_lives(spark, d):
 
 def stream_lives(spark, d):
     """track_lives as a stream with map state."""
-    seen = D.drained(tracker.track_stream(stream(spark, d, "sightings")), "append")
+    tracks = tracker.track_stream(stream(spark, d, "sightings"))
+    seen = D.drained(tracks.select("video_id", "track_id", "n_positions"), "append")
     return seen.groupBy("video_id", "track_id").agg(F.max("n_positions").alias("n_positions"), F.count("*").alias("frames"))
 
 

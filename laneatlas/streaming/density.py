@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import copy
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,10 +31,16 @@ def sessions(events: DataFrame, gap: str, late: str = "10 minutes", key: str = "
     return timed.groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), "n")
 
 
+def _at_work(spark: SparkSession) -> bool:
+    told = spark.sparkContext.statusTracker()
+    return any(info is not None and info.numActiveTasks for info in map(told.getStageInfo, told.getActiveStageIds()))
+
+
 def drained(stream: DataFrame, mode: str = "complete", seconds: int = 600) -> DataFrame:
     """What a stream gives once all that is there now has been read, as a table in the shared folder, where the query's checkpoint lies too.
 
-    mode append: the rows of all micro-batches; complete: those of the last one. TimeoutError after `seconds`.
+    mode append: the rows of all micro-batches; complete: those of the last one. TimeoutError once no task has run for `seconds`; a stream that is
+    being read may take as long as it takes.
     """
     spark, schema = stream.sparkSession, stream.schema
     path = f"{shared_folder(spark)}/drained-{uuid.uuid4().hex}"
@@ -42,9 +49,13 @@ def drained(stream: DataFrame, mode: str = "complete", seconds: int = 600) -> Da
         batch.write.mode("overwrite").parquet(f"{path}/rows/batch={n}")
 
     query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    if not query.awaitTermination(seconds):
-        query.stop()
-        raise TimeoutError(f"stream not drained in {seconds} s")
+    worked = time.monotonic()
+    while not query.awaitTermination(min(5, seconds)):
+        if _at_work(spark):
+            worked = time.monotonic()
+        elif time.monotonic() - worked >= seconds:
+            query.stop()
+            raise TimeoutError(f"stream not drained, and no task ran for {seconds} s")
     rows = spark.read.schema(copy.deepcopy(schema).add("batch", "long")).parquet(f"{path}/rows")
     if mode == "complete":
         rows = rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch")

@@ -318,3 +318,17 @@ def test_frames_go_on_until_the_end_by_one_row_a_video(spark):
     for f in (2, 40, 45, 70, 71, 100):
         assert rows(T.track(d, until=end(f))) == rows(_run(spark, boxes, range(1, max(f, 40) + 1))[0])
     assert rows(T.track(d, until=end(10**12))) == rows(_run(spark, boxes, range(1, 100))[0])
+
+
+def test_a_stream_may_take_longer_than_the_limit_of_a_standstill(spark, tmp_path):
+    import time
+
+    from laneatlas.streaming.density import drained
+
+    def slow(batches):
+        time.sleep(8)
+        yield from batches
+
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+    assert drained(stream.mapInPandas(slow, "id long"), "append", seconds=4).count() == 5
