@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import warnings
+from collections.abc import Iterator
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +18,11 @@ from pyspark.sql import functions as F
 from laneatlas.functions.shapes import finite
 from laneatlas.operators.boosting import BoostedStumps
 from laneatlas.operators.perceptron import EarlyStoppingPerceptron
+from laneatlas.session import checkpointed
 
 NAMES = ["aspect_ratio", "circularity", "solidity", "extent", "orientation", "hu_moments_0", "hu_moments_1", "hu_moments_2", "hu_moments_3"]
+#: Nodes of trees that are held at once, and how far apart the seeds of a forest's parts are (Spark adds a partition's number to a seed).
+_NODES, _APART = 400_000, 1_000_003
 
 
 def standardized(samples: DataFrame, features: str = "f") -> DataFrame:
@@ -71,6 +77,52 @@ def train_forest(samples: DataFrame, trees: int = 200, depth: int = 15, seed: in
     return Pipeline(stages=[RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=2, weightCol="weight", featuresCol="vector", labelCol="target", seed=seed)]).fit(samples)
 
 
+def _nodes(samples: DataFrame, depth: int) -> int:
+    """What a tree has at most: its leaves hold two rows at least."""
+    return max(1, min(samples.count(), 2 ** (depth + 1)))
+
+
+def forest_parts(samples: DataFrame, nodes: int, trees: int = 200, depth: int = 15, seed: int = 42) -> Iterator[PipelineModel]:
+    """A forest as forests of so few trees that the driver, and each executor that is sent one, holds some `_NODES` nodes at once; `nodes`: of a tree at
+    most, for the first one, whose own count tells how many trees the next ones have. Let go of each before taking the next."""
+    k = 0
+    while trees:
+        n = min(trees, max(1, _NODES // nodes))
+        part = train_forest(samples, n, depth, seed + _APART * k)
+        nodes, k, trees = max(1, part.stages[-1].totalNumNodes // n), k + 1, trees - n
+        yield part
+        del part
+        gc.collect()  # Py4J's objects stand in cycles, and with them the JVM's forest
+
+
+def forest_predicted(samples: DataFrame, trees: int = 200, depth: int = 15, seed: int = 42) -> DataFrame:
+    """samples with the prediction of a forest trained on them. One too large to be held at once votes part by part; the votes so far go to the shared folder."""
+    nodes = _nodes(samples, depth)
+    if nodes * trees <= _NODES:
+        return train_forest(samples, trees, depth, seed).transform(samples)
+    samples = scored = checkpointed(samples)
+    for part in forest_parts(samples, nodes, trees, depth, seed):
+        raw = vector_to_array("rawPrediction")
+        votes = F.zip_with("_votes", raw, lambda a, b: a + b) if "_votes" in scored.columns else raw
+        scored = checkpointed(part.transform(scored).select(*samples.columns, votes.alias("_votes")))
+        del part
+    return scored.withColumn("prediction", argmax(F.col("_votes")).cast("double")).drop("_votes")
+
+
+def forest_importances(samples: DataFrame, trees: int = 200, depth: int = 15, seed: int = 42) -> list[tuple[str, float]]:
+    """importances() of a forest trained on samples; one too large to be held at once is summed tree by tree, each to 1 as Spark does."""
+    nodes = _nodes(samples, depth)
+    if nodes * trees <= _NODES:
+        return importances(train_forest(samples, trees, depth, seed).stages[-1])
+    total = np.zeros(len(NAMES))
+    for part in forest_parts(checkpointed(samples), nodes, trees, depth, seed):
+        for tree in part.stages[-1].trees:
+            total += tree.featureImportances.toArray()
+            del tree
+        del part
+    return _ranked(total / (total.sum() or 1))
+
+
 def best_classifier(samples: DataFrame, models: dict, folds: int = 5, parallelism: int = 2) -> tuple[str, dict[str, float], object]:
     """Mean accuracy of each model over folds; the best is fitted on all samples. A model that fails to train is left out with a warning;
     if all fail, the forest of 200 trees is fitted and no scores are given."""
@@ -92,4 +144,8 @@ def best_classifier(samples: DataFrame, models: dict, folds: int = 5, parallelis
 
 def importances(model) -> list[tuple[str, float]]:
     """Feature names with their importance, largest first."""
-    return sorted(zip(NAMES, model.featureImportances.toArray().tolist(), strict=True), key=lambda x: -x[1])
+    return _ranked(model.featureImportances.toArray())
+
+
+def _ranked(values: np.ndarray) -> list[tuple[str, float]]:
+    return sorted(zip(NAMES, values.tolist(), strict=True), key=lambda x: -x[1])

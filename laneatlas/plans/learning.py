@@ -48,7 +48,7 @@ def log_moments(spark, d):
 
 def train_rf_predict(spark, d):
     p = L.prepared(_features(spark, d))
-    return L.train_forest(p).transform(p).select("vec_id", "label", F.col("prediction").cast("int").alias("prediction"))
+    return L.forest_predicted(p).select("vec_id", "label", F.col("prediction").cast("int").alias("prediction"))
 
 
 def feature_importance(spark, d):

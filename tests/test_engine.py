@@ -148,3 +148,26 @@ def test_queries_train_the_whole_forest(spark, monkeypatch):
         with pytest.raises(Stop):
             query(spark, SF)
     assert asked == [(200, 15)] * 2
+
+
+def test_a_large_forest_votes_in_parts(spark, monkeypatch):
+    """No more nodes than allowed are trained at once; all trees vote."""
+    ready = learning.prepared(view(spark, SF.replace("0.001", "0.01"), "features"))
+    made, fit = [], learning.Pipeline.fit
+
+    def seen(self, samples):
+        made.append(fit(self, samples))
+        return made[-1]
+
+    monkeypatch.setattr(learning.Pipeline, "fit", seen)
+    monkeypatch.setattr(learning, "_NODES", 300, raising=False)
+    rows = learning.forest_predicted(ready, trees=12, depth=6).collect()
+    forests = [m.stages[-1] for m in made]
+    assert sum(f.getNumTrees for f in forests) == 12 and len({f.getOrDefault("seed") for f in forests}) == len(forests) > 3
+    assert all(f.totalNumNodes <= 300 * 1.3 for f in forests)
+    votes = {}
+    for f in forests:
+        for r in f.transform(ready).select("vec_id", "rawPrediction").collect():
+            votes[r.vec_id] = votes.get(r.vec_id, 0) + r.rawPrediction.toArray()
+    assert len(rows) == 500 and all(abs(v.sum() - 12) < 1e-9 for v in votes.values())
+    assert sum(votes[r.vec_id][int(r.prediction)] < votes[r.vec_id].max() - 1e-9 for r in rows) == 0
