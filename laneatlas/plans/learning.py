@@ -52,8 +52,7 @@ def train_rf_predict(spark, d):
 
 
 def feature_importance(spark, d):
-    p = L.prepared(_features(spark, d))
-    ranked = L.importances(L.train_forest(p).stages[-1])
+    ranked = L.forest_importances(L.prepared(_features(spark, d)))
     return spark.createDataFrame([(n, float(v)) for n, v in ranked], "feature string, importance double")
 
 

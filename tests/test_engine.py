@@ -171,3 +171,22 @@ def test_a_large_forest_votes_in_parts(spark, monkeypatch):
             votes[r.vec_id] = votes.get(r.vec_id, 0) + r.rawPrediction.toArray()
     assert len(rows) == 500 and all(abs(v.sum() - 12) < 1e-9 for v in votes.values())
     assert sum(votes[r.vec_id][int(r.prediction)] < votes[r.vec_id].max() - 1e-9 for r in rows) == 0
+
+
+def test_importances_of_a_large_forest(spark, monkeypatch):
+    ready = learning.prepared(view(spark, SF, "features"))
+    whole = learning.train_forest(ready, trees=6, depth=4).stages[-1]
+    sums = sum(t.featureImportances.toArray() for t in whole.trees)
+    assert (sums / sums.sum()).tolist() == pytest.approx(whole.featureImportances.toArray().tolist())
+    monkeypatch.setattr(learning, "_NODES", 40, raising=False)
+    made, fit = [], learning.Pipeline.fit
+
+    def seen(self, samples):
+        made.append(fit(self, samples))
+        return made[-1]
+
+    monkeypatch.setattr(learning.Pipeline, "fit", seen)
+    got = dict(learning.forest_importances(ready, trees=6, depth=4))
+    assert len(made) > 1 and sum(m.stages[-1].getNumTrees for m in made) == 6 and sum(got.values()) == pytest.approx(1)
+    sums = sum(t.featureImportances.toArray() for m in made for t in m.stages[-1].trees)
+    assert [got[n] for n in learning.NAMES] == pytest.approx((sums / sums.sum()).tolist())
